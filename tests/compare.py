@@ -1,8 +1,11 @@
 """Compare a DataFrame with DuckDB SQL over the same Parquet tables."""
 
+import datetime
+import decimal
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -19,19 +22,20 @@ def duck(sql, data):
     return con.execute(sql).df()
 
 
+def cell(x):
+    if x is None or x is pd.NA or x is pd.NaT or (isinstance(x, float) and x != x):
+        return "<null>"
+    if isinstance(x, (bool, np.bool_)):
+        return str(bool(x))
+    if isinstance(x, (int, float, np.number, decimal.Decimal)):
+        return repr(round(float(x), 9) + 0.0)
+    if isinstance(x, (pd.Timestamp, datetime.datetime)):
+        return pd.Timestamp(x).isoformat()
+    return str(x)
+
+
 def canonical(df):
-    df = df[sorted(df.columns)].copy()
-    for c in df.columns:
-        if df[c].dtype.kind == "f":
-            df[c] = df[c].map(lambda x: None if pd.isna(x) else repr(round(float(x), 9) + 0.0))
-        elif df[c].dtype.kind in "iu":
-            df[c] = df[c].map(lambda x: repr(float(x)))
-        elif df[c].dtype.kind == "M":
-            df[c] = df[c].map(lambda x: None if pd.isna(x) else pd.Timestamp(x).isoformat())
-        else:
-            df[c] = df[c].map(lambda x: None if x is None or x is pd.NA or (isinstance(x, float) and pd.isna(x)) else repr(float(x)) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x))
-    df = df.astype(object).where(df.notna(), "<null>")
-    return sorted(map(tuple, df.itertuples(index=False)))
+    return sorted(tuple(map(cell, row)) for row in df[sorted(df.columns)].astype(object).itertuples(index=False, name=None))
 
 
 def assert_same(spark, df, sql, data):
