@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanline.llm import chat, decontaminate, langid, mixing, warc
+from spanline.llm import chat, decontaminate, langid, minhash, mixing, warc
 from spanline.llm.common import scratch, table
 
 
@@ -19,6 +19,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.groups(table(spark, sf_dir, "documents"), 85, 100)
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -44,6 +48,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_warc": op3_warc,
+    "op5_minhash": op5_minhash,
     "op7_decontaminate": op7_decontaminate,
     "op8_chat_format": op8_chat_format,
     "op9_mix_sources": op9_mix_sources,
