@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanline.llm import textkit as tk
+from spanline.llm.buckets import bucket_rows, candidate_pairs
 from spanline.llm.common import components, cut
 
 SHINGLE = 5
@@ -82,8 +83,6 @@ def band_keys(sk: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 #: Coordinates of a sketch; the first BANDS * ROWS make the bands, one bit of each estimates the similarity.
 COORDS = 1024
-#: Members of a bucket that one task compares at once, on either side.
-BLOCK = 2000
 
 
 def sketch_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -116,107 +115,6 @@ def digests(g: np.ndarray, first: np.ndarray) -> list[bytes]:
     return [a.tobytes() + b.tobytes() for a, b in zip(*sums, strict=True)]
 
 
-def bucket_rows(classes: DataFrame) -> DataFrame:
-    """(key, bi, bj, block, cls, n, bits, bands) of buckets with two classes or more.
-
-    Buckets of more than BLOCK members are split into blocks, and each pair of
-    blocks is a task of its own, so no task ever holds more than 2 * BLOCK members.
-    """
-    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.substring(F.col("bands"), i * 8 + 1, F.lit(8)))
-    rows = classes.select("cls", F.explode(keys).alias("key"))
-    many = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    rows = rows.join(many, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
-    rows = rows.select("key", "cls", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("key", "cls", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
-    return rows.join(classes.select("cls", "n", "bits", "bands"), "cls")
-
-
-def pair_rows(batches: Iterator[pa.RecordBatch], least: float, ratio: float, every: bool) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs from buckets streamed in order of (key, bi, bj).
-
-    Those whose estimate is ``least`` or more and whose sizes allow the threshold:
-    all that lie in different components (``every``), else for each member the
-    nearest one and the bucket's hub, which has the largest sum of estimates.
-    A pair comes from the first band that it shares.
-    """
-    held, rows, out = None, [], []
-    for b in batches:
-        for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if held != r[:3]:
-                if len(rows) > 1:
-                    out += bucket_pairs(rows, least, ratio, every)
-                held, rows = r[:3], []
-            rows.append(r[3:])
-        if out:
-            yield pair_batch(out)
-            out = []
-    if len(rows) > 1:
-        out += bucket_pairs(rows, least, ratio, every)
-    if out:
-        yield pair_batch(out)
-
-
-def pair_batch(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*pairs, strict=True)], names=["a", "b"])
-
-
-def bucket_pairs(rows: list[tuple], least: float, ratio: float, every: bool) -> list[tuple[bytes, bytes]]:
-    """rows: (block, cls, n, bits, bands, key, comp)."""
-    block = np.array([r[0] for r in rows])
-    cls = [r[1] for r in rows]
-    n = np.array([r[2] for r in rows], dtype=np.float64)
-    bits = np.frombuffer(b"".join(r[3] for r in rows), np.uint64).reshape(len(rows), -1)
-    comp = np.unique(np.array([r[6] for r in rows], dtype="S16"), return_inverse=True)[1] if every else None
-    inner = bool((block == block[0]).all())
-    left = np.arange(len(rows)) if inner else np.flatnonzero(block == block.min())
-    right = left if inner else np.flatnonzero(block != block.min())
-    found = []
-    step = max(1, (4 << 20) // max(1, len(right) * bits.shape[1]))
-    total, nearest = np.zeros(len(rows)), []
-    est_of = lambda i, j: 1 - 2 * np.bitwise_count(bits[i][:, None] ^ bits[j][None]).sum(axis=2, dtype=np.int32) / (bits.shape[1] * 64)
-    for at in range(0, len(left), step):
-        i = left[at : at + step]
-        est = est_of(i, right)
-        ok = (est >= least) & (np.minimum(n[i][:, None], n[right][None]) >= ratio * np.maximum(n[i][:, None], n[right][None]))
-        if every:
-            ok &= comp[i][:, None] != comp[right][None]
-            x, y = np.nonzero(ok)
-            found.append((i[x], right[y]))
-        else:
-            est = np.where(ok & (i[:, None] != right[None]), est, -1.0)
-            total[i] += np.maximum(est, 0).sum(axis=1)
-            nearest.append((i, right[est.argmax(axis=1)], est.max(axis=1)))
-    if not every:
-        i, j, e = (np.concatenate(x) for x in zip(*nearest, strict=True))
-        found.append((i[e > 0], j[e > 0]))
-        hub = int(left[total[left].argmax()])
-        est = est_of(right, np.array([hub]))[:, 0]
-        ok = (est >= least) & (right != hub) & (np.minimum(n[right], n[hub]) >= ratio * np.maximum(n[right], n[hub]))
-        found.append((right[ok], np.full(int(ok.sum()), hub)))
-    x, y = (np.concatenate(z) for z in zip(*found, strict=True))
-    if inner:
-        x, y = np.minimum(x, y), np.maximum(x, y)
-        x, y = np.unique(np.stack([x, y]), axis=1) if len(x) else (x, y)
-    if every and len(x):
-        bands = np.frombuffer(b"".join(r[4] for r in rows), np.uint64).reshape(len(rows), -1)
-        own = np.frombuffer(rows[0][5], np.uint64)[0]
-        keep = np.concatenate([(lambda p, q: bands[p, (bands[p] == bands[q]).argmax(axis=1)] == own)(x[s : s + 50_000], y[s : s + 50_000]) for s in range(0, len(x), 50_000)])
-        x, y = x[keep], y[keep]
-    return [(min(cls[p], cls[q]), max(cls[p], cls[q])) for p, q in zip(x.tolist(), y.tolist(), strict=True)]
-
-
-def candidate_pairs(buckets: DataFrame, least: float, ratio: float, comps: DataFrame | None) -> DataFrame:
-    every = comps is not None
-    rows = buckets
-    if every:
-        rows = rows.join(comps.select(F.col("node").alias("cls"), "component"), "cls", "left")
-    rows = rows.withColumn("comp", F.coalesce("component", "cls") if every else F.col("cls"))
-    rows = rows.select("key", "bi", "bj", "block", "cls", "n", "bits", "bands", F.col("key").alias("own"), "comp")
-    rows = rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    return rows.mapInArrow(lambda it: pair_rows(it, least, ratio, every), "a binary, b binary").distinct()
-
-
 def set_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         cls, sets = [], []
@@ -279,7 +177,7 @@ def groups(docs: DataFrame, num: int = 80, den: int = 100, k: int = SHINGLE, tex
     sets = cut(docs.mapInArrow(lambda it: sketch_rows(it, k), f"doc_id {kind}, cls binary, n long, bits binary, bands binary"), "sketches")
     classes = sets.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "bits", "bands")])
     classes = cut(classes, "classes")
-    buckets = cut(bucket_rows(classes), "buckets")
+    buckets = cut(bucket_rows(classes, BANDS), "buckets")
     near = cut(verified(docs, classes, cut(candidate_pairs(buckets, least, ratio, None), "pairs"), k, num, den), "links")
     comps = cut(components(near), "components")
     rest = cut(verified(docs, classes, cut(candidate_pairs(buckets, least, ratio, comps), "pairs"), k, num, den), "links")
