@@ -32,6 +32,8 @@ MODE_ALIASES = {
     "vlm": "vlm_responses", "vlm_responses": "vlm_responses", "responses_vlm": "vlm_responses", "vlm_bailian": "vlm_responses", "qwen_vlm": "vlm_responses", "bailian": "vlm_responses",
     "ocr_chat": "ocr_chat_completions", "ocr_chat_completions": "ocr_chat_completions", "ocr_chat_completion": "ocr_chat_completions", "ocr_llm": "ocr_chat_completions", "text_chat": "ocr_chat_completions",
 }
+#: White space at either end, Unicode's included.
+TRIM = r"(?U)^\s+|\s+$"
 BLANK_TYPES = ["blank_no_name", "blank"]
 NOT_DIALOGUE = [*BLANK_TYPES, "title"]
 MANUAL = "manual_insert"
@@ -59,20 +61,21 @@ def normalize_quotes(c, legacy: bool = False) -> Column:
     ``legacy`` also turns every one that is left over, contractions included, into
     『.  Whole-text ASCII brackets become full-width ones.  Null becomes empty.
     """
-    s = F.regexp_replace(F.coalesce(col(c), F.lit("")), r"^\s+|\s+$", "")
+    s = F.regexp_replace(F.coalesce(col(c), F.lit("")), TRIM, "")
     inner = None
     for a, b in WRAPPERS:
-        got = F.regexp_replace(F.substring(s, F.lit(2), F.length(s) - 2), r"^\s+|\s+$", "")
+        got = F.regexp_replace(F.substring(s, F.lit(2), F.length(s) - 2), TRIM, "")
         hit = (F.length(s) >= 2) & F.startswith(s, F.lit(a)) & F.endswith(s, F.lit(b))
+        got = F.concat(F.lit("「"), got, F.lit("」"))
         inner = F.when(hit, got) if inner is None else inner.when(hit, got)
     first, last = F.substring(s, 1, 1), F.right(s, F.lit(1))
     opens, closes = F.instr(F.lit(OPENERS), first) > 0, F.instr(F.lit(CLOSERS), last) > 0
     # Of two quotes at the ends that aren't a pair above, only a pair of one kind would match.
     odd = (F.length(s) > 0) & ((opens & ~closes) | (closes & ~opens) | (opens & closes & (F.length(s) >= 2)))
-    stripped = F.regexp_replace(F.regexp_replace(s, "^[\"『』「」]+|[\"『』「」]+$", ""), r"^\s+|\s+$", "")
-    s = inner.when(odd, stripped).otherwise(s)
+    stripped = F.regexp_replace(F.regexp_replace(s, "^[\"『』「」]+|[\"『』「」]+$", ""), TRIM, "")
+    s = inner.when(odd, F.concat(F.lit("「"), stripped, F.lit("」"))).otherwise(s)
     s = pair_single_quotes(s, legacy)
-    wrapped = F.regexp_replace(F.substring(s, F.lit(2), F.length(s) - 2), r"^\s+|\s+$", "")
+    wrapped = F.regexp_replace(F.substring(s, F.lit(2), F.length(s) - 2), TRIM, "")
     s = F.when((F.length(s) >= 2) & F.startswith(s, F.lit("「")) & F.endswith(s, F.lit("」")), wrapped).otherwise(s)
     return F.when((F.length(s) >= 2) & F.startswith(s, F.lit("(")) & F.endswith(s, F.lit(")")), F.concat(F.lit("（"), F.substring(s, F.lit(2), F.length(s) - 2), F.lit("）"))).otherwise(s)
 

@@ -1,7 +1,7 @@
 """All queries of the timeline operators, and their DuckDB SQL."""
 
-from spanline.plans import seq_queries
+from spanline.plans import scalar_queries, seq_queries
 
-MODULES = [seq_queries]
+MODULES = [seq_queries, scalar_queries]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
