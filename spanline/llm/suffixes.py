@@ -489,20 +489,22 @@ def deduplicate(docs: DataFrame, text: str = "text", sample_docs: int = 20_000,
     spark = docs.sparkSession
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     src = docs.select(doc.alias("_doc"), F.encode(F.coalesce(F.col(text).cast("string"), F.lit("")), "utf-8").alias("_text"), F.col("doc_id"))
-    n = 4 * buckets_for(spark)
+    n = buckets_for(spark)
+    # Buckets are dealt to partitions one by one, so that all are about equally full.
+    dealt = lambda df: df.repartitionById(n, F.col("bucket").cast("int"))
     hot = spark.sparkContext.broadcast(hot_grams(src, sample_docs, hot_share))
     anchors = src.select("_doc", "_text").mapInArrow(lambda it: anchor_rows(it, hot.value, n, n), PACKED)
-    found = anchors.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: gram_rows(it, n), PACKED)
+    found = dealt(anchors).sortWithinPartitions("bucket").mapInArrow(lambda it: gram_rows(it, n), PACKED)
     found = cut(found, "found")
     nothing = [F.lit(None).cast("long").alias("_doc"), F.lit(None).cast("binary").alias("_text"), F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id")]
     texts = src.select(F.pmod(F.xxhash64("_doc"), F.lit(n)).alias("bucket"), F.lit(9).alias("kind"), F.lit(None).cast("binary").alias("packed"), "_doc", "_text", "doc_id")
 
     def with_texts(packed: DataFrame) -> DataFrame:
         both = texts.unionByName(packed.select("bucket", "kind", "packed", *nothing))
-        return both.repartition("bucket").sortWithinPartitions("bucket", "kind")
+        return dealt(both).sortWithinPartitions("bucket", "kind")
 
     around = with_texts(found.where("kind = 3")).mapInArrow(lambda it: around_rows(it, n), PACKED)
-    more = around.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: around_spans(it, n), PACKED)
+    more = dealt(around).sortWithinPartitions("bucket").mapInArrow(lambda it: around_spans(it, n), PACKED)
     more = cut(more, "spans")
     kind = docs.schema["doc_id"].dataType.simpleString()
     spans = found.where("kind = 2").unionByName(more)
