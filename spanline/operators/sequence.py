@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanline.operators.union import union_all
+
 PAST = Window.unboundedPreceding
 AHEAD = Window.unboundedFollowing
 
@@ -126,7 +128,7 @@ def representative(frames: DataFrame, spans: DataFrame, appear: DataFrame, key,
     """Adds ``sample`` to spans(key, start, end): the first appearance inside (ends included), else the
     middle one (n // 2) of the positions where the flag is on, else the span's middle."""
     at = frames.where(F.col(flag)).select(*key, F.col("pos").alias("_p"), F.lit(False).alias("_a"))
-    at = at.unionByName(appear.select(*key, F.col("pos").alias("_p"), F.lit(True).alias("_a")))
+    at = union_all(at, appear.select(*key, F.col("pos").alias("_p"), F.lit(True).alias("_a")))
     hit = spans.join(at, [*key], "left").where(F.col("_p").isNull() | F.col("_p").between(F.col("start"), F.col("end")))
     on = F.array_sort(F.collect_list(F.when(~F.col("_a"), F.col("_p"))))
     best = hit.groupBy(*key, "start", "end").agg(F.min(F.when(F.col("_a"), F.col("_p"))).alias("_first"), on.alias("_on"))
@@ -267,7 +269,7 @@ def marker_segments(
     frames = positions(df, key, order).select(*key, "pos", "_flag")
     gone = e.where("kind = 'disappear'").select(*key, "pos")
     if keep_tail:
-        gone = gone.unionByName(frames.groupBy(*key).agg(F.max("pos").alias("pos"))).distinct()
+        gone = union_all(gone, frames.groupBy(*key).agg(F.max("pos").alias("pos"))).distinct()
     spans = intervals(gone, key)
     out = representative(frames, spans, e.where("kind = 'appear'"), key, "_flag")
     out = out.where((F.col("end") - F.col("start")) / fps >= min_duration)
