@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanline.llm import textkit as tk
-from spanline.llm.buckets import bucket_rows, candidate_pairs
 from spanline.llm.common import components, cut
 
 #: SimHashes of linked lines differ in at most this many of 64 bits.
@@ -109,13 +108,97 @@ def line_rows(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.
             )
 
 
+#: Members of a key that one task compares at once, on either side.
+BLOCK = 20_000
+#: Candidate pairs for each member of a key up to which all of them are tried at once.
+FEW = 4
+
+
 def key_rows(batches: Iterator[pa.RecordBatch], tables) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sim = b.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
-        keys = table_keys(sim, tables)
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), pa.array([x.tobytes() for x in sim], pa.binary()), pa.array([x.tobytes() for x in keys], pa.binary())], names=["cls", "n", "bits", "bands"]
-        )
+        keys = table_keys(sim, tables).view(np.int64)
+        at = pa.array(np.arange(0, keys.size + 1, len(tables), dtype=np.int32))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.ListArray.from_arrays(at, pa.array(keys.ravel()))], names=["cls", "n", "sim", "keys"])
+
+
+def bucket_rows(keyed: DataFrame) -> DataFrame:
+    """(key, bi, bj, block, cls, n, sim): keys of more than BLOCK members are split into blocks, each pair of which is compared apart."""
+    rows = keyed.select("cls", "n", "sim", F.explode("keys").alias("key"))
+    large = rows.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK).withColumn("blocks", F.ceil(F.col("size") / BLOCK))
+    rows = rows.join(large.select("key", "blocks"), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
+    rows = rows.select("key", "cls", "n", "sim", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    return rows.select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "cls", "n", "sim")
+
+
+def pair_rows(batches: Iterator[pa.RecordBatch], tables, similarity: float, every: bool) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs (a, b) of a partition's keys, and the ``hard`` keys that have too many to try at once.
+
+    Members of a key are next to each other after sorting, so one pass for each
+    distance within the run compares all keys at once.  Keys with up to FEW pairs a
+    member, or all with ``every`` (then in different components only), give all
+    pairs; the others each member's nearest ones before and after it.
+    """
+    parts = [[c.to_numpy(zero_copy_only=False) if i != 4 else np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(-1, 2) for i, c in enumerate(b.columns)] for b in batches if b.num_rows]
+    if not parts:
+        return
+    key, bi, bj, block, cls, n, sim, *comp = (np.concatenate(x) for x in zip(*parts, strict=True))
+    sim = sim.view(np.uint64)
+    order = np.lexsort((sim, block, bj, bi, key))
+    key, bi, bj, block, cls, n, sim, *comp = (x[order] for x in (key, bi, bj, block, cls, n, sim, *comp))
+    new = np.append(True, (key[1:] != key[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1]))
+    start = np.flatnonzero(new)
+    run = np.cumsum(new) - 1
+    end = np.append(start[1:], len(key))[run]
+    mine = table_keys(sim, tables).view(np.int64)
+    own = (mine == key[:, None]).argmax(axis=1)
+    masks = [np.uint64(sum(((1 << w) - 1) << s for s, w in blocks)) for blocks in tables]
+    live, found = np.arange(len(key)), []
+    step = 1
+    while True:
+        live = live[live + step < end[live]]
+        if not len(live):
+            break
+        x, y = live, live + step
+        diff = sim[x] ^ sim[y]
+        ok = (np.bitwise_count(diff) <= DISTANCE) & (np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y])) & ((bi[x] == bj[x]) | (block[x] != block[y]))
+        if every:
+            ok &= comp[0][x] != comp[0][y]
+        x, y, diff = x[ok], y[ok], diff[ok]
+        for t, m in enumerate(masks):  # a pair counts in the first table that it shares
+            again = (t < own[x]) & (diff & m == 0)
+            x, y, diff = x[~again], y[~again], diff[~again]
+        if len(x):
+            found.append(np.stack([x, y]))
+        step += 1
+    if not found:
+        return
+    x, y = np.concatenate(found, axis=1)
+    dense = np.zeros(0, np.int64)
+    if not every:
+        many = np.bincount(run[x], minlength=len(start)) > FEW * np.diff(np.append(start, len(key)))
+        if many.any():
+            hard = many[run[x]]
+            hx, hy = x[hard], y[hard]
+            dist = np.bitwise_count(sim[hx] ^ sim[hy])
+            keep = np.zeros(len(hx), bool)
+            for side in (hx, hy):
+                o = np.lexsort((dist, side))
+                keep[o[np.append(True, side[o][1:] != side[o][:-1])]] = True
+            dense = np.unique(key[start[many]])
+            x, y = np.concatenate([x[~hard], hx[keep]]), np.concatenate([y[~hard], hy[keep]])
+    text = lambda i: [r.tobytes() for r in cls[i]]
+    pairs = [(min(p, q), max(p, q)) for p, q in zip(text(x), text(y), strict=True) if p != q]
+    pad = [None] * len(dense)
+    cols = [pa.array([p for p, _ in pairs] + pad, pa.binary()), pa.array([q for _, q in pairs] + pad, pa.binary()), pa.array([None] * len(pairs) + dense.tolist(), pa.int64())]
+    yield pa.RecordBatch.from_arrays(cols, names=["a", "b", "hard"])
+
+
+def candidate_pairs(buckets: DataFrame, tables, similarity: float, every: bool) -> DataFrame:
+    cols = ["key", "bi", "bj", "block", "cls", "n", "sim", *(["comp"] if every else [])]
+    rows = buckets.select(*cols).repartition("key", "bi", "bj")
+    return rows.mapInArrow(lambda it: pair_rows(it, tables, similarity, every), "a binary, b binary, hard long").distinct()
 
 
 def pick_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,13 +288,18 @@ def repeated(docs: DataFrame, similarity: float = 0.8, min_words: int = 5, text:
     at = F.struct("doc_id", "line")
     classes = cut(lines.groupBy("cls").agg(F.min(at).alias("at"), F.count("*").alias("times"), F.first("n").alias("n"), F.first("sim").alias("sim")), "classes")
     tables = tables_for(classes.count())
-    keyed = classes.select("cls", "n", "sim").mapInArrow(lambda it: key_rows(it, tables), "cls binary, n long, bits binary, bands binary")
-    buckets = cut(bucket_rows(keyed, len(tables), carry=True), "buckets")
-    least = 1 - 2 * (DISTANCE + 0.5) / 64
-    near = cut(verified(docs, classes, cut(candidate_pairs(buckets, least, similarity, None), "pairs"), similarity), "links")
-    comps = cut(components(near), "components")
-    rest = cut(verified(docs, classes, cut(candidate_pairs(buckets, least, similarity, comps), "pairs"), similarity), "links")
-    comps = components(near.unionByName(rest)).withColumnRenamed("node", "cls")
+    keyed = classes.select("cls", "n", "sim").mapInArrow(lambda it: key_rows(it, tables), "cls binary, n long, sim long, keys array<long>")
+    first = cut(candidate_pairs(bucket_rows(keyed), tables, similarity, False), "pairs")
+    links = cut(verified(docs, classes, first.where("hard IS NULL").drop("hard"), similarity), "links")
+    # Keys with too many pairs: what still lies in different components is tried in full.
+    hard = first.where("hard IS NOT NULL").select(F.col("hard").alias("key")).distinct()
+    if hard.limit(1).count():
+        comps = cut(components(links), "components").withColumnRenamed("node", "cls")
+        rest = bucket_rows(keyed).join(hard, "key", "left_semi").join(comps, "cls", "left")
+        rest = rest.withColumn("comp", F.xxhash64(F.coalesce("component", "cls")))
+        more = cut(candidate_pairs(rest, tables, similarity, True).drop("hard"), "pairs")
+        links = links.unionByName(cut(verified(docs, classes, more, similarity), "links"))
+    comps = components(links).withColumnRenamed("node", "cls")
     of = classes.select("cls", "at", "times").join(comps, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     low = of.groupBy("component").agg(F.min("at").alias("keep"), F.sum("times").alias("total")).where("total > 1")
     of = of.join(low, "component").select("cls", "keep")
