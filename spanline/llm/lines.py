@@ -49,10 +49,10 @@ def simhashes(h: np.ndarray, first: np.ndarray, chunk: int = 1 << 16) -> np.ndar
         end = max(at + 1, int(np.searchsorted(first, first[at] + chunk, side="right")) - 1)
         lo, hi = first[at], first[end]
         if hi > lo:
-            bits = np.unpackbits(h[lo:hi].view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32)
-            total = np.zeros((end - at, 64), np.int64)
+            bits = np.unpackbits(h[lo:hi].view(np.uint8).reshape(-1, 8), axis=1)
+            total = np.zeros((end - at, 64), np.int32)
             some = np.flatnonzero(n[at:end])
-            total[some] = np.add.reduceat(bits, first[at:end][some] - lo, axis=0)
+            total[some] = np.add.reduceat(bits, first[at:end][some] - lo, axis=0, dtype=np.int32)
             out[at:end] = np.packbits(2 * total > n[at:end, None], axis=1).view(np.uint64).ravel()
         at = end
     return out
@@ -218,7 +218,11 @@ def pick_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def within(x: np.ndarray, y: np.ndarray, most: int) -> bool:
-    """Whether the edit distance of two word sequences is at most ``most``: a band of the table, row by row."""
+    """Whether the edit distance of two word sequences is at most ``most``.
+
+    Equal ends are cut off; the rest is compared bit-parallel (Myers 1999): a
+    column of the table is two bit vectors of its steps up and down.
+    """
     if abs(len(x) - len(y)) > most:
         return False
     n = min(len(x), len(y))
@@ -228,26 +232,24 @@ def within(x: np.ndarray, y: np.ndarray, most: int) -> bool:
     n = min(len(x), len(y))
     diff = np.flatnonzero(x[::-1][:n] != y[::-1][:n])
     tail = int(diff[0]) if len(diff) else n
-    x, y = x[: len(x) - tail], y[: len(y) - tail]
-    if max(len(x), len(y)) <= most:
+    a, b = x[: len(x) - tail].tolist(), y[: len(y) - tail].tolist()
+    if max(len(a), len(b)) <= most:
         return True
-    off = np.arange(-most, most + 1)
-    cost = np.where(off >= 0, off, most + 1).astype(np.int64)  # cost[d] is of (i, i + off[d])
-    for i in range(1, len(x) + 1):
-        j = i + off
-        inside = (j >= 0) & (j <= len(y))
-        same = np.zeros(len(off), bool)
-        use = inside & (j >= 1)
-        same[use] = y[j[use] - 1] == x[i - 1]
-        step = np.where(use, cost + ~same, most + 1)
-        step = np.minimum(step, np.append(cost[1:], most + 1) + 1)
-        step = np.where(inside, step, most + 1)
-        cost = np.minimum.accumulate(step - off) + off  # insertions along the row
-        cost = np.where(inside, np.minimum(cost, most + 1), most + 1)
-        if cost.min() > most:
-            return False
-    d = len(y) - len(x) + most
-    return 0 <= d < len(off) and bool(cost[d] <= most)
+    if not a or not b:
+        return False
+    where: dict[int, int] = {}
+    for i, w in enumerate(a):
+        where[w] = where.get(w, 0) | 1 << i
+    full, top = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, score = full, 0, len(a)
+    for w in b:
+        eq = where.get(w, 0)
+        xv, xh = eq | down, (((eq & up) + up) ^ up) | eq
+        right, left = down | (full & ~(xh | up)), up & xh
+        score += bool(right & top) - bool(left & top)
+        right, left = (right << 1 | 1) & full, left << 1 & full
+        up, down = left | (full & ~(xv | right)), right & xv
+    return score <= most
 
 
 def check_rows(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
