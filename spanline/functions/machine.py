@@ -74,3 +74,62 @@ class Machine:
     def finish(self) -> None:
         if self.state != NONE:
             self.close()
+
+
+class MarkerMachine:
+    """Marker segmentation one frame at a time: debounced flag, its run, and what the next segment needs.
+
+    cfg: min_on, min_off.  A disappearance counts once min_off frames are off after
+    an on-run of min_on; edges of a kind too close to the last one kept don't.
+    """
+
+    FIELDS = ("flag", "raw", "streak", "begun", "first", "since", "gone", "came", "ons", "pos")
+
+    def __init__(self, cfg: dict, saved: dict | None = None):
+        self.min_on, self.min_off = max(1, cfg.get("min_on", 2)), max(1, cfg.get("min_off", 2))
+        self.gap = max(2, cfg.get("min_on", 2) + cfg.get("min_off", 2))
+        self.flag = self.raw = None
+        self.streak, self.begun, self.first = 0, 0, True  # rows of equal raw flags; where the run began; whether it is the first
+        self.since, self.gone, self.came = 0, None, []  # last edge used, last disappearance kept, appearances kept
+        self.ons, self.pos, self.last_on = [], -1, None
+        self.out = []
+        if saved:
+            for f in (*self.FIELDS, "last_on"):
+                setattr(self, f, saved[f])
+
+    def saved(self) -> dict:
+        return {f: getattr(self, f) for f in (*self.FIELDS, "last_on")}
+
+    def step(self, idx: int, on: bool) -> None:
+        self.pos = idx
+        self.streak = self.streak + 1 if on == self.raw else 1
+        self.raw = on
+        was = self.flag
+        if was is None or self.streak >= (self.min_on if on else self.min_off):
+            self.flag = on
+        if was is not None and self.flag != was:
+            if was:
+                self.last_on = (self.begun, idx - 1, self.first)
+            self.begun, self.first = idx, False
+        if self.flag:
+            self.ons.append(idx)
+            length = idx - self.begun + 1
+            if length == self.min_on and not self.first and (not self.came or self.begun - self.came[-1] >= self.gap):
+                self.came.append(self.begun)
+        elif self.last_on and idx - self.begun + 1 == self.min_off:
+            start, end, _ = self.last_on
+            if end - start + 1 >= self.min_on and (self.gone is None or self.begun - self.gone >= self.gap):
+                self.gone = self.begun
+                self.emit(self.begun)
+
+    def emit(self, edge: int) -> None:
+        if edge > self.since:
+            seen = [a for a in self.came if self.since <= a <= edge]
+            ons = [p for p in self.ons if self.since <= p <= edge]
+            self.out.append((self.since, edge, seen[0] if seen else ons[len(ons) // 2] if ons else (self.since + edge) // 2))
+        self.since = edge
+        self.came = self.came[-1:]
+        self.ons = [p for p in self.ons if p >= edge]
+
+    def finish(self) -> None:
+        """What follows the last disappearance is no segment."""

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StringType, StructField, StructType
 
 OUTCOME = "result string, status string, attempts int, error string, prompt long, completion long, total long, reason string"
 
@@ -58,18 +59,17 @@ def call(fn: Callable, request, policy: Policy) -> tuple:
 
 
 def batch_infer(df: DataFrame, fn: Callable, request: str, policy: Policy | None = None, partitions: int | None = None) -> DataFrame:
-    """Adds the outcome of fn(row's request): OUTCOME's columns; result is null on failure.
+    """Adds (or replaces) the outcome of fn(row's request): OUTCOME's columns; result is null on failure.
 
     ``partitions`` times the policy's threads bounds the calls at once.  Rows may be
     run again after a lost task, so write the result before using it twice.
     """
     policy = policy or Policy()
     src = df.repartition(partitions) if partitions else df
-    schema = src.schema
-    for f in OUTCOME.split(", "):
-        name, kind = f.split(" ")
-        schema = schema.add(name, kind) if name not in src.columns else schema
-    names = [f.split(" ")[0] for f in OUTCOME.split(", ")]
+    outcome = StructType.fromDDL(OUTCOME)
+    names = outcome.names
+    src = src.drop(*names)
+    schema = StructType([*src.schema.fields, *outcome.fields])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(policy.threads) as pool:
@@ -86,7 +86,8 @@ def sequential_infer(df: DataFrame, k: list[str], order: list[str], fn: Callable
     ``before`` is a list of (text, result).  Keys run in parallel; one key is held
     by one task.
     """
-    schema = df.schema.add(out, "string")
+    df = df.drop(out)
+    schema = StructType([*df.schema.fields, StructField(out, StringType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order).reset_index(drop=True)

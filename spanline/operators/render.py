@@ -39,7 +39,7 @@ def entry_font_size(style, base) -> Column:
     """An entry's own size, else its scale of the base, else the base; 1 at least."""
     own = F.nullif(F.trim(sc.col(style)["font_size"].cast("string")), F.lit("")).try_cast("double").cast("int")
     scaled = F.floor(sc.col(base) * F.nullif(F.trim(sc.col(style)["font_size_scale"].cast("string")), F.lit("")).try_cast("double")).cast("int")
-    return F.coalesce(F.greatest(F.lit(1), own), F.greatest(F.lit(1), scaled), sc.col(base))
+    return F.coalesce(F.when(own.isNotNull(), F.greatest(F.lit(1), own)), F.when(scaled.isNotNull(), F.greatest(F.lit(1), scaled)), sc.col(base))
 
 
 def style_line(name: Column, style: Column, base: Column, size: Column) -> Column:
