@@ -14,7 +14,7 @@ from spanline.llm.common import components, cut
 #: Width in bits of a table's part of the code; parts that differ in two bits at most meet.
 PART = 13
 #: Bits of a 64-bit code in which candidates may differ.
-RADIUS = 24
+RADIUS = 20
 
 
 class Codes:

@@ -179,7 +179,7 @@ def predict(docs: DataFrame, net: Network | None, text: str = "text") -> DataFra
     network could be trained.  Columns of these names are replaced.
     """
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    src = docs.select(*keep, F.col(text).cast("string").alias("_body")) if text in keep else docs
+    src = docs.select(*keep, F.col(text).cast("string").alias("__langid_body")) if text in keep else docs
     out_schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
     shared = docs.sparkSession.sparkContext.broadcast(net)
 

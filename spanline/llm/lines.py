@@ -310,14 +310,14 @@ def repeated(docs: DataFrame, similarity: float = 0.8, min_words: int = 5, text:
 
 def dedup(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``, and n_lines, n_removed added."""
-    gone = repeated(docs, text=text, **options).groupBy("doc_id").agg(F.collect_set("line").alias("_gone"))
-    gone = gone.withColumnRenamed("doc_id", "_of")
+    gone = repeated(docs, text=text, **options).groupBy("doc_id").agg(F.collect_set("line").alias("__lines_gone"))
+    gone = gone.withColumnRenamed("doc_id", "__lines_of")
     parts = F.split(F.col(text), "\n", -1)
-    kept = F.filter(parts, lambda _, i: ~F.array_contains("_gone", i.cast("long")))
-    out = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_of"]), "left")
+    kept = F.filter(parts, lambda _, i: ~F.array_contains("__lines_gone", i.cast("long")))
+    out = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__lines_of"]), "left")
     return out.select(
         *[c for c in docs.columns if c not in (text, "n_lines", "n_removed")],
-        F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")).alias(text),
+        F.when(F.col("__lines_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")).alias(text),
         F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"),
-        F.when(F.col("_gone").isNull(), 0).otherwise(F.size(parts) - F.size(kept)).cast("long").alias("n_removed"),
+        F.when(F.col("__lines_gone").isNull(), 0).otherwise(F.size(parts) - F.size(kept)).cast("long").alias("n_removed"),
     )
