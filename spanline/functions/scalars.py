@@ -355,7 +355,7 @@ def response_text(j) -> Column:
 def extract_json(df: DataFrame, c: str, out: str = "json") -> DataFrame:
     """Adds the JSON value in a model's text, as a string; null if there is none.
 
-    A fence around the whole text goes; what parses is kept as it is.  The rest is
+    A fence around the whole text goes; what starts with a JSON value is that value.  The rest is
     searched by :func:`_first_object` in Arrow batches: bare line breaks within
     strings are escaped, and the first balanced object is taken.
     """
@@ -365,8 +365,8 @@ def extract_json(df: DataFrame, c: str, out: str = "json") -> DataFrame:
         return s.map(lambda x: None if x is None else _first_object(x))
 
     bare = F.trim(F.regexp_replace(col(c), r"(?s)\A\s*```(?:json)?\s*(.*?)\s*```\s*\z", "$1"))
-    good = F.try_parse_json(bare).isNotNull()
-    return df.withColumn("_bare", bare).withColumn(out, F.when(good, F.col("_bare")).otherwise(search(F.when(~good, F.col("_bare"))))).drop("_bare")
+    parsed = F.to_json(F.try_parse_json("_bare"))
+    return df.withColumn("_bare", bare).withColumn(out, F.coalesce(parsed, search(F.when(parsed.isNull(), F.col("_bare"))))).drop("_bare")
 
 
 def _first_object(s: str) -> str | None:
