@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanline.llm import chat, decontaminate, embeddings, langid, lines, minhash, mixing, suffixes, warc
+from spanline.llm import chat, decontaminate, embeddings, langid, licenses, lines, minhash, mixing, suffixes, warc
 from spanline.llm.common import scratch, table
 
 
@@ -39,6 +39,13 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.groups(table(spark, sf_dir, "documents"), 85, 100)
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = licenses.scan(docs, licenses.train(docs))
+    families = F.array_join(F.array_sort(F.array_distinct(F.transform("hits", lambda x: x["family"]))), ",")
+    return found.select("doc_id", "n_paragraphs", F.size("hits").cast("long").alias("n_hits"), families.alias("families"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -68,6 +75,7 @@ QUERIES = {
     "op3_warc": op3_warc,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_minhash": op5_minhash,
+    "op6_license_scan": op6_license_scan,
     "op7_decontaminate": op7_decontaminate,
     "op8_chat_format": op8_chat_format,
     "op9_mix_sources": op9_mix_sources,
