@@ -98,6 +98,21 @@ r(vec_id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.c FRO
 m AS (SELECT vec_id, min(c) AS component_id FROM r GROUP BY vec_id)
 SELECT m.vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, m.vec_id = component_id AS kept
 FROM m LEFT JOIN n ON n.a = m.vec_id
+""",
+    "op4_suffix_dedup": r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, md5_number(array_slice(b, p + 1, p + 100)) AS s FROM d, unnest(range(0, octet_length(b) - 99)) AS t(p)),
+dup AS (SELECT doc_id, p FROM w QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, p) > 1),
+g AS (SELECT *, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 100 THEN 0 ELSE 1 END AS fresh FROM dup),
+k AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM g),
+sp AS (SELECT doc_id, run, min(p) AS lo, max(p) + 100 AS hi FROM k GROUP BY doc_id, run),
+pr AS (SELECT sp.*, h, coalesce(lag(hi) OVER (PARTITION BY sp.doc_id ORDER BY lo), 0) AS since FROM sp JOIN d USING (doc_id)),
+kept AS (
+  SELECT doc_id, count(*) AS n_spans, sum(hi - lo) AS n_removed,
+         string_agg(substr(h, 2 * since + 1, 2 * (lo - since)), '' ORDER BY lo) || substr(any_value(h), 2 * max(hi) + 1) AS rest FROM pr GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
 """,
     "op5_minhash": rf"""
 WITH RECURSIVE d AS (
