@@ -61,6 +61,11 @@ def drop_scratch(df_or_path: DataFrame | str, spark: SparkSession | None = None)
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def broadcast_if(df: DataFrame, weight: int | None, most: int) -> DataFrame:
+    """``df`` marked for broadcast if its measured ``weight`` is at most ``most``; else it is left to be shuffled."""
+    return F.broadcast(df) if (weight or 0) <= most else df
+
+
 def buckets_for(spark: SparkSession) -> int:
     """How many hash buckets packed exchanges use: the session's shuffle partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

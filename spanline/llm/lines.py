@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanline.llm import textkit as tk
-from spanline.llm.common import components, cut
+from spanline.llm.common import broadcast_if, components, cut
 
 #: SimHashes of linked lines differ in at most this many of 64 bits.
 DISTANCE = 3
@@ -110,6 +110,8 @@ def line_rows(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.
 
 #: Members of a key that one task compares at once, on either side.
 BLOCK = 20_000
+#: Ids, or removed lines, up to which they are sent to the texts instead of shuffling all texts: some 30 MB.
+SENT = 1_000_000
 #: Candidate pairs for each member of a key up to which all of them are tried at once.
 FEW = 4
 
@@ -122,9 +124,11 @@ def key_rows(batches: Iterator[pa.RecordBatch], tables) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.ListArray.from_arrays(at, pa.array(keys.ravel()))], names=["cls", "n", "sim", "keys"])
 
 
-def bucket_rows(keyed: DataFrame) -> DataFrame:
+def bucket_rows(keyed: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """(key, bi, bj, block, cls, n, sim): keys of more than BLOCK members are split into blocks, each pair of which is compared apart."""
     rows = keyed.select("cls", "n", "sim", F.explode("keys").alias("key"))
+    if only is not None:
+        rows = rows.join(only, "key", "left_semi")
     large = rows.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK).withColumn("blocks", F.ceil(F.col("size") / BLOCK))
     rows = rows.join(large.select("key", "blocks"), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
@@ -263,6 +267,8 @@ def check_rows(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator
 
 def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     ids = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "at"), "cls")
+    ids = cut(ids, "ids")
+    ids = broadcast_if(ids, 2 * ids.count(), SENT)
     need = docs.join(ids, docs["doc_id"].eqNullSafe(ids["at.doc_id"])).select("cls", F.col("at.line").alias("line"), "_text")
     words = cut(need.mapInArrow(pick_rows, "cls binary, words binary").groupBy("cls").agg(F.first("words").alias("words")), "words")
     full = (
@@ -294,10 +300,11 @@ def repeated(docs: DataFrame, similarity: float = 0.8, min_words: int = 5, text:
     first = cut(candidate_pairs(bucket_rows(keyed), tables, similarity, False), "pairs")
     links = cut(verified(docs, classes, first.where("hard IS NULL").drop("hard"), similarity), "links")
     # Keys with too many pairs: what still lies in different components is tried in full.
-    hard = first.where("hard IS NOT NULL").select(F.col("hard").alias("key")).distinct()
-    if hard.limit(1).count():
+    hard = cut(first.where("hard IS NOT NULL").select(F.col("hard").alias("key")).distinct(), "hard")
+    n_hard = hard.count()
+    if n_hard:
         comps = cut(components(links), "components").withColumnRenamed("node", "cls")
-        rest = bucket_rows(keyed).join(hard, "key", "left_semi").join(comps, "cls", "left")
+        rest = bucket_rows(keyed, broadcast_if(hard, n_hard, SENT)).join(comps, "cls", "left")
         rest = rest.withColumn("comp", F.xxhash64(F.coalesce("component", "cls")))
         more = cut(candidate_pairs(rest, tables, similarity, True).drop("hard"), "pairs")
         links = links.unionByName(cut(verified(docs, classes, more, similarity), "links"))
@@ -311,7 +318,8 @@ def repeated(docs: DataFrame, similarity: float = 0.8, min_words: int = 5, text:
 def dedup(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``, and n_lines, n_removed added."""
     gone = repeated(docs, text=text, **options).groupBy("doc_id").agg(F.collect_set("line").alias("__lines_gone"))
-    gone = gone.withColumnRenamed("doc_id", "__lines_of")
+    gone = cut(gone.withColumnRenamed("doc_id", "__lines_of"), "gone")
+    gone = broadcast_if(gone, gone.agg(F.sum(F.size("__lines_gone") + 4)).first()[0], SENT)
     parts = F.split(F.col(text), "\n", -1)
     kept = F.filter(parts, lambda _, i: ~F.array_contains("__lines_gone", i.cast("long")))
     out = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__lines_of"]), "left")
