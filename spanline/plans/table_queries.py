@@ -237,7 +237,7 @@ def d5(spark, d):
 n AS (SELECT *, CASE WHEN top >= max(bottom) OVER (PARTITION BY img ORDER BY top, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS fresh FROM b),
 r AS (SELECT *, sum(fresh) OVER (PARTITION BY img ORDER BY top, id) AS row FROM n),
 l AS (SELECT img, row, string_agg(txt, '' ORDER BY x, top, id) AS line FROM r GROUP BY img, row)
-SELECT l.img, string_agg(line, chr(10) ORDER BY row) AS text, round(any_value(c), 6) AS confidence FROM l JOIN (SELECT img, avg(score) AS c FROM b GROUP BY img) USING (img) GROUP BY l.img""",
+SELECT l.img, string_agg(line, chr(10) ORDER BY row) AS text, round(any_value(c) + 1e-9, 6) AS confidence FROM l JOIN (SELECT img, avg(score) AS c FROM b GROUP BY img) USING (img) GROUP BY l.img""",
 )
 def d6(spark, d):
     from pyspark.sql import Window
@@ -248,7 +248,7 @@ def d6(spark, d):
     b = li.withColumn("img", F.col("l_orderkey") % 500).withColumn("box_id", F.row_number().over(Window.partitionBy("img").orderBy(*order)))
     top = F.col("l_partkey") % 97
     b = b.select("img", "box_id", F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("text"), F.col("l_discount").alias("score"), top.alias("top"), (top + 4 + F.col("l_suppkey") % 5).alias("bottom"), F.col("l_quantity").alias("x"))
-    return agg.ocr_lines(b, ["img"]).select("img", "text", F.round("confidence", 6).alias("confidence"))
+    return agg.ocr_lines(b, ["img"]).select("img", "text", F.round(F.col("confidence") + 1e-9, 6).alias("confidence"))
 
 
 @query("d7_review_report", "SELECT conv_id, count(*) AS updates, count(*) FILTER (turn % 2 = 1) AS changed, count(*) FILTER (role = 'system') AS parse_errors, coalesce(string_agg(CAST(turn AS VARCHAR), ',' ORDER BY turn) FILTER (role = 'system'), '') AS failed FROM conversations GROUP BY conv_id")
