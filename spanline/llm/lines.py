@@ -1,9 +1,10 @@
-"""Fuzzy line deduplication: SimHash, pigeonhole blocks, edit similarity, connected groups."""
+"""Fuzzy line deduplication: shared word grams, parity sketches, edit similarity, connected groups."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from functools import lru_cache
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -13,10 +14,26 @@ from pyspark.sql import functions as F
 from spanline.llm import textkit as tk
 from spanline.llm.common import broadcast_if, components, cut
 
-#: SimHashes of linked lines differ in at most this many of 64 bits.
+#: 64-bit numbers of a sketch.
+WIDE = 4
+#: Words of the longest grams by which lines meet.
+GRAM = 3
+#: Bits within which the blocks of :func:`tables_for` meet; lines aren't compared by these.
 DISTANCE = 3
 
 
+def binary(rows: np.ndarray) -> pa.Array:
+    """Rows of 64-bit numbers as binary values."""
+    rows = np.ascontiguousarray(rows, np.uint64)
+    width = 8 * rows.shape[1]
+    at = pa.py_buffer(np.arange(0, width * len(rows) + 1, width, dtype=np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, at, pa.py_buffer(rows)])
+
+
+def numbers(column: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, width)
+
+
 def line_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, row) of all lines, as splitting at line feeds gives them."""
     feeds = np.flatnonzero(data == 0x0A)
@@ -40,26 +57,23 @@ def line_words(data: np.ndarray, offsets: np.ndarray):
     return row, number, h, first, ends - starts
 
 
-def simhashes(h: np.ndarray, first: np.ndarray, chunk: int = 1 << 16) -> np.ndarray:
-    """64-bit SimHashes of lines: the sign, bit by bit, of the sum over a line's words."""
-    n = np.diff(first)
-    out = np.zeros(len(n), np.uint64)
-    at = 0
-    while at < len(n):
-        end = max(at + 1, int(np.searchsorted(first, first[at] + chunk, side="right")) - 1)
-        lo, hi = first[at], first[end]
-        if hi > lo:
-            bits = np.unpackbits(h[lo:hi].view(np.uint8).reshape(-1, 8), axis=1)
-            total = np.zeros((end - at, 64), np.int32)
-            some = np.flatnonzero(n[at:end])
-            total[some] = np.add.reduceat(bits, first[at:end][some] - lo, axis=0, dtype=np.int32)
-            out[at:end] = np.packbits(2 * total > n[at:end, None], axis=1).view(np.uint64).ravel()
-        at = end
+def sketches(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """256 bits for each line, as four 64-bit numbers: which of 256 classes of words it has an odd number of.
+
+    Putting in or taking out a word flips one bit and a changed word at most two,
+    so lines of n and m words within k edits differ in at most 2 k - |n - m| bits.
+    """
+    out = np.zeros((len(first) - 1, WIDE), np.uint64)
+    some = np.flatnonzero(np.diff(first))
+    if len(some):
+        bit = np.uint64(1) << ((h >> np.uint64(56)) & np.uint64(63))
+        for i in range(WIDE):
+            out[some, i] = np.bitwise_xor.reduceat(np.where(h >> np.uint64(62) == np.uint64(i), bit, np.uint64(0)), first[:-1][some])
     return out
 
 
-def digests(h: np.ndarray, first: np.ndarray) -> list[bytes]:
-    """128 bits for each line's sequence of words."""
+def digests(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """128 bits for each line's sequence of words, as two 64-bit numbers; the first is the line's ``id``."""
     pos = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
     up, _ = tk.powers(int(pos.max()) + 2 if len(pos) else 2)
     sums = []
@@ -67,13 +81,13 @@ def digests(h: np.ndarray, first: np.ndarray) -> list[bytes]:
         c = np.zeros(len(h) + 1, np.uint64)
         np.cumsum(tk.mix(h + salt) * up[pos], out=c[1:])
         sums.append(tk.mix(c[first[1:]] - c[first[:-1]] + np.diff(first).astype(np.uint64) * tk.MIX2))
-    return [a.tobytes() + b.tobytes() for a, b in zip(*sums, strict=True)]
+    return np.stack(sums, axis=1)
 
 
 def tables_for(lines: int) -> list[list[tuple[int, int]]]:
     """Block sets, as (shift, width) of 64 bits, of which any two SimHashes within DISTANCE share one.
 
-    Of b blocks, b - DISTANCE at least agree, so each choice of that many is a
+    Used by tests only.  Of b blocks, b - DISTANCE at least agree, so each choice of that many is a
     table.  b is the smallest for which a key is expected to have 64 lines at most.
     """
     for b in range(DISTANCE + 1, DISTANCE + 4):
@@ -84,14 +98,31 @@ def tables_for(lines: int) -> list[list[tuple[int, int]]]:
     return [list(c) for c in combinations(blocks, b - DISTANCE)]
 
 
-def table_keys(sim: np.ndarray, tables) -> np.ndarray:
-    keys = np.zeros((len(sim), len(tables)), np.uint64)
-    for t, blocks in enumerate(tables):
-        k = np.full(len(sim), t + 1, np.uint64)
-        for shift, width in blocks:
-            k = tk.mix(k * tk.MULT + ((sim >> np.uint64(shift)) & np.uint64((1 << width) - 1)))
-        keys[:, t] = k
-    return keys
+def edits(n, similarity: float):
+    """The edits that a pair may need whose longer line has ``n`` words."""
+    return np.floor((1 - similarity) * n + 1e-9).astype(np.int64)
+
+
+@lru_cache(maxsize=1 << 16)
+def prefixes(m: int, similarity: float) -> tuple[int, ...]:
+    """How many of its smallest grams of 1, 2 ... GRAM words a line of ``m`` words gives as keys.
+
+    An edit spoils at most q grams of q words, so of the n - q + 1 grams of the
+    longer line of a pair, all but k q are in the other one; and two sets, ordered
+    alike, of which that many agree, agree on one of their smallest (Chaudhuri et
+    al. 2006).  q is the largest number for which any must agree, for the longer
+    line's n; a line gives keys for every n that its partners may have.
+    """
+    n = np.arange(m, int(m / similarity + 1e-9) + 1)
+    k = edits(n, similarity)
+    q = np.ones(len(n), np.int64)
+    for g in range(2, GRAM + 1):
+        q[n - g + 1 - k * g >= 1] = g
+    out = [0] * GRAM
+    for g in range(1, GRAM + 1):
+        if (q == g).any():
+            out[g - 1] = max(0, int((m - n + k * g + 1)[q == g].max()))
+    return tuple(out)
 
 
 def line_rows(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
@@ -100,14 +131,60 @@ def line_rows(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.
             row, number, h, first, _ = line_words(data, offs)
             n = np.diff(first)
             use = n >= min_words
-            sim = simhashes(h, first)[use]
-            cls = [c for c, u in zip(digests(h, first), use, strict=True) if u]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(at + row[use])), pa.array(number[use], pa.int64()), pa.array(cls, pa.binary()), pa.array(n[use], pa.int64()), pa.array(sim.view(np.int64), pa.int64())],
-                names=["doc_id", "line", "cls", "n", "sim"],
+                [b.column(0).take(pa.array(at + row[use])), pa.array(number[use], pa.int64()), binary(digests(h, first)[use]), pa.array(n[use], pa.int64()), binary(sketches(h, first)[use])],
+                names=["doc_id", "line", "cls", "n", "sketch"],
             )
 
 
+def gram_rows(batches: Iterator[pa.RecordBatch], min_words: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """(key, id): the grams by which lines meet; equal lines of a slice give theirs once."""
+    for b in batches:
+        for _, data, offs in tk.slices(b.column(0)):
+            _, _, h, first, _ = line_words(data, offs)
+            n, ids = np.diff(first), digests(h, first)[:, 0]
+            use = np.zeros(len(n), bool)
+            use[np.unique(ids, return_index=True)[1]] = True
+            use &= n >= min_words
+            lengths, of = np.unique(n, return_inverse=True)
+            most = np.array([prefixes(int(m), similarity) if m >= min_words else (0,) * GRAM for m in lengths]).reshape(-1, GRAM)[of]
+            for q in range(1, GRAM + 1):
+                take = np.flatnonzero(use & (most[:, q - 1] > 0) & (n >= q))
+                if not len(take):
+                    continue
+                g, size = tk.gram_hashes(h, q), n[take] - q + 1
+                head = np.cumsum(size) - size
+                line = np.repeat(np.arange(len(take)), size)
+                g = g[np.arange(len(line)) - head[line] + first[take][line]]
+                order = np.lexsort((g, line))
+                g, nth = g[order], np.arange(len(line)) - head[line]
+                keep = (nth < most[take, q - 1][line]) & np.append(True, (g[1:] != g[:-1]) | (line[1:] != line[:-1]))
+                key = tk.mix(g[keep] + np.uint64(q) * tk.MIX1)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[take][line[keep]].view(np.int64))], names=["key", "id"])
+
+
+def shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key and id, each one once whose key has other ids too."""
+    key, i, before = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+    for b in chain(batches, [None]):
+        if b is not None:
+            key, i = (np.concatenate([x, c.to_numpy(zero_copy_only=False)]) for x, c in zip((key, i), b.columns, strict=True))
+            new = np.append(True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]))[: len(key)]
+            key, i = key[new], i[new]
+        if not len(key):
+            continue
+        same = key[1:] == key[:-1]
+        shared = np.append(before, same) | np.append(same, False)
+        end = len(key) - (b is not None)  # the last row waits for its successor
+        yield pa.RecordBatch.from_arrays([pa.array(key[:end][shared[:end]]), pa.array(i[:end][shared[:end]])], names=["key", "id"])
+        key, i, before = key[end:], i[end:], bool(shared[-1])
+
+
+def id_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(numbers(b.column(0), 2)[:, 0].view(np.int64)), *b.columns], names=["id", "cls", "n", "sketch"])
+
+
 #: Members of a key that one task compares at once, on either side.
 BLOCK = 20_000
 #: Ids, or removed lines, up to which they are sent to the texts instead of shuffling all texts: some 30 MB.
@@ -116,93 +193,118 @@ SENT = 1_000_000
 FEW = 4
 
 
-def key_rows(batches: Iterator[pa.RecordBatch], tables) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        sim = b.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
-        keys = table_keys(sim, tables).view(np.int64)
-        at = pa.array(np.arange(0, keys.size + 1, len(tables), dtype=np.int32))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.ListArray.from_arrays(at, pa.array(keys.ravel()))], names=["cls", "n", "sim", "keys"])
-
-
-def bucket_rows(keyed: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """(key, bi, bj, block, cls, n, sim): keys of more than BLOCK members are split into blocks, each pair of which is compared apart."""
-    rows = keyed.select("cls", "n", "sim", F.explode("keys").alias("key"))
+def bucket_rows(shared: DataFrame, lines: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(key, bi, bj, block, cls, n, sketch): keys of more than BLOCK members are split into blocks, each pair of which is compared apart."""
     if only is not None:
-        rows = rows.join(only, "key", "left_semi")
-    large = rows.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK).withColumn("blocks", F.ceil(F.col("size") / BLOCK))
-    rows = rows.join(large.select("key", "blocks"), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
-    rows = rows.select("key", "cls", "n", "sim", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    return rows.select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "cls", "n", "sim")
+        shared = shared.join(only, "key", "left_semi")
+    large = shared.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK).withColumn("blocks", F.ceil(F.col("size") / BLOCK))
+    rows = shared.join(large.select("key", "blocks"), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.join(lines, "id").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return rows.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
 
 
-def pair_rows(batches: Iterator[pa.RecordBatch], tables, similarity: float, every: bool) -> Iterator[pa.RecordBatch]:
+def whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of sorted rows, cut between keys only."""
+    held: list[list[np.ndarray]] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [numbers(c, {4: 2, 6: WIDE}[i]) if i in (4, 6) else c.to_numpy(zero_copy_only=False) for i, c in enumerate(b.columns)]
+        key, bi, bj = cols[:3]
+        new = np.flatnonzero((key[1:] != key[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])) + 1
+        if held and (held[-1][0][-1], held[-1][1][-1], held[-1][2][-1]) != (key[0], bi[0], bj[0]):
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+            held = []
+        if len(new):
+            yield [np.concatenate(x) for x in zip(*held, [c[: new[-1]] for c in cols], strict=True)]
+            held, cols = [], [c[new[-1] :] for c in cols]
+        held.append(cols)
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def pair_rows(batches: Iterator[pa.RecordBatch], similarity: float, every: bool) -> Iterator[pa.RecordBatch]:
     """Candidate pairs (a, b) of a partition's keys, and the ``hard`` keys that have too many to try at once.
 
-    Members of a key are next to each other after sorting, so one pass for each
-    distance within the run compares all keys at once.  Keys with up to FEW pairs a
-    member, or all with ``every`` (then in different components only), give all
-    pairs; the others each member's nearest ones before and after it.
+    Members of a key are next to each other, sorted by their words, so one pass for
+    each distance within the run compares all keys at once.  Keys with up to FEW
+    pairs a member, or all with ``every`` (then in different components only), give
+    all pairs; of the others only a count and each member's nearest ones before
+    and after it are kept.
     """
-    parts = [[c.to_numpy(zero_copy_only=False) if i != 4 else np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(-1, 2) for i, c in enumerate(b.columns)] for b in batches if b.num_rows]
-    if not parts:
-        return
-    key, bi, bj, block, cls, n, sim, *comp = (np.concatenate(x) for x in zip(*parts, strict=True))
-    sim = sim.view(np.uint64)
-    order = np.lexsort((sim, block, bj, bi, key))
-    key, bi, bj, block, cls, n, sim, *comp = (x[order] for x in (key, bi, bj, block, cls, n, sim, *comp))
-    new = np.append(True, (key[1:] != key[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1]))
-    start = np.flatnonzero(new)
-    run = np.cumsum(new) - 1
-    end = np.append(start[1:], len(key))[run]
-    mine = table_keys(sim, tables).view(np.int64)
-    own = (mine == key[:, None]).argmax(axis=1)
-    masks = [np.uint64(sum(((1 << w) - 1) << s for s, w in blocks)) for blocks in tables]
-    live, found = np.arange(len(key)), []
-    step = 1
-    while True:
-        live = live[live + step < end[live]]
-        if not len(live):
-            break
-        x, y = live, live + step
-        diff = sim[x] ^ sim[y]
-        ok = (np.bitwise_count(diff) <= DISTANCE) & (np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y])) & ((bi[x] == bj[x]) | (block[x] != block[y]))
-        if every:
-            ok &= comp[0][x] != comp[0][y]
-        x, y, diff = x[ok], y[ok], diff[ok]
-        for t, m in enumerate(masks):  # a pair counts in the first table that it shares
-            again = (t < own[x]) & (diff & m == 0)
-            x, y, diff = x[~again], y[~again], diff[~again]
-        if len(x):
-            found.append(np.stack([x, y]))
-        step += 1
-    if not found:
-        return
-    x, y = np.concatenate(found, axis=1)
-    dense = np.zeros(0, np.int64)
-    if not every:
-        many = np.bincount(run[x], minlength=len(start)) > FEW * np.diff(np.append(start, len(key)))
-        if many.any():
-            hard = many[run[x]]
-            hx, hy = x[hard], y[hard]
-            dist = np.bitwise_count(sim[hx] ^ sim[hy])
-            keep = np.zeros(len(hx), bool)
-            for side in (hx, hy):
-                o = np.lexsort((dist, side))
-                keep[o[np.append(True, side[o][1:] != side[o][:-1])]] = True
-            dense = np.unique(key[start[many]])
-            x, y = np.concatenate([x[~hard], hx[keep]]), np.concatenate([y[~hard], hy[keep]])
-    text = lambda i: [r.tobytes() for r in cls[i]]
-    pairs = [(min(p, q), max(p, q)) for p, q in zip(text(x), text(y), strict=True) if p != q]
-    pad = [None] * len(dense)
-    cols = [pa.array([p for p, _ in pairs] + pad, pa.binary()), pa.array([q for _, q in pairs] + pad, pa.binary()), pa.array([None] * len(pairs) + dense.tolist(), pa.int64())]
-    yield pa.RecordBatch.from_arrays(cols, names=["a", "b", "hard"])
-
-
-def candidate_pairs(buckets: DataFrame, tables, similarity: float, every: bool) -> DataFrame:
-    cols = ["key", "bi", "bj", "block", "cls", "n", "sim", *(["comp"] if every else [])]
-    rows = buckets.select(*cols).repartition("key", "bi", "bj")
-    return rows.mapInArrow(lambda it: pair_rows(it, tables, similarity, every), "a binary, b binary, hard long").distinct()
+    for cols in whole_keys(batches):
+        key, bi, bj, block, cls, n, sketch, *comp = cols
+        new = np.append(True, (key[1:] != key[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1]))
+        start = np.flatnonzero(new)
+        run = np.cumsum(new) - 1
+        size = np.diff(np.append(start, len(key)))
+        end = (start + size)[run]
+        pairs = np.zeros(len(start), np.int64)
+        near, far = (np.full((2, len(key)), -1) for _ in range(2))  # before and after: the member, and how far it is
+        live, found, held, step = np.arange(len(key)), [], 0, 1
+        while True:
+            live = live[live + step < end[live]]
+            live = live[n[live] >= similarity * n[live + step] - 1e-9]
+            if not len(live):
+                break
+            x, y = live, live + step
+            if every:
+                ok = comp[0][x] != comp[0][y]
+                x, y = x[ok], y[ok]
+            most = 2 * edits(n[y], similarity) - (n[y] - n[x])
+            apart = np.zeros(len(x), np.int64)
+            for i in range(WIDE):
+                apart += np.bitwise_count(sketch[x, i] ^ sketch[y, i])
+                ok = apart <= most
+                x, y, most, apart = x[ok], y[ok], most[ok], apart[ok]
+            ok = (bi[x] == bj[x]) | (block[x] != block[y])
+            x, y, apart = x[ok], y[ok], apart[ok]
+            if not every:
+                pairs += np.bincount(run[x], minlength=len(start))
+                for side, (p, q) in enumerate(((y, x), (x, y))):
+                    better = (near[side, p] < 0) | (apart < far[side, p])
+                    near[side, p[better]], far[side, p[better]] = q[better], apart[better]
+                ok = (pairs <= FEW * size)[run[x]]
+                x, y = x[ok], y[ok]
+            if len(x):
+                found.append(np.stack([x, y]))
+                held += len(x)
+            if every and held > SENT:
+                yield pair_batch(cls, *np.concatenate(found, axis=1), key[:0])
+                found, held = [], 0
+            step += 1
+        many = (pairs > FEW * size) & (not every)
+        x, y = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        ok = ~many[run[x]]
+        x, y = [x[ok]], [y[ok]]
+        for side in near:
+            p = np.flatnonzero(many[run] & (side >= 0))
+            x.append(p)
+            y.append(side[p])
+        yield pair_batch(cls, np.concatenate(x), np.concatenate(y), np.unique(key[start[many]]))
+
+
+def pair_batch(cls: np.ndarray, x: np.ndarray, y: np.ndarray, hard: np.ndarray) -> pa.RecordBatch:
+    p, q = cls[x], cls[y]
+    swap = (p[:, 0] > q[:, 0]) | ((p[:, 0] == q[:, 0]) & (p[:, 1] > q[:, 1]))
+    a, b = np.where(swap[:, None], q, p), np.where(swap[:, None], p, q)
+    both = np.unique(np.concatenate([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 4), np.uint64)
+    pad = len(hard)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.concat_arrays([binary(both[:, :2]), pa.nulls(pad, pa.binary())]),
+            pa.concat_arrays([binary(both[:, 2:]), pa.nulls(pad, pa.binary())]),
+            pa.concat_arrays([pa.nulls(len(both), pa.int64()), pa.array(hard, pa.int64())]),
+        ],
+        names=["a", "b", "hard"],
+    )
+
+
+def candidate_pairs(buckets: DataFrame, similarity: float, every: bool) -> DataFrame:
+    cols = ["key", "bi", "bj", "block", "cls", "n", "sketch", *(["comp"] if every else [])]
+    rows = buckets.select(*cols).repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "n")
+    return rows.mapInArrow(lambda it: pair_rows(it, similarity, every), "a binary, b binary, hard long").distinct()
 
 
 def pick_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,29 +386,30 @@ def repeated(docs: DataFrame, similarity: float = 0.8, min_words: int = 5, text:
 
     Lines of ``min_words`` words or more take part, normalised to their words of
     letters and digits in lower case; shorter ones are always kept.  Lines of
-    equal words are one class; classes are linked when their SimHashes differ in
-    at most DISTANCE bits and the edit distance of their words is at most
-    1 - similarity of the longer one.  First is the smallest (doc_id, line), line
+    equal words are one class; classes are linked when the edit distance of their
+    words is at most 1 - similarity of the longer one.  Every such pair is found.  First is the smallest (doc_id, line), line
     counted from 0.  Nulls: a null text has no lines; null doc_ids sort first.
     Rows of equal doc_id lose the same lines.  No rows give no rows.
     """
     docs = docs.select("doc_id", F.col(text).cast("string").alias("_text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    lines = cut(docs.where("_text is not null").mapInArrow(lambda it: line_rows(it, min_words), f"doc_id {kind}, line long, cls binary, n long, sim long"), "lines")
+    texts = docs.where("_text is not null")
+    lines = cut(texts.mapInArrow(lambda it: line_rows(it, min_words), f"doc_id {kind}, line long, cls binary, n long, sketch binary"), "lines")
     at = F.struct("doc_id", "line")
-    classes = cut(lines.groupBy("cls").agg(F.min(at).alias("at"), F.count("*").alias("times"), F.first("n").alias("n"), F.first("sim").alias("sim")), "classes")
-    tables = tables_for(classes.count())
-    keyed = classes.select("cls", "n", "sim").mapInArrow(lambda it: key_rows(it, tables), "cls binary, n long, sim long, keys array<long>")
-    first = cut(candidate_pairs(bucket_rows(keyed), tables, similarity, False), "pairs")
+    classes = cut(lines.groupBy("cls").agg(F.min(at).alias("at"), F.count("*").alias("times"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    grams = texts.select("_text").mapInArrow(lambda it: gram_rows(it, min_words, similarity), "key long, id long")
+    shared = cut(grams.repartition("key").sortWithinPartitions("key", "id").mapInArrow(shared_rows, "key long, id long"), "shared")
+    sides = classes.select("cls", "n", "sketch").mapInArrow(id_rows, "id long, cls binary, n long, sketch binary")
+    first = cut(candidate_pairs(bucket_rows(shared, sides), similarity, False), "pairs")
     links = cut(verified(docs, classes, first.where("hard IS NULL").drop("hard"), similarity), "links")
     # Keys with too many pairs: what still lies in different components is tried in full.
     hard = cut(first.where("hard IS NOT NULL").select(F.col("hard").alias("key")).distinct(), "hard")
     n_hard = hard.count()
     if n_hard:
         comps = cut(components(links), "components").withColumnRenamed("node", "cls")
-        rest = bucket_rows(keyed, broadcast_if(hard, n_hard, SENT)).join(comps, "cls", "left")
+        rest = bucket_rows(shared, sides, broadcast_if(hard, n_hard, SENT)).join(comps, "cls", "left")
         rest = rest.withColumn("comp", F.xxhash64(F.coalesce("component", "cls")))
-        more = cut(candidate_pairs(rest, tables, similarity, True).drop("hard"), "pairs")
+        more = cut(candidate_pairs(rest, similarity, True).drop("hard"), "pairs")
         links = links.unionByName(cut(verified(docs, classes, more, similarity), "links"))
     comps = components(links).withColumnRenamed("node", "cls")
     of = classes.select("cls", "at", "times").join(comps, "cls", "left").withColumn("component", F.coalesce("component", "cls"))

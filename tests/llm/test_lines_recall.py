@@ -1,0 +1,38 @@
+"""Line deduplication against a brute force on edit similarity alone."""
+
+import numpy as np
+
+from spanline.llm import lines
+from tests.llm.test_lines import distance, words_of
+
+
+def test_all_pairs_within_edit_similarity(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for _ in range(60):
+        base = [f"v{w}" for w in rng.integers(0, 300, rng.integers(5, 60))]
+        for _ in range(3):
+            new = list(base)
+            for _ in range(rng.integers(0, int(0.25 * len(base)) + 1)):
+                at, kind = rng.integers(0, len(new)), rng.integers(0, 3)
+                new[at : at + 1] = [[f"u{rng.integers(0, 99)}"], [], [new[at], "put"]][kind]
+            rows.append((len(rows), " ".join(new)))
+    # A dense group whose members are all near each other in hard keys.
+    rows += [(len(rows) + i, " ".join(["all", "of", "these", "words", "are", "shared", "by", "many", "lines", f"n{i}"])) for i in range(40)]
+    words = [tuple(words_of(t)) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            n = max(len(words[i]), len(words[j]))
+            if min(len(words[i]), len(words[j])) >= 5 and distance(words[i], words[j]) <= int(0.2 * n + 1e-9):
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    want = {(d, 0) for d in range(len(rows)) if find(d) != d}
+    got = lines.repeated(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {tuple(r) for r in got.collect()} == want
