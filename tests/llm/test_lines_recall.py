@@ -36,3 +36,16 @@ def test_all_pairs_within_edit_similarity(spark):
     want = {(d, 0) for d in range(len(rows)) if find(d) != d}
     got = lines.repeated(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {tuple(r) for r in got.collect()} == want
+
+
+def test_few_pairs_are_kept_of_a_dense_key(monkeypatch):
+    m = 300
+    import pyarrow as pa
+
+    cls = lines.binary(np.arange(2 * m, dtype=np.uint64).reshape(-1, 2))
+    sketch = lines.binary(np.zeros((m, lines.WIDE), np.uint64))
+    zero = pa.array(np.zeros(m, np.int64))
+    batch = pa.RecordBatch.from_arrays([zero, zero, zero, zero, cls, pa.array(np.full(m, 10)), sketch], names=["key", "bi", "bj", "block", "cls", "n", "sketch"])
+    out = pa.Table.from_batches(lines.pair_rows(iter([batch.slice(0, 100), batch.slice(100)]), 0.8, False))
+    assert out.column("hard").drop_null().to_pylist() == [0]
+    assert out.num_rows - 1 <= 2 * m
