@@ -59,16 +59,42 @@ def cache_lookup(segments: DataFrame, cache: DataFrame, k: list[str], pos: str =
     return s.withColumns({f"cached_{c}": F.col("_hit")[c] for c in ("speaker", "original", "translation")}).drop("_hit")
 
 
+def near_keys(names: DataFrame, keys: DataFrame, max_dist: int) -> DataFrame:
+    """Pairs of names (nn) and keys (nk) of which one contains the other or that lie within ``max_dist`` edits, and some more.
+
+    A name meets a key that it contains by its pieces of the lengths that keys
+    have, and the other way round; names within d edits are equal after at most d
+    letters are taken out of each.
+    """
+
+    def pieces(c: str, other: DataFrame, o: str) -> Column:
+        lengths = [r[0] for r in other.select(F.length(o)).distinct().collect()] or [0]
+        fit = F.filter(F.array(*[F.lit(n) for n in sorted(lengths)]), lambda n: n <= F.length(c))
+        return F.flatten(F.transform(fit, lambda n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, n))))
+
+    def shorter(c: str) -> Column:
+        out = F.array(F.col(c))
+        for _ in range(max_dist):
+            less = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w))), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+            out = F.array_distinct(F.concat(out, F.flatten(F.transform(out, less))))
+        return out
+
+    met = []
+    for mine, theirs in ((pieces("nn", keys, "nk"), F.array("nk")), (F.array("nn"), pieces("nk", names, "nn")), (shorter("nn"), shorter("nk"))):
+        left, right = (df.withColumn("_piece", F.explode(F.array_distinct(p))) for df, p in ((names, mine), (keys, theirs)))
+        met.append(left.join(right, "_piece").drop("_piece"))
+    return union_all(union_all(met[0], met[1]), met[2]).distinct()
+
+
 def resolve_dimension(df: DataFrame, name: str, dim: DataFrame, dim_name: str, max_dist: int = 1, most_dim_rows: int = 100_000) -> DataFrame:
     """Adds ``match`` (the dimension's name) and ``ambiguous``.
 
     By tiers: the normalised name is a key as it stands; equal after normalising;
     one contains the other; smallest edit distance of at most max_dist.  The first
     tier with a candidate decides, and only with a single best one.  Work is per
-    distinct name.  The first two tiers are equi-joins; names left over meet the
-    dimension's names, which are broadcast, their number checked against
-    ``most_dim_rows``, and beyond that share a three-letter piece or, for names
-    under five letters, a first letter class by an equi-join.
+    distinct name.  The first two tiers are equi-joins; names left over meet all of
+    the dimension's names, which are broadcast, their number checked against
+    ``most_dim_rows``, and beyond that the same pairs are found by equi-joins.
     """
     keys = dim.select(F.trim(dim_name).alias("key")).where("key <> ''").distinct().withColumn("nk", sc.normalize_name("key")).where("nk <> ''")
     names = df.select(F.col(name).alias("name")).distinct().withColumn("nn", sc.normalize_name("name")).where("nn <> ''")
@@ -81,14 +107,7 @@ def resolve_dimension(df: DataFrame, name: str, dim: DataFrame, dim_name: str, m
     if keys.count() <= most_dim_rows:
         pairs = rest.join(F.broadcast(keys), near | (dist >= 0))
     else:
-        grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 2)), lambda i: F.substring(c, i, F.lit(3)))
-        pairs = (
-            rest.withColumn("g", F.explode(F.array_distinct(grams(F.col("nn")))))
-            .join(keys.withColumn("g", F.explode(F.array_distinct(grams(F.col("nk"))))), "g")
-            .where(near | (dist >= 0))
-            .drop("g")
-            .distinct()
-        )
+        pairs = near_keys(rest, keys, max_dist).where(near | (dist >= 0))
     loose = pairs.select("name", "key", F.when(near, 2).otherwise(3).alias("tier"), F.when(near, 0).otherwise(dist).alias("dist"))
     rank = Window.partitionBy("name")
     best = union_all(exact, loose).withColumn("top", F.min(F.struct("tier", "dist")).over(rank)).where(F.struct("tier", "dist") == F.col("top"))
