@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanline.llm import textkit as tk
@@ -139,12 +139,18 @@ class Network:
                 self.p[k] -= lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)
 
 
+def ranked(chosen: DataFrame, most: int) -> DataFrame:
+    """The ``most`` rows of each language with the smallest draws."""
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "body"))
+    return chosen.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
+
+
 def train(docs: DataFrame, per_lang: int = 150, max_langs: int = 64, text_chars: int = 4000, steps: int = 600, seed: int = 0) -> Network | None:
     """A network fitted on a bounded sample of labelled rows: None if there are none.
 
     Rows whose crc32(doc_id as text) mod 5 is 0 are held out.  Of the others, the
-    sample has about ``per_lang`` rows of each language (of the ``max_langs`` most
-    frequent), those with the smallest hashes of doc_id, and ``text_chars``
+    sample has about 2 * ``per_lang`` rows of each language, no more (of the
+    ``max_langs`` most frequent), those with the smallest hashes of doc_id, and ``text_chars``
     characters from the middle of each: the only bounds on what is learned from.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
@@ -156,7 +162,7 @@ def train(docs: DataFrame, per_lang: int = 150, max_langs: int = 64, text_chars:
     mid = F.greatest(F.lit(1), ((F.length("text") - text_chars) / 2).cast("int"))
     # Chosen by label and id first, so that texts are cut and moved for few rows only.
     chosen = rows.where(draw < F.try_element_at(wanted, F.col("lang"))).select("lang", F.substr(F.col("text"), mid, F.lit(text_chars)).alias("body"), draw)
-    sample = chosen.orderBy("draw", "lang", "body").limit(2 * per_lang * len(counts)).toArrow()
+    sample = ranked(chosen, 2 * per_lang).orderBy("draw", "lang", "body").toArrow()
     langs = sorted({r["lang"] for r in counts})
     xs, ys = [], []
     lang = [langs.index(v) for v in sample.column("lang").to_pylist()]
