@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
+#: Rows (of some 30 bytes) up to which a measured table is broadcast instead of shuffling the other side.
+SENT = 1_000_000
+#: Links of one node from which they are joined apart from the others.
+HUB = 50_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named Parquet table below ``sf_dir``, whatever store that is in."""
@@ -20,11 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``; where that is unset (tests
-    in one process) a temporary folder is set for the session.
+    A cluster names it in ``spark.checkpoint.dir``; where that is unset and all
+    runs in one process (tests) a temporary folder is set for the session.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = _own.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="spanline-")
         _own[spark.sparkContext.applicationId] = root
     return root.rstrip("/")
@@ -71,25 +78,37 @@ def buckets_for(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def hub_join(rows: DataFrame, side: DataFrame, on: str, hubs: DataFrame | None) -> DataFrame:
+    """``rows`` inner join ``side`` (one row per key); keys in the short table ``hubs`` are joined where their rows are."""
+    if hubs is None:
+        return rows.join(side, on)
+    hubs = F.broadcast(hubs)
+    apart = rows.join(F.broadcast(side.join(hubs, on)), on)
+    return apart.unionByName(rows.join(hubs, on, "left_anti").join(side, on))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the undirected ``edges(u, v)`` of comparable ids.
 
     ``component`` is the smallest node that can be reached.  Alternates large-star
     and small-star steps as joins against one minimum per node, so that no
     neighbour list is ever gathered; each round is written to the shared folder.
-    Self-loops and nulls are ignored; no edges give no rows.
+    Nodes of HUB links or more, of which E links allow 2 E / HUB, are joined by
+    broadcast, so that no hub's links meet in one task.  Self-loops and nulls are
+    ignored; no edges give no rows.
     """
     cur = cut(
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
     )
-    seen = None
+    total, seen = cur.count(), None
     while True:
         # Large star: every neighbour larger than u is moved to u's smallest neighbour.
         both = cur.select("u", "v").unionAll(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        hubs = None
+        if HUB <= total and 2 * total <= HUB * SENT:
+            hubs = cut(both.groupBy("u").agg(F.count("*").alias("links")).where(F.col("links") >= HUB).select("u"), "hubs")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (
-            both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        )
+        large = hub_join(both.where("v > u"), low, "u", hubs).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # Small star: the smaller neighbours of u, and u itself, are moved to the smallest of them.
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
@@ -100,10 +119,12 @@ def components(edges: DataFrame) -> DataFrame:
             .distinct()
         )
         nxt = cut(small, "edges")
-        state = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        total, state = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         drop_scratch(cur)
+        if hubs is not None:
+            drop_scratch(hubs)
         cur = nxt
-        if state == seen or state[0] == 0:
+        if state == seen or total == 0:
             break
         seen = state
     roots = cur.select(F.col("v").alias("node")).distinct()

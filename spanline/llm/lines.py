@@ -1,10 +1,16 @@
-"""Fuzzy line deduplication: shared word grams, parity sketches, edit similarity, connected groups."""
+"""Fuzzy line deduplication: SimHash in pigeonhole blocks, edit similarity, connected groups.
+
+A SimHash gives each bit the sign of a weighted sum over a line's words.  With equal
+weights, lines of edit similarity 0.8 differ in a fifth of all bits, and no block
+long enough to tell lines apart agrees.  Here the words have, for each of BLOCKS
+blocks of 16 bits, random weights of so heavy a tail that the heaviest word alone
+decides the signs: a block of two lines agrees as a whole with the probability of
+the Jaccard similarity of their words (2/3 or more), however many bits it has.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -12,26 +18,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanline.llm import textkit as tk
-from spanline.llm.common import broadcast_if, components, cut
-
-#: 64-bit numbers of a sketch.
-WIDE = 4
-#: Words of the longest grams by which lines meet.
-GRAM = 3
-#: Bits within which the blocks of :func:`tables_for` meet; lines aren't compared by these.
-DISTANCE = 3
-
+from spanline.llm.buckets import linked, longs
+from spanline.llm.common import SENT, broadcast_if, components, cut, drop_scratch
 
-def binary(rows: np.ndarray) -> pa.Array:
-    """Rows of 64-bit numbers as binary values."""
-    rows = np.ascontiguousarray(rows, np.uint64)
-    width = 8 * rows.shape[1]
-    at = pa.py_buffer(np.arange(0, width * len(rows) + 1, width, dtype=np.int32))
-    return pa.Array.from_buffers(pa.binary(), len(rows), [None, at, pa.py_buffer(rows)])
-
-
-def numbers(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, width)
+#: Blocks of a SimHash, of 16 bits each, and how many of them make the key of a table:
+#: of two lines that differ in fewer blocks than there are tables (7 of 24), a table's blocks all agree.
+BLOCKS, EACH = 24, 3
+TABLES = BLOCKS // EACH
+#: Share of agreeing blocks below which a pair isn't verified: 3.8 standard deviations below 2/3.
+LEAST = 7 / BLOCKS
+#: Occurrences of a line from which they are joined apart from the others.
+COMMON = 50_000
 
 
 def line_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -49,27 +46,54 @@ def line_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def line_words(data: np.ndarray, offsets: np.ndarray):
-    """Lines with their words: (row, number in the row, hashes, first word of each line, characters)."""
+    """Lines with their words: (row, number in the row, hashes, first word of each line)."""
     starts, ends, row = line_bounds(data, offsets)
     h, first = tk.word_hashes(data, np.append(starts, len(data)), tk.ALNUM)
     head = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
     number = np.arange(len(row)) - np.repeat(head, np.diff(np.append(head, len(row))))
-    return row, number, h, first, ends - starts
-
+    return row, number, h, first
+
+
+def counted(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Word hashes made distinct within a line: the i-th occurrence of a word differs from the others."""
+    line = tk.row_of(first)
+    order = np.lexsort((h, line))
+    same = np.append(False, (h[order][1:] == h[order][:-1]) & (line[order][1:] == line[order][:-1])) if len(h) else np.zeros(0, bool)
+    at = np.arange(len(h))
+    nth = at - np.maximum.accumulate(np.where(same, 0, at)) if len(h) else at
+    out = h.copy()
+    out[order[same]] = tk.mix(h[order[same]] + nth[same].astype(np.uint64) * tk.MIX1)
+    return out
 
-def sketches(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """256 bits for each line, as four 64-bit numbers: which of 256 classes of words it has an odd number of.
 
-    Putting in or taking out a word flips one bit and a changed word at most two,
-    so lines of n and m words within k edits differ in at most 2 k - |n - m| bits.
-    """
-    out = np.zeros((len(first) - 1, WIDE), np.uint64)
+def simhashes(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The SimHash of each line, one row of TABLES keys: three blocks of 16 bits with the table's number above."""
+    out = np.zeros((len(first) - 1, TABLES), np.uint64)
     some = np.flatnonzero(np.diff(first))
     if len(some):
-        bit = np.uint64(1) << ((h >> np.uint64(56)) & np.uint64(63))
-        for i in range(WIDE):
-            out[some, i] = np.bitwise_xor.reduceat(np.where(h >> np.uint64(62) == np.uint64(i), bit, np.uint64(0)), first[:-1][some])
-    return out
+        h = counted(h, first)
+        odd = tk.mix(np.arange(1, BLOCKS + 1, dtype=np.uint64) * tk.MULT) | np.uint64(1)
+        for i in range(BLOCKS):
+            # A word's weight grows as its hash falls; the lightest hash is the heaviest word.
+            heaviest = np.minimum.reduceat(h * odd[i], first[:-1][some])
+            out[some, i // EACH] |= (tk.mix(heaviest) & np.uint64(0xFFFF)) << np.uint64(16 * (i % EACH))
+    return out | (np.arange(TABLES, dtype=np.uint64) << np.uint64(16 * EACH))[None]
+
+
+def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The share of blocks in which SimHashes agree."""
+    apart = x ^ y
+    out = np.zeros(apart.shape[:-1], np.int32)
+    for t in range(TABLES):
+        for j in range(EACH):
+            out += (apart[..., t] >> np.uint64(16 * j)) & np.uint64(0xFFFF) == 0
+    return out / BLOCKS
+
+
+def finer(keys: np.ndarray) -> np.ndarray:
+    """Twelve keys of two blocks each, which deal the members of a table's key."""
+    blocks = np.stack([(keys[:, i // EACH] >> np.uint64(16 * (i % EACH))) & np.uint64(0xFFFF) for i in range(BLOCKS)], axis=1)
+    return blocks[:, 0::2] | blocks[:, 1::2] << np.uint64(16)
 
 
 def digests(h: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -84,243 +108,49 @@ def digests(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.stack(sums, axis=1)
 
 
-def tables_for(lines: int) -> list[list[tuple[int, int]]]:
-    """Block sets, as (shift, width) of 64 bits, of which any two SimHashes within DISTANCE share one.
-
-    Used by tests only.  Of b blocks, b - DISTANCE at least agree, so each choice of that many is a
-    table.  b is the smallest for which a key is expected to have 64 lines at most.
-    """
-    for b in range(DISTANCE + 1, DISTANCE + 4):
-        edge = [64 * i // b for i in range(b + 1)]
-        blocks = [(edge[i], edge[i + 1] - edge[i]) for i in range(b)]
-        if lines <= 64 << (64 * (b - DISTANCE) // b):
-            break
-    return [list(c) for c in combinations(blocks, b - DISTANCE)]
-
-
 def edits(n, similarity: float):
     """The edits that a pair may need whose longer line has ``n`` words."""
     return np.floor((1 - similarity) * n + 1e-9).astype(np.int64)
 
 
-@lru_cache(maxsize=1 << 16)
-def prefixes(m: int, similarity: float) -> tuple[int, ...]:
-    """How many of its smallest grams of 1, 2 ... GRAM words a line of ``m`` words gives as keys.
+ROW = "doc_id {}, body long"
 
-    An edit spoils at most q grams of q words, so of the n - q + 1 grams of the
-    longer line of a pair, all but k q are in the other one; and two sets, ordered
-    alike, of which that many agree, agree on one of their smallest (Chaudhuri et
-    al. 2006).  q is the largest number for which any must agree, for the longer
-    line's n; a line gives keys for every n that its partners may have.
-    """
-    n = np.arange(m, int(m / similarity + 1e-9) + 1)
-    k = edits(n, similarity)
-    q = np.ones(len(n), np.int64)
-    for g in range(2, GRAM + 1):
-        q[n - g + 1 - k * g >= 1] = g
-    out = [0] * GRAM
-    for g in range(1, GRAM + 1):
-        if (q == g).any():
-            out[g - 1] = max(0, int((m - n + k * g + 1)[q == g].max()))
-    return tuple(out)
-
-
-def line_rows(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+
+def line_rows(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """(doc_id, body, line, hi, lo, n, sketch) of lines with words; lines that no edit may change have no SimHash."""
     for b in batches:
-        for at, data, offs in tk.slices(b.column(1)):
-            row, number, h, first, _ = line_words(data, offs)
-            n = np.diff(first)
-            use = n >= min_words
+        for at, data, offs in tk.slices(b.column(2)):
+            row, number, h, first = line_words(data, offs)
+            use = np.flatnonzero(np.diff(first))
+            n, dig = np.diff(first)[use], digests(h, first)[use].view(np.int64)
+            fuzzy = edits(np.floor(n / similarity + 1e-9), similarity) > 0
+            keys = simhashes(h, first)[use][fuzzy].view(np.int64)
+            ends = np.concatenate([[0], np.cumsum(fuzzy) * TABLES]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(at + row[use])), pa.array(number[use], pa.int64()), binary(digests(h, first)[use]), pa.array(n[use], pa.int64()), binary(sketches(h, first)[use])],
-                names=["doc_id", "line", "cls", "n", "sketch"],
+                [
+                    *(b.column(i).take(pa.array(at + row[use])) for i in (0, 1)),
+                    *(pa.array(x, pa.int64()) for x in (number[use], dig[:, 0], dig[:, 1], n)),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1))),
+                ],
+                names=["doc_id", "body", "line", "hi", "lo", "n", "sketch"],
             )
 
 
-def gram_rows(batches: Iterator[pa.RecordBatch], min_words: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """(key, id): the grams by which lines meet; equal lines of a slice give theirs once."""
-    for b in batches:
-        for _, data, offs in tk.slices(b.column(0)):
-            _, _, h, first, _ = line_words(data, offs)
-            n, ids = np.diff(first), digests(h, first)[:, 0]
-            use = np.zeros(len(n), bool)
-            use[np.unique(ids, return_index=True)[1]] = True
-            use &= n >= min_words
-            lengths, of = np.unique(n, return_inverse=True)
-            most = np.array([prefixes(int(m), similarity) if m >= min_words else (0,) * GRAM for m in lengths]).reshape(-1, GRAM)[of]
-            for q in range(1, GRAM + 1):
-                take = np.flatnonzero(use & (most[:, q - 1] > 0) & (n >= q))
-                if not len(take):
-                    continue
-                g, size = tk.gram_hashes(h, q), n[take] - q + 1
-                head = np.cumsum(size) - size
-                line = np.repeat(np.arange(len(take)), size)
-                g = g[np.arange(len(line)) - head[line] + first[take][line]]
-                order = np.lexsort((g, line))
-                g, nth = g[order], np.arange(len(line)) - head[line]
-                keep = (nth < most[take, q - 1][line]) & np.append(True, (g[1:] != g[:-1]) | (line[1:] != line[:-1]))
-                key = tk.mix(g[keep] + np.uint64(q) * tk.MIX1)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[take][line[keep]].view(np.int64))], names=["key", "id"])
-
-
-def shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key and id, each one once whose key has other ids too."""
-    key, i, before = np.zeros(0, np.int64), np.zeros(0, np.int64), False
-    for b in chain(batches, [None]):
-        if b is not None:
-            key, i = (np.concatenate([x, c.to_numpy(zero_copy_only=False)]) for x, c in zip((key, i), b.columns, strict=True))
-            new = np.append(True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]))[: len(key)]
-            key, i = key[new], i[new]
-        if not len(key):
-            continue
-        same = key[1:] == key[:-1]
-        shared = np.append(before, same) | np.append(same, False)
-        end = len(key) - (b is not None)  # the last row waits for its successor
-        yield pa.RecordBatch.from_arrays([pa.array(key[:end][shared[:end]]), pa.array(i[:end][shared[:end]])], names=["key", "id"])
-        key, i, before = key[end:], i[end:], bool(shared[-1])
-
-
-def id_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(numbers(b.column(0), 2)[:, 0].view(np.int64)), *b.columns], names=["id", "cls", "n", "sketch"])
-
-
-#: Members of a key that one task compares at once, on either side.
-BLOCK = 20_000
-#: Ids, or removed lines, up to which they are sent to the texts instead of shuffling all texts: some 30 MB.
-SENT = 1_000_000
-#: Candidate pairs for each member of a key up to which all of them are tried at once.
-FEW = 4
-
-
-def bucket_rows(shared: DataFrame, lines: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """(key, bi, bj, block, cls, n, sketch): keys of more than BLOCK members are split into blocks, each pair of which is compared apart."""
-    if only is not None:
-        shared = shared.join(only, "key", "left_semi")
-    large = shared.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK).withColumn("blocks", F.ceil(F.col("size") / BLOCK))
-    rows = shared.join(large.select("key", "blocks"), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    rows = rows.join(lines, "id").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    return rows.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
-
-
-def whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """The columns of sorted rows, cut between keys only."""
-    held: list[list[np.ndarray]] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        cols = [numbers(c, {4: 2, 6: WIDE}[i]) if i in (4, 6) else c.to_numpy(zero_copy_only=False) for i, c in enumerate(b.columns)]
-        key, bi, bj = cols[:3]
-        new = np.flatnonzero((key[1:] != key[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])) + 1
-        if held and (held[-1][0][-1], held[-1][1][-1], held[-1][2][-1]) != (key[0], bi[0], bj[0]):
-            yield [np.concatenate(x) for x in zip(*held, strict=True)]
-            held = []
-        if len(new):
-            yield [np.concatenate(x) for x in zip(*held, [c[: new[-1]] for c in cols], strict=True)]
-            held, cols = [], [c[new[-1] :] for c in cols]
-        held.append(cols)
-    if held:
-        yield [np.concatenate(x) for x in zip(*held, strict=True)]
-
-
-def pair_rows(batches: Iterator[pa.RecordBatch], similarity: float, every: bool) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs (a, b) of a partition's keys, and the ``hard`` keys that have too many to try at once.
-
-    Members of a key are next to each other, sorted by their words, so one pass for
-    each distance within the run compares all keys at once.  Keys with up to FEW
-    pairs a member, or all with ``every`` (then in different components only), give
-    all pairs; of the others only a count and each member's nearest ones before
-    and after it are kept.
-    """
-    for cols in whole_keys(batches):
-        key, bi, bj, block, cls, n, sketch, *comp = cols
-        new = np.append(True, (key[1:] != key[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1]))
-        start = np.flatnonzero(new)
-        run = np.cumsum(new) - 1
-        size = np.diff(np.append(start, len(key)))
-        end = (start + size)[run]
-        pairs = np.zeros(len(start), np.int64)
-        near, far = (np.full((2, len(key)), -1) for _ in range(2))  # before and after: the member, and how far it is
-        live, found, held, step = np.arange(len(key)), [], 0, 1
-        while True:
-            live = live[live + step < end[live]]
-            live = live[n[live] >= similarity * n[live + step] - 1e-9]
-            if not len(live):
-                break
-            x, y = live, live + step
-            if every:
-                ok = comp[0][x] != comp[0][y]
-                x, y = x[ok], y[ok]
-            most = 2 * edits(n[y], similarity) - (n[y] - n[x])
-            apart = np.zeros(len(x), np.int64)
-            for i in range(WIDE):
-                apart += np.bitwise_count(sketch[x, i] ^ sketch[y, i])
-                ok = apart <= most
-                x, y, most, apart = x[ok], y[ok], most[ok], apart[ok]
-            ok = (bi[x] == bj[x]) | (block[x] != block[y])
-            x, y, apart = x[ok], y[ok], apart[ok]
-            if not every:
-                pairs += np.bincount(run[x], minlength=len(start))
-                for side, (p, q) in enumerate(((y, x), (x, y))):
-                    better = (near[side, p] < 0) | (apart < far[side, p])
-                    near[side, p[better]], far[side, p[better]] = q[better], apart[better]
-                ok = (pairs <= FEW * size)[run[x]]
-                x, y = x[ok], y[ok]
-            if len(x):
-                found.append(np.stack([x, y]))
-                held += len(x)
-            if every and held > SENT:
-                yield pair_batch(cls, *np.concatenate(found, axis=1), key[:0])
-                found, held = [], 0
-            step += 1
-        many = (pairs > FEW * size) & (not every)
-        x, y = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        ok = ~many[run[x]]
-        x, y = [x[ok]], [y[ok]]
-        for side in near:
-            p = np.flatnonzero(many[run] & (side >= 0))
-            x.append(p)
-            y.append(side[p])
-        yield pair_batch(cls, np.concatenate(x), np.concatenate(y), np.unique(key[start[many]]))
-
-
-def pair_batch(cls: np.ndarray, x: np.ndarray, y: np.ndarray, hard: np.ndarray) -> pa.RecordBatch:
-    p, q = cls[x], cls[y]
-    swap = (p[:, 0] > q[:, 0]) | ((p[:, 0] == q[:, 0]) & (p[:, 1] > q[:, 1]))
-    a, b = np.where(swap[:, None], q, p), np.where(swap[:, None], p, q)
-    both = np.unique(np.concatenate([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 4), np.uint64)
-    pad = len(hard)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.concat_arrays([binary(both[:, :2]), pa.nulls(pad, pa.binary())]),
-            pa.concat_arrays([binary(both[:, 2:]), pa.nulls(pad, pa.binary())]),
-            pa.concat_arrays([pa.nulls(len(both), pa.int64()), pa.array(hard, pa.int64())]),
-        ],
-        names=["a", "b", "hard"],
-    )
-
-
-def candidate_pairs(buckets: DataFrame, similarity: float, every: bool) -> DataFrame:
-    cols = ["key", "bi", "bj", "block", "cls", "n", "sketch", *(["comp"] if every else [])]
-    rows = buckets.select(*cols).repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "n")
-    return rows.mapInArrow(lambda it: pair_rows(it, similarity, every), "a binary, b binary, hard long").distinct()
-
-
 def pick_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The word hashes of the lines that are asked for: (cls, line, text) to (cls, words)."""
+    """The word hashes of the lines asked for: (lines as (line, id), text) to (id, words)."""
     for b in batches:
-        cls, out = [], []
-        want, number = b.column(0).to_pylist(), b.column(1).to_pylist()
-        for at, data, offs in tk.slices(b.column(2)):
-            row, _, h, first, _ = line_words(data, offs)
+        ids, out = [], []
+        want = b.column(0).to_pylist()
+        for at, data, offs in tk.slices(b.column(1)):
+            row, _, h, first = line_words(data, offs)
             head = np.searchsorted(row, np.arange(len(offs)))
+            h = (h >> np.uint64(32)).astype(np.uint32)
             for i in range(len(offs) - 1):
-                j = head[i] + number[at + i]
-                if j < head[i + 1]:
-                    cls.append(want[at + i])
+                for w in want[at + i]:
+                    j = head[i] + w["line"]
+                    ids.append(w["id"])
                     out.append(h[first[j] : first[j + 1]].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), pa.array(out, pa.binary())], names=["cls", "words"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["id", "words"])
 
 
 def within(x: np.ndarray, y: np.ndarray, most: int) -> bool:
@@ -362,70 +192,89 @@ def check_rows(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator
     for b in batches:
         keep = []
         for p, q in zip(b.column(2), b.column(3), strict=True):
-            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (p, q))
-            keep.append(within(x, y, int((1 - similarity) * max(len(x), len(y)) + 1e-9)))
+            x, y = (np.frombuffer(v.as_buffer(), np.uint32) for v in (p, q))
+            keep.append(within(x, y, int(edits(max(len(x), len(y)), similarity))))
         yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
+def same_row(docs: DataFrame, side: DataFrame) -> F.Column:
+    return docs["_doc"].eqNullSafe(side["doc_id"]) & (docs["_body"] == side["body"])
+
+
 def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "at"), "cls")
-    ids = cut(ids, "ids")
-    ids = broadcast_if(ids, 2 * ids.count(), SENT)
-    need = docs.join(ids, docs["doc_id"].eqNullSafe(ids["at.doc_id"])).select("cls", F.col("at.line").alias("line"), "_text")
-    words = cut(need.mapInArrow(pick_rows, "cls binary, words binary").groupBy("cls").agg(F.first("words").alias("words")), "words")
+    """The pairs (a, b) of class ids within the edit similarity, as (u, v); words are read from the first occurrences."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "at"), "id")
+    ids = cut(ids.groupBy("at.doc_id", "at.body").agg(F.collect_list(F.struct("at.line", "id")).alias("want")), "ids")
+    sent = broadcast_if(ids, ids.agg(F.sum(F.size("want"))).first()[0], SENT)
+    words = cut(docs.join(sent, same_row(docs, sent)).select("want", "_text").mapInArrow(pick_rows, "id long, words binary"), "words")
     full = (
-        pairs.join(words.select(F.col("cls").alias("a"), F.col("words").alias("wa")), "a")
-        .join(words.select(F.col("cls").alias("b"), F.col("words").alias("wb")), "b")
+        pairs.join(words.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a")
+        .join(words.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
         .select("a", "b", "wa", "wb")
     )
-    return full.mapInArrow(lambda it: check_rows(it, similarity), "a binary, b binary").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    out = cut(full.mapInArrow(lambda it: check_rows(it, similarity), "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    for used in (ids, words):
+        drop_scratch(used)
+    return out
+
+
+def with_body(docs: DataFrame, text: str) -> DataFrame:
+    """(_doc, _body, _text): rows are told apart by their id and a hash of their text."""
+    value = F.col(text).cast("string")
+    return docs.select(F.col("doc_id").alias("_doc"), F.xxhash64(value).alias("_body"), value.alias("_text")).where("_text is not null")
+
 
+def repeated(docs: DataFrame, similarity: float = 0.8, text: str = "text") -> DataFrame:
+    """(doc_id, body, line) of the lines to remove: all but the first occurrence in each connected group.
 
-def repeated(docs: DataFrame, similarity: float = 0.8, min_words: int = 5, text: str = "text") -> DataFrame:
-    """(doc_id, line) of the lines to remove: all but the first occurrence in each connected group.
+    Lines are normalised to their words of letters and digits in lower case; those
+    without words are always kept.  Lines of equal words are one class, however
+    short; classes are linked when the edit distance of their words is at most
+    1 - similarity of the longer one, and their SimHashes share the blocks of a
+    table: always if at most 7 of 24 blocks differ, and with a probability of 0.94
+    at the very threshold.  First is the smallest (doc_id, body, line), ``body``
+    being the text's xxhash64 and ``line`` counted from 0.
 
-    Lines of ``min_words`` words or more take part, normalised to their words of
-    letters and digits in lower case; shorter ones are always kept.  Lines of
-    equal words are one class; classes are linked when the edit distance of their
-    words is at most 1 - similarity of the longer one.  Every such pair is found.  First is the smallest (doc_id, line), line
-    counted from 0.  Nulls: a null text has no lines; null doc_ids sort first.
-    Rows of equal doc_id lose the same lines.  No rows give no rows.
+    Nulls: a null text has no lines; null doc_ids sort first.  Rows of equal doc_id
+    and text are one row and lose the same lines; rows of equal doc_id and other
+    texts are told apart.  Lines may be of any length.  Other columns are ignored.
+    No rows give no rows.
     """
-    docs = docs.select("doc_id", F.col(text).cast("string").alias("_text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.where("_text is not null")
-    lines = cut(texts.mapInArrow(lambda it: line_rows(it, min_words), f"doc_id {kind}, line long, cls binary, n long, sketch binary"), "lines")
-    at = F.struct("doc_id", "line")
-    classes = cut(lines.groupBy("cls").agg(F.min(at).alias("at"), F.count("*").alias("times"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    grams = texts.select("_text").mapInArrow(lambda it: gram_rows(it, min_words, similarity), "key long, id long")
-    shared = cut(grams.repartition("key").sortWithinPartitions("key", "id").mapInArrow(shared_rows, "key long, id long"), "shared")
-    sides = classes.select("cls", "n", "sketch").mapInArrow(id_rows, "id long, cls binary, n long, sketch binary")
-    first = cut(candidate_pairs(bucket_rows(shared, sides), similarity, False), "pairs")
-    links = cut(verified(docs, classes, first.where("hard IS NULL").drop("hard"), similarity), "links")
-    # Keys with too many pairs: what still lies in different components is tried in full.
-    hard = cut(first.where("hard IS NOT NULL").select(F.col("hard").alias("key")).distinct(), "hard")
-    n_hard = hard.count()
-    if n_hard:
-        comps = cut(components(links), "components").withColumnRenamed("node", "cls")
-        rest = bucket_rows(shared, sides, broadcast_if(hard, n_hard, SENT)).join(comps, "cls", "left")
-        rest = rest.withColumn("comp", F.xxhash64(F.coalesce("component", "cls")))
-        more = cut(candidate_pairs(rest, similarity, True).drop("hard"), "pairs")
-        links = links.unionByName(cut(verified(docs, classes, more, similarity), "links"))
-    comps = components(links).withColumnRenamed("node", "cls")
-    of = classes.select("cls", "at", "times").join(comps, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    texts = with_body(docs, text)
+    lines = cut(texts.mapInArrow(lambda it: line_rows(it, similarity), ROW.format(kind) + ", line long, hi long, lo long, n long, sketch array<long>"), "lines")
+    at = F.struct("doc_id", "body", "line")
+    classes = lines.groupBy("hi", "lo").agg(F.min(at).alias("at"), F.count("*").alias("times"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = cut(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    fuzzy = classes.where(F.size("sketch") > 0).select("id", "n", "sketch", F.col("sketch").alias("keys"))
+    links = linked(fuzzy, lambda pairs: verified(texts, classes, pairs, similarity), agreement, LEAST, similarity, finer)
+    comps = components(links).withColumnRenamed("node", "id")
+    of = classes.select("hi", "lo", "id", "at", "times").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
     low = of.groupBy("component").agg(F.min("at").alias("keep"), F.sum("times").alias("total")).where("total > 1")
-    of = of.join(low, "component").select("cls", "keep")
-    return lines.join(of, "cls").where(~at.eqNullSafe(F.col("keep"))).select("doc_id", "line").distinct()
+    of = cut(of.join(low, "component").select("hi", "lo", "keep", "times"), "keepers")
+    rows = lines.select("hi", "lo", "doc_id", "body", "line")
+    cold = rows
+    hot = of.where(F.col("times") >= COMMON)
+    n_hot = hot.count()
+    parts = []
+    if 0 < n_hot <= SENT:  # a line of very many occurrences is joined where they are
+        hot = F.broadcast(hot.select("hi", "lo", "keep"))
+        parts.append(rows.join(hot, ["hi", "lo"]))
+        cold = rows.join(hot, ["hi", "lo"], "left_anti")
+    parts.append(cold.join(of.select("hi", "lo", "keep"), ["hi", "lo"]))
+    found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return found.where(~at.eqNullSafe(F.col("keep"))).select("doc_id", "body", "line").distinct()
 
 
 def dedup(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """``docs`` with repeated lines taken out of ``text``, and n_lines, n_removed added."""
-    gone = repeated(docs, text=text, **options).groupBy("doc_id").agg(F.collect_set("line").alias("__lines_gone"))
-    gone = cut(gone.withColumnRenamed("doc_id", "__lines_of"), "gone")
+    """``docs`` with repeated lines taken out of ``text``, and n_lines, n_removed added; see :func:`repeated`."""
+    gone = repeated(docs, text=text, **options).groupBy("doc_id", "body").agg(F.collect_set("line").alias("__lines_gone"))
+    gone = cut(gone.withColumnRenamed("doc_id", "__lines_of").withColumnRenamed("body", "__lines_in"), "gone")
     gone = broadcast_if(gone, gone.agg(F.sum(F.size("__lines_gone") + 4)).first()[0], SENT)
     parts = F.split(F.col(text), "\n", -1)
     kept = F.filter(parts, lambda _, i: ~F.array_contains("__lines_gone", i.cast("long")))
-    out = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__lines_of"]), "left")
+    own = F.xxhash64(docs[text].cast("string"))
+    out = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__lines_of"]) & (own == gone["__lines_in"]), "left")
     return out.select(
         *[c for c in docs.columns if c not in (text, "n_lines", "n_removed")],
         F.when(F.col("__lines_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")).alias(text),

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanline.llm import textkit as tk
-from spanline.llm.buckets import bucket_rows, candidate_pairs
-from spanline.llm.common import components, cut
+from spanline.llm.buckets import linked
+from spanline.llm.common import SENT, broadcast_if, components, cut, drop_scratch
 
 SHINGLE = 5
 BANDS, ROWS = 30, 6
@@ -85,45 +85,53 @@ def band_keys(sk: np.ndarray, bands: int, rows: int) -> np.ndarray:
 COORDS = 1024
 
 
+def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The share of equal coordinates, estimated from the share of equal bits."""
+    return 1 - 2 * np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int32) / COORDS
+
+
 def sketch_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, class (128-bit digest of the set), n, bits of the sketch, bands."""
+    """(doc_id, body, hi, lo, n, sketch, keys): the class (128-bit digest of the set), one bit of each coordinate, the bands."""
     for b in batches:
-        out = {name: [] for name in ("cls", "n", "bits", "bands")}
-        for _, data, offs in tk.slices(b.column(1)):
+        sizes, sets, bits, bands = [], [], [], []
+        for _, data, offs in tk.slices(b.column(2)):
             g, first = shingle_sets(data, offs, k)
-            n = np.diff(first)
-            out["n"] += n.tolist()
-            out["cls"] += digests(g, first)
+            sizes.append(np.diff(first))
+            sets.append(digests(g, first))
             sk = sketch(g, first, COORDS)
-            bits = np.packbits((sk & np.uint64(1)).astype(np.uint8), axis=1)
-            keys = band_keys(sk[:, : BANDS * ROWS], BANDS, ROWS)
-            out["bits"] += [r.tobytes() for r in bits]
-            out["bands"] += [r.tobytes() for r in keys]
+            bits.append(np.packbits((sk & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64))
+            bands.append(band_keys(sk[:, : BANDS * ROWS], BANDS, ROWS).view(np.int64))
+        if not sizes:
+            continue
+        hi, lo = np.concatenate(sets).view(np.int64).T
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array(out["cls"], pa.binary()), pa.array(out["n"], pa.int64()), pa.array(out["bits"], pa.binary()), pa.array(out["bands"], pa.binary())],
-            names=["doc_id", "cls", "n", "bits", "bands"],
+            [b.column(0), b.column(1), *(pa.array(x, pa.int64()) for x in (hi, lo, np.concatenate(sizes))), matrix(np.concatenate(bits)), matrix(np.concatenate(bands))],
+            names=["doc_id", "body", "hi", "lo", "n", "sketch", "keys"],
         )
 
 
-def digests(g: np.ndarray, first: np.ndarray) -> list[bytes]:
-    """128 bits for each set: two sums of independently mixed elements, with the set's size."""
+def matrix(rows: np.ndarray) -> pa.Array:
+    ends = np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.reshape(-1)))
+
+
+def digests(g: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """128 bits for each set, as two numbers: sums of independently mixed elements, with the set's size."""
     sums = []
     for salt in (tk.MIX1, tk.MIX2):
         c = np.zeros(len(g) + 1, np.uint64)
         np.cumsum(tk.mix(g + salt), out=c[1:])
         sums.append(tk.mix(c[first[1:]] - c[first[:-1]] + np.diff(first).astype(np.uint64) * tk.MIX2))
-    return [a.tobytes() + b.tobytes() for a, b in zip(*sums, strict=True)]
+    return np.stack(sums, axis=1)
 
 
 def set_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        cls, sets = [], []
+        sets = []
         for _, data, offs in tk.slices(b.column(1)):
             g, first = shingle_sets(data, offs, k)
-            cls += digests(g, first)
             sets += [g[first[i] : first[i + 1]].tobytes() for i in range(len(offs) - 1)]
-        same = np.array([x == y for x, y in zip(cls, b.column(0).to_pylist(), strict=True)], bool)
-        yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), pa.array(sets, pa.binary())], names=["cls", "grams"]).filter(pa.array(same))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["id", "grams"])
 
 
 def check_rows(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -138,18 +146,47 @@ def check_rows(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterato
         yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
+def with_body(docs: DataFrame, text: str) -> DataFrame:
+    """(doc_id, body, _text): rows are told apart by their id and a hash of their text."""
+    value = F.col(text).cast("string")
+    return docs.select("doc_id", F.xxhash64(value).alias("body"), value.alias("_text"))
+
+
 def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (u, v) whose full sets have den * intersection >= num * union; sets are made anew from the texts."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "rep"), "cls")
-    need = docs.select("doc_id", "_text").join(ids, docs["doc_id"].eqNullSafe(ids["rep"])).select("cls", "_text")
-    sets = need.mapInArrow(lambda it: set_rows(it, k), "cls binary, grams binary").groupBy("cls").agg(F.first("grams").alias("grams"))
-    sets = cut(sets, "sets")
+    """The pairs (u, v) of class ids whose full sets have den * intersection >= num * union; sets are made anew from the texts."""
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "rep"), "id"), "ids")
+    sent = broadcast_if(ids, ids.count(), SENT).withColumnRenamed("id", "_id")
+    here = docs["doc_id"].eqNullSafe(sent["rep.doc_id"]) & (docs["body"] == sent["rep.body"])
+    need = docs.join(sent, here).select(F.col("_id").alias("id"), "_text").dropDuplicates(["id"])
+    sets = cut(need.mapInArrow(lambda it: set_rows(it, k), "id long, grams binary"), "sets")
     full = (
-        pairs.join(sets.select(F.col("cls").alias("a"), F.col("grams").alias("ga")), "a")
-        .join(sets.select(F.col("cls").alias("b"), F.col("grams").alias("gb")), "b")
+        pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a")
+        .join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
         .select("a", "b", "ga", "gb")
     )
-    return full.mapInArrow(lambda it: check_rows(it, num, den), "a binary, b binary").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    out = cut(full.mapInArrow(lambda it: check_rows(it, num, den), "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    for used in (ids, sets):
+        drop_scratch(used)
+    return out
+
+
+def members(docs: DataFrame, num: int, den: int, k: int = SHINGLE, text: str = "text") -> DataFrame:
+    """(doc_id, body, n_shingles, first): ``first`` is the smallest (doc_id, body) of the row's group, null for empty sets."""
+    least, ratio = num / den - 5 * 2 * ((1 + num / den) / 2 * (1 - num / den) / 2 / COORDS) ** 0.5, num / den
+    docs = with_body(docs, text)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sets = docs.mapInArrow(lambda it: sketch_rows(it, k), f"doc_id {kind}, body long, hi long, lo long, n long, sketch array<long>, keys array<long>")
+    sets = cut(sets, "sketches")
+    # Null ids come after all others.
+    rep = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body")
+    classes = sets.where("n > 0").groupBy("hi", "lo").agg(F.min(rep).alias("rep"), *[F.first(c).alias(c) for c in ("n", "sketch", "keys")])
+    classes = cut(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    links = linked(classes.select("id", "n", "sketch", "keys"), lambda pairs: verified(docs, classes, pairs, k, num, den), agreement, least, ratio, lambda keys: keys)
+    comps = components(links)
+    of = classes.select("hi", "lo", "id", "rep").join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    low = of.groupBy("component").agg(F.min("rep").alias("first"))
+    of = of.join(low, "component").select("hi", "lo", "first")
+    return sets.select("doc_id", "body", F.col("n").alias("n_shingles"), "hi", "lo").join(of, ["hi", "lo"], "left").drop("hi", "lo")
 
 
 def groups(docs: DataFrame, num: int = 80, den: int = 100, k: int = SHINGLE, text: str = "text") -> DataFrame:
@@ -160,10 +197,10 @@ def groups(docs: DataFrame, num: int = 80, den: int = 100, k: int = SHINGLE, tex
     are one shingle).  Texts of equal sets are one class from the start, so copies
     never make pairs.  Candidates are classes that share a band and whose
     one-bit estimate over COORDS coordinates is within five standard deviations of
-    the threshold; all links that count are confirmed on full sets.  First each
-    member of a bucket is tried against its nearest one and the hub; then every
-    candidate pair that still lies in two components is tried, so that no
-    connection is lost and no dense group is expanded.
+    the threshold; all links that count are confirmed on full sets.  Of a dense
+    band each member is first tried against some pivots; then the candidate pairs
+    that lie in two components and share a second band are tried, so that no dense
+    group is expanded.
 
     Nulls: a text without words, or null, has an empty set and is linked with
     nothing, and is kept.  component_id is the smallest doc_id reachable, so rows
@@ -171,26 +208,31 @@ def groups(docs: DataFrame, num: int = 80, den: int = 100, k: int = SHINGLE, tex
     others.  Of repeated rows (equal doc_id and text) each gets the same result.
     Extra columns are ignored.  No rows give no rows.
     """
-    least, ratio = num / den - 5 * 2 * ((1 + num / den) / 2 * (1 - num / den) / 2 / COORDS) ** 0.5, num / den
-    docs = docs.select("doc_id", F.col(text).cast("string").alias("_text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    sets = cut(docs.mapInArrow(lambda it: sketch_rows(it, k), f"doc_id {kind}, cls binary, n long, bits binary, bands binary"), "sketches")
-    classes = sets.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "bits", "bands")])
-    classes = cut(classes, "classes")
-    buckets = cut(bucket_rows(classes, BANDS), "buckets")
-    near = cut(verified(docs, classes, cut(candidate_pairs(buckets, least, ratio, None), "pairs"), k, num, den), "links")
-    comps = cut(components(near), "components")
-    rest = cut(verified(docs, classes, cut(candidate_pairs(buckets, least, ratio, comps), "pairs"), k, num, den), "links")
-    comps = components(near.unionByName(rest))
-    of = classes.select("cls", "rep").join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    low = of.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of = of.join(low, "component").select("cls", "component_id")
-    out = sets.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(of, "cls", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    out = members(docs, num, den, k, text)
+    component = F.when(F.col("first").isNotNull(), F.col("first.doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def keep_one(docs: DataFrame, num: int = 80, den: int = 100, **options) -> DataFrame:
-    """``docs`` with one document of each group, the one of the smallest doc_id; all columns kept."""
-    gone = groups(docs, num, den, **options).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+def keep_one(docs: DataFrame, num: int = 80, den: int = 100, text: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each group, the one of the smallest (doc_id, hash of the text), null ids last.
+
+    All columns are kept.  Rows of equal doc_id and other texts are told apart; of
+    repeated rows (equal doc_id and text) one stays.  Texts without words stay all.
+    """
+    found = members(docs, num, den, text=text, **options)
+    later = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("body") == F.col("first.body")))
+    gone = cut(found.where("first IS NOT NULL").where(later).select(F.col("doc_id").alias("__of"), F.col("body").alias("__in")).distinct(), "gone")
+    gone = broadcast_if(gone, gone.count(), SENT)
+    own = F.xxhash64(docs[text].cast("string"))
+    stay = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__of"]) & (own == gone["__in"]), "left_anti")
+    # Repeats of one row share id and text: told apart by a number of their own, the first stays.
+    again = found.where("first IS NOT NULL").groupBy("doc_id", "body").count().where("count > 1")
+    again = cut(again.select(F.col("doc_id").alias("__of"), F.col("body").alias("__in")), "again")
+    n_again = again.count()
+    if not n_again:
+        return stay
+    again = broadcast_if(again, n_again, SENT)
+    same = stay["doc_id"].eqNullSafe(again["__of"]) & (F.xxhash64(stay[text].cast("string")) == again["__in"])
+    some = stay.join(again, same, "left_semi")
+    one = some.withColumn("__own", F.xxhash64(F.col(text).cast("string"))).dropDuplicates(["doc_id", "__own"]).drop("__own")
+    return stay.join(again, same, "left_anti").unionByName(one)
