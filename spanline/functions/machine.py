@@ -1,79 +1,115 @@
-"""The four-state dialogue machine as a small fold, shared by batch and streaming."""
+"""Segment machines as folds over ordered rows, shared by batch and streaming.
 
-from __future__ import annotations
+The dialogue machine is a table: a row's flags are one symbol of four bits, a place
+is a phase with its counters, and for each place and symbol the table has the next
+place and what happens to the open segment.  A fold only follows the table; where
+it opens and closes, segments are cut from whole columns.
+"""
 
-NONE, APPEARING, STABLE, CLEARING = "none", "appearing", "stable", "clearing"
-SCHEMA = "frame_start long, frame_end long, start double, end double, samples array<long>"
+from __future__ import annotations
 
+from functools import lru_cache
 
-class Machine:
-    """State: where a segment began, the last row with text, counters and samples."""
+import numpy as np
 
-    FIELDS = ("state", "stable", "clear", "start", "last", "samples")
+SCHEMA = "frame_start long, frame_end long, start double, end double, samples array<long>"
+#: Bits of a row's symbol.
+TEXT, CHANGE, CLEAR, NAME = 1, 2, 4, 8
+#: What a row may do: begin a segment, end the open one, or end it and begin the next.
+OPEN, CLOSE = 1, 2
+
+#: Another speaker is a boundary wherever a segment is open.
+SPEAKER = [(NAME | TEXT, "rising", CLOSE | OPEN), (NAME, "idle", CLOSE)]
+#: For each phase (bits, next phase, action): the first rule applies whose bits are all set.
+RULES = {
+    "idle": [(TEXT, "rising", OPEN)],
+    "rising": SPEAKER,
+    "still": [*SPEAKER, (CLEAR, "fading", 0), (CHANGE, "rising", CLOSE | OPEN)],
+    "fading": [*SPEAKER, (TEXT, "rising", CLOSE | OPEN)],
+}
+
+
+@lru_cache(maxsize=64)
+def transitions(stable_frames: int, clear_frames: int) -> tuple[list[list[int]], list[list[int]]]:
+    """(next place, action) for each place, of which 0 is idle, and each of the sixteen symbols."""
+
+    def follow(phase: str, calm: int, gone: int, symbol: int):
+        for bits, then, action in RULES[phase]:
+            if symbol & bits == bits:
+                return (then, 0, int(then == "fading")), action
+        if phase in ("idle", "still"):
+            return (phase, 0, 0), 0
+        gone = gone + 1 if phase == "fading" or symbol & CLEAR else 0
+        if gone and gone >= clear_frames:
+            return ("idle", 0, 0), CLOSE
+        calm = calm + 1 if symbol & (TEXT | CHANGE) == TEXT else 0
+        if phase == "rising" and calm >= stable_frames:
+            return ("still", 0, 0), 0
+        return (phase, calm if phase == "rising" else 0, gone), 0
+
+    places, goes, does = [("idle", 0, 0)], [], []
+    for place in places:  # grows while it is read
+        row = [follow(*place, symbol) for symbol in range(16)]
+        for to, _ in row:
+            if to not in places:
+                places.append(to)
+        goes.append([places.index(to) for to, _ in row])
+        does.append([action for _, action in row])
+    return goes, does
+
+
+class Segmenter:
+    """Feeds ordered rows of one key through the table; ``out`` has the closed segments.
+
+    A segment begins where it was opened and ends at the last row with text; its
+    samples are the rows with text since the one before was closed.  Shorter ones
+    than ``min_duration`` are dropped.
+    """
 
     def __init__(self, cfg: dict, saved: dict | None = None):
-        self.stable_frames, self.clear_frames = cfg.get("stable_frames", 2), cfg.get("clear_frames", 2)
+        self.goes, self.does = transitions(cfg.get("stable_frames", 2), cfg.get("clear_frames", 2))
         self.min_duration = cfg.get("min_duration", 0.0)
-        self.state, self.stable, self.clear, self.start, self.last, self.samples = NONE, 0, 0, None, None, []
-        self.out = []
-        if saved:
-            for f in self.FIELDS:
-                setattr(self, f, saved[f])
+        self.place, self.begun, self.last, self.heard = (saved or {}).get("fold") or (0, None, None, [])
+        self.out: list[tuple] = []
 
     def saved(self) -> dict:
-        return {f: getattr(self, f) for f in self.FIELDS}
-
-    def close(self) -> None:
-        """End the open segment at the last row with text; one that is too short is dropped."""
-        if self.last is None or self.start is None:
-            return
-        if self.last[1] - self.start[1] >= self.min_duration:
-            self.out.append((self.start[0], self.last[0], self.start[1], self.last[1], sorted(set(self.samples))))
-        self.start, self.samples = None, []
-
-    def begin(self, at) -> None:
-        self.state, self.start, self.stable, self.clear = APPEARING, at, 0, 0
-
-    def step(self, idx, ts, text, change, cleared, name) -> None:
-        at = (int(idx), float(ts))
-        if text:
-            self.last = at
-            self.samples.append(at[0])
-        if name and self.state != NONE:  # another speaker: a boundary in any state
-            self.close()
-            if text:
-                self.begin(at)
-            else:
-                self.state = NONE
-        elif self.state == NONE:
-            if text:
-                self.begin(at)
-        elif self.state == APPEARING:
-            self.stable = self.stable + 1 if text and not change else 0
-            if self.stable >= self.stable_frames:
-                self.state = STABLE
-            self.clear = self.clear + 1 if cleared else 0
-            if cleared and self.clear >= self.clear_frames and self.last is not None:
-                self.close()
-                self.state = NONE
-        elif self.state == STABLE:
-            if cleared:
-                self.state, self.clear = CLEARING, 1
-            elif change:  # growth after standing still is the next sentence
-                self.close()
-                self.begin(at)
-        elif text:
-            self.close()
-            self.begin(at)
-        else:
-            self.clear += 1
-            if self.clear >= self.clear_frames:
-                self.close()
-                self.state = NONE
+        return {"fold": (self.place, self.begun, self.last, self.heard)}
+
+    def feed(self, idx: np.ndarray, ts: np.ndarray, symbols: np.ndarray) -> None:
+        actions, place = [], self.place
+        for symbol in symbols.tolist():
+            actions.append(self.does[place][symbol])
+            place = self.goes[place][symbol]
+        self.place = place
+        texts, done = np.flatnonzero(symbols & TEXT), 0
+
+        def hear(upto: int) -> None:
+            nonlocal done
+            stop = int(np.searchsorted(texts, upto))
+            self.heard = self.heard + idx[texts[done:stop]].tolist()
+            if stop:
+                self.last = (int(idx[texts[stop - 1]]), float(ts[texts[stop - 1]]))
+            done = stop
+
+        for at in np.flatnonzero(actions).tolist():
+            if actions[at] & CLOSE:
+                hear(at + 1)
+                self.end()
+            if actions[at] & OPEN:
+                self.begun = (int(idx[at]), float(ts[at]))
+        hear(len(symbols))
+
+    def end(self) -> None:
+        (first, since), (last, until) = self.begun, self.last
+        if until - since >= self.min_duration:
+            self.out.append((first, last, since, until, sorted(set(self.heard))))
+        self.begun, self.heard = None, []
 
     def finish(self) -> None:
-        if self.state != NONE:
-            self.close()
+        """End of input: an open segment ends too."""
+        if self.begun is not None:
+            self.end()
+        self.place = 0
 
 
 class MarkerMachine:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanline.functions import machine
 from spanline.functions import scalars as sc
 from spanline.operators import sequence as seq
 from spanline.operators.union import union_all
@@ -246,28 +250,54 @@ def coarse_to_fine(df: DataFrame, k: list[str], order: list, score: Column, step
 
 
 def dialogue_segments(df: DataFrame, k: list[str], order: list, cfg: dict) -> DataFrame:
-    """Segments of an ordered series by the four-state dialogue machine, one key per task.
+    """Segments of an ordered series by the four-state dialogue machine.
 
     df(k, idx, ts, presence, diff, name_presence, name_diff); cfg as for
     :func:`spanline.functions.scalars.flags`, with stable_frames, clear_frames and
     min_duration.  Each step depends on the state so far, so a key is folded in
-    order: (k, frame_start, frame_end, start, end, samples).
+    order, as a stream of sorted rows of which only the open segment is held:
+    (k, frame_start, frame_end, start, end, samples).
     """
-    from spanline.functions.machine import Machine, SCHEMA
-
-    flagged = df.select(*k, *[c for c in order if c not in ("idx", "ts")], "idx", "ts", sc.flags("presence", "diff", "name_presence", "name_diff", cfg).alias("f")).select(*k, *[c for c in order if c not in ("idx", "ts")], "idx", "ts", "f.*")
-    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in k)
-
-    def run(key, pdf):
-        import pandas as pd
-
-        m = Machine(cfg)
-        for r in pdf.sort_values(order).itertuples(index=False):
-            m.step(r.idx, r.ts, r.has_text, r.has_change, r.is_clear, r.name_changed)
-        m.finish()
-        out = pd.DataFrame(m.out, columns=["frame_start", "frame_end", "start", "end", "samples"])
-        for i, c in enumerate(k):
-            out.insert(i, c, key[i])
-        return out
-
-    return flagged.groupBy(*k).applyInPandas(run, f"{kinds}, {SCHEMA}")
+    rest = [c for c in order if c not in ("idx", "ts", *k)]
+    flagged = df.select(*k, *rest, "idx", "ts", sc.flags("presence", "diff", "name_presence", "name_diff", cfg).alias("f"))
+    bits = [("has_text", machine.TEXT), ("has_change", machine.CHANGE), ("is_clear", machine.CLEAR), ("name_changed", machine.NAME)]
+    symbol = sum((F.coalesce(F.col(f"f.{name}"), F.lit(False)).cast("int") * bit for name, bit in bits), F.lit(0))
+    rows = flagged.withColumn("symbol", symbol).repartition(*k).sortWithinPartitions(*k, *order)
+    kinds = [f"{c} {df.schema[c].dataType.simpleString()}" for c in k]
+    rows = rows.select(*k, F.col("idx").cast("long"), F.col("ts").cast("double"), "symbol")
+    return rows.mapInArrow(lambda it: segment_rows(it, k, cfg), ", ".join([*kinds, machine.SCHEMA]))
+
+
+def segment_rows(batches: Iterator[pa.RecordBatch], k: list[str], cfg: dict) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key and order through one machine for each key."""
+    key, fold, kinds = None, None, None
+    names = [*k, "frame_start", "frame_end", "start", "end", "samples"]
+
+    def emit(done: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*done, strict=True))
+        types = [*kinds, pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+
+    for b in batches:
+        kinds = [b.schema.field(i).type for i in range(len(k))]
+        keys = list(zip(*(b.column(i).to_pylist() for i in range(len(k))), strict=True))
+        idx, ts, symbol = (b.column(len(k) + i).to_numpy(zero_copy_only=False) for i in range(3))
+        cuts = [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]]
+        done = []
+        for lo, hi in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+            if lo == hi:
+                continue
+            if fold is None or keys[lo] != key:
+                if fold is not None:
+                    fold.finish()
+                    done += [(*key, *row) for row in fold.out]
+                key, fold = keys[lo], machine.Segmenter(cfg)
+            fold.feed(idx[lo:hi], ts[lo:hi], symbol[lo:hi])
+            done += [(*key, *row) for row in fold.out]
+            fold.out = []
+        if done:
+            yield emit(done)
+    if fold is not None:
+        fold.finish()
+        if fold.out:
+            yield emit([(*key, *row) for row in fold.out])

@@ -5,11 +5,13 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanline.functions.machine import SCHEMA, Machine, MarkerMachine
+from spanline.functions import machine
+from spanline.functions.machine import SCHEMA, MarkerMachine, Segmenter
 from spanline.operators.sequence import by
 
 
@@ -32,18 +34,24 @@ def fold_stream(df: DataFrame, k: list[str], order: list[str], make: Callable, s
 
     ``make(saved)`` gives the machine, ``step(machine, row)`` feeds it; what it has
     put into ``out`` is emitted.  A row with ``eof`` true ends its key's input.
-    Rows must come in order between batches; within one they are sorted.
+    Rows must come in order between batches; within one they are sorted.  The state
+    of a key is dropped at its end.
     """
     kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in k)
 
     def run(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         m = make(json.loads(state.get[0]) if state.exists else None)
+        ended = False
         for r in pd.concat(list(pdfs)).sort_values(order).itertuples(index=False):
             if r.eof:
                 m.finish()
+                ended = True
             else:
                 step(m, r)
-        state.update((json.dumps(m.saved()),))
+        if not ended:
+            state.update((json.dumps(m.saved()),))
+        elif state.exists:
+            state.remove()
         out = pd.DataFrame(m.out, columns=columns)
         for i, c in enumerate(k):
             out.insert(i, c, key[i])
@@ -60,8 +68,10 @@ def stream_segments(df: DataFrame, k: list[str], cfg: dict, mode: str = "dialogu
     without smoothing; what follows the last disappearance is left out.
     """
     if mode == "dialogue":
-        step = lambda m, r: m.step(r.idx, r.ts, r.has_text, r.has_change, r.is_clear, r.name_changed)
-        return fold_stream(df, k, ["eof", "idx"], lambda s: Machine(cfg, s), step, SCHEMA, ["frame_start", "frame_end", "start", "end", "samples"])
+        bits = {"has_text": machine.TEXT, "has_change": machine.CHANGE, "is_clear": machine.CLEAR, "name_changed": machine.NAME}
+        symbol = lambda r: sum(bit for name, bit in bits.items() if getattr(r, name) is True or getattr(r, name) == 1)
+        step = lambda m, r: m.feed(np.array([r.idx], np.int64), np.array([r.ts], float), np.array([symbol(r)]))
+        return fold_stream(df, k, ["eof", "idx"], lambda s: Segmenter(cfg, s), step, SCHEMA, ["frame_start", "frame_end", "start", "end", "samples"])
     step = lambda m, r: m.step(int(r.idx), bool(r.on))
     return fold_stream(df, k, ["eof", "idx"], lambda s: MarkerMachine(cfg, s), step, "frame_start long, frame_end long, sample long", ["frame_start", "frame_end", "sample"])
 

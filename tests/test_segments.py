@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from spanline.functions.machine import Machine
+from spanline.functions import machine
 from spanline.operators import segments as sg
 from spanline.operators import sequence as seq
 
@@ -61,21 +62,36 @@ def test_coarse_to_fine(spark):
     assert {(r.k, r.i): (r.score, r.computed) for r in got} == want
 
 
-def test_machine_matches_batch(spark):
+def test_machine_is_the_same_however_rows_are_dealt(spark):
+    """Its rules are checked against SQL (g2_dialogue_segments); here rows one by one give what whole keys give."""
     rng = random.Random(4)
-    cfg = {"presence": 5, "change": 0.5, "clear": 2, "name_presence": 8, "name_change": 0.5, "stable_frames": 2, "clear_frames": 2, "min_duration": 1.0}
-    rows = [(k, i, float(i), rng.random() * 10, rng.random(), rng.random() * 10, rng.random()) for k in range(20) for i in range(rng.choice([0, 1, 3, 60]))]
-    df = spark.createDataFrame(rows, "k int, idx long, ts double, presence double, diff double, name_presence double, name_diff double")
-    got = sorted((r.k, r.frame_start, r.frame_end, tuple(r.samples)) for r in sg.dialogue_segments(df, ["k"], ["idx"], cfg).collect())
-    want = []
-    for k in range(20):
-        m = Machine(cfg)
-        for r in rows:
-            if r[0] == k:
-                m.step(r[1], r[2], r[3] >= 5, r[4] >= 0.5, r[3] <= 2, r[5] >= 8 and r[6] >= 0.5)
-        m.finish()
-        want += [(k, a, b, tuple(s)) for a, b, _, _, s in m.out]
-    assert got == sorted(want) and want
+    for stable, clear in ((1, 1), (2, 2), (0, 0), (3, 1), (1, 4)):
+        cfg = {"stable_frames": stable, "clear_frames": clear, "min_duration": 1.0}
+        idx = np.arange(300)
+        symbols = np.array([rng.choice([0, 1, 1, 3, 4, 9, 8, 2]) for _ in idx])
+        whole, single = machine.Segmenter(cfg), None
+        whole.feed(idx, idx * 1.0, symbols)
+        whole.finish()
+        out = []
+        for i in idx:
+            single = machine.Segmenter(cfg, single and single.saved())
+            single.feed(idx[i : i + 1], idx[i : i + 1] * 1.0, symbols[i : i + 1])
+            out += single.out
+        single.finish()
+        assert whole.out == out + single.out[len(single.out) - (len(whole.out) - len(out)) :] and whole.out
+        assert all(b >= a + 1 and set(x) <= set(idx[symbols & 1 > 0]) for a, b, _, _, x in whole.out)
+
+
+def test_dialogue_segments_of_null_and_many_keys(spark):
+    rows = [(k, i, float(i), 9.0 if i % 7 < 4 else 0.0, 0.0, 0.0, 0.0) for k in (None, "a", "b") for i in range(30)]
+    df = spark.createDataFrame(rows, "k string, idx long, ts double, presence double, diff double, name_presence double, name_diff double")
+    cfg = {"presence": 5, "change": 0.5, "clear": 2, "name_presence": 8, "name_change": 0.5, "clear_frames": 2}
+    got = {}
+    for r in sg.dialogue_segments(df, ["k"], ["idx"], cfg).collect():
+        got.setdefault(r.k, []).append((r.frame_start, r.frame_end, list(r.samples)))
+    want = [(a, a + 3, list(range(a, a + 4))) for a in range(0, 28, 7)] + [(28, 29, [28, 29])]
+    assert {k: sorted(v) for k, v in got.items()} == {None: want, "a": want, "b": want}
+    assert sg.dialogue_segments(df.limit(0), ["k"], ["idx"], cfg).count() == 0
 
 
 def test_debounce_fold(spark):
