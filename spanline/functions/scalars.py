@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -49,6 +50,11 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is named."""
+    return F.get(F.transform(F.array(col(value)), use), F.lit(0))
+
+
 # --- texts --------------------------------------------------------------------
 
 
@@ -61,23 +67,30 @@ def normalize_quotes(c, legacy: bool = False) -> Column:
     ``legacy`` also turns every one that is left over, contractions included, into
     『.  Whole-text ASCII brackets become full-width ones.  Null becomes empty.
     """
-    s = F.regexp_replace(F.coalesce(col(c), F.lit("")), TRIM, "")
-    inner = None
-    for a, b in WRAPPERS:
-        got = F.regexp_replace(F.substring(s, F.lit(2), F.length(s) - 2), TRIM, "")
-        hit = (F.length(s) >= 2) & F.startswith(s, F.lit(a)) & F.endswith(s, F.lit(b))
-        got = F.concat(F.lit("「"), got, F.lit("」"))
-        inner = F.when(hit, got) if inner is None else inner.when(hit, got)
-    first, last = F.substring(s, 1, 1), F.right(s, F.lit(1))
-    opens, closes = F.instr(F.lit(OPENERS), first) > 0, F.instr(F.lit(CLOSERS), last) > 0
-    # Of two quotes at the ends that aren't a pair above, only a pair of one kind would match.
-    odd = (F.length(s) > 0) & ((opens & ~closes) | (closes & ~opens) | (opens & closes & (F.length(s) >= 2)))
-    stripped = F.regexp_replace(F.regexp_replace(s, "^[\"『』「」]+|[\"『』「」]+$", ""), TRIM, "")
-    s = inner.when(odd, F.concat(F.lit("「"), stripped, F.lit("」"))).otherwise(s)
-    s = pair_single_quotes(s, legacy)
-    wrapped = F.regexp_replace(F.substring(s, F.lit(2), F.length(s) - 2), TRIM, "")
-    s = F.when((F.length(s) >= 2) & F.startswith(s, F.lit("「")) & F.endswith(s, F.lit("」")), wrapped).otherwise(s)
-    return F.when((F.length(s) >= 2) & F.startswith(s, F.lit("(")) & F.endswith(s, F.lit(")")), F.concat(F.lit("（"), F.substring(s, F.lit(2), F.length(s) - 2), F.lit("）"))).otherwise(s)
+
+    def inside(s: Column) -> Column:
+        return F.regexp_replace(F.substring(s, F.lit(2), F.length(s) - 2), TRIM, "")
+
+    def ends(s: Column, a: str, b: str) -> Column:
+        return (F.length(s) >= 2) & F.startswith(s, F.lit(a)) & F.endswith(s, F.lit(b))
+
+    def unwrapped(s: Column) -> Column:
+        out = None
+        for a, b in WRAPPERS:
+            got = F.concat(F.lit("「"), inside(s), F.lit("」"))
+            out = F.when(ends(s, a, b), got) if out is None else out.when(ends(s, a, b), got)
+        opens, closes = F.instr(F.lit(OPENERS), F.substring(s, 1, 1)) > 0, F.instr(F.lit(CLOSERS), F.right(s, F.lit(1))) > 0
+        # Of two quotes at the ends that aren't a pair above, only a pair of one kind would match.
+        odd = (F.length(s) > 0) & ((opens & ~closes) | (closes & ~opens) | (opens & closes & (F.length(s) >= 2)))
+        stripped = F.regexp_replace(F.regexp_replace(s, "^[\"『』「」]+|[\"『』「」]+$", ""), TRIM, "")
+        return out.when(odd, F.concat(F.lit("「"), stripped, F.lit("」"))).otherwise(s)
+
+    def bracketed(s: Column) -> Column:
+        return F.when(ends(s, "(", ")"), F.concat(F.lit("（"), F.substring(s, F.lit(2), F.length(s) - 2), F.lit("）"))).otherwise(s)
+
+    plain = F.regexp_replace(F.coalesce(col(c), F.lit("")), TRIM, "")
+    paired = let(plain, lambda s: pair_single_quotes(unwrapped(s), legacy))
+    return let(let(paired, lambda s: F.when(ends(s, "「", "」"), inside(s)).otherwise(s)), bracketed)
 
 
 def pair_single_quotes(s: Column, legacy: bool = False) -> Column:
@@ -117,12 +130,13 @@ def canonicalize(c, mapping: dict[str, str], unknown: str = "keep", dash: bool =
 
 def bracket_indent(c, ass: bool = False) -> Column:
     """Later lines indented by the brackets that the first one starts with."""
-    s = col(c)
-    lead = F.regexp_extract(s, rf"^[{FULL_BRACKETS}(\[]+", 0)
-    half = F.length(F.translate(lead, FULL_BRACKETS, ""))
-    full = F.length(F.translate(lead, HALF_BRACKETS, ""))
-    pad = F.concat(F.repeat(F.lit("\\h" if ass else " "), half), F.repeat(F.lit("　"), full))
-    return F.when((F.length(lead) > 0) & F.contains(s, F.lit("\n")), F.replace(s, F.lit("\n"), F.concat(F.lit("\n"), pad))).otherwise(s)
+    def padded(s: Column, lead: Column) -> Column:
+        half = F.length(F.translate(lead, FULL_BRACKETS, ""))
+        full = F.length(F.translate(lead, HALF_BRACKETS, ""))
+        pad = F.concat(F.repeat(F.lit("\\h" if ass else " "), half), F.repeat(F.lit("　"), full))
+        return F.when((F.length(lead) > 0) & F.contains(s, F.lit("\n")), F.replace(s, F.lit("\n"), F.concat(F.lit("\n"), pad))).otherwise(s)
+
+    return let(c, lambda s: let(F.regexp_extract(s, rf"^[{FULL_BRACKETS}(\[]+", 0), lambda lead: padded(s, lead)))
 
 
 def clip(c, n: int) -> Column:
@@ -180,9 +194,9 @@ def cache_key(ident, start, end, kind) -> Column:
 
 def ass_time(c) -> Column:
     """H:MM:SS.cc, centiseconds rounded half to even."""
-    cs = F.bround(col(c) * 100, 0).cast("long")
-    part = lambda div, mod: (F.floor(cs / div) % mod).cast("long")
-    return F.format_string("%d:%02d:%02d.%02d", F.floor(cs / 360000).cast("long"), part(6000, 60), part(100, 60), cs % 100)
+    part = lambda cs, div, mod: (F.floor(cs / div) % mod).cast("long")
+    clock = lambda cs: F.format_string("%d:%02d:%02d.%02d", F.floor(cs / 360000).cast("long"), part(cs, 6000, 60), part(cs, 100, 60), cs % 100)
+    return let(F.bround(col(c) * 100, 0).cast("long"), clock)
 
 
 def parse_time(c) -> Column:
@@ -273,15 +287,16 @@ def debug_label(ident, raw_id, start, end, kind, seen=None, times=None, legacy=N
 
 def translation_flags(kind, original, translation, debug=None, n: int = 5, chars: str = CJK) -> Column:
     """Reasons to look at a translation again; none for blank rows and titles."""
-    t, o = normalize_quotes(text(translation)), text(original)
-    fallback = F.startswith(t, F.lit(DEBUG_PREFIX))
-    if debug is not None:
-        fallback = fallback | ((text(debug) != "") & (t == text(debug)))
-    reasons = F.array_compact(F.array(
-        F.when(t == "", "translation_missing").when(fallback, "translation_fallback_debug_text"),
-        F.when(charclass_leak(o, t, chars, n), "translation_kanji_overlap_with_original"),
-    ))
-    return F.when(is_dialogue(kind), reasons).otherwise(F.array().cast("array<string>"))
+    def reasons(t: Column, shown: Column) -> Column:
+        fallback = F.startswith(t, F.lit(DEBUG_PREFIX)) | ((shown != "") & (t == shown))
+        return F.array_compact(F.array(
+            F.when(t == "", "translation_missing").when(fallback, "translation_fallback_debug_text"),
+            F.when(charclass_leak(text(original), t, chars, n), "translation_kanji_overlap_with_original"),
+        ))
+
+    label = F.lit("") if debug is None else text(debug)
+    found = let(normalize_quotes(text(translation)), lambda t: let(label, lambda shown: reasons(t, shown)))
+    return F.when(is_dialogue(kind), found).otherwise(F.array().cast("array<string>"))
 
 
 def presence_decision(score, components, x_min, x_span, y_span, largest, cfg: dict) -> Column:

@@ -99,10 +99,14 @@ def render_events(segments: DataFrame, k: list[str], layout: dict, base: Column
     s = s.withColumn("_own", F.coalesce(own, F.lit(False))).withColumn("_n", F.row_number().over(w))
     name = F.when(F.col("_own"), F.concat(F.lit("Entry_"), F.col("_n").cast("string"))).otherwise("Default")
     raw = F.coalesce(F.nullif("translation", F.lit("")), F.col("original"), F.lit(""))
-    text, who = escape_lines(raw), F.trim(F.replace(F.coalesce("speaker", F.lit("")), F.lit("\n"), F.lit("\\N")))
-    title = F.lower(sc.text("kind")) == "title"
     pick = lambda f, default: F.coalesce(F.nullif(F.trim(st[f]), F.lit("")), F.lit(str(default)))
-    head = F.concat(F.lit("Dialogue: "), pick("layer", 0), F.lit(","), sc.ass_time("start"), F.lit(","), sc.ass_time("end"), F.lit(","), name, F.lit(",,0,0,0,,"))
+    # Columns, so that what several rows name is computed and planned once.
+    s = s.withColumns({
+        "_name": name, "_text": escape_lines(raw), "_who": F.trim(F.replace(F.coalesce("speaker", F.lit("")), F.lit("\n"), F.lit("\\N"))),
+        "_title": F.lower(sc.text("kind")) == "title", "_start": sc.ass_time("start"), "_end": sc.ass_time("end"),
+    })
+    s = s.withColumn("_head", F.concat(F.lit("Dialogue: "), pick("layer", 0), F.lit(","), F.col("_start"), F.lit(","), F.col("_end"), F.lit(","), F.col("_name"), F.lit(",,0,0,0,,")))
+    name, text, who, title, head = (F.col(c) for c in ("_name", "_text", "_who", "_title", "_head"))
     centred = lambda x, y: F.concat(F.lit(f"{{\\an5\\pos({x},{y})\\fs"), title_size.cast("string"), F.lit("}"))
     placed = F.concat(F.lit("{\\an"), pick("alignment", 1), F.lit("\\pos("), F.coalesce(st["x"], F.lit(str(x1))), F.lit(","), F.coalesce(st["y"], F.lit(str(y2))), F.lit(")}"))
     shown, named = F.trim(text) != "", who != ""
@@ -114,7 +118,7 @@ def render_events(segments: DataFrame, k: list[str], layout: dict, base: Column
         F.when(~title & shown, row(4, 0, F.concat(head, placed, text))),
     ]
     if debug:
-        top = F.concat(F.lit("Dialogue: 1,"), sc.ass_time("start"), F.lit(","), sc.ass_time("end"), F.lit(f",DebugOverlay,,0,0,0,,{{\\an8\\pos({round(layout['width'] / 2)},40)}}"), F.replace(sc.text("label"), F.lit("\n"), F.lit("\\N")))
+        top = F.concat(F.lit("Dialogue: 1,"), F.col("_start"), F.lit(","), F.col("_end"), F.lit(f",DebugOverlay,,0,0,0,,{{\\an8\\pos({round(layout['width'] / 2)},40)}}"), F.replace(sc.text("label"), F.lit("\n"), F.lit("\\N")))
         rows.append(F.when(sc.text("label") != "", row(5, 0, top)))
     body = s.select(*k, F.explode(F.array_compact(F.array(*rows))).alias("r")).select(*k, "r.*")
     none = F.struct(*[F.lit(None).cast("string").alias(f) for f in STYLE_LINE if not f.isdigit()])

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from spanline.functions import machine
 from spanline.functions import scalars as sc
 from spanline.operators import sequence as seq
-from spanline.operators.union import union_all
 
 #: Seconds from a segment's start to its head probe.
 PROBE_AFTER = 0.16
@@ -24,96 +23,145 @@ def in_segments(segments: DataFrame, frames: DataFrame, k: list[str], start: str
     return f.join(cells, [*k, "_cell"]).where(F.col("idx").between(F.col(start), F.col(end))).drop("_cell")
 
 
-def head_probe(inside: DataFrame, k: list[str], flag: str, fps: float, n: int) -> DataFrame:
-    """(k, segment_id, probe_hits): flags among n frames from a little after the start, within the segment."""
-    first = F.least(F.col("frame_end"), F.col("frame_start") + max(0, round(PROBE_AFTER * fps)))
-    last = F.least(F.col("frame_end"), first + (max(1, n) - 1))
-    return inside.groupBy(*k, "segment_id").agg(F.count_if(F.col(flag) & F.col("idx").between(first, last)).alias("probe_hits"))
+# --- expressions over a segment's frames -----------------------------------------
+#
+# ``fr`` is an array of structs (idx, ...), sorted by idx: one segment's frames.
 
 
-def boundary_confidence(inside: DataFrame, k: list[str], presence: str, run_start: str, run_end: str) -> DataFrame:
-    """(k, segment_id, run_len, run_avg, run_min, before_avg, rise) of a run within a segment.
+def packed(inside: DataFrame, key: list[str], *cols: str) -> DataFrame:
+    """(key, fr): each key's frames in order, with the given columns.  Bounded by the length of a segment."""
+    return inside.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("idx", *cols))).alias("fr"))
 
-    The frames before are up to four, and no more than the run has.
-    """
-    idx, s, e = F.col("idx"), F.col(run_start), F.col(run_end)
-    n = F.least(e - s + 1, F.lit(4))
-    within, before = idx.between(s, e), (idx < s) & (idx >= s - n)
-    out = inside.groupBy(*k, "segment_id").agg(
-        F.max(e - s + 1).alias("run_len"),
-        F.avg(F.when(within, F.col(presence))).alias("run_avg"),
-        F.min(F.when(within, F.col(presence))).alias("run_min"),
-        F.coalesce(F.avg(F.when(before, F.col(presence))), F.lit(0.0)).alias("before_avg"),
-        F.count_if(before).alias("before"),
-    )
-    return out.withColumn("rise", F.col("run_avg") - F.col("before_avg"))
 
+def with_frames(segments: DataFrame, frames: DataFrame, k: list[str], *cols: str) -> DataFrame:
+    """Segments with ``fr``; it is empty for those without frames."""
+    key = [*k, "segment_id"]
+    out = segments.join(packed(in_segments(segments.select(*key, "frame_start", "frame_end"), frames.select(*k, "idx", *cols), k), key, *cols), key, "left")
+    return out.withColumn("fr", F.coalesce("fr", F.array().cast(out.schema["fr"].dataType)))
 
-def last_run_start(flags: DataFrame, k: list[str], flag: str, step: int = 1) -> DataFrame:
-    """(k, found): the start of the last true run, as a coarse backward scan sees it; null if it sees none.
 
-    flags(k, idx, flag) is one range per key.  Points at ``step`` from the end, and
-    the start, are looked at backwards; of their last block of trues the earliest
-    one lies in the run that counts, which starts where it does in all frames.
+def is_on(x: Column, flag: str) -> Column:
+    return F.coalesce(x[flag], F.lit(False))
+
+
+def idx_where(fr: Column, test) -> Column:
+    return F.transform(F.filter(fr, test), lambda x: x["idx"])
+
+
+def probe_hits(fr: Column, flag: str, start: Column, end: Column, fps: float, n: int) -> Column:
+    """Flags among n frames from a little after the start, within the segment."""
+    first = F.least(end, start + max(0, round(PROBE_AFTER * fps)))
+    last = F.least(end, first + (max(1, n) - 1))
+    return F.size(F.filter(fr, lambda x: is_on(x, flag) & x["idx"].between(first, last))).cast("long")
+
+
+def candidate_run(fr: Column, flag: str, gap: int, start: Column) -> Column:
+    """struct(run_start, run_end) of the first run of two flags or more (of all, if there is but one frame); gaps are filled."""
+    need = F.least(F.lit(2), F.size(fr))
+    at = F.filter(F.transform(fr, lambda x, i: F.when(is_on(x, flag), i)), lambda p: p.isNotNull())
+    long_enough = lambda r: r["e"] - r["s"] + 1 >= need
+    run = lambda s, e: F.struct(s.alias("s"), e.alias("e"))
+
+    def grow(r: Column, p: Column) -> Column:
+        return F.when(p - r["e"] - 1 <= max(0, gap), run(r["s"], p)).when(long_enough(r), r).otherwise(run(p, p))
+
+    none = F.lit(None).cast("int")
+    first = F.aggregate(at, run(none, none), grow, lambda r: F.when(long_enough(r), r))
+    return sc.let(first, lambda r: F.struct((r["s"] + start).alias("run_start"), (r["e"] + start).alias("run_end")))
+
+
+def run_confidence(fr: Column, presence: str, s: Column, e: Column) -> Column:
+    """struct(run_len, run_avg, run_min, before_avg, rise) of a run; the frames before are up to four, and no more than the run has."""
+
+    def mean(values: Column) -> Column:
+        some = F.filter(values, lambda v: v.isNotNull())
+        return F.try_divide(F.aggregate(some, F.lit(0.0), lambda acc, v: acc + v), F.size(some))
+
+    value = lambda test: F.transform(F.filter(fr, test), lambda x: x[presence].cast("double"))
+    within = value(lambda x: x["idx"].between(s, e))
+    before = value(lambda x: (x["idx"] < s) & (x["idx"] >= s - F.least(e - s + 1, F.lit(4))))
+    parts = F.struct((e - s + 1).alias("run_len"), mean(within).alias("run_avg"), F.array_min(within).alias("run_min"), F.coalesce(mean(before), F.lit(0.0)).alias("before_avg"))
+    return sc.let(parts, lambda p: F.struct(p["run_len"].alias("run_len"), p["run_avg"].alias("run_avg"), p["run_min"].alias("run_min"), p["before_avg"].alias("before_avg"), (p["run_avg"] - p["before_avg"]).alias("rise")))
+
+
+def back_start(fr: Column, flag: str, step: int = 1) -> Column:
+    """The start of the last true run, as a coarse backward scan sees it; null if it sees none.
+
+    Points at ``step`` from the end, and the start, are looked at backwards; of
+    their last block of trues the earliest one lies in the run that counts, which
+    starts where it does in all frames.
     """
-    ends = Window.partitionBy(*k)
-    r = seq.with_runs(flags, k, ["idx"], flag).withColumn("_lo", F.min("idx").over(ends)).withColumn("_hi", F.max("idx").over(ends))
-    r = r.withColumn("_from", F.col("idx") - F.col("pos") + F.col("run_start"))
-    pts = r.where(((F.col("_hi") - F.col("idx")) % max(1, step) == 0) | (F.col("idx") == F.col("_lo")))
-    back = Window.partitionBy(*k).orderBy(F.desc("idx"))
-    pts = pts.withColumn("_seen", F.max(F.col(flag).cast("int")).over(back.rowsBetween(seq.PAST, 0)) == 1)
-    pts = pts.withColumn("_broken", F.max((F.col("_seen") & ~F.col(flag)).cast("int")).over(back.rowsBetween(seq.PAST, 0)) == 1)
-    block = pts.where(F.col("_seen") & ~F.col("_broken")).groupBy(*k).agg(F.min(F.struct("idx", F.col("_from").alias("f"), F.col("_lo").alias("lo"))).alias("b"))
-    return flags.select(*k).distinct().join(block.select(*k, F.when(F.col("b.idx") == F.col("b.lo"), F.col("b.lo")).otherwise(F.col("b.f")).alias("found")), k, "left")
+    lo, hi = F.get(fr, F.lit(0))["idx"], F.try_element_at(fr, F.lit(-1))["idx"]
+    point = lambda x: ((hi - x["idx"]) % max(1, step) == 0) | (x["idx"] == lo)
+    top = F.array_max(idx_where(fr, lambda x: point(x) & is_on(x, flag)))
+    broken = lambda top: F.array_max(idx_where(fr, lambda x: point(x) & ~is_on(x, flag) & (x["idx"] < top)))
+    block = lambda top, off: F.array_min(idx_where(fr, lambda x: point(x) & is_on(x, flag) & (x["idx"] <= top) & (x["idx"] > F.coalesce(off, lo - 1))))
+    off_before = lambda first: F.array_max(idx_where(fr, lambda x: ~is_on(x, flag) & (x["idx"] < first)))
+    begin = lambda first: F.array_min(idx_where(fr, lambda x: x["idx"] > F.coalesce(off_before(first), lo - 1)))
+    return sc.let(top, lambda t: F.when(t.isNotNull(), sc.let(broken(t), lambda off: sc.let(block(t, off), begin))))
 
 
-def first_durable_run(flags: DataFrame, k: list[str], flag: str, step: int = 1) -> DataFrame:
-    """(k, found): the first position with two trues in a row from where a coarse forward scan wakes up.
+def fore_start(fr: Column, flag: str, step: int = 1) -> Column:
+    """The first position with two trues in a row from where a coarse forward scan wakes up.
 
     Null if there is none, or if two falses or more trail at the end.
     """
-    w = Window.partitionBy(*k)
-    f = flags.withColumn("_lo", F.min("idx").over(w)).withColumn("_hi", F.max("idx").over(w))
-    point = ((F.col("idx") - F.col("_lo")) % max(1, step) == 0) | (F.col("idx") == F.col("_hi"))
-    hit = F.min(F.when(point & F.col(flag), F.col("idx"))).over(w)
-    f = f.withColumn("_hit", hit).withColumn("_wake", F.coalesce(F.max(F.when(point & (F.col("idx") < F.col("_hit")), F.col("idx"))).over(w) + 1, F.col("_lo")))
-    f = f.withColumn("_next", F.lead(flag).over(w.orderBy("idx")))
-    durable = F.min(F.when(F.col("_hit").isNotNull() & (F.col("idx") >= F.col("_wake")) & F.col(flag) & F.coalesce("_next", F.lit(False)), F.col("idx")))
-    last_true, hi = F.max(F.when(F.col(flag), F.col("idx"))), F.max("_hi")
-    return f.groupBy(*k).agg(F.when(hi - last_true < 2, durable).alias("found"))
+    lo, hi = F.get(fr, F.lit(0))["idx"], F.try_element_at(fr, F.lit(-1))["idx"]
+    point = lambda x: ((x["idx"] - lo) % max(1, step) == 0) | (x["idx"] == hi)
+    hit = F.array_min(idx_where(fr, lambda x: point(x) & is_on(x, flag)))
+    wake = lambda hit: F.coalesce(F.array_max(idx_where(fr, lambda x: point(x) & (x["idx"] < hit))) + 1, lo)
+    next_on = lambda i: F.coalesce(F.get(fr, i + 1)[flag], F.lit(False))
+    pairs = F.filter(F.transform(fr, lambda x, i: F.when(is_on(x, flag) & next_on(i), x["idx"])), lambda p: p.isNotNull())
+    last_on = F.array_max(idx_where(fr, lambda x: is_on(x, flag)))
+    found = lambda hit: sc.let(wake(hit), lambda w: F.array_min(F.filter(pairs, lambda p: p >= w)))
+    return F.when(hi - last_on < 2, sc.let(hit, found))
 
 
-def blank_confirmed(segments: DataFrame, frames: DataFrame, k: list[str], flag: str, n: int = 3, need: int = 2, step: int = 3) -> DataFrame:
-    """(k, segment_id, confirmed): fewer than ``need`` flags among up to n frames from either end, step apart.
+def is_blank(fr: Column, flag: str, start: Column, end: Column, n: int = 3, need: int = 2, step: int = 3) -> Column:
+    """Fewer than ``need`` flags among up to n frames from either end of an interval, step apart."""
+    count = F.when(end < start, 0).otherwise(F.least(F.lit(n), F.floor((end - start) / step) + 1))
+    near = lambda far: (far % step == 0) & (far >= 0) & (far / step < count)
+    return F.size(F.filter(fr, lambda x: is_on(x, flag) & (near(x["idx"] - start) | near(end - x["idx"])))) < need
 
-    An interval without frames is confirmed.
-    """
-    count = F.when(F.col("frame_end") < F.col("frame_start"), 0).otherwise(F.least(F.lit(n), F.floor((F.col("frame_end") - F.col("frame_start")) / step) + 1))
-    steps = F.when(count > 0, F.sequence(F.lit(0).cast("long"), count.cast("long") - 1)).otherwise(F.array().cast("array<bigint>"))
-    at = F.array_distinct(F.concat(F.transform(steps, lambda i: F.col("frame_start") + i * step), F.transform(steps, lambda i: F.col("frame_end") - i * step)))
-    probes = segments.select(*k, "segment_id", F.explode_outer(at).alias("idx"))
-    hits = probes.join(frames.select(*k, "idx", flag), [*k, "idx"], "left")
-    return hits.groupBy(*k, "segment_id").agg((F.count_if(F.coalesce(F.col(flag), F.lit(False))) < max(1, need)).alias("confirmed"))
 
+# --- operators -------------------------------------------------------------------
 
-def _parts(df: DataFrame, k: list[str], split: Column, reasons: Column) -> DataFrame:
+
+def head_probe(inside: DataFrame, k: list[str], flag: str, fps: float, n: int) -> DataFrame:
+    """(k, segment_id, probe_hits) of :func:`probe_hits`, from the frames within segments."""
+    key = [*k, "segment_id"]
+    return packed(inside, [*key, "frame_start", "frame_end"], flag).select(*key, probe_hits(F.col("fr"), flag, F.col("frame_start"), F.col("frame_end"), fps, n).alias("probe_hits"))
+
+
+def boundary_confidence(inside: DataFrame, k: list[str], presence: str, run_start: str, run_end: str) -> DataFrame:
+    """(k, segment_id, run_len, run_avg, run_min, before_avg, rise) of :func:`run_confidence`."""
+    key = [*k, "segment_id"]
+    return packed(inside, [*key, run_start, run_end], presence).select(*key, run_confidence(F.col("fr"), presence, F.col(run_start), F.col(run_end)).alias("c")).select(*key, "c.*")
+
+
+def last_run_start(flags: DataFrame, k: list[str], flag: str, step: int = 1) -> DataFrame:
+    """(k, found) of :func:`back_start`; flags(k, idx, flag) is one range per key."""
+    return packed(flags, k, flag).select(*k, back_start(F.col("fr"), flag, step).alias("found"))
+
+
+def first_durable_run(flags: DataFrame, k: list[str], flag: str, step: int = 1) -> DataFrame:
+    """(k, found) of :func:`fore_start`."""
+    return packed(flags, k, flag).select(*k, fore_start(F.col("fr"), flag, step).alias("found"))
+
+
+def blank_confirmed(segments: DataFrame, frames: DataFrame, k: list[str], flag: str, n: int = 3, need: int = 2, step: int = 3) -> DataFrame:
+    """(k, segment_id, confirmed) of :func:`is_blank`; an interval without frames is confirmed."""
+    confirmed = is_blank(F.col("fr"), flag, F.col("frame_start"), F.col("frame_end"), n, need, step)
+    return with_frames(segments, frames, k, flag).select(*k, "segment_id", confirmed.alias("confirmed"))
+
+
+def _parts(df: DataFrame, k: list[str], split: Column, reasons: Column, *more: str) -> DataFrame:
     """A whole segment, or its blank and dialogue parts where ``split`` isn't null; samples are the dialogue's middle."""
     whole = F.struct(F.col("frame_start").alias("s"), F.col("frame_end").alias("e"), F.lit(True).alias("talk"))
     two = F.array(F.struct(F.col("frame_start").alias("s"), (split - 1).alias("e"), F.lit(False).alias("talk")), F.struct(split.alias("s"), F.col("frame_end").alias("e"), F.lit(True).alias("talk")))
-    out = df.select(*k, "segment_id", F.explode(F.when(split.isNull(), F.array(whole)).otherwise(two)).alias("p"), reasons.alias("review_reason"))
+    out = df.select(*k, "segment_id", F.explode(F.when(split.isNull(), F.array(whole)).otherwise(two)).alias("p"), reasons.alias("review_reason"), *more)
     middle = F.col("p.s") + F.floor((F.col("p.e") - F.col("p.s")) / 2)
-    return out.select(*k, "segment_id", F.col("p.s").alias("frame_start"), F.col("p.e").alias("frame_end"), F.col("p.talk").alias("has_name"), F.when(F.col("p.talk"), middle).alias("sample"), "review_reason")
-
-
-def _candidate(inside: DataFrame, segments: DataFrame, k: list[str], flag: str, gap: int) -> DataFrame:
-    """(k, segment_id, run_start, run_end) of the first durable run up to the anchor, gaps filled; frame numbers."""
-    key = [*k, "segment_id"]
-    up = inside.where(F.col("idx") <= F.col("anchor")).select(*key, "idx", flag, "frame_start")
-    up = up.withColumn("_n", F.count("*").over(Window.partitionBy(*key)))
-    filled = seq.fill_gaps(up, key, ["idx"], flag, max(0, gap), "_f")
-    short = filled.where("_n < 2").groupBy(*key).agg(F.min(F.when(F.col("_f"), F.struct(F.lit(0).cast("long").alias("run_start"), F.lit(0).cast("long").alias("run_end")))).alias("r")).select(*key, "r.run_start", "r.run_end")
-    long = seq.first_run(filled.where("_n >= 2").select(*key, "idx", "_f"), key, ["idx"], "_f", 2)
-    return union_all(short, long.select(*short.columns)).join(segments.select(*key, F.col("frame_start").alias("_s")), key).select(*key, (F.col("run_start") + F.col("_s")).alias("run_start"), (F.col("run_end") + F.col("_s")).alias("run_end"))
+    return out.select(*k, "segment_id", F.col("p.s").alias("frame_start"), F.col("p.e").alias("frame_end"), F.col("p.talk").alias("has_name"), F.when(F.col("p.talk"), middle).alias("sample"), "review_reason", *more)
 
 
 def with_anchor(segments: DataFrame) -> DataFrame:
@@ -121,7 +169,7 @@ def with_anchor(segments: DataFrame) -> DataFrame:
     return segments.withColumn("anchor", F.greatest("frame_start", F.least("frame_end", F.coalesce("sample", "frame_end"))))
 
 
-def split_blank_dialogue(segments: DataFrame, frames: DataFrame, k: list[str], score: str, threshold: float, fps: float, probe_frames: int = 5, probe_hits: int = 4, gap: int = 2, min_blank: int = 2) -> DataFrame:
+def split_blank_dialogue(segments: DataFrame, frames: DataFrame, k: list[str], score: str, threshold: float, fps: float, probe_frames: int = 5, probe_least: int = 4, gap: int = 2, min_blank: int = 2) -> DataFrame:
     """Segments cut into a blank and a dialogue part by a second score series.
 
     Whole if the head probe hits; else the dialogue starts at the first durable run
@@ -129,23 +177,25 @@ def split_blank_dialogue(segments: DataFrame, frames: DataFrame, k: list[str], s
     also whole if the blank part would be shorter than ``min_blank``.
     segments(k, segment_id, frame_start, frame_end, sample), frames(k, idx, score).
     """
-    key = [*k, "segment_id"]
-    segments = with_anchor(segments)
-    inside = in_segments(segments, frames, k).join(segments.select(*key, "anchor"), key).withColumn("_flag", F.coalesce(F.col(score) >= threshold, F.lit(False)))
-    probe = head_probe(inside, k, "_flag", fps, probe_frames)
-    run = _candidate(inside, segments, k, "_flag", gap)
-    span = inside.where(F.col("idx") <= F.col("anchor")).groupBy(*key).agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
-    s = segments.join(probe, key, "left").join(run, key, "left").join(span, key, "left")
-    probed = F.coalesce("probe_hits", F.lit(0)) >= max(1, probe_hits)
-    split = F.when(~probed & (F.col("run_start") - F.col("frame_start") >= max(1, min_blank)), F.col("run_start"))
+    frames = frames.select(*k, "idx", F.col(score).alias("_score"), F.coalesce(F.col(score) >= threshold, F.lit(False)).alias("_flag"))
+    s = with_frames(with_anchor(segments), frames, k, "_score", "_flag")
+    s = s.withColumn("_upto", F.filter("fr", lambda x: x["idx"] <= F.col("anchor")))
+    scores = F.transform("_upto", lambda x: x["_score"])
+    s = s.withColumns({
+        "_hits": probe_hits(F.col("fr"), "_flag", F.col("frame_start"), F.col("frame_end"), fps, probe_frames),
+        "_run": candidate_run(F.col("_upto"), "_flag", gap, F.col("frame_start")),
+        "_lo": F.array_min(scores), "_hi": F.array_max(scores),
+    })
+    probed, start = F.col("_hits") >= max(1, probe_least), F.col("_run.run_start")
+    split = F.when(~probed & (start - F.col("frame_start") >= max(1, min_blank)), start)
     why = F.format_string(f"marker2_boundary_unconfirmed:score=[%.4f,%.4f] threshold={threshold:.4f}", "_lo", "_hi")
-    reasons = F.when(~probed & F.col("run_start").isNull() & F.col("_lo").isNotNull(), F.array(why)).otherwise(F.array().cast("array<string>"))
+    reasons = F.when(~probed & start.isNull() & F.col("_lo").isNotNull(), F.array(why)).otherwise(F.array().cast("array<string>"))
     return _parts(s, k, split, reasons)
 
 
 def split_by_presence(
     segments: DataFrame, frames: DataFrame, k: list[str], mask: str, confirm: str | None, fps: float,
-    probe_frames: int = 5, probe_hits: int = 4, gap: int = 2, min_blank: int = 2, lookback: int = 6, step: int = 1,
+    probe_frames: int = 5, probe_least: int = 4, gap: int = 2, min_blank: int = 2, lookback: int = 6, step: int = 1,
     verify_frames: int = 3, verify_hits: int = 2, mask_fallback: bool = False,
     presence: str | None = None, split_presence: float = 0.0, split_run: int = 2, split_rise: float = 0.002,
 ) -> DataFrame:
@@ -156,54 +206,51 @@ def split_by_presence(
     proposal counts if run length, mean and rise of ``presence`` allow.  The blank
     part must be long enough and hold few confirmed frames.  Outcomes: probe,
     miss, low, short, unconfirmed, not_blank, split, split_fallback.
+
+    A segment's frames are gathered once and all is decided within its row.
     """
-    key = [*k, "segment_id"]
     seen = confirm or mask
-    segments = with_anchor(segments)
-    inside = in_segments(segments, frames, k).join(segments.select(*key, "anchor"), key)
-    probe = head_probe(inside, k, seen, fps, probe_frames)
-    run = _candidate(inside, segments, k, mask, gap)
-    upto = inside.where(F.col("idx") <= F.col("anchor"))
-    s = segments.join(probe, key, "left").join(run, key, "left")
-    back = last_run_start(upto.select(*key, "idx", seen), key, seen, step).withColumnRenamed("found", "_back")
-    s = s.join(back, key, "left")
+    cols = list(dict.fromkeys(c for c in (mask, confirm, presence) if c))
+    s = with_frames(with_anchor(segments), frames, k, *cols)
+    s = s.withColumn("_upto", F.filter("fr", lambda x: x["idx"] <= F.col("anchor")))
+    s = s.withColumns({
+        "_hits": probe_hits(F.col("fr"), seen, F.col("frame_start"), F.col("frame_end"), fps, probe_frames),
+        "_run": candidate_run(F.col("_upto"), mask, gap, F.col("frame_start")),
+        "_back": back_start(F.col("_upto"), seen, step),
+    })
+    start, end = F.col("_run.run_start"), F.col("_run.run_end")
+    low, fallback = F.lit(False), F.lit(False)
     if confirm:
-        begin = F.greatest("frame_start", F.col("run_start") - max(0, lookback))
-        fw = upto.join(run.select(*key, "run_start"), key).where(F.col("run_start").isNotNull() & (F.col("idx") >= begin))
-        s = s.join(first_durable_run(fw.select(*key, "idx", seen), key, seen, step).withColumnRenamed("found", "_fore"), key, "left")
+        begin = F.greatest("frame_start", start - max(0, lookback))
+        s = s.withColumn("_fore", F.when(start.isNotNull(), fore_start(F.filter("_upto", lambda x: x["idx"] >= begin), seen, step)))
+        if mask_fallback:
+            fallback = (end - start + 1 >= max(2, min(3, probe_least))) & (F.col("anchor") - end <= max(0, gap))
     else:
-        s = s.withColumn("_fore", F.col("run_start"))
-    low = F.lit(False)
-    if presence and not confirm:
-        conf = boundary_confidence(upto.join(run, key), k, presence, "run_start", "run_end")
-        s = s.join(conf, key, "left")
-        low = (F.col("run_len") < max(1, split_run)) | (F.col("run_avg") < split_presence) | ((F.col("run_start") > F.col("frame_start")) & (F.col("rise") < split_rise))
-    fallback = F.lit(False)
-    if confirm and mask_fallback:
-        fallback = (F.col("run_end") - F.col("run_start") + 1 >= max(2, min(3, probe_hits))) & (F.col("anchor") - F.col("run_end") <= max(0, gap))
-    found = F.coalesce("_fore", "_back", F.when(fallback, F.col("run_start")))
-    found = F.when(F.col("run_start").isNull(), F.col("_back")).otherwise(found)
-    s = s.withColumn("_at", found)
-    check = s.select(*key, "frame_start", (F.col("_at") - 1).alias("frame_end")).where("frame_end IS NOT NULL")
-    s = s.join(blank_confirmed(check, frames, k, seen, verify_frames, verify_hits), key, "left")
+        s = s.withColumn("_fore", start)
+        if presence:
+            s = s.withColumn("_conf", run_confidence(F.col("_upto"), presence, start, end))
+            conf = lambda f: F.col(f"_conf.{f}")
+            low = (conf("run_len") < max(1, split_run)) | (conf("run_avg") < split_presence) | ((start > F.col("frame_start")) & (conf("rise") < split_rise))
+    found = F.coalesce("_fore", "_back", F.when(fallback, start))
+    s = s.withColumn("_at", F.when(start.isNull(), F.col("_back")).otherwise(found))
+    s = s.withColumn("_blank", is_blank(F.col("fr"), seen, F.col("frame_start"), F.col("_at") - 1, verify_frames, verify_hits))
     need = max(1, min_blank)
     outcome = (
-        F.when(F.coalesce("probe_hits", F.lit(0)) >= max(1, probe_hits), "probe")
-        .when(F.col("run_start").isNull() & F.col("_at").isNull(), "miss")
-        .when(F.col("run_start").isNotNull() & F.coalesce(low, F.lit(False)), "low")
-        .when(F.col("run_start").isNotNull() & (F.col("run_start") - F.col("frame_start") < need), "short")
+        F.when(F.col("_hits") >= max(1, probe_least), "probe")
+        .when(start.isNull() & F.col("_at").isNull(), "miss")
+        .when(start.isNotNull() & F.coalesce(low, F.lit(False)), "low")
+        .when(start.isNotNull() & (start - F.col("frame_start") < need), "short")
         .when(F.col("_at").isNull(), "unconfirmed")
         .when(F.col("_at") - F.col("frame_start") < need, "short")
-        .when(~F.col("confirmed"), "not_blank")
-        .when(F.col("run_start").isNotNull() & F.col("_fore").isNull() & F.col("_back").isNull(), "split_fallback")
+        .when(~F.col("_blank"), "not_blank")
+        .when(start.isNotNull() & F.col("_fore").isNull() & F.col("_back").isNull(), "split_fallback")
         .otherwise("split")
     )
     s = s.withColumn("outcome", outcome)
     tags = {"miss": "name_split_boundary_unconfirmed:mask_miss_and_backward_" + ("ocr" if confirm else "mask") + "_failed", "low": "name_mask_low_confidence_candidate", "unconfirmed": "name_ocr_boundary_unconfirmed:forward_backward_ocr_both_failed", "not_blank": "name_split_blank_confirm_failed", "split_fallback": "name_ocr_boundary_fallback:mask_candidate_after_ocr_failed"}
     table = F.create_map(*[F.lit(x) for kv in tags.items() for x in kv])
     reasons = sc.merge_reasons(F.array(F.try_element_at(table, F.col("outcome"))))
-    out = _parts(s, k, F.when(F.startswith("outcome", F.lit("split")), F.col("_at")), reasons)
-    return out.join(s.select(*key, "outcome"), key)
+    return _parts(s, k, F.when(F.startswith("outcome", F.lit("split")), F.col("_at")), reasons, "outcome")
 
 
 def coarse_to_fine(df: DataFrame, k: list[str], order: list, score: Column, step: int, margin: float, threshold: float | None = None) -> DataFrame:

@@ -53,10 +53,9 @@ SELECT user_id, sid AS segment_id, re - rs + 1 AS run_len, round(avg(value) FILT
 FROM u JOIN cand USING (user_id, sid) GROUP BY user_id, sid, rs, re""")
 def e17(spark, d):
     s, f = blocks(spark, d)
-    s = sg.with_anchor(s)
-    inside = sg.in_segments(s, f, K).join(s.select(*KEY, "anchor"), KEY)
-    run = sg._candidate(inside, s, K, "flag", 2).where("run_start IS NOT NULL")
-    out = sg.boundary_confidence(inside.where("idx <= anchor").join(run, KEY), K, "value", "run_start", "run_end")
+    s = sg.with_frames(sg.with_anchor(s), f, K, "flag", "value")
+    s = s.withColumn("upto", F.filter("fr", lambda x: x["idx"] <= F.col("anchor"))).withColumn("run", sg.candidate_run(F.col("upto"), "flag", 2, F.col("frame_start")))
+    out = s.where("run.run_start IS NOT NULL").withColumn("c", sg.run_confidence(F.col("upto"), "value", F.col("run.run_start"), F.col("run.run_end"))).select(*KEY, "c.*")
     return out.select(*KEY, "run_len", F.round("run_avg", 6).alias("run_avg"), "run_min", F.round("before_avg", 6).alias("before_avg"), F.round("rise", 6).alias("rise"))
 
 
@@ -111,7 +110,7 @@ SELECT user_id, sid AS segment_id, fs AS frame_start, rs - 1 AS frame_end, false
 UNION ALL SELECT user_id, sid, CASE WHEN cut THEN rs ELSE fs END, fe, true, CASE WHEN cut THEN rs + (fe - rs) // 2 ELSE fs + (fe - fs) // 2 END, why FROM q""")
 def h2a(spark, d):
     s, f = blocks(spark, d)
-    out = sg.split_blank_dialogue(s, f, K, "value", 35.0, 6.0, probe_frames=3, probe_hits=3)
+    out = sg.split_blank_dialogue(s, f, K, "value", 35.0, 6.0, probe_frames=3, probe_least=3)
     return out.select(*KEY, "frame_start", "frame_end", "has_name", "sample", F.array_join("review_reason", ",").alias("reasons"))
 
 
@@ -128,14 +127,14 @@ UNION ALL SELECT user_id, sid, CASE WHEN outcome = 'split' THEN ct ELSE fs END,
 @query("h2b_split_by_presence", h2b_sql())
 def h2b(spark, d):
     s, f = blocks(spark, d)
-    out = sg.split_by_presence(s, f, K, "mask", "flag", 6.0, probe_frames=3, probe_hits=3, lookback=3)
+    out = sg.split_by_presence(s, f, K, "mask", "flag", 6.0, probe_frames=3, probe_least=3, lookback=3)
     return out.select(*KEY, "frame_start", "frame_end", "has_name", "outcome")
 
 
 @query("h2b_split_by_mask")
 def h2b_mask(spark, d):
     s, f = blocks(spark, d)
-    out = sg.split_by_presence(s, f, K, "mask", None, 6.0, probe_frames=3, probe_hits=3, presence="value", split_presence=30.0)
+    out = sg.split_by_presence(s, f, K, "mask", None, 6.0, probe_frames=3, probe_least=3, presence="value", split_presence=30.0)
     return out.select(*KEY, "frame_start", "frame_end", "has_name", "outcome")
 
 
