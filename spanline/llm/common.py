@@ -57,7 +57,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop_scratch(df_or_path: DataFrame | str, spark: SparkSession | None = None) -> None:
-    """Delete a scratch table that is no longer read."""
+    """Delete a scratch table that is no longer read.
+
+    The shuffle files it was made from go once the driver's JVM has collected what
+    refers to them, which is asked for here: disks fill faster than heaps.
+    """
     if isinstance(df_or_path, DataFrame):
         spark = df_or_path.sparkSession
         paths = {f.rsplit("/", 1)[0] for f in df_or_path.inputFiles()[:1]}
@@ -66,6 +70,7 @@ def drop_scratch(df_or_path: DataFrame | str, spark: SparkSession | None = None)
     for p in paths:
         jpath = spark._jvm.org.apache.hadoop.fs.Path(p)
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+    spark._jvm.System.gc()
 
 
 def broadcast_if(df: DataFrame, weight: int | None, most: int) -> DataFrame:

@@ -18,15 +18,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanline.llm import textkit as tk
-from spanline.llm.buckets import linked, longs
+from spanline.llm.buckets import linked
 from spanline.llm.common import SENT, broadcast_if, components, cut, drop_scratch
 
 #: Blocks of a SimHash, of 16 bits each, and how many of them make the key of a table:
 #: of two lines that differ in fewer blocks than there are tables (7 of 24), a table's blocks all agree.
 BLOCKS, EACH = 24, 3
 TABLES = BLOCKS // EACH
-#: Share of agreeing blocks below which a pair isn't verified: 3.8 standard deviations below 2/3.
-LEAST = 7 / BLOCKS
+#: Share of agreeing blocks below which a pair isn't verified: three standard deviations below 2/3.
+LEAST = 9 / BLOCKS
+#: Numbers of 64 bits for the parities of a line's words.
+PARITIES = 4
 #: Occurrences of a line from which they are joined apart from the others.
 COMMON = 50_000
 
@@ -67,17 +69,25 @@ def counted(h: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def simhashes(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The SimHash of each line, one row of TABLES keys: three blocks of 16 bits with the table's number above."""
-    out = np.zeros((len(first) - 1, TABLES), np.uint64)
+    """The SimHash of each line, one row of TABLES keys: three blocks of 16 bits with the table's number above.
+
+    After them come PARITIES numbers: which of 256 classes of words a line has an
+    odd number of.  Putting in or taking out a word flips one bit and a changed
+    word at most two.
+    """
+    out, parity = np.zeros((len(first) - 1, TABLES), np.uint64), np.zeros((len(first) - 1, PARITIES), np.uint64)
     some = np.flatnonzero(np.diff(first))
     if len(some):
+        bit = np.uint64(1) << ((h >> np.uint64(56)) & np.uint64(63))
+        for i in range(PARITIES):
+            parity[some, i] = np.bitwise_xor.reduceat(np.where(h >> np.uint64(62) == np.uint64(i), bit, np.uint64(0)), first[:-1][some])
         h = counted(h, first)
         odd = tk.mix(np.arange(1, BLOCKS + 1, dtype=np.uint64) * tk.MULT) | np.uint64(1)
         for i in range(BLOCKS):
             # A word's weight grows as its hash falls; the lightest hash is the heaviest word.
             heaviest = np.minimum.reduceat(h * odd[i], first[:-1][some])
             out[some, i // EACH] |= (tk.mix(heaviest) & np.uint64(0xFFFF)) << np.uint64(16 * (i % EACH))
-    return out | (np.arange(TABLES, dtype=np.uint64) << np.uint64(16 * EACH))[None]
+    return np.concatenate([out | (np.arange(TABLES, dtype=np.uint64) << np.uint64(16 * EACH))[None], parity], axis=1)
 
 
 def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -90,6 +100,27 @@ def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out / BLOCKS
 
 
+def likeness(similarity: float):
+    """A score for pairs: their agreement, -1 where sizes, parities or too few blocks rule the similarity out."""
+
+    def score(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        n, m = np.broadcast_arrays(n, m)
+        most = 2 * edits(np.maximum(n, m), similarity) - np.abs(n - m)
+        out = np.full(n.shape, -1.0)
+        x, y = np.broadcast_arrays(x, y)
+        live = np.nonzero(np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9)
+        apart = np.zeros(len(live[0]), np.int64)
+        for t in range(TABLES, TABLES + PARITIES):
+            apart += np.bitwise_count(x[..., t][live] ^ y[..., t][live])
+            ok = apart <= most[live]
+            live, apart = tuple(a[ok] for a in live), apart[ok]
+        share = agreement(x[live], y[live])
+        out[live] = np.where(share >= LEAST, share, -1.0)
+        return out
+
+    return score
+
+
 def finer(keys: np.ndarray) -> np.ndarray:
     """Twelve keys of two blocks each, which deal the members of a table's key."""
     blocks = np.stack([(keys[:, i // EACH] >> np.uint64(16 * (i % EACH))) & np.uint64(0xFFFF) for i in range(BLOCKS)], axis=1)
@@ -124,13 +155,13 @@ def line_rows(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[
             use = np.flatnonzero(np.diff(first))
             n, dig = np.diff(first)[use], digests(h, first)[use].view(np.int64)
             fuzzy = edits(np.floor(n / similarity + 1e-9), similarity) > 0
-            keys = simhashes(h, first)[use][fuzzy].view(np.int64)
-            ends = np.concatenate([[0], np.cumsum(fuzzy) * TABLES]).astype(np.int32)
+            sketch = simhashes(h, first)[use][fuzzy].view(np.int64)
+            ends = np.concatenate([[0], np.cumsum(fuzzy) * (TABLES + PARITIES)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     *(b.column(i).take(pa.array(at + row[use])) for i in (0, 1)),
                     *(pa.array(x, pa.int64()) for x in (number[use], dig[:, 0], dig[:, 1], n)),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1))),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(sketch.reshape(-1))),
                 ],
                 names=["doc_id", "body", "line", "hi", "lo", "n", "sketch"],
             )
@@ -246,8 +277,8 @@ def repeated(docs: DataFrame, similarity: float = 0.8, text: str = "text") -> Da
     at = F.struct("doc_id", "body", "line")
     classes = lines.groupBy("hi", "lo").agg(F.min(at).alias("at"), F.count("*").alias("times"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = cut(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
-    fuzzy = classes.where(F.size("sketch") > 0).select("id", "n", "sketch", F.col("sketch").alias("keys"))
-    links = linked(fuzzy, lambda pairs: verified(texts, classes, pairs, similarity), agreement, LEAST, similarity, finer)
+    fuzzy = classes.where(F.size("sketch") > 0).select("id", "n", "sketch", F.slice("sketch", 1, TABLES).alias("keys"))
+    links = linked(fuzzy, lambda pairs: verified(texts, classes, pairs, similarity), likeness(similarity), finer)
     comps = components(links).withColumnRenamed("node", "id")
     of = classes.select("hi", "lo", "id", "at", "times").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
     low = of.groupBy("component").agg(F.min("at").alias("keep"), F.sum("times").alias("total")).where("total > 1")

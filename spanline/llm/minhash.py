@@ -90,6 +90,16 @@ def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return 1 - 2 * np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int32) / COORDS
 
 
+def likeness(least: float, ratio: float):
+    """A score for pairs: their estimated similarity, -1 below ``least`` or where sizes rule it out."""
+
+    def score(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        share = agreement(x, y)
+        return np.where((share >= least) & (np.minimum(n, m) >= ratio * np.maximum(n, m) - 1e-9), share, -1.0)
+
+    return score
+
+
 def sketch_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, body, hi, lo, n, sketch, keys): the class (128-bit digest of the set), one bit of each coordinate, the bands."""
     for b in batches:
@@ -181,7 +191,7 @@ def members(docs: DataFrame, num: int, den: int, k: int = SHINGLE, text: str = "
     rep = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body")
     classes = sets.where("n > 0").groupBy("hi", "lo").agg(F.min(rep).alias("rep"), *[F.first(c).alias(c) for c in ("n", "sketch", "keys")])
     classes = cut(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
-    links = linked(classes.select("id", "n", "sketch", "keys"), lambda pairs: verified(docs, classes, pairs, k, num, den), agreement, least, ratio, lambda keys: keys)
+    links = linked(classes.select("id", "n", "sketch", "keys"), lambda pairs: verified(docs, classes, pairs, k, num, den), likeness(least, ratio), lambda keys: keys)
     comps = components(links)
     of = classes.select("hi", "lo", "id", "rep").join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     low = of.groupBy("component").agg(F.min("rep").alias("first"))
