@@ -83,7 +83,13 @@ def buckets_for(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def hub_join(rows: DataFrame, side: DataFrame, on: str, hubs: DataFrame | None) -> DataFrame:
+def hot_keys(counted: DataFrame, on: list[str], times: str, least: int = HUB) -> DataFrame | None:
+    """The keys of a table that count ``least`` or more rows elsewhere, if there are any, and few enough to be broadcast."""
+    hot = counted.where(F.col(times) >= least).select(*on)
+    return hot if 0 < hot.count() <= SENT else None
+
+
+def hub_join(rows: DataFrame, side: DataFrame, on: str | list[str], hubs: DataFrame | None) -> DataFrame:
     """``rows`` inner join ``side`` (one row per key); keys in the short table ``hubs`` are joined where their rows are."""
     if hubs is None:
         return rows.join(side, on)

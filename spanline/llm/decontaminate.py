@@ -2,8 +2,11 @@
 
 Both sides are cut into words; of the K-word hashes in every run of
 ``window - K + 1`` starts the smallest is a fingerprint, so every shared span of
-``window`` words has a fingerprint in common.  Document fingerprints are joined
-with those of the benchmark, and each hit is extended to the windows around it.
+``window`` words has a fingerprint in common.  The two sides are joined on
+fingerprint and window, and hits are extended to all windows that a fingerprint
+stands for.  Before the join, bitmaps of the benchmark's fingerprints and windows
+drop most of what has no partner: their size is fixed, they lose nothing, and a
+benchmark too large for them only makes the join larger.
 """
 
 from __future__ import annotations
@@ -16,172 +19,140 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanline.llm import textkit as tk
+from spanline.llm.common import SENT, broadcast_if, cut
 
 K = 5
+#: Bits of a bitmap, as a power of two: 4 MB each, and as much through the driver.
+BITS = 25
 
 
-class Index:
-    """Fingerprints and window hashes of a bounded block of benchmark items, in sorted arrays."""
+def starts_in(h: np.ndarray, row: np.ndarray, size: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, fingerprint) of the windows of ``size`` words that lie in one row.
 
-    def __init__(self, ids: list, texts: list, window: int):
-        self.window = window
-        wins: dict[int, list] = {}
-        prints = []
-        for row, data, offs in tk.slices(pa.array(texts, pa.string())):
+    A whole window's fingerprint is its smallest K-gram; a shorter one's is its own hash.
+    """
+    n = len(h) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    at = np.flatnonzero(row[:n] == row[size - 1 :])
+    low = tk.gram_hashes(h, size) if size < window else tk.sliding_min(tk.gram_hashes(h, K), window - K + 1)
+    return at, low[at]
+
+
+def window_hashes(h: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    g = np.zeros(len(at), np.uint64)
+    for j in range(size):
+        g = g * tk.MULT + h[at + j]
+    return tk.mix(g + np.full(1, size, np.uint64) * tk.MIX1)
+
+
+def item_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """(item, size, print, win): the distinct windows of each item; an item of fewer words is one window."""
+    for b in batches:
+        for at, data, offs in tk.slices(b.column(1)):
             h, first = tk.word_hashes(data, offs, tk.ALNUM)
-            for i in range(len(offs) - 1):
-                own = h[first[i] : first[i + 1]]
-                size = min(window, len(own))
-                if size:
-                    g = np.unique(tk.gram_hashes(own, size))
-                    wins.setdefault(size, []).append((g, np.full(len(g), row + i)))
-                    if size == window:
-                        prints.append(np.unique(tk.sliding_min(tk.gram_hashes(own, K), window - K + 1)))
-        self.ids = ids
-        self.prints = np.unique(np.concatenate(prints)) if prints else np.zeros(0, np.uint64)
-        self.wins = {}
-        for size, parts in wins.items():
-            g, at = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            order = np.argsort(g, kind="stable")
-            self.wins[size] = (g[order], at[order])
-
-    def starts(self, h: np.ndarray, row: np.ndarray, size: int) -> np.ndarray:
-        """Starts in ``h`` where a window of ``size`` words may match; all for sizes that fingerprints don't cover."""
-        n = len(h) - size + 1
-        if n <= 0:
-            return np.zeros(0, np.int64)
-        if size < self.window:
-            at = np.arange(n)
-        else:
-            k = tk.gram_hashes(h, K)
-            low = tk.sliding_min(k, self.window - K + 1)
-            # A window's smallest K-gram is one of its fingerprints: look at the windows whose own is the benchmark's.
-            at = np.flatnonzero(member(low, self.prints))
-        return at[row[at] == row[at + size - 1]]
-
-    def hits(self, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
-        """(which words are hit, (row, item) pairs) for the word hashes of a slice."""
-        edge = np.zeros(len(h) + 1, np.int32)
-        pairs = []
-        for size, (wins, items) in self.wins.items():
-            at = self.starts(h, row, size)
-            if not len(at):
-                continue
-            g = np.zeros(len(at), np.uint64)
-            for j in range(size):
-                g = g * tk.MULT + h[at + j]
-            g = tk.mix(g)
-            lo, hi = np.searchsorted(wins, g, "left"), np.searchsorted(wins, g, "right")
-            found = hi > lo
-            at, lo, hi = at[found], lo[found], hi[found]
-            np.add.at(edge, at, 1)
-            np.add.at(edge, at + size, -1)
-            n = hi - lo
-            which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            if len(which):
-                pairs.append(np.unique(np.stack([np.repeat(row[at], n), items[which]]), axis=1))
-        both = np.unique(np.concatenate(pairs, axis=1), axis=1) if pairs else np.zeros((2, 0), np.int64)
-        return np.cumsum(edge[:-1]) > 0, list(zip(both[0].tolist(), both[1].tolist(), strict=True))
-
-
-def member(x: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Which of x are in the sorted table: a byte map on the low bits first, then a search for the few left."""
-    if not len(table):
-        return np.zeros(len(x), bool)
-    bits = np.uint64(max(16, min(22, int(len(table)).bit_length() + 4)))
-    seen = np.zeros(1 << int(bits), bool)
-    mask = np.uint64((1 << int(bits)) - 1)
-    seen[table & mask] = True
-    out = seen[x & mask]
-    at = np.flatnonzero(out)
-    p = np.minimum(np.searchsorted(table, x[at]), len(table) - 1)
-    out[at] = table[p] == x[at]
+            row, n = tk.row_of(first), np.diff(first)
+            for size in np.unique(np.minimum(n[n > 0], window)).tolist():
+                start, low = starts_in(h, row, size, window)
+                own = n[row[start]] == size if size < window else np.ones(len(start), bool)
+                start, low = start[own], low[own]
+                rows = np.unique(np.stack([row[start].astype(np.uint64), low, window_hashes(h, start, size)]), axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array(at + rows[0].astype(np.int64))), pa.array(np.full(rows.shape[1], size)), pa.array(rows[1].view(np.int64)), pa.array(rows[2].view(np.int64))],
+                    names=["item", "size", "print", "win"],
+                )
+
+
+def bitmap(wins: DataFrame, column: str) -> np.ndarray:
+    """The low BITS bits of all values of a column, as a map; at most 2 ** BITS / 64 rows pass through the driver."""
+    low = F.col(column).bitwiseAND(F.lit((1 << BITS) - 1))
+    rows = wins.groupBy(F.shiftright(low, 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), low.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).toArrow()
+    out = np.zeros((1 << BITS) // 64, np.uint64)
+    if rows.num_rows:
+        out[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
     return out
 
 
-def scan(batches: Iterator[pa.RecordBatch], make) -> Iterator[pa.RecordBatch]:
-    """Per document: words, hit words, hit runs (start, end in words) and items with occurring windows."""
-    index = make()
+def in_map(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
+    low = x & np.uint64(64 * len(bits) - 1)
+    return (bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) == 1
+
+
+HIT = pa.list_(pa.struct([("pos", pa.int64()), ("size", pa.int64()), ("print", pa.int64()), ("win", pa.int64())]))
+SCANNED = "doc_id {}, body long, n_words long, hits array<struct<pos:long,size:long,print:long,win:long>>"
+
+
+def scan_rows(batches: Iterator[pa.RecordBatch], window: int, sizes: list[int], prints: np.ndarray, wins: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Per document its words, and the windows that both bitmaps let through."""
     for batch in batches:
-        ids, col = batch.column(0), batch.column(1)
-        n_words, n_hit, runs, items = [], [], [], []
-        for _, data, offs in tk.slices(col):
+        n_words, hits = [], []
+        for _, data, offs in tk.slices(batch.column(2)):
             h, first = tk.word_hashes(data, offs, tk.ALNUM)
             row = tk.row_of(first)
-            hit, pairs = index.hits(h, row)
-            of: dict[int, list] = {}
-            for r, i in pairs:
-                of.setdefault(r, []).append(str(index.ids[i]))
-            total = np.concatenate([[0], np.cumsum(hit)])
-            for r in range(len(offs) - 1):
-                a, b = first[r], first[r + 1]
-                n_words.append(b - a)
-                n_hit.append(total[b] - total[a])
-                items.append(sorted(set(of.get(r, ()))))
-                if r in of:
-                    e = np.flatnonzero(np.diff(np.concatenate([[0], hit[a:b].astype(np.int8), [0]])))
-                    runs.append(e.reshape(-1, 2).tolist())
-                else:
-                    runs.append([])
-        yield pa.RecordBatch.from_arrays(
-            [ids, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(runs, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string()))],
-            names=["doc_id", "n_words", "n_hit", "runs", "items"],
-        )
-
-
-OUT = "doc_id {}, n_words long, n_hit long, runs array<array<long>>, items array<string>"
-
-
-def find(docs: DataFrame, bench: DataFrame, window: int = 13, block_bytes: int = 32 << 20, text: str = "text") -> DataFrame:
-    """doc_id, n_words, n_hit, runs, items for every document.
-
-    The benchmark is used in blocks of at most about ``block_bytes`` of text (its
-    size is measured first), one block broadcast at a time; a benchmark within
-    one block needs no exchange of documents at all.  With several blocks a pass
-    is made for each and the runs of a document are united.
+            found = []
+            for size in sizes:
+                start, low = starts_in(h, row, size, window)
+                some = in_map(prints, low)
+                start, low = start[some], low[some]
+                win = window_hashes(h, start, size)
+                some = in_map(wins, win)
+                found.append(np.stack([row[start][some].astype(np.uint64), (start - first[row[start]])[some].astype(np.uint64), np.full(int(some.sum()), size, np.uint64), low[some], win[some]]))
+            all_hits = np.concatenate(found, axis=1) if found else np.zeros((5, 0), np.uint64)
+            all_hits = all_hits[:, np.argsort(all_hits[0], kind="stable")]
+            ends = np.searchsorted(all_hits[0], np.arange(len(offs)).astype(np.uint64)).astype(np.int32)
+            parts = pa.StructArray.from_arrays([pa.array(all_hits[i].view(np.int64)) for i in range(1, 5)], fields=list(HIT.value_type))
+            n_words.append(np.diff(first))
+            hits.append(pa.ListArray.from_arrays(pa.array(ends), parts))
+        if n_words:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(n_words), pa.int64()), pa.concat_arrays(hits)], names=["doc_id", "body", "n_words", "hits"])
+
+
+def united(spans: F.Column) -> F.Column:
+    """Sorted [start, end) spans, those that touch put together."""
+    last = lambda acc: F.element_at(acc, -1)
+    joins = lambda acc, r: (F.size(acc) > 0) & (F.try_element_at(F.try_element_at(acc, F.lit(-1)), F.lit(2)) >= r[0])
+    grown = lambda acc, r: F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.array(last(acc)[0], F.greatest(last(acc)[1], r[1]))))
+    return F.aggregate(spans, F.array().cast("array<array<long>>"), lambda acc, r: F.when(joins(acc, r), grown(acc, r)).otherwise(F.concat(acc, F.array(r))))
+
+
+def find(docs: DataFrame, bench: DataFrame, window: int = 13, text: str = "text") -> DataFrame:
+    """doc_id, body (a hash of the text), n_words, n_hit, runs, items for every row.
+
+    ``runs`` are the hit words as [start, end); ``items`` the sorted ids, as strings,
+    of the items with an occurring window.  Windows of the benchmark are counted:
+    up to SENT of them are sent to the documents, more are joined by an exchange.
 
     Nulls: a null or empty text, and an item without words, have no windows; a
     null item_id counts as the string "null".  An item of fewer words than
-    ``window`` is one window.  Repeated documents are judged alike, each in its
-    own row; with several blocks rows of equal doc_id and words are judged as one
-    and given once for each.  Empty tables: no rows, or documents without hits.
-    Extra columns are ignored.
+    ``window`` is one window.  Repeated documents, and documents of one doc_id with
+    other texts, are judged each in its own row; repeated items count once.  Empty
+    tables: no rows, or documents without hits.  Extra columns are ignored.
     """
     spark = docs.sparkSession
-    items = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col(text).alias("body")).where("body is not null")
-    size = items.agg(F.sum(F.length(F.encode("body", "utf-8")))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    items = items.withColumn("block", F.pmod(F.xxhash64("item", "body"), F.lit(blocks)))
-    cols = docs.select("doc_id", F.col(text).cast("string").alias("_text"))
-    out = OUT.format(cols.schema["doc_id"].dataType.simpleString())
-    parts = []
-    for b in range(blocks):
-        own = items.where(F.col("block") == b).toArrow()  # at most about block_bytes
-        pair = spark.sparkContext.broadcast((own.column("item").to_pylist(), own.column("body").to_pylist()))
-        parts.append(cols.mapInArrow(lambda it, pair=pair: scan(it, lambda: Index(*pair.value, window)), out))
-    if blocks == 1:
-        return parts[0]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    ordered = F.array_sort(F.flatten(F.collect_list("runs")))
-    united = F.aggregate(
-        ordered,
-        F.array().cast("array<array<long>>"),
-        lambda acc, r: F.when((F.size(acc) > 0) & (F.element_at(F.element_at(acc, -1), 2) >= r[0]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.array(F.element_at(F.element_at(acc, -1), 1), F.greatest(F.element_at(F.element_at(acc, -1), 2), r[1])))))
-        .otherwise(F.concat(acc, F.array(r))),
-    )
-    some = (
-        every.withColumn("n", F.lit(1) / blocks)
-        .groupBy("doc_id", "n_words")
-        .agg(united.alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.round(F.sum("n")).cast("int").alias("copies"))
-    )
+    items = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col(text).cast("string").alias("body")).where("body is not null")
+    wins = cut(items.mapInArrow(lambda it: item_rows(it, window), "item string, size long, print long, win long").distinct(), "windows")
+    sizes = sorted(r[0] for r in wins.select("size").distinct().collect())  # ``window`` rows at most
+    maps = spark.sparkContext.broadcast((bitmap(wins, "print"), bitmap(wins, "win")))
+    value = F.col(text).cast("string")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    src = docs.select("doc_id", F.xxhash64(value).alias("body"), value.alias("_text"))
+    seen = src.mapInArrow(lambda it: scan_rows(it, window, sizes, *maps.value), SCANNED.format(kind))
+    seen = cut(seen.withColumn("_row", F.monotonically_increasing_id()), "scanned")
+    on = ["size", "print", "win"]
+    hits = seen.select("_row", F.explode("hits").alias("h")).select("_row", "h.*")
+    n_wins = wins.count()
+    hits = cut(hits.join(broadcast_if(wins.select(*on).distinct(), n_wins, SENT), on, "left_semi"), "hits")
+    some = hits.groupBy("_row").agg(F.array_sort(F.collect_set(F.array(F.col("pos"), F.col("pos") + F.col("size")))).alias("spans"))
+    named = hits.select("_row", *on).distinct().join(broadcast_if(wins, n_wins, SENT), on).groupBy("_row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    some = some.withColumn("runs", united(F.col("spans"))).join(named, "_row")
     n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r[1] - r[0])
-    return some.select("doc_id", "n_words", n_hit.alias("n_hit"), "runs", "items", F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1)))).alias("_c")).drop("_c")
+    some = some.select("_row", n_hit.alias("n_hit"), "runs", "items")
+    none = {"n_hit": F.lit(0).cast("long"), "runs": F.array().cast("array<array<long>>"), "items": F.array().cast("array<string>")}
+    return seen.select("_row", "doc_id", "body", "n_words").join(some, "_row", "left").select("doc_id", "body", "n_words", *[F.coalesce(c, v).alias(c) for c, v in none.items()])
 
 
 def judge(found: DataFrame, share: int = 20) -> DataFrame:
-    """Adds n_items, items_sha256 and contaminated: a ``share``-th of the words or more are hit."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated (a ``share``-th of the words or more are hit), body."""
     return found.select(
         "doc_id",
         "n_words",
@@ -189,10 +160,18 @@ def judge(found: DataFrame, share: int = 20) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))).alias("contaminated"),
+        "body",
     )
 
 
-def keep_clean(docs: DataFrame, bench: DataFrame, share: int = 20, **options) -> DataFrame:
-    """``docs`` without the contaminated rows, all columns kept; documents of a null doc_id are kept."""
-    bad = judge(find(docs, bench, **options), share).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+def keep_clean(docs: DataFrame, bench: DataFrame, share: int = 20, text: str = "text", **options) -> DataFrame:
+    """``docs`` without the contaminated rows, all columns kept.
+
+    A row goes by its own text, whatever its doc_id, null included, and whatever
+    other rows share it.
+    """
+    bad = judge(find(docs, bench, text=text, **options), share).where("contaminated").select(F.col("doc_id").alias("__of"), F.col("body").alias("__in")).distinct()
+    bad = cut(bad, "contaminated")
+    bad = broadcast_if(bad, bad.count(), SENT)
+    own = F.xxhash64(docs[text].cast("string"))
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__of"]) & (own == bad["__in"]), "left_anti")

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanline.llm import textkit as tk
+from spanline.llm.common import SENT, broadcast_if, cut
 
 WIDTHS = (2, 3, 4)
 FILTERS = 16
@@ -145,25 +146,24 @@ def ranked(chosen: DataFrame, most: int) -> DataFrame:
     return chosen.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
 
 
-def train(docs: DataFrame, per_lang: int = 150, max_langs: int = 64, text_chars: int = 4000, steps: int = 600, seed: int = 0) -> Network | None:
+def train(docs: DataFrame, per_lang: int = 150, text_chars: int = 4000, steps: int = 600, seed: int = 0) -> Network | None:
     """A network fitted on a bounded sample of labelled rows: None if there are none.
 
     Rows whose crc32(doc_id as text) mod 5 is 0 are held out.  Of the others, the
-    sample has about 2 * ``per_lang`` rows of each language, no more (of the
-    ``max_langs`` most frequent), those with the smallest hashes of doc_id, and ``text_chars``
-    characters from the middle of each: the only bounds on what is learned from.
+    sample has about 2 * ``per_lang`` rows of each language, no more, those with the
+    smallest hashes of doc_id, and ``text_chars`` characters from the middle of
+    each: the only bounds on what is learned from.  Every language is learned.
     """
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
-    if not counts:
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)).select("doc_id", "lang", "text")
+    counts = cut(rows.groupBy("lang").count(), "languages")
+    langs = sorted(r["lang"] for r in counts.select("lang").collect())  # one row a class, as the network has them
+    if not langs:
         return None
     draw = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("draw")
-    wanted = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2.0 * per_lang / r["count"]))])
     mid = F.greatest(F.lit(1), ((F.length("text") - text_chars) / 2).cast("int"))
     # Chosen by label and id first, so that texts are cut and moved for few rows only.
-    chosen = rows.where(draw < F.try_element_at(wanted, F.col("lang"))).select("lang", F.substr(F.col("text"), mid, F.lit(text_chars)).alias("body"), draw)
+    chosen = rows.join(broadcast_if(counts, len(langs), SENT), "lang").where(draw * F.col("count") < 2 * per_lang).select("lang", F.substr(F.col("text"), mid, F.lit(text_chars)).alias("body"), draw)
     sample = ranked(chosen, 2 * per_lang).orderBy("draw", "lang", "body").toArrow()
-    langs = sorted({r["lang"] for r in counts})
     xs, ys = [], []
     lang = [langs.index(v) for v in sample.column("lang").to_pylist()]
     for row, data, offs in tk.slices(sample.column("body")):

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from spanline.llm import textkit as tk
 from spanline.llm.buckets import linked
-from spanline.llm.common import SENT, broadcast_if, components, cut, drop_scratch
+from spanline.llm.common import SENT, broadcast_if, components, cut, drop_scratch, hot_keys, hub_join
 
 #: Blocks of a SimHash, of 16 bits each, and how many of them make the key of a table:
 #: of two lines that differ in fewer blocks than there are tables (7 of 24), a table's blocks all agree.
@@ -283,17 +283,9 @@ def repeated(docs: DataFrame, similarity: float = 0.8, text: str = "text") -> Da
     of = classes.select("hi", "lo", "id", "at", "times").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
     low = of.groupBy("component").agg(F.min("at").alias("keep"), F.sum("times").alias("total")).where("total > 1")
     of = cut(of.join(low, "component").select("hi", "lo", "keep", "times"), "keepers")
-    rows = lines.select("hi", "lo", "doc_id", "body", "line")
-    cold = rows
-    hot = of.where(F.col("times") >= COMMON)
-    n_hot = hot.count()
-    parts = []
-    if 0 < n_hot <= SENT:  # a line of very many occurrences is joined where they are
-        hot = F.broadcast(hot.select("hi", "lo", "keep"))
-        parts.append(rows.join(hot, ["hi", "lo"]))
-        cold = rows.join(hot, ["hi", "lo"], "left_anti")
-    parts.append(cold.join(of.select("hi", "lo", "keep"), ["hi", "lo"]))
-    found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    on = ["hi", "lo"]
+    # A line of very many occurrences is joined where they are.
+    found = hub_join(lines.select(*on, "doc_id", "body", "line"), of.select(*on, "keep"), on, hot_keys(of, on, "times", COMMON))
     return found.where(~at.eqNullSafe(F.col("keep"))).select("doc_id", "body", "line").distinct()
 
 

@@ -47,7 +47,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.judge(decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    return decontaminate.judge(decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))).drop("body")
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,6 +38,10 @@ WHOLE = (BEFORE + AFTER) // SYMBOL
 INNER = (LENGTH - SYMBOL + 1) // SYMBOL
 #: Surroundings sorted at once.
 CHUNK = 2000
+#: Bytes of text for each bucket; a bucket is held in memory as a whole.
+BUCKET_BYTES = 16 << 20
+#: Documents are dealt to buckets by their number's rest by this.
+PRIME = (1 << 31) - 1
 ANCHOR = np.dtype([("h", "u8"), ("c", "u8"), ("doc", "i8"), ("pos", "i4"), ("left", "u1"), ("right", "u1")])
 EXACT = np.dtype([("h", "u8"), ("doc", "i8"), ("pos", "i4")])
 SPAN = np.dtype([("doc", "i8"), ("lo", "i4"), ("hi", "i4")])
@@ -190,9 +194,8 @@ class Anchors:
         return tk.mix(tk.span_hash(self.prefix, self.first, self.last + LENGTH) + (self.pos - self.first).astype(np.uint64) * tk.MULT)
 
 
-def hot_grams(docs: DataFrame, sample_docs: int, share: float) -> np.ndarray:
+def hot_grams(docs: DataFrame, total: int, sample_docs: int, share: float) -> np.ndarray:
     """Grams of ``share`` or more of a sample of about ``sample_docs`` documents: 70 / share of them at most per kilobyte of text."""
-    total = docs.count()
     some = docs.where(F.pmod(F.xxhash64("_doc"), F.lit(1 << 30)) < int(min(1.0, sample_docs / max(1, total)) * (1 << 30)))
 
     def run(batches):
@@ -209,15 +212,13 @@ def hot_grams(docs: DataFrame, sample_docs: int, share: float) -> np.ndarray:
     return np.sort(rows.column("h").to_numpy().view(np.uint64)) if rows.num_rows else np.zeros(0, np.uint64)
 
 
-def spark_hash(doc: np.ndarray) -> np.ndarray:
-    """Spark's xxhash64 of longs, so that Python and Spark deal documents alike."""
-    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    rot = lambda x, r: (x << np.uint64(r)) | (x >> np.uint64(64 - r))
-    h = np.full(len(doc), 42 + int(p5) + 8, np.uint64) ^ (rot(doc.astype(np.int64).view(np.uint64) * p2, 31) * p1)
-    h = rot(h, 27) * p1 + p4
-    h = (h ^ (h >> np.uint64(33))) * p2
-    h = (h ^ (h >> np.uint64(29))) * p3
-    return (h ^ (h >> np.uint64(32))).view(np.int64)
+def doc_bucket(doc: np.ndarray, n: int) -> np.ndarray:
+    """As :func:`bucket_of`, for arrays."""
+    return np.mod(np.mod(doc, PRIME), n)
+
+
+def bucket_of(doc: str, n: int) -> F.Column:
+    return F.pmod(F.pmod(F.col(doc), F.lit(PRIME)), F.lit(n))
 
 
 def deal(kind: int, rows: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
@@ -298,7 +299,7 @@ def anchor_rows(batches: Iterator[pa.RecordBatch], hot: np.ndarray, n_buckets: i
                 ex = ex[~later]
                 out += deal(1, ex, (ex["h"] % np.uint64(n_buckets)).astype(np.int64))
             spans = np.concatenate(spans)
-            out += deal(2, spans, np.mod(spark_hash(spans["doc"]), n_buckets))
+            out += deal(2, spans, doc_bucket(spans["doc"], n_buckets))
             yield packed_batch(out)
 
 
@@ -355,7 +356,7 @@ def gram_rows(batches: Iterator[pa.RecordBatch], n_docs: int) -> Iterator[pa.Rec
             for f in WANTED.names:
                 wanted[f] = rep[f]
         spans = np.concatenate(spans)
-        yield packed_batch([*deal(2, spans, np.mod(spark_hash(spans["doc"]), n_docs)), *deal(3, wanted, np.mod(spark_hash(wanted["doc"]), n_docs))])
+        yield packed_batch([*deal(2, spans, doc_bucket(spans["doc"], n_docs)), *deal(3, wanted, doc_bucket(wanted["doc"], n_docs))])
 
 
 def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[int, bytes], pa.RecordBatch]]:
@@ -418,7 +419,7 @@ def around_spans(batches: Iterator[pa.RecordBatch], n_docs: int) -> Iterator[pa.
             if len(a) - lo <= CHUNK:
                 hi = len(a)
             spans = repeated_in(a[lo:hi])
-            yield packed_batch(deal(2, spans, np.mod(spark_hash(spans["doc"]), n_docs)))
+            yield packed_batch(deal(2, spans, doc_bucket(spans["doc"], n_docs)))
             lo = hi
 
 
@@ -474,30 +475,47 @@ def kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """Adds ``_doc``, a long in the order of (doc_id, hash of the text), null first; rows with both equal share it.
+
+    Whole numbers that are unique are taken as they are, which one count of ids
+    tells; else ids are sorted, without their texts, and joined back.
+    """
+    whole = docs.schema["doc_id"].dataType.typeName() in ("long", "integer", "short", "byte")
+    if whole and not docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        return docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
+    docs = docs.withColumn("_body", F.xxhash64("_text"))
+    keys = docs.select("doc_id", "_body").distinct().orderBy(F.asc_nulls_first("doc_id"), "_body")
+    keys = cut(keys.select(F.col("doc_id").alias("_of"), F.col("_body").alias("_in"), F.monotonically_increasing_id().alias("_doc")), "numbers")
+    return docs.join(keys, docs["doc_id"].eqNullSafe(keys["_of"]) & (docs["_body"] == keys["_in"])).select("doc_id", "_text", "_doc")
+
+
 def deduplicate(docs: DataFrame, text: str = "text", sample_docs: int = 20_000, hot_share: float = 0.01) -> DataFrame:
     """doc_id, n_bytes, removed (runs of bytes, [start, end)), kept (the other bytes) for every document.
 
     A byte is removed if a string of LENGTH bytes covers it that also starts
     earlier: in a document of smaller doc_id, or before in the same one.  Strings
-    are judged on the input and never cross documents; doc_id is a whole number.
+    are judged on the input and never cross documents.
 
     Nulls: a null text is empty; a null doc_id is the smallest.  Rows of equal
-    doc_id are taken for one document: what is found in one is removed in all of
-    them.  Ties don't occur otherwise.  No rows give no rows; extra columns are
-    ignored.  A text is held in memory as a whole.
+    doc_id and other texts are documents of their own, in the order of their
+    texts' hashes; those of equal doc_id and text are one document, and lose the
+    same bytes.  doc_id may be of any type that sorts.  No rows give no rows; extra
+    columns are ignored.  A text is held in memory as a whole.
     """
     spark = docs.sparkSession
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    src = docs.select(doc.alias("_doc"), F.encode(F.coalesce(F.col(text).cast("string"), F.lit("")), "utf-8").alias("_text"), F.col("doc_id"))
-    n = buckets_for(spark)
+    src = numbered(docs.select("doc_id", F.encode(F.coalesce(F.col(text).cast("string"), F.lit("")), "utf-8").alias("_text")))
+    total, size = src.agg(F.count("*"), F.sum(F.octet_length("_text"))).first()
+    parts = buckets_for(spark)
+    n = max(parts, -(-(size or 0) // BUCKET_BYTES))
     # Buckets are dealt to partitions one by one, so that all are about equally full.
-    dealt = lambda df: df.repartitionById(n, F.col("bucket").cast("int"))
-    hot = spark.sparkContext.broadcast(hot_grams(src, sample_docs, hot_share))
+    dealt = lambda df: df.repartitionById(parts, F.pmod("bucket", F.lit(parts)).cast("int"))
+    hot = spark.sparkContext.broadcast(hot_grams(src, total, sample_docs, hot_share))
     anchors = src.select("_doc", "_text").mapInArrow(lambda it: anchor_rows(it, hot.value, n, n), PACKED)
     found = dealt(anchors).sortWithinPartitions("bucket").mapInArrow(lambda it: gram_rows(it, n), PACKED)
     found = cut(found, "found")
     nothing = [F.lit(None).cast("long").alias("_doc"), F.lit(None).cast("binary").alias("_text"), F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id")]
-    texts = src.select(F.pmod(F.xxhash64("_doc"), F.lit(n)).alias("bucket"), F.lit(9).alias("kind"), F.lit(None).cast("binary").alias("packed"), "_doc", "_text", "doc_id")
+    texts = src.select(bucket_of("_doc", n).alias("bucket"), F.lit(9).alias("kind"), F.lit(None).cast("binary").alias("packed"), "_doc", "_text", "doc_id")
 
     def with_texts(packed: DataFrame) -> DataFrame:
         both = texts.unionByName(packed.select("bucket", "kind", "packed", *nothing))

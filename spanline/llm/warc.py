@@ -1,14 +1,15 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are range-sorted by key; each task streams its range into gzip members,
-rolls files by compressed size, and writes them under temporary names.  Only
-files named in the manifest rows of tasks that succeeded are renamed and listed
-in ``manifest.json``, which is written last; whatever a lost or repeated attempt
-left behind is never read.
+Records are range-sorted by key, between bounds from the keys of smallest hash; each
+task streams its range into gzip members, rolls files by compressed size, and
+writes them under temporary names.  The files of the tasks that succeeded are then
+renamed, in tasks again, and listed in a manifest that Spark commits last; whatever a
+lost or repeated attempt left behind is never read, and is swept away.
 """
 
 from __future__ import annotations
 
+import bisect
 import gzip
 import hashlib
 import json
@@ -19,12 +20,19 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from spanline.llm.common import cut, hot_keys, hub_join
 
 #: Names of this namespace are record ids: the same page gets the same id in every run.
 NAMESPACE = uuid.UUID("6f1d3c52-8f0e-5b6e-9a3d-0c1d5b7a2e44")
 #: Every record has the same date, a parameter of the collection, so that reruns give the same bytes.
 DATE = "2024-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
+#: Folders below the archive's: files that aren't committed, and the rows of the manifest.
+TEMPORARY, MANIFEST = "_temporary_files", "manifest"
+#: Keys drawn for each shard to set the bounds between shards.
+DRAWN = 100
 MANIFEST_ROW = "name string, temporary string, records long, bytes long, sha256 string, first_key string, last_key string"
 
 
@@ -68,7 +76,7 @@ class Roller:
     def add(self, key: str, data: bytes) -> None:
         if self.out is None:
             self.name = f"shard-{self.shard:06d}-{self.part:05d}.warc.gz"
-            self.temporary = f"_tmp-{uuid.uuid4().hex}"
+            self.temporary = f"{TEMPORARY}/{uuid.uuid4().hex}"
             self.out = self.fs.open_output_stream(f"{self.path}/{self.temporary}", compression=None)
             self.sha, self.bytes, self.records, self.first = hashlib.sha256(), 0, 0, key
         member = gzip.compress(data, self.level, mtime=0)
@@ -88,65 +96,105 @@ class Roller:
 
 
 def first_copies(pages: DataFrame, key: str, payload: str, least: int) -> DataFrame:
-    """(key, refers_to) of the records that revisit another: equal payloads of ``least`` bytes or more.
+    """(_key, _digest, _ref) of the records that revisit another: equal payloads of ``least`` bytes or more.
 
-    Only digests move; copies meet in one row per digest, summed up before the exchange.
+    Only digests move; copies meet in one row per digest, summed up before the
+    exchange, and a payload of very many copies is joined where they are.
     """
     body = F.coalesce(F.encode(F.col(payload), "utf-8"), F.lit(b""))
     seen = pages.select(F.col(key).alias("_key"), F.sha2(body, 256).alias("_digest"), F.length(body).alias("_n")).where(F.col("_n") >= least)
-    firsts = seen.groupBy("_digest").agg(F.min("_key").alias("_first"), F.count("*").alias("_copies")).where("_copies > 1").drop("_copies")
-    return seen.join(firsts, "_digest").where("_key <> _first").select("_key", F.col("_first").alias("_ref"))
+    firsts = seen.groupBy("_digest").agg(F.min("_key").alias("_first"), F.count("*").alias("_copies")).where("_copies > 1")
+    firsts = cut(firsts, "firsts")
+    out = hub_join(seen, firsts.select("_digest", "_first"), "_digest", hot_keys(firsts, ["_digest"], "_copies"))
+    return out.where("_key <> _first").select("_key", "_digest", F.col("_first").alias("_ref"))
+
+
+def bounds_of(pages: DataFrame, key: str, n: int) -> list:
+    """Keys that part the rows into ``n`` ranges: quantiles of about DRAWN * n keys, those of the smallest hashes.
+
+    Which keys are drawn depends on the keys alone, so reruns give the same ranges.
+    """
+    total = pages.count()
+    share = min(1.0, DRAWN * n / max(1, total))
+    low = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 40)) < int(share * (1 << 40))
+    drawn = [r[0] for r in pages.where(F.col(key).isNotNull() & low).select(F.col(key)).distinct().orderBy(key).collect()]
+    return sorted({drawn[i * len(drawn) // n] for i in range(1, n)}) if drawn else []
 
 
 def write(
     pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html",
     least: int = 100, roll_bytes: int = 64 << 20, level: int = 6, shards: int | None = None, date: str = DATE,
-) -> list[dict]:
-    """Write one record per row of ``pages`` below ``folder`` and commit; returns the manifest's files.
-
-    Rows are range-sorted by key (ties: url, then payload).  Of records with equal
-    payloads of at least ``least`` bytes the one with the smallest key is the
-    response and the others revisit it; of rows that also share that key all are
-    responses.  Null payloads are empty, null urls ``urn:none``; a null key sorts
-    first and is written as the empty key.  An empty table gives no files and an
-    empty manifest.  Extra columns are ignored.
+) -> DataFrame:
+    """Write one record per row of ``pages`` below ``folder`` and commit; returns the manifest, a row per file.
+
+    Rows are range-sorted by key (ties: url, then payload); equal input and
+    ``shards`` give equal files.  Of records with equal payloads of at least
+    ``least`` bytes the one with the smallest key is the response and the others
+    revisit it; of rows that also share that key all are responses.  Rows of one
+    key and other payloads are judged each by its own.  Null payloads are empty,
+    null urls ``urn:none``; a null key sorts first and is written as the empty key,
+    always as a response.  An empty table gives no files and an empty manifest.
+    Extra columns are ignored.
     """
     spark = pages.sparkSession
-    rows = pages.select(
-        F.col(key).alias("_key"), F.lit(None).cast(pages.schema[key].dataType).alias("_ref"), F.lit(1).alias("_kind"), F.col(url).cast("string").alias("_url"), F.col(payload).cast("string").alias("_body")
-    )
-    marks = first_copies(pages, key, payload, least).distinct().select("_key", "_ref", F.lit(0).alias("_kind"), F.lit(None).cast("string").alias("_url"), F.lit(None).cast("string").alias("_body"))
+    kind = pages.schema[key].dataType
+    rows = pages.select(F.col(key).alias("_key"), F.lit(None).cast(kind).alias("_ref"), F.lit(1).alias("_kind"), F.col(url).cast("string").alias("_url"), F.col(payload).cast("string").alias("_body"))
+    marks = first_copies(pages, key, payload, least).distinct().select("_key", "_ref", F.lit(0).alias("_kind"), F.lit(None).cast("string").alias("_url"), F.col("_digest").alias("_body"))
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # A revisit's mark sorts just before its record, so that one exchange both sorts and joins them.
-    ordered = rows.unionByName(marks).repartitionByRange(n, "_key").sortWithinPartitions("_key", "_kind", "_url", "_body")
-    ordered = ordered.select(F.col("_key").cast("string"), F.col("_ref").cast("string"), "_kind", "_url", "_body")
+    bounds = spark.sparkContext.broadcast(bounds_of(pages, key, n))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    def shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = [0 if k is None else bisect.bisect_right(bounds.value, k) for k in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at, pa.int32())], names=[*b.schema.names, "_shard"])
+
+    both = rows.unionByName(marks)
+    both = both.mapInArrow(shard_rows, StructType([*both.schema.fields, StructField("_shard", IntegerType())]))
+    # The marks of a key sort before its records, so that one exchange both sorts and joins them.
+    ordered = both.repartitionById(n, "_shard").sortWithinPartitions("_key", "_kind", "_url", "_body")
+    ordered = ordered.select(F.col("_key").cast("string"), F.col("_ref").cast("string"), "_kind", "_url", "_body", "_shard")
 
-        out, marked = Roller(folder, TaskContext.get().partitionId(), roll_bytes, level), (None, None)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held, marked = None, None, {}
         for b in batches:
-            for k, ref, kind, link, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for k, ref, kind, link, body, shard in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if out is None:
+                    out = Roller(folder, shard, roll_bytes, level)
+                if k != held:
+                    held, marked = k, {}
                 if kind == 0:
-                    marked = (k, ref)
+                    marked[body] = ref
                     continue
-                name = "" if k is None else k
-                out.add(name, record(name, link, (body or "").encode("utf-8", "surrogatepass"), marked[1] if marked[0] == k and k is not None else None, date))
-        out.close()
-        cols = list(zip(*out.done, strict=True)) or [()] * 7
-        types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["name", "temporary", "records", "bytes", "sha256", "first_key", "last_key"])
+                data = (body or "").encode("utf-8", "surrogatepass")
+                same = marked.get(hashlib.sha256(data).hexdigest()) if marked else None
+                out.add("" if k is None else k, record("" if k is None else k, link, data, same, date))
+        if out is not None:
+            out.close()
+            cols = list(zip(*out.done, strict=True))
+            types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["name", "temporary", "records", "bytes", "sha256", "first_key", "last_key"])
 
     fs, path = filesystem(folder)
-    fs.create_dir(path, recursive=True)
-    files = [r.asDict() for r in ordered.mapInArrow(run, MANIFEST_ROW).collect()]  # one row per file
-    files.sort(key=lambda r: r["name"])
-    for f in files:
-        fs.move(f"{path}/{f.pop('temporary')}", f"{path}/{f['name']}")
-    with fs.open_output_stream(f"{path}/_manifest.tmp") as out:
-        out.write(json.dumps({"format": "WARC/1.1", "files": files}, indent=1).encode())
-    fs.move(f"{path}/_manifest.tmp", f"{path}/manifest.json")
-    return files
+    fs.create_dir(f"{path}/{TEMPORARY}", recursive=True)
+    files = cut(ordered.mapInArrow(run, MANIFEST_ROW), "files")
+
+    def move_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, root = filesystem(folder)
+        for b in batches:
+            for old, new in zip(b.column(1).to_pylist(), b.column(0).to_pylist(), strict=True):
+                if own.get_file_info(f"{root}/{old}").is_file:  # an attempt before this one may have moved it
+                    own.move(f"{root}/{old}", f"{root}/{new}")
+            yield b.drop_columns(["temporary"])
+
+    moved = files.mapInArrow(move_rows, MANIFEST_ROW.replace("temporary string, ", ""))
+    moved.write.json(f"{folder}/{MANIFEST}")
+    fs.delete_dir(f"{path}/{TEMPORARY}")
+    return manifest(spark, folder)
+
+
+def manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, records, bytes, sha256, first_key, last_key) of the files of a committed archive."""
+    return spark.read.schema(MANIFEST_ROW.replace("temporary string, ", "")).json(f"{folder}/{MANIFEST}")
 
 
 RECORD = "key string, record_type string, url string, refers_to string, payload_bytes long, payload_digest string, payload binary, intact boolean"
@@ -189,12 +237,7 @@ def read(spark: SparkSession, folder: str, payloads: bool = True, batch_bytes: i
     ``payload_bytes`` and ``payload_digest`` are of the full payload, for revisits
     as their headers state; ``intact`` says whether all digests hold.
     """
-    fs, path = filesystem(folder)
-    with fs.open_input_stream(f"{path}/manifest.json") as f:
-        names = [(x["name"],) for x in json.loads(f.read())["files"]]
-    if not names:
-        return spark.createDataFrame([], RECORD)
-    files = spark.createDataFrame(names, "name string").repartition(min(len(names), 4096))
+    files = manifest(spark, folder).select("name").repartition("name")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("key", pa.string()), ("record_type", pa.string()), ("url", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("intact", pa.bool_())])

@@ -30,13 +30,17 @@ def test_minhash(docs):
     assert [got[i].n_shingles for i in (1, 3, 4, 6)] == [56, 0, 0, 1] and got[None].kept
     assert {r.doc_id for r in minhash.keep_one(docs).collect()} == {1, 3, 4, 5, 6, None}
     assert minhash.groups(docs.limit(0)).count() == 0
+    same = docs.sparkSession.createDataFrame([(1, BASE), (2, BASE), (2, "a clean text that nobody else has at all"), (None, BASE), (None, "own")], "doc_id long, text string")
+    assert sorted(r.text for r in minhash.keep_one(same).collect()) == ["a clean text that nobody else has at all", "own", BASE]
 
 
-def test_decontaminate(spark, docs):
+def test_decontaminate(spark, docs, monkeypatch):
     bench = crowded(spark.createDataFrame([(1, " ".join(BASE.split()[10:25])), (2, "one two"), (3, None), (4, ""), (5, "one two"), (None, "lorem ipsum")], "item_id long, text string"))
-    for block_bytes in (1 << 20, 40):
+    for sent, bits in ((1 << 20, 25), (0, 6)):  # broadcast or exchanged, bitmaps that filter or let all through
+        monkeypatch.setattr(decontaminate, "SENT", sent)
+        monkeypatch.setattr(decontaminate, "BITS", bits)
         got = {}
-        for r in decontaminate.judge(decontaminate.find(docs, bench, block_bytes=block_bytes)).collect():
+        for r in decontaminate.judge(decontaminate.find(docs, bench)).collect():
             got.setdefault(r.doc_id, []).append(r)
         assert [len(got[i]) for i in (1, 2, None)] == [1, 2, 1]
         assert [(got[i][0].n_words, got[i][0].n_hit, got[i][0].n_items, got[i][0].contaminated) for i in (1, 3, 4, 6)] == [(60, 15, 1, True), (0, 0, 0, False), (0, 0, 0, False), (2, 2, 2, True)]
@@ -44,6 +48,10 @@ def test_decontaminate(spark, docs):
     assert decontaminate.find(docs.limit(0), bench).count() == 0
     assert decontaminate.judge(decontaminate.find(docs, bench.limit(0))).where("contaminated").count() == 0
     assert {r.doc_id for r in decontaminate.keep_clean(docs, bench).collect()} == {3, 4, None}
+    rows = [(1, BASE), (1, "clean words of another text"), (None, BASE), (None, "clean too")]
+    same = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.text for r in decontaminate.keep_clean(same, bench).collect()) == ["clean too", "clean words of another text"]
+    assert sorted(r.n_hit for r in decontaminate.find(same, bench).collect()) == [0, 0, 15, 15]
 
 
 def test_mixing(docs):
@@ -77,13 +85,30 @@ def test_warc(spark):
     folder = scratch(spark, "warc")
     files = warc.write(pages, folder, roll_bytes=300, shards=3)
     got = warc.read(spark, folder).collect()
-    assert len(got) == len(rows) and all(r.intact for r in got) and sum(f["records"] for f in files) == len(rows)
+    assert len(got) == len(rows) and all(r.intact for r in got) and sum(f["records"] for f in files.collect()) == len(rows)
     by = {r.key: r for r in got}
     assert by["1"].record_type == "response" and by["3"].refers_to == "1" and by["7"].payload.decode().endswith("WARC/1.1")
     assert [by[k].record_type for k in ("2", "4", "5", "6")] == ["response"] * 4 and by["2"].payload_bytes == 0
     again = warc.write(pages, scratch(spark, "warc"), roll_bytes=300, shards=3)
-    assert files == again
-    assert warc.write(pages.limit(0), folder := scratch(spark, "warc")) == [] and warc.read(spark, folder).count() == 0
+    assert sorted(files.collect()) == sorted(again.collect())
+    assert warc.write(pages.limit(0), folder := scratch(spark, "warc")).count() == 0 and warc.read(spark, folder).count() == 0
+
+
+def test_warc_rows_of_one_key(spark):
+    """A record is a revisit for its own payload's sake, and keeps its payload otherwise."""
+    a, b = "A" * 300, "B" * 300
+    pages = spark.createDataFrame([(1, "u", a), (3, "u", a), (3, "u", b), (4, "u", b), (5, "u", "C" * 200)], "page_id long, url string, html string")
+    warc.write(pages, folder := scratch(spark, "warc"), shards=2)
+    got = sorted((r.key, r.record_type, r.refers_to, bytes(r.payload).decode()) for r in warc.read(spark, folder).collect())
+    assert got == [("1", "response", None, a), ("3", "response", None, b), ("3", "revisit", "1", ""), ("4", "revisit", "3", ""), ("5", "response", None, "C" * 200)]
+
+
+def test_warc_is_the_same_in_every_run(spark):
+    """More rows than Spark's own sampling would hold whole, in another partitioning."""
+    pages = spark.range(30_000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.col("id").cast("string"), F.lit(5)).alias("html"))
+    one, two = (warc.write(p, scratch(spark, "warc"), shards=4) for p in (pages, pages.repartition(9, F.rand())))
+    assert sorted(one.collect()) == sorted(two.collect()) and one.count() == 4
+    assert max(r.records for r in one.collect()) < 10_000
 
 
 def test_chat(spark):

@@ -53,3 +53,19 @@ def test_edges(spark):
     check(spark, rows)
     check(spark, rows, hot_share=0.0)
     assert suffixes.deduplicate(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_repeated_null_and_textual_ids(spark):
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    p, own = word(200), word(300)
+    docs = spark.createDataFrame([(1, p), (5, word(20) + p), (5, own), (None, own[:150]), (7, p), (7, p)], "doc_id long, text string")
+    rows = [(r.doc_id, r.n_bytes, len(r.kept)) for r in suffixes.deduplicate(docs).collect()]
+    assert sorted(rows, key=str) == sorted([(1, 200, 200), (5, 220, 20), (5, 300, 150), (None, 150, 150), (7, 200, 0), (7, 200, 0)], key=str)
+    texts = spark.createDataFrame([("b", p), ("a", p), ("c", own)], "doc_id string, text string").selectExpr("*", "1 as _doc", "2 as bucket", "3 as kind")
+    assert {r.doc_id: len(r.kept) for r in suffixes.deduplicate(texts).collect()} == {"a": 200, "b": 0, "c": 300}
+
+
+def test_more_buckets_than_partitions(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "BUCKET_BYTES", 2000)
+    check(spark, [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").limit(60).collect()])
