@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanline.functions import scalars as sc
 from spanline.operators.union import union_all
+from spanline.sources.shared import shared_path
 
 
 def score_stats(df: DataFrame, k: list[str], score: str) -> DataFrame:
@@ -169,19 +170,21 @@ def keep_first(df: DataFrame, k: list[str], order: list) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*k).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def unique_names(df: DataFrame, name: str, order: list, out: str = "unique_name", rounds: int = 20) -> DataFrame:
+def unique_names(df: DataFrame, name: str, order: list, out: str = "unique_name") -> DataFrame:
     """Equal names get _2, _3 and so on, by order.
 
     A suffixed name that is already taken is numbered on: rows that clash with a
-    name fixed before try the next numbers, in at most ``rounds`` rounds.
+    name fixed before try the next numbers, until none clashes; each such round is
+    written to the shared folder.
     """
     w = Window.partitionBy(name).orderBy(*order)
-    df = df.withColumn("_n", F.row_number().over(w)).withColumn(out, F.when(F.col("_n") == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_"), F.col("_n").cast("string"))))
-    for _ in range(rounds):
-        own = Window.partitionBy(out).orderBy(F.col("_n") != 1, F.col("_n"), *order)
-        df = df.withColumn("_c", F.row_number().over(own) > 1)
-        if not df.where("_c").limit(1).count():
-            break
+    named = lambda: F.when(F.col("_n") == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_"), F.col("_n").cast("string")))
+    own = Window.partitionBy(out).orderBy(F.col("_n") != 1, F.col("_n"), *order)
+    df = df.withColumn("_n", F.row_number().over(w)).withColumn(out, named()).withColumn("_c", F.row_number().over(own) > 1)
+    while df.where("_c").limit(1).count():
         bump = F.sum(F.col("_c").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        df = df.withColumn("_n", F.col("_n") + bump).withColumn(out, F.when(F.col("_n") == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_"), F.col("_n").cast("string"))))
+        df = df.withColumn("_n", F.col("_n") + bump).withColumn(out, named()).withColumn("_c", F.row_number().over(own) > 1)
+        path = shared_path(df.sparkSession, "names")
+        df.write.parquet(path)
+        df = df.sparkSession.read.schema(df.schema).parquet(path)
     return df.drop("_n", "_c")

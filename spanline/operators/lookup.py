@@ -162,13 +162,14 @@ def segment_at(points: DataFrame, segments: DataFrame, k: list[str], at: str, st
     return points.join(best, [*k, at], "left")
 
 
-def series_value_at(points: DataFrame, series: DataFrame, k: list[str], at: str = "at") -> DataFrame:
+def series_value_at(points: DataFrame, series: DataFrame, k: list[str], at: str = "at", bucket: float = 60.0) -> DataFrame:
     """Points with ``score`` from series(k, range_index, start, end, fps, pos, score): the first range that holds the point.
 
-    Its position is (at - start) * fps, rounded half to even; null outside of all ranges.
+    Its position is (at - start) * fps, rounded half to even; null outside of all
+    ranges.  Points meet ranges in cells of ``bucket`` seconds.
     """
     ranges = series.select(*k, "range_index", "start", "end", "fps").distinct()
-    hit = points.select(*k, at).distinct().join(ranges, k).where(F.col(at).between(F.col("start"), F.col("end")))
+    hit = frames_in_segments(points.select(*k, at).distinct(), ranges, k, at, "start", "end", bucket)
     hit = hit.groupBy(*k, at).agg(F.min(F.struct("range_index", "start", "fps")).alias("r")).select(*k, at, "r.*")
     hit = hit.withColumn("pos", F.bround((F.col(at) - F.col("start")) * F.col("fps"), 0).cast("long"))
     got = hit.join(series.select(*k, "range_index", F.col("pos").cast("long").alias("pos"), "score"), [*k, "range_index", "pos"], "left")

@@ -124,17 +124,23 @@ def intervals(edge_rows: DataFrame, key, pos: str = "pos") -> DataFrame:
     return edge_rows.select(*key, start.alias("start"), F.col(pos).alias("end")).where(F.col("end") > F.col("start"))
 
 
-def representative(frames: DataFrame, spans: DataFrame, appear: DataFrame, key, flag: str) -> DataFrame:
+def representative(frames: DataFrame, spans: DataFrame, appear: DataFrame, key, flag: str, cell: int = 256) -> DataFrame:
     """Adds ``sample`` to spans(key, start, end): the first appearance inside (ends included), else the
-    middle one (n // 2) of the positions where the flag is on, else the span's middle."""
+    middle one (n // 2) of the positions where the flag is on, else the span's middle.
+
+    Positions meet their spans in cells of ``cell`` positions; ranks, not lists, find the middle.
+    """
     at = frames.where(F.col(flag)).select(*key, F.col("pos").alias("_p"), F.lit(False).alias("_a"))
-    at = union_all(at, appear.select(*key, F.col("pos").alias("_p"), F.lit(True).alias("_a")))
-    hit = spans.join(at, [*key], "left").where(F.col("_p").isNull() | F.col("_p").between(F.col("start"), F.col("end")))
-    on = F.array_sort(F.collect_list(F.when(~F.col("_a"), F.col("_p"))))
-    best = hit.groupBy(*key, "start", "end").agg(F.min(F.when(F.col("_a"), F.col("_p"))).alias("_first"), on.alias("_on"))
-    middle = F.try_element_at("_on", (F.floor(F.size("_on") / 2) + 1).cast("int"))
-    out = spans.join(best, [*key, "start", "end"], "left")
-    return out.withColumn("sample", F.coalesce("_first", middle, F.floor((F.col("start") + F.col("end")) / 2))).drop("_first", "_on")
+    at = union_all(at, appear.select(*key, F.col("pos").alias("_p"), F.lit(True).alias("_a"))).withColumn("_cell", F.floor(F.col("_p") / cell))
+    cells = F.sequence(F.floor(F.col("start") / cell), F.floor(F.col("end") / cell))
+    span = [*key, "start", "end"]
+    hit = spans.select(*span, F.explode(cells).alias("_cell")).join(at, [*key, "_cell"]).where(F.col("_p").between(F.col("start"), F.col("end")))
+    w = Window.partitionBy(*span)
+    hit = hit.withColumn("_ons", F.count_if(~F.col("_a")).over(w)).withColumn("_nth", F.row_number().over(w.orderBy("_a", "_p")))
+    middle = ~F.col("_a") & (F.col("_nth") == F.floor(F.col("_ons") / 2) + 1)
+    best = hit.groupBy(*span).agg(F.coalesce(F.min(F.when(F.col("_a"), F.col("_p"))), F.max(F.when(middle, F.col("_p")))).alias("_best"))
+    out = spans.join(best, span, "left")
+    return out.withColumn("sample", F.coalesce("_best", F.floor((F.col("start") + F.col("end")) / 2))).drop("_best")
 
 
 def fill_gaps(df: DataFrame, key, order, flag: str, most: int, out: str = "filled") -> DataFrame:

@@ -40,17 +40,17 @@ def stored(spark, d) -> DataFrame:
 def short(spark, d) -> DataFrame:
     """Conversations as entries for review."""
     c = t(spark, d, "conversations")
-    return c.select("conv_id", F.col("turn").alias("id"), F.when(F.col("role") == "system", "title").otherwise("speaker_dialogue").alias("kind"), F.col("role").alias("speaker"), F.col("text").alias("original"), F.left("text", F.lit(20)).alias("translation"))
+    return c.select("conv_id", F.col("turn").alias("id"), F.when(F.col("role") == "system", "title").otherwise("speaker_dialogue").alias("kind"), F.col("role").alias("speaker"), F.col("text").alias("original"), F.col("text").alias("translation"))
 
 
 @query(
     "e11_context",
-    """WITH c AS (SELECT conv_id, turn, role, turn || ':' || left(text, 8) AS item, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations)
+    """WITH c AS (SELECT conv_id, turn, role, turn || ':' || text AS item, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations)
 SELECT conv_id, turn, coalesce((SELECT string_agg(item, '|' ORDER BY turn) FROM (SELECT * FROM c b WHERE b.conv_id = a.conv_id AND b.turn < a.turn AND role <> 'system' ORDER BY turn DESC LIMIT 2)), '') AS before,
 coalesce((SELECT string_agg(item, '|' ORDER BY turn) FROM (SELECT * FROM c b WHERE b.conv_id = a.conv_id AND b.turn > a.turn AND role <> 'system' ORDER BY turn LIMIT 2)), '') AS after FROM c a""",
 )
 def e11(spark, d):
-    item = F.concat(F.col("turn").cast("string"), F.lit(":"), F.left("text", F.lit(8)))
+    item = F.concat(F.col("turn").cast("string"), F.lit(":"), "text")
     c = seq.with_context(t(spark, d, "conversations"), ["conv_id"], ["turn"], item, 2, F.col("role") != "system")
     return c.select("conv_id", "turn", F.array_join("before", "|").alias("before"), F.array_join("after", "|").alias("after"))
 
@@ -178,10 +178,10 @@ def h6(spark, d):
 
 @query(
     "h7_build_requests",
-    """SELECT conv_id, turn, 'Translate for ' || role || '.' || CASE WHEN turn % 2 = 0 THEN chr(10) || '### Notes' || chr(10) || 'n' || turn ELSE '' END AS system, 'T: ' || left(text, 30) AS user FROM conversations""",
+    """SELECT conv_id, turn, 'Translate for ' || role || '.' || CASE WHEN turn % 2 = 0 THEN chr(10) || '### Notes' || chr(10) || 'n' || turn ELSE '' END AS system, 'T: ' || text AS user FROM conversations""",
 )
 def h7(spark, d):
-    c = t(spark, d, "conversations").withColumn("body", F.left("text", F.lit(30))).withColumn("notes", F.when(F.col("turn") % 2 == 0, F.concat(F.lit("n"), F.col("turn").cast("string"))).otherwise(" "))
+    c = t(spark, d, "conversations").withColumn("body", F.col("text")).withColumn("notes", F.when(F.col("turn") % 2 == 0, F.concat(F.lit("n"), F.col("turn").cast("string"))).otherwise(" "))
     r = rv.build_requests(c, {"system": "Translate for {role}.", "user": "T: {body}"}, [("Notes", "notes")])
     return r.select("conv_id", "turn", F.get_json_object("request", "$.messages[0].content").alias("system"), F.get_json_object("request", "$.messages[1].content").alias("user"))
 
@@ -200,10 +200,10 @@ def reviewer(request: str, timeout: float):
 
 @query(
     "h8_auto_review",
-    """WITH e AS (SELECT conv_id, turn, role, text, trim(left(text, 20), ' ' || chr(10)) <> '' AND role <> 'system' AND turn > 0 AS ok FROM conversations),
+    """WITH e AS (SELECT conv_id, turn, role, text, trim(text, ' ' || chr(10)) <> '' AND role <> 'system' AND turn > 0 AS ok FROM conversations),
 c AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 3 AS ch FROM e WHERE ok),
 f AS (SELECT conv_id, ch, min(turn) AS first FROM c GROUP BY ALL)
-SELECT e.conv_id, e.turn AS id, CASE WHEN f.first <> 4 AND e.turn % 2 = 1 THEN left(e.text, 20) || '!' ELSE left(e.text, 20) END AS translation, coalesce(f.first <> 4 AND e.turn % 2 = 1, false) AS updated
+SELECT e.conv_id, e.turn AS id, CASE WHEN f.first <> 4 AND e.turn % 2 = 1 THEN e.text || '!' ELSE e.text END AS translation, coalesce(f.first <> 4 AND e.turn % 2 = 1, false) AS updated
 FROM e LEFT JOIN c USING (conv_id, turn) LEFT JOIN f ON f.conv_id = c.conv_id AND f.ch = c.ch""",
 )
 def h8(spark, d):
@@ -255,13 +255,13 @@ def h9m(spark, d):
     return out.select("conv_id", "id", F.md5("original").alias("original"), "end")
 
 
-@query("h9_set", "SELECT conv_id, turn AS id, CASE WHEN turn = 2 AND conv_id % 3 = 0 THEN 'new' ELSE left(text, 20) END AS translation FROM conversations")
+@query("h9_set", "SELECT conv_id, turn AS id, CASE WHEN turn = 2 AND conv_id % 3 = 0 THEN 'new' ELSE text END AS translation FROM conversations")
 def h9s(spark, d):
     out = ed.apply_edits(edit_base(spark, d), one_edit(spark, d, "set", 2, "conv_id % 3 = 0", translation="new"), ["conv_id"])
     return out.select("conv_id", "id", "translation")
 
 
-LINES = r"""WITH c AS (SELECT conv_id, turn, role, turn * 2.0 AS s, turn * 2.0 + 1.5 AS e, trim(left(text, 40), ' ' || chr(10)) AS q, text FROM conversations),
+LINES = r"""WITH c AS (SELECT conv_id, turn, role, turn * 2.0 AS s, turn * 2.0 + 1.5 AS e, trim(text, ' ' || chr(10)) AS q, text FROM conversations),
 x AS (SELECT *, replace(CASE WHEN q <> '' THEN q ELSE text END, chr(10), '\N') AS shown, printf('0:00:%02d.%02d', CAST(floor(s) AS INTEGER), 0) AS a, printf('0:00:%02d.%02d', CAST(floor(e) AS INTEGER), 50) AS b FROM c)
 SELECT conv_id AS project, 4 AS section, turn + 1 AS pos, 0 AS sub, 'Dialogue: 0,' || a || ',' || b || ',Default,,0,0,0,,' || CASE WHEN turn = 0 THEN '{\an5\pos(640,50)\fs48}' ELSE '{\an1\pos(100,700)}' END || shown AS line FROM x
 UNION ALL SELECT conv_id, 4, 1, 1, 'Dialogue: 0,' || a || ',' || b || ',Default,,0,0,0,,{\an5\pos(320,120)\fs48}' || role FROM x WHERE turn = 0"""

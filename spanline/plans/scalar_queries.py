@@ -27,8 +27,8 @@ SCORE_CFG = {"off": 1000.0, "on": 30000.0, "min_components": 2, "max_components"
 
 
 def quoted(spark, d):
-    """Document heads with quotes of all kinds put around and into them."""
-    head = F.replace(F.substring("text", 1, 40), F.lit("\n"), F.lit(" "))
+    """Documents with quotes of all kinds put around and into them."""
+    head = F.replace("text", F.lit("\n"), F.lit(" "))
     k = F.col("doc_id") % 8
     return t(spark, d, "documents").select(
         "doc_id",
@@ -39,7 +39,7 @@ def quoted(spark, d):
 
 
 QUOTED = """q AS (SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN '"' || h || '" ' WHEN 1 THEN '「' || h WHEN 2 THEN '“' || h || '”' WHEN 3 THEN '『' || h || '」' WHEN 4 THEN '(' || h || ')'
-  WHEN 5 THEN h || ' ''ab'' don''t ''x y'' z' WHEN 6 THEN '  ' || h || '"' ELSE h END AS s0, doc_id % 8 AS k, trim(h) AS h FROM (SELECT doc_id, replace(substr(text, 1, 40), chr(10), ' ') AS h FROM documents))"""
+  WHEN 5 THEN h || ' ''ab'' don''t ''x y'' z' WHEN 6 THEN '  ' || h || '"' ELSE h END AS s0, doc_id % 8 AS k, trim(h) AS h FROM (SELECT doc_id, replace(text, chr(10), ' ') AS h FROM documents))"""
 
 
 @query(
@@ -51,25 +51,35 @@ def b1(spark, d):
     return quoted(spark, d).select("doc_id", sc.normalize_quotes("s").alias("out"))
 
 
-@query("b2_strip_reasoning", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN trim(substr(text, 21, 30), ' ') ELSE trim(substr(text, 1, 20) || substr(text, 41, 20), ' ') END AS out FROM documents")
+@query("b2_strip_reasoning", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN trim(text, ' ') ELSE trim(text || text, ' ') END AS out FROM documents")
 def b2(spark, d):
-    s = F.when(F.col("doc_id") % 2 == 0, F.concat(F.substring("text", 1, 20), F.lit(" Final ANSWER: "), F.substring("text", 21, 30))).otherwise(
-        F.concat(F.substring("text", 1, 20), F.lit("<THINK>a\nb"), F.substring("text", 1, 9), F.lit("</think><reasoning></reasoning>"), F.substring("text", 41, 20))
+    s = F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit(" Final ANSWER: "), "text")).otherwise(
+        F.concat("text", F.lit("<THINK>a\nb"), "text", F.lit("</think><reasoning></reasoning>"), "text")
     )
     return t(spark, d, "documents").select("doc_id", sc.strip_reasoning(s).alias("out"))
 
 
 @query(
     "b3_charclass_leak",
-    """WITH p AS (SELECT d.doc_id, d.text AS a, b.text AS b FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40),
-g AS (SELECT doc_id, a, unnest(regexp_extract_all(b, '[a-z]{12,}')) AS r FROM p),
-h AS (SELECT DISTINCT doc_id FROM g, unnest(range(1, length(r) - 10)) AS x(i) WHERE contains(a, substr(r, i, 12)))
-SELECT doc_id, doc_id IN (SELECT doc_id FROM h) AS leak FROM p""",
+    """WITH g AS (SELECT doc_id, unnest(regexp_extract_all(text, '[a-z]{12,}')) AS r FROM documents),
+k AS (SELECT DISTINCT substr(r, i, 12) AS w FROM (SELECT unnest(regexp_extract_all(text, '[a-z]{12,}')) AS r FROM benchmark), unnest(range(1, length(r) - 10)) AS x(i)),
+h AS (SELECT DISTINCT doc_id FROM g, unnest(range(1, length(r) - 10)) AS x(i) WHERE substr(r, i, 12) IN (SELECT w FROM k))
+SELECT doc_id, doc_id IN (SELECT doc_id FROM h) AS leak FROM documents""",
 )
 def b3(spark, d):
-    bench = t(spark, d, "benchmark").select("item_id", F.col("text").alias("b"))
-    docs = t(spark, d, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id"))
-    return docs.join(bench, "item_id").select("doc_id", sc.charclass_leak("text", "b", "a-z", 12).alias("leak"))
+    """Documents against all items: pairs that share twelve letters in a row are met by an equi-join on them."""
+
+    def grams(df, *more):
+        runs = df.select(*more, F.explode(F.regexp_extract_all("text", F.lit("[a-z]{12,}"), F.lit(0))).alias("r"))
+        windows = F.transform(F.sequence(F.lit(1), F.length("r") - 11), lambda i: F.substring("r", i, F.lit(12)))
+        return runs.select(*more, F.explode(windows).alias("w")).distinct()
+
+    docs, bench = t(spark, d, "documents").select("doc_id", "text"), t(spark, d, "benchmark").select("item_id", "text")
+    items = grams(bench, "item_id").groupBy("w").agg(F.min("item_id").alias("item_id"))
+    pairs = grams(docs, "doc_id").join(items, "w").select("doc_id", "item_id").distinct()
+    both = pairs.join(docs, "doc_id").join(bench.select("item_id", F.col("text").alias("b")), "item_id")
+    leaks = both.where(sc.charclass_leak("text", "b", "a-z", 12)).select("doc_id").distinct().withColumn("leak", F.lit(True))
+    return docs.select("doc_id").join(leaks, "doc_id", "left").select("doc_id", F.coalesce("leak", F.lit(False)).alias("leak"))
 
 
 @query("b4_language_label", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '简体中文' WHEN 1 THEN '日语' ELSE lang END AS label FROM documents")
@@ -192,11 +202,11 @@ def b16(spark, d):
 @query(
     "b17_translation_flags",
     """SELECT conv_id, turn, CASE WHEN role = 'system' THEN '' WHEN turn % 4 = 0 THEN 'translation_missing' WHEN turn % 4 = 1 THEN 'translation_fallback_debug_text'
-  WHEN turn % 4 = 2 AND regexp_matches(substr(text, 1, 40), '[a-z]{6}') THEN 'leak' ELSE '' END AS flags FROM conversations""",
+  WHEN turn % 4 = 2 AND regexp_matches(text, '[a-z]{6}') THEN 'leak' ELSE '' END AS flags FROM conversations""",
 )
 def b17(spark, d):
     k = F.col("turn") % 4
-    tr = F.when(k == 0, " ").when(k == 1, "[DEBUG] x").when(k == 2, F.substring("text", 1, 40)).otherwise("ok")
+    tr = F.when(k == 0, " ").when(k == 1, "[DEBUG] x").when(k == 2, F.col("text")).otherwise("ok")
     kind = F.when(F.col("role") == "system", "Title ").otherwise("speaker_dialogue")
     f = sc.translation_flags(kind, "text", tr, n=6, chars="a-z")
     return t(spark, d, "conversations").select("conv_id", "turn", F.replace(F.array_join(f, ","), F.lit("translation_kanji_overlap_with_original"), F.lit("leak")).alias("flags"))
@@ -228,10 +238,9 @@ def b20(spark, d):
     return t(spark, d, "conversations").select("conv_id", "turn", sc.is_dialogue(F.when(F.col("role") == "system", " Blank ").otherwise(F.col("role"))).alias("dialogue"))
 
 
-@query("b21_extract_json", "SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN NULL ELSE substr(text, 1, 60) END AS v FROM documents")
+@query("b21_extract_json", "SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN NULL ELSE text END AS v FROM documents")
 def b21(spark, d):
-    head = F.substring("text", 1, 60)
-    good = F.to_json(F.struct(head.alias("v")))
+    good = F.to_json(F.struct(F.col("text").alias("v")))
     k = F.col("doc_id") % 4
     esc = F.replace(good, F.lit("\\n"), F.lit("\n"))
     s = F.when(k == 0, F.concat(F.lit("```json\n"), good, F.lit("\n```"))).when(k == 1, F.concat(F.lit("Sure! "), esc, F.lit(" done }"))).when(k == 2, F.concat(good, F.lit(" trailing"))).otherwise("no object {here")
@@ -274,11 +283,11 @@ def b25(spark, d):
 
 @query(
     "b28_text_gate",
-    """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN true WHEN 1 THEN false ELSE length(translate(replace(replace(substr(text, 1, 3), ' ', ''), chr(10), ''), '-1|lI', '')) >= 2 END AS present FROM documents""",
+    """SELECT doc_id, doc_id % 3 <> 1 AND length(translate(replace(replace(text, ' ', ''), chr(10), ''), '-1|lI', '')) >= 2 AS present FROM documents""",
 )
 def b28(spark, d):
     k = F.col("doc_id") % 3
-    return t(spark, d, "documents").select("doc_id", sc.text_gate(F.when(k == 0, F.col("text")).when(k == 1, "l I\t1 x -").otherwise(F.substring("text", 1, 3))).alias("present"))
+    return t(spark, d, "documents").select("doc_id", sc.text_gate(F.when(k == 1, "l I\t1 x -").otherwise(F.col("text"))).alias("present"))
 
 
 @query(
@@ -304,12 +313,12 @@ def b30(spark, d):
 
 @query(
     "b31_context_lines",
-    """WITH c AS (SELECT conv_id, turn, role || ': ' || left(text, 10) || CASE WHEN turn % 2 = 1 THEN ' -> ' || turn ELSE '' END AS l FROM conversations)
+    """WITH c AS (SELECT conv_id, turn, role || ': ' || text || CASE WHEN turn % 2 = 1 THEN ' -> ' || turn ELSE '' END AS l FROM conversations)
 SELECT a.conv_id, a.turn, coalesce((SELECT string_agg(l, chr(10) ORDER BY b.turn) FROM c b WHERE b.conv_id = a.conv_id AND b.turn BETWEEN a.turn - 2 AND a.turn - 1), '') AS ctx FROM c a""",
 )
 def b31(spark, d):
     from spanline.operators.sequence import with_context
 
-    item = F.struct(F.col("role").alias("speaker"), F.left("text", F.lit(10)).alias("original"), F.when(F.col("turn") % 2 == 1, F.col("turn").cast("string")).alias("translation"))
+    item = F.struct(F.col("role").alias("speaker"), F.col("text").alias("original"), F.when(F.col("turn") % 2 == 1, F.col("turn").cast("string")).alias("translation"))
     c = with_context(t(spark, d, "conversations"), ["conv_id"], ["turn"], item, 3, F.lit(True))
     return c.select("conv_id", "turn", sc.format_context("before", 2).alias("ctx"))

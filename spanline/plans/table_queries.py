@@ -85,7 +85,7 @@ def c4(spark, d):
 
 
 def entries(spark, d):
-    return t(spark, d, "conversations").select("conv_id", F.col("turn").alias("id"), F.col("role").alias("speaker"), F.col("text").alias("original"), F.left("text", F.lit(20)).alias("translation"))
+    return t(spark, d, "conversations").select("conv_id", F.col("turn").alias("id"), F.col("role").alias("speaker"), F.col("text").alias("original"), F.col("text").alias("translation"))
 
 
 def updates(spark, d):
@@ -97,14 +97,14 @@ def updates(spark, d):
     return union_all(one, two, none, one.withColumn("translation", F.lit("  ")).withColumn("seq", F.lit(9)))
 
 
-OLD = "trim(left(text, 20), ' ')"
+OLD = "trim(text, ' ')"
 
 
 @query(
     "c5_validate_updates",
     f"""SELECT conv_id, turn AS id, 1 AS seq, 'first' AS new, true AS changed FROM conversations UNION ALL
-SELECT conv_id, turn, 2, {OLD} || '!', true FROM (SELECT conv_id, turn, text FROM conversations WHERE turn % 2 = 1 AND left(text, 20) = {OLD}) UNION ALL
-SELECT conv_id, turn, 2, left(text, 20) || '!', true FROM conversations WHERE turn % 2 = 1 AND left(text, 20) <> {OLD} UNION ALL
+SELECT conv_id, turn, 2, {OLD} || '!', true FROM (SELECT conv_id, turn, text FROM conversations WHERE turn % 2 = 1 AND text = {OLD}) UNION ALL
+SELECT conv_id, turn, 2, text || '!', true FROM conversations WHERE turn % 2 = 1 AND text <> {OLD} UNION ALL
 SELECT conv_id, turn, 2, {OLD}, false FROM conversations WHERE turn % 2 = 0""",
 )
 def c5(spark, d):
@@ -113,7 +113,7 @@ def c5(spark, d):
 
 @query(
     "c6_apply_updates",
-    f"SELECT conv_id, turn AS id, CASE WHEN turn % 2 = 1 THEN left(text, 20) || '!' ELSE 'first' END AS translation, CASE WHEN turn % 2 = 1 THEN 'r2' ELSE 'r1' END AS auto_review_reason, true AS updated FROM conversations",
+    f"SELECT conv_id, turn AS id, CASE WHEN turn % 2 = 1 THEN text || '!' ELSE 'first' END AS translation, CASE WHEN turn % 2 = 1 THEN 'r2' ELSE 'r1' END AS auto_review_reason, true AS updated FROM conversations",
 )
 def c6(spark, d):
     u = lk.validate_updates(updates(spark, d), entries(spark, d), ["conv_id"])
@@ -344,14 +344,14 @@ def a10(spark, d):
 
 @query(
     "f2_upsert_title",
-    """WITH u AS (SELECT conv_id, turn AS id, turn * 2.0 AS s, left(text, 9) AS v FROM conversations WHERE NOT (turn = 0 AND conv_id % 2 = 0)
+    """WITH u AS (SELECT conv_id, turn AS id, turn * 2.0 AS s, text AS v FROM conversations WHERE NOT (turn = 0 AND conv_id % 2 = 0)
 UNION ALL SELECT DISTINCT conv_id, 0, 4.0, 'title' FROM conversations WHERE conv_id % 2 = 0)
 SELECT conv_id, id, v, row_number() OVER (PARTITION BY conv_id ORDER BY s, id <> 0, id) AS n FROM u""",
 )
 def f2(spark, d):
     from pyspark.sql import Window
 
-    e = t(spark, d, "conversations").select("conv_id", F.col("turn").alias("id"), (F.col("turn") * 2.0).alias("start"), F.left("text", F.lit(9)).alias("v"))
+    e = t(spark, d, "conversations").select("conv_id", F.col("turn").alias("id"), (F.col("turn") * 2.0).alias("start"), F.col("text").alias("v"))
     titles = e.where("conv_id % 2 = 0").select("conv_id", F.lit(0).cast("long").alias("id"), F.lit(4.0).alias("start"), F.lit("title").alias("v")).distinct()
     u = agg.upsert_title(e, titles, ["conv_id"])
     return u.select("conv_id", "id", "v", F.row_number().over(Window.partitionBy("conv_id").orderBy(*agg.title_order())).alias("n"))

@@ -16,7 +16,6 @@ ENTRY = (
 )
 
 
-
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
     """(project, video, pos, fields of ENTRY): entries of all cache documents below ``path``.
 
@@ -86,5 +85,5 @@ def from_conversations(df: DataFrame) -> DataFrame:
     return df.select(
         F.col("conv_id").alias("project"), t.alias("pos"), t.cast("string").alias("segment_id"), F.lit(None).cast("string").alias("raw_id"), (t * 2.0).alias("time_start"), (t * 2.0 + 1.5).alias("time_end"),
         F.when(t == 0, "title").when(F.col("role") == "system", "blank_no_name").otherwise("speaker_dialogue").alias("dialogue_type"), F.col("role").alias("speaker"), F.col("text").alias("text_original"),
-        F.left("text", F.lit(40)).alias("translation_subtitle"),
+        F.col("text").alias("translation_subtitle"),
     )

@@ -11,9 +11,11 @@ _own: dict[str, str] = {}
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir`` (a temporary folder where that is unset), deleted with the JVM."""
+    """A new path below ``spark.checkpoint.dir``, deleted with the JVM; unset, a temporary folder if all runs in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         root = _own.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="spanline-")
         _own[app] = root
