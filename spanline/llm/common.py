@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 
 _own: dict[str, str] = {}
+_collected = 0.0
 
 #: Rows (of some 30 bytes) up to which a measured table is broadcast instead of shuffling the other side.
 SENT = 1_000_000
@@ -60,8 +62,9 @@ def drop_scratch(df_or_path: DataFrame | str, spark: SparkSession | None = None)
     """Delete a scratch table that is no longer read.
 
     The shuffle files it was made from go once the driver's JVM has collected what
-    refers to them, which is asked for here: disks fill faster than heaps.
+    refers to them, which is asked for here, now and then: disks fill faster than heaps.
     """
+    global _collected
     if isinstance(df_or_path, DataFrame):
         spark = df_or_path.sparkSession
         paths = {f.rsplit("/", 1)[0] for f in df_or_path.inputFiles()[:1]}
@@ -70,7 +73,9 @@ def drop_scratch(df_or_path: DataFrame | str, spark: SparkSession | None = None)
     for p in paths:
         jpath = spark._jvm.org.apache.hadoop.fs.Path(p)
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
-    spark._jvm.System.gc()
+    if time.monotonic() - _collected > 10:
+        spark._jvm.System.gc()
+        _collected = time.monotonic()
 
 
 def broadcast_if(df: DataFrame, weight: int | None, most: int) -> DataFrame:

@@ -1,10 +1,13 @@
 """Licence scans: sparse word n-gram logistic regression over paragraphs, confirmed by templates.
 
-A paragraph is a line.  Its features are the one- to three-word grams that occur in
-the templates; a softmax with a class for anything else is trained on templates in
-varied surroundings against paragraphs of the corpus, its temperature and the bar
-below which a paragraph is unknown are set on examples left out, and a predicted
-family counts only if one of its templates is found in the paragraph.
+A paragraph is a block of lines up to one without words; it is read in overlapping
+windows, so that a notice may be wrapped over lines and stand anywhere in it.
+Features are the one- to three-word grams of the templates; a softmax with a class
+for anything else is trained on templates in varied surroundings against windows of
+the corpus.  Its temperature is set on templates left out of a first fit, the bar
+that a family must reach against the other class on windows left out.  A predicted
+family counts only if one of its templates is found; its words are then taken out
+and the window is asked again, so several licences of one notice are all named.
 """
 
 from __future__ import annotations
@@ -17,27 +20,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanline.llm import textkit as tk
-from spanline.llm.decontaminate import member
 from spanline.llm.lines import line_words
 
 # How the families are commonly named in notices.
 TEMPLATES = {
-    "agpl-3.0": ["licensed under the GNU Affero General Public License, version 3", "GNU AGPLv3", "SPDX-License-Identifier: AGPL-3.0"],
+    "agpl-3.0": ["licensed under the GNU Affero General Public License, version 3", "GNU AGPLv3", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: AGPL-3.0"],
     "apache-2.0": ["Licensed under the Apache License, Version 2.0", "released under the Apache 2.0 license", "you may not use this file except in compliance with the License", "SPDX-License-Identifier: Apache-2.0"],
-    "bsd": ["released under the BSD License", "licensed under the 3-clause BSD license", "Redistribution and use in source and binary forms, with or without modification, are permitted", "SPDX-License-Identifier: BSD-3-Clause", "SPDX-License-Identifier: BSD-2-Clause"],
+    "bsd": ["released under the BSD License", "licensed under the 3-clause BSD license", "Redistribution and use in source and binary forms, with or without modification, are permitted", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer", "SPDX-License-Identifier: BSD-3-Clause", "SPDX-License-Identifier: BSD-2-Clause"],
     "cc-by": ["Licensed under CC BY 4.0", "licensed under a Creative Commons Attribution 4.0 International License", "SPDX-License-Identifier: CC-BY-4.0"],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "SPDX-License-Identifier: CC-BY-NC-4.0"],
     "cc-by-sa": ["Licensed under CC BY-SA 4.0", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "SPDX-License-Identifier: CC-BY-SA-4.0"],
     "cc0": ["dedicated to the public domain under CC0 1.0", "released under Creative Commons Zero", "SPDX-License-Identifier: CC0-1.0"],
-    "gpl-2.0": ["licensed under the GNU General Public License, version 2", "released under the GPLv2", "SPDX-License-Identifier: GPL-2.0"],
-    "gpl-3.0": ["This work is licensed under the GNU General Public License, version 3", "released under the GPLv3", "SPDX-License-Identifier: GPL-3.0"],
-    "lgpl": ["licensed under the GNU Lesser General Public License", "SPDX-License-Identifier: LGPL-3.0"],
-    "mit": ["Released under the MIT License", "licensed under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy", "SPDX-License-Identifier: MIT"],
-    "mpl-2.0": ["licensed under the Mozilla Public License, version 2.0", "SPDX-License-Identifier: MPL-2.0"],
+    "gpl-2.0": ["licensed under the GNU General Public License, version 2", "released under the GPLv2", "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License", "SPDX-License-Identifier: GPL-2.0"],
+    "gpl-3.0": ["This work is licensed under the GNU General Public License, version 3", "released under the GPLv3", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License", "SPDX-License-Identifier: GPL-3.0"],
+    "lgpl": ["licensed under the GNU Lesser General Public License", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: LGPL-3.0"],
+    "mit": ["Released under the MIT License", "licensed under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software", "SPDX-License-Identifier: MIT"],
+    "mpl-2.0": ["licensed under the Mozilla Public License, version 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "SPDX-License-Identifier: MPL-2.0"],
     "proprietary": ["All rights reserved. No part may be reproduced without written permission", "proprietary and confidential, all rights reserved"],
     "unlicense": ["released into the public domain under the Unlicense", "This is free and unencumbered software released into the public domain"],
 }
 ORDERS = (1, 2, 3)
+#: Words of a window, and from one window to the next; no template is longer than what two of them share.
+WINDOW, STRIDE = 64, 32
+#: Share of a template's word pairs that must be found.
+FOUND = 0.6
+
+
+def member(x: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which of x are in the sorted table: a byte map on the low bits first, then a search for the few left."""
+    seen = np.zeros(1 << 16, bool)
+    seen[table & np.uint64(0xFFFF)] = True
+    out = seen[x & np.uint64(0xFFFF)]
+    at = np.flatnonzero(out)
+    p = np.minimum(np.searchsorted(table, x[at]), len(table) - 1)
+    out[at] = table[p] == x[at]
+    return out
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
@@ -53,41 +70,59 @@ def hashed(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
+def paragraphs(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, number in the row, first word, word hashes) of the blocks of lines with words; ``first`` has one more at the end."""
+    row, _, h, first = line_words(data, offs)
+    some = np.diff(first) > 0
+    begins = some & np.append(True, ~some[:-1] | (row[1:] != row[:-1]))[: len(some)]
+    at = np.flatnonzero(begins)
+    of = row[at]
+    head = np.searchsorted(of, np.arange(len(offs) - 1))
+    return of, np.arange(len(of)) - head[of] if len(of) else of, np.append(first[at], len(h)), h
+
+
 class Scanner:
     """The vocabulary, the weights, the calibration, and the templates' grams."""
 
     def __init__(self, background: list[str], seed: int = 0, per_template: int = 60, rounds: int = 400):
         self.families = sorted(TEMPLATES)
-        words = {f: hashed(ts) for f, ts in TEMPLATES.items()}
-        self.templates = [(i, self._set(w)) for i, f in enumerate(self.families) for w in words[f]]
-        self.vocab = np.unique(np.concatenate([np.unique(np.concatenate([grams(w, k) for k in ORDERS])) for ws in words.values() for w in ws]))
+        words = [hashed(TEMPLATES[f]) for f in self.families]
+        self.templates = [(i, np.unique(grams(w, 2))) for i, ws in enumerate(words) for w in ws]
+        self.vocab = np.unique(np.concatenate([grams(w, k) for ws in words for w in ws for k in ORDERS if len(w) >= k]))
+        self.pairs = np.unique(np.concatenate([t for _, t in self.templates]))
         rng = np.random.default_rng(seed)
-        plain = [h for h in hashed(background) if len(h)] or [np.arange(1, 40, dtype=np.uint64)]
-        every = np.concatenate([w for ws in words.values() for w in ws])
-        piece = lambda: (lambda p: p[(a := rng.integers(0, len(p))) : a + rng.integers(0, 12)])(plain[rng.integers(len(plain))])
-        examples, labels = [], []
-        for i, f in enumerate(self.families):
-            for w in words[f]:
-                for _ in range(per_template):
-                    keep = w[rng.random(len(w)) > rng.choice([0, 0.1])] if len(w) > 5 else w
-                    examples.append(np.concatenate([piece(), keep, piece()]))
-                    labels.append(i)
+        plain = [w for h in hashed(background) for w in (h[i : i + WINDOW] for i in range(0, len(h), WINDOW))] or [np.arange(1, 40, dtype=np.uint64)]
         none = len(self.families)
-        for p in plain:
-            examples.append(p)
-            labels.append(none)
-        for _ in range(len(examples) // 4):  # the templates' words out of order say nothing
-            examples.append(np.concatenate([piece(), rng.choice(every, rng.integers(1, 8)), piece()]))
-            labels.append(none)
-        y = np.array(labels)
-        held = rng.random(len(y)) < 0.25
-        self.w = np.zeros((len(self.vocab), none + 1))
-        self.b = np.zeros(none + 1)
-        self._fit([e for e, h in zip(examples, held) if not h], y[~held], rounds)
-        self._calibrate([e for e, h in zip(examples, held) if h], y[held])
-
-    def _set(self, w: np.ndarray) -> np.ndarray:
-        return np.unique(grams(w, 2) if len(w) > 1 else grams(w, 1))
+        # One template of each family that has three is left out of the first fit, and a quarter of the rest.
+        unseen = [(i, ws[1]) for i, ws in enumerate(words) if len(ws) > 2]
+        first = [(i, w) for i, ws in enumerate(words) for j, w in enumerate(ws) if len(ws) <= 2 or j != 1]
+        other = self._others(plain, words, rng)
+        kept = rng.random(len(other)) < 0.75
+        self._fit(*self._examples(first, [o for o, k in zip(other, kept, strict=True) if k], plain, rng, per_template), rounds)
+        late = [o for o, k in zip(other, kept, strict=True) if not k] or other
+        self._calibrate(*self._examples(unseen, late, plain, rng, per_template))
+        self._fit(*self._examples([(i, w) for i, ws in enumerate(words) for w in ws], other, plain, rng, per_template), rounds)
+        assert len(self.b) == none + 1
+
+    def _piece(self, plain, rng) -> np.ndarray:
+        p = plain[rng.integers(len(plain))]
+        a = rng.integers(0, len(p))
+        return p[a : a + rng.integers(0, 12)]
+
+    def _others(self, plain, words, rng) -> list[np.ndarray]:
+        """Windows of the corpus, and the templates' words out of order, which say nothing."""
+        every = np.concatenate([w for ws in words for w in ws])
+        loose = [np.concatenate([self._piece(plain, rng), rng.choice(every, rng.integers(1, 8)), self._piece(plain, rng)]) for _ in range(max(200, len(plain) // 4))]
+        return [*plain, *loose]
+
+    def _examples(self, chosen, other, plain, rng, per_template: int):
+        examples, labels = list(other), [len(self.families)] * len(other)
+        for i, w in chosen:
+            for _ in range(per_template):
+                keep = w[rng.random(len(w)) > rng.choice([0, 0.1])] if len(w) > 5 else w
+                examples.append(np.concatenate([self._piece(plain, rng), keep, self._piece(plain, rng)]))
+                labels.append(i)
+        return examples, np.array(labels)
 
     def features(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, feature) of the distinct grams of the vocabulary in each row."""
@@ -112,6 +147,7 @@ class Scanner:
         return self.features(np.concatenate(examples), first)
 
     def _fit(self, examples, y, rounds: int, rate: float = 2.0, decay: float = 1e-4) -> None:
+        self.w, self.b = np.zeros((len(self.vocab), len(self.families) + 1)), np.zeros(len(self.families) + 1)
         row, col = self._rows(examples)
         weight = 1.0 / np.bincount(y, minlength=len(self.b)).clip(1)[y]
         weight /= weight.sum()
@@ -125,32 +161,54 @@ class Scanner:
             self.b -= rate * p.sum(axis=0)
 
     def _calibrate(self, examples, y) -> None:
-        """The temperature of least log loss, and the bar that one in a hundred of the other paragraphs reaches, 0.5 at least."""
+        """The temperature of least log loss on what the fit hasn't seen, and the bar that one in a hundred of the other windows reaches, 0.5 at least."""
         row, col = self._rows(examples)
         z = self.logits(row, col, len(y))
         loss = lambda t: -np.log(softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean()
         self.temperature = min(np.geomspace(0.1, 10, 41), key=loss)
-        p = softmax(z / self.temperature)[y == len(self.families), :-1]
-        self.bar = max(0.5, float(np.quantile(p.max(axis=1), 0.99))) if len(p) else 0.5
+        odds = self.against_other(z[y == len(self.families)])
+        self.bar = max(0.5, float(np.quantile(odds.max(axis=1), 0.99))) if len(odds) else 0.5
+
+    def against_other(self, z: np.ndarray) -> np.ndarray:
+        """Each family's probability if there were only it and the other class."""
+        return 1 / (1 + np.exp(-(z[:, :-1] - z[:, -1:]) / self.temperature))
 
     def scan(self, h: np.ndarray, first: np.ndarray) -> list[tuple[int, int, float, float]]:
-        """(row, family, probability, share of the template found) of the rows with a confirmed family."""
-        row, col = self.features(h, first)
-        some, inv = np.unique(row, return_inverse=True)
-        if not len(some):
-            return []
-        p = softmax(self.logits(inv, col, len(some)) / self.temperature)
-        best = p[:, :-1].argmax(axis=1)
-        prob = p[np.arange(len(some)), best]
-        out = []
-        for k in np.flatnonzero((prob >= self.bar) & (prob > p[:, -1])).tolist():
-            r, f = int(some[k]), int(best[k])
-            w = h[first[r] : first[r + 1]]
-            own = np.unique(np.concatenate([grams(w, 1), grams(w, 2)]))
-            share = max(float(np.isin(t, own).mean()) for i, t in self.templates if i == f)
-            if share >= 0.6:
-                out.append((r, f, float(prob[k]), share))
-        return out
+        """(paragraph, family, probability, share of the template found), the best of each paragraph's windows."""
+        size = np.diff(first)
+        count = np.maximum(1, -(-(size - STRIDE) // STRIDE))
+        of = np.repeat(np.arange(len(size)), count)
+        begin = first[of] + STRIDE * (np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count))
+        end = np.minimum(begin + WINDOW, first[of + 1])
+        # Without one pair of words of a template none can be confirmed.
+        hits = np.concatenate([[0], np.cumsum(member(grams(h, 2), self.pairs)), [0]]) if len(h) > 1 else np.zeros(len(h) + 2, np.int64)
+        some = np.flatnonzero(hits[np.maximum(end - 1, begin)] > hits[begin])
+        best: dict[tuple[int, int], tuple[float, float]] = {}
+        for i in some.tolist():
+            for f, p, share in self.families_in(h[begin[i] : end[i]]):
+                key = (int(of[i]), f)
+                best[key] = max(best.get(key, (0.0, 0.0)), (p, share))
+        return [(r, f, p, s) for (r, f), (p, s) in sorted(best.items())]
+
+    def families_in(self, w: np.ndarray) -> Iterator[tuple[int, float, float]]:
+        """(family, probability, share) for a window: the likeliest first, its words then taken out."""
+        tried: set[int] = set()
+        while len(w) > 1:
+            row, col = self._rows([w])
+            p = self.against_other(self.logits(row, col, 1))[0]
+            p[list(tried)] = 0
+            f = int(p.argmax())
+            if p[f] < self.bar:
+                return
+            tried.add(f)
+            own = grams(w, 2)
+            share, t = max(((float(np.isin(t, own).mean()), k) for k, (i, t) in enumerate(self.templates) if i == f), key=lambda x: x[0])
+            if share >= FOUND:
+                yield f, float(p[f]), share
+                at = np.flatnonzero(np.isin(own, self.templates[t][1]))
+                runs = np.split(at, np.flatnonzero(np.diff(at) > 1) + 1)
+                longest = max(runs, key=len)  # words that another notice shares stay where they stand
+                w = np.delete(w, np.append(longest, longest[-1] + 1))
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -162,21 +220,20 @@ def train(docs: DataFrame, sample_docs: int = 400, sample_chars: int = 2000, see
     """A scanner whose other class has seen paragraphs of a bounded sample of documents.
 
     The sample is ``sample_docs`` documents at most, those of the smallest hashes of
-    doc_id, and ``sample_chars`` characters from the start of each; paragraphs in
+    doc_id, and ``sample_chars`` characters from the start of each; lines in
     which a template stands as it is are left out of it.
     """
     rows = docs.where(F.col(text).isNotNull()).select(F.left(F.col(text).cast("string"), F.lit(sample_chars)).alias("body"), F.xxhash64("doc_id").alias("draw"))
     sample = rows.orderBy("draw", "body").limit(sample_docs).toArrow().column("body").to_pylist()
     known = [t.lower() for ts in TEMPLATES.values() for t in ts]
-    lines = [x for b in sample for x in b.split("\n") if x.strip() and not any(k in x.lower() for k in known)]
-    return Scanner(lines[: 20 * sample_docs], seed)
+    return Scanner([x for b in sample for x in b.split("\n") if x.strip() and not any(k in x.lower() for k in known)], seed)
 
 
 OUT = "doc_id {}, n_paragraphs long, hits array<struct<paragraph:long,family:string,probability:double,similarity:double>>"
 
 
 def scan(docs: DataFrame, scanner: Scanner, text: str = "text") -> DataFrame:
-    """doc_id, n_paragraphs (lines with words) and hits for every row, over whole texts.
+    """doc_id, n_paragraphs (blocks of lines with words) and hits for every row, over whole texts.
 
     Null and empty texts have no paragraphs.  Repeated rows are scanned alike; a null
     doc_id stays; extra columns are ignored; no rows give no rows.
@@ -190,10 +247,10 @@ def scan(docs: DataFrame, scanner: Scanner, text: str = "text") -> DataFrame:
         for b in batches:
             count, hits = [], []
             for _, data, offs in tk.slices(b.column(1)):
-                row, number, h, first = line_words(data, offs)
-                count += np.bincount(row[np.diff(first) > 0], minlength=len(offs) - 1).tolist()
+                row, number, first, h = paragraphs(data, offs)
+                count += np.bincount(row, minlength=len(offs) - 1).tolist()
                 found: list[list] = [[] for _ in range(len(offs) - 1)]
-                for r, f, p, s in own.scan(h, first):
+                for r, f, p, s in own.scan(h, first) if len(row) else ():
                     found[row[r]].append({"paragraph": int(number[r]), "family": own.families[f], "probability": p, "similarity": s})
                 hits += found
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count, pa.int64()), pa.array(hits, kind)], names=["doc_id", "n_paragraphs", "hits"])

@@ -5,7 +5,8 @@ weights, lines of edit similarity 0.8 differ in a fifth of all bits, and no bloc
 long enough to tell lines apart agrees.  Here the words have, for each of BLOCKS
 blocks of 16 bits, random weights of so heavy a tail that the heaviest word alone
 decides the signs: a block of two lines agrees as a whole with the probability of
-the Jaccard similarity of their words (2/3 or more), however many bits it has.
+the Jaccard similarity of their words (about 2/3 or more), however many bits it has.
+Words of up to SHORT bytes, which say little, have a quarter of the weight.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ TABLES = BLOCKS // EACH
 LEAST = 9 / BLOCKS
 #: Numbers of 64 bits for the parities of a line's words.
 PARITIES = 4
+#: Bytes of the words that have little weight.
+SHORT = 3
 #: Occurrences of a line from which they are joined apart from the others.
 COMMON = 50_000
 
@@ -49,26 +52,22 @@ def line_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 def line_words(data: np.ndarray, offsets: np.ndarray):
     """Lines with their words: (row, number in the row, hashes, first word of each line)."""
-    starts, ends, row = line_bounds(data, offsets)
-    h, first = tk.word_hashes(data, np.append(starts, len(data)), tk.ALNUM)
-    head = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
-    number = np.arange(len(row)) - np.repeat(head, np.diff(np.append(head, len(row))))
+    row, number, h, first, _ = sized_words(data, offsets)
     return row, number, h, first
 
 
-def counted(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Word hashes made distinct within a line: the i-th occurrence of a word differs from the others."""
-    line = tk.row_of(first)
-    order = np.lexsort((h, line))
-    same = np.append(False, (h[order][1:] == h[order][:-1]) & (line[order][1:] == line[order][:-1])) if len(h) else np.zeros(0, bool)
-    at = np.arange(len(h))
-    nth = at - np.maximum.accumulate(np.where(same, 0, at)) if len(h) else at
-    out = h.copy()
-    out[order[same]] = tk.mix(h[order[same]] + nth[same].astype(np.uint64) * tk.MIX1)
-    return out
+def sized_words(data: np.ndarray, offsets: np.ndarray):
+    """As :func:`line_words`, and the words' lengths in bytes."""
+    starts, ends, row = line_bounds(data, offsets)
+    low = tk.LOWER[data]
+    begin, end, first = tk.words(low, np.append(starts, len(data)), tk.ALNUM)
+    h = tk.span_hash(tk.prefix_hash(low), begin, end)
+    head = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
+    number = np.arange(len(row)) - np.repeat(head, np.diff(np.append(head, len(row))))
+    return row, number, h, first, end - begin
 
 
-def simhashes(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+def simhashes(h: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The SimHash of each line, one row of TABLES keys: three blocks of 16 bits with the table's number above.
 
     After them come PARITIES numbers: which of 256 classes of words a line has an
@@ -81,11 +80,11 @@ def simhashes(h: np.ndarray, first: np.ndarray) -> np.ndarray:
         bit = np.uint64(1) << ((h >> np.uint64(56)) & np.uint64(63))
         for i in range(PARITIES):
             parity[some, i] = np.bitwise_xor.reduceat(np.where(h >> np.uint64(62) == np.uint64(i), bit, np.uint64(0)), first[:-1][some])
-        h = counted(h, first)
         odd = tk.mix(np.arange(1, BLOCKS + 1, dtype=np.uint64) * tk.MULT) | np.uint64(1)
+        lift = np.where(size > SHORT, np.uint64(2), np.uint64(0))
         for i in range(BLOCKS):
-            # A word's weight grows as its hash falls; the lightest hash is the heaviest word.
-            heaviest = np.minimum.reduceat(h * odd[i], first[:-1][some])
+            # A word's weight grows as its hash falls; longer words have four times the weight.
+            heaviest = np.minimum.reduceat((h * odd[i]) >> lift, first[:-1][some])
             out[some, i // EACH] |= (tk.mix(heaviest) & np.uint64(0xFFFF)) << np.uint64(16 * (i % EACH))
     return np.concatenate([out | (np.arange(TABLES, dtype=np.uint64) << np.uint64(16 * EACH))[None], parity], axis=1)
 
@@ -151,11 +150,11 @@ def line_rows(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[
     """(doc_id, body, line, hi, lo, n, sketch) of lines with words; lines that no edit may change have no SimHash."""
     for b in batches:
         for at, data, offs in tk.slices(b.column(2)):
-            row, number, h, first = line_words(data, offs)
+            row, number, h, first, size = sized_words(data, offs)
             use = np.flatnonzero(np.diff(first))
             n, dig = np.diff(first)[use], digests(h, first)[use].view(np.int64)
             fuzzy = edits(np.floor(n / similarity + 1e-9), similarity) > 0
-            sketch = simhashes(h, first)[use][fuzzy].view(np.int64)
+            sketch = simhashes(h, first, size)[use][fuzzy].view(np.int64)
             ends = np.concatenate([[0], np.cumsum(fuzzy) * (TABLES + PARITIES)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -168,7 +167,7 @@ def line_rows(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[
 
 
 def pick_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The word hashes of the lines asked for: (lines as (line, id), text) to (id, words)."""
+    """The word hashes of the lines asked for: (lines as (line, id), text) to (id, body)."""
     for b in batches:
         ids, out = [], []
         want = b.column(0).to_pylist()
@@ -181,7 +180,7 @@ def pick_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     j = head[i] + w["line"]
                     ids.append(w["id"])
                     out.append(h[first[j] : first[j + 1]].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["id", "words"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["id", "body"])
 
 
 def within(x: np.ndarray, y: np.ndarray, most: int) -> bool:
@@ -219,34 +218,26 @@ def within(x: np.ndarray, y: np.ndarray, most: int) -> bool:
     return score <= most
 
 
-def check_rows(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        keep = []
-        for p, q in zip(b.column(2), b.column(3), strict=True):
-            x, y = (np.frombuffer(v.as_buffer(), np.uint32) for v in (p, q))
-            keep.append(within(x, y, int(edits(max(len(x), len(y)), similarity))))
-        yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+def alike(similarity: float):
+    """Whether two lines' word hashes are within the edit similarity."""
+
+    def same(p: bytes, q: bytes) -> bool:
+        x, y = (np.frombuffer(v, np.uint32) for v in (p, q))
+        return within(x, y, int(edits(max(len(x), len(y)), similarity)))
+
+    return same
 
 
 def same_row(docs: DataFrame, side: DataFrame) -> F.Column:
     return docs["_doc"].eqNullSafe(side["doc_id"]) & (docs["_body"] == side["body"])
 
 
-def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of class ids within the edit similarity, as (u, v); words are read from the first occurrences."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "at"), "id")
-    ids = cut(ids.groupBy("at.doc_id", "at.body").agg(F.collect_list(F.struct("at.line", "id")).alias("want")), "ids")
-    sent = broadcast_if(ids, ids.agg(F.sum(F.size("want"))).first()[0], SENT)
-    words = cut(docs.join(sent, same_row(docs, sent)).select("want", "_text").mapInArrow(pick_rows, "id long, words binary"), "words")
-    full = (
-        pairs.join(words.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a")
-        .join(words.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
-        .select("a", "b", "wa", "wb")
-    )
-    out = cut(full.mapInArrow(lambda it: check_rows(it, similarity), "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
-    for used in (ids, words):
-        drop_scratch(used)
-    return out
+def words_of(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, body): the word hashes of the given classes, read from their first occurrences, once for each text."""
+    at = ids.join(classes.select("id", "at"), "id")
+    want = cut(at.groupBy("at.doc_id", "at.body").agg(F.collect_list(F.struct("at.line", "id")).alias("want")), "ids")
+    sent = broadcast_if(want, want.agg(F.sum(F.size("want"))).first()[0], SENT)
+    return docs.join(sent, same_row(docs, sent)).select("want", "_text").mapInArrow(pick_rows, "id long, body binary")
 
 
 def with_body(docs: DataFrame, text: str) -> DataFrame:
@@ -263,7 +254,7 @@ def repeated(docs: DataFrame, similarity: float = 0.8, text: str = "text") -> Da
     short; classes are linked when the edit distance of their words is at most
     1 - similarity of the longer one, and their SimHashes share the blocks of a
     table: always if at most 7 of 24 blocks differ, and with a probability of 0.94
-    at the very threshold.  First is the smallest (doc_id, body, line), ``body``
+    at the very threshold where words are distinct and of one weight.  First is the smallest (doc_id, body, line), ``body``
     being the text's xxhash64 and ``line`` counted from 0.
 
     Nulls: a null text has no lines; null doc_ids sort first.  Rows of equal doc_id
@@ -278,7 +269,7 @@ def repeated(docs: DataFrame, similarity: float = 0.8, text: str = "text") -> Da
     classes = lines.groupBy("hi", "lo").agg(F.min(at).alias("at"), F.count("*").alias("times"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = cut(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     fuzzy = classes.where(F.size("sketch") > 0).select("id", "n", "sketch", F.slice("sketch", 1, TABLES).alias("keys"))
-    links = linked(fuzzy, lambda pairs: verified(texts, classes, pairs, similarity), likeness(similarity), finer)
+    links = linked(fuzzy, lambda ids: words_of(texts, classes, ids), alike(similarity), likeness(similarity), finer)
     comps = components(links).withColumnRenamed("node", "id")
     of = classes.select("hi", "lo", "id", "at", "times").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
     low = of.groupBy("component").agg(F.min("at").alias("keep"), F.sum("times").alias("total")).where("total > 1")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spanline.llm import textkit as tk
 from spanline.llm.buckets import linked
-from spanline.llm.common import SENT, broadcast_if, components, cut, drop_scratch
+from spanline.llm.common import SENT, broadcast_if, components, cut
 
 SHINGLE = 5
 BANDS, ROWS = 30, 6
@@ -141,19 +141,20 @@ def set_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
         for _, data, offs in tk.slices(b.column(1)):
             g, first = shingle_sets(data, offs, k)
             sets += [g[first[i] : first[i + 1]].tobytes() for i in range(len(offs) - 1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["id", "grams"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["id", "body"])
 
 
-def check_rows(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        keep = []
-        for x, y in zip(b.column(2), b.column(3), strict=True):
-            p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-            both = np.concatenate([p, q])
-            both.sort(kind="stable")
-            common = int((both[1:] == both[:-1]).sum())
-            keep.append(den * common >= num * (len(p) + len(q) - common))
-        yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+def alike(num: int, den: int):
+    """Whether two sets of sorted hashes have den * intersection >= num * union."""
+
+    def same(p: bytes, q: bytes) -> bool:
+        x, y = (np.frombuffer(v, np.uint64) for v in (p, q))
+        both = np.concatenate([x, y])
+        both.sort(kind="stable")
+        common = int((both[1:] == both[:-1]).sum())
+        return den * common >= num * (len(x) + len(y) - common)
+
+    return same
 
 
 def with_body(docs: DataFrame, text: str) -> DataFrame:
@@ -162,22 +163,13 @@ def with_body(docs: DataFrame, text: str) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(value).alias("body"), value.alias("_text"))
 
 
-def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (u, v) of class ids whose full sets have den * intersection >= num * union; sets are made anew from the texts."""
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "rep"), "id"), "ids")
-    sent = broadcast_if(ids, ids.count(), SENT).withColumnRenamed("id", "_id")
+def sets_of(docs: DataFrame, classes: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(id, body): the full sets of the given classes, made anew from their first texts."""
+    want = cut(ids.join(classes.select("id", "rep"), "id"), "ids")
+    sent = broadcast_if(want, want.count(), SENT).withColumnRenamed("id", "_id")
     here = docs["doc_id"].eqNullSafe(sent["rep.doc_id"]) & (docs["body"] == sent["rep.body"])
-    need = docs.join(sent, here).select(F.col("_id").alias("id"), "_text").dropDuplicates(["id"])
-    sets = cut(need.mapInArrow(lambda it: set_rows(it, k), "id long, grams binary"), "sets")
-    full = (
-        pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a")
-        .join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
-        .select("a", "b", "ga", "gb")
-    )
-    out = cut(full.mapInArrow(lambda it: check_rows(it, num, den), "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
-    for used in (ids, sets):
-        drop_scratch(used)
-    return out
+    need = docs.join(sent, here).select(F.col("_id").alias("id"), "_text")
+    return need.mapInArrow(lambda it: set_rows(it, k), "id long, body binary").dropDuplicates(["id"])
 
 
 def members(docs: DataFrame, num: int, den: int, k: int = SHINGLE, text: str = "text") -> DataFrame:
@@ -191,7 +183,7 @@ def members(docs: DataFrame, num: int, den: int, k: int = SHINGLE, text: str = "
     rep = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body")
     classes = sets.where("n > 0").groupBy("hi", "lo").agg(F.min(rep).alias("rep"), *[F.first(c).alias(c) for c in ("n", "sketch", "keys")])
     classes = cut(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
-    links = linked(classes.select("id", "n", "sketch", "keys"), lambda pairs: verified(docs, classes, pairs, k, num, den), likeness(least, ratio), lambda keys: keys)
+    links = linked(classes.select("id", "n", "sketch", "keys"), lambda ids: sets_of(docs, classes, ids, k), alike(num, den), likeness(least, ratio), lambda keys: keys)
     comps = components(links)
     of = classes.select("hi", "lo", "id", "rep").join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     low = of.groupBy("component").agg(F.min("rep").alias("first"))

@@ -16,6 +16,22 @@ def test_finds_the_notices_and_nothing_else(spark):
         assert got[r.doc_id].families == ",".join(want), (r.doc_id, got[r.doc_id])
 
 
+def test_wrapped_and_several_notices(spark):
+    """Notices over several lines, two in one line, and wordings that no template has."""
+    scanner = licenses.train(spark.read.parquet(f"{DATA}/documents.parquet"))
+    rows = [
+        (1, "This file is licensed under the GNU General\nPublic License, version 3\nor later."),
+        (2, "Dual licensed: licensed under the MIT License or licensed under the Apache License, Version 2.0."),
+        (3, "licensed under the GNU General\n\nPublic License, version 3"),
+        (4, "This program is free software; you can redistribute it and/or modify it\nunder the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License"),
+        (5, "The library was released by its authors under the MIT License in May."),
+        (6, "filler " * 500 + "\nThis Source Code Form is subject to the terms\nof the Mozilla Public License, v. 2.0." + " more" * 500),
+        (7, "The public may copy a notice of the library under the terms and conditions of the museum."),
+    ]
+    got = {r.doc_id: sorted(h.family for h in r.hits) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), scanner).collect()}
+    assert got == {1: ["gpl-3.0"], 2: ["apache-2.0", "mit"], 3: [], 4: ["gpl-2.0"], 5: ["mit"], 6: ["mpl-2.0"], 7: []}
+
+
 def test_held_out_families_and_edges(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     scanner = licenses.train(docs)
