@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanline.functions import scalars as sc
+from spanline.operators.lookup import resolve_dimension
 
 FIELDS = ["id", "raw_id", "start", "end", "kind", "speaker", "original", "translation"]
+#: Style fields that follow the speaker.
 COLOURS = ["primary_colour", "secondary_colour", "outline_colour", "back_colour"]
 
 
@@ -45,6 +47,7 @@ class Project:
         blank = e["kind"] == "blank_no_name"
         row = {"id": max(1, anchor + after), "raw_id": sc.MANUAL, "start": e["start"] or 0.0, "end": e["end"] or 0.0, "kind": e["kind"] or "speaker_dialogue", "review_reason": [sc.MANUAL] if self.mark else []}
         row |= {f: "" if blank else (e[f] or "").strip() for f in ("speaker", "original", "translation")}
+        row |= {"style": None, "restyle": True}
         self.shift(i, 1)
         self.rows.insert(i, row)
 
@@ -57,7 +60,11 @@ class Project:
             self.shift(i, -1)
 
     def merge(self, e: dict) -> None:
-        """With the next row; ``choices`` says per field: current, other or joined."""
+        """With the next row; ``choices`` says per field: current, other or joined.
+
+        The style is the current or the other row's; where the speaker isn't that
+        row's, its colours are to be looked up again.
+        """
         i = self.at(e["anchor_id"])
         if i is None or i + 1 >= len(self.rows):
             return
@@ -70,6 +77,8 @@ class Project:
             row[f] = a[f] if how == "current" else b[f] if how == "other" else "\n".join(x for x in (a[f], b[f]) if x)
         if row["kind"] == "blank_no_name":
             row |= {"speaker": "", "original": "", "translation": ""}
+        source = b if pick.get("style", "current") == "other" else a
+        row["style"], row["restyle"] = source.get("style"), row["speaker"] != source["speaker"]
         own = ["manual_merge"] if self.mark else []
         source = pick.get("reasons", "joined")
         row["review_reason"] = reasons_of(own, a["review_reason"] if source in ("joined", "current") else [], b["review_reason"] if source in ("joined", "other") else [])
@@ -100,22 +109,28 @@ def apply_edits(entries: DataFrame, edits: DataFrame, k: list[str], mark: bool =
     Edits of a project depend on those before, so they run in order of seq, one
     project per task.  Unknown ids are ignored.  Inserts and deletions shift the
     later positive ids; merging does not, unless ``renumber``.  pos is counted anew.
+    Entries with a ``style`` (a map of style fields) keep it, and ``restyle`` is
+    added: whether :func:`restyle` is to look up the row's colours.
     """
+    styled = "style" in entries.columns
+    fields = [*FIELDS, "review_reason", *(["style"] if styled else [])]
     kinds = ", ".join(f"{c} {entries.schema[c].dataType.simpleString()}" for c in k)
-    out = f"{kinds}, pos long, id long, raw_id string, start double, end double, kind string, speaker string, original string, translation string, review_reason array<string>"
+    out = f"{kinds}, pos long, id long, raw_id string, start double, end double, kind string, speaker string, original string, translation string, review_reason array<string>" + (", style map<string,string>, restyle boolean" if styled else "")
 
     def clean(records: list[dict]) -> list[dict]:
         return [{f: None if not isinstance(v, (list,)) and not hasattr(v, "__len__") and pd.isna(v) else v for f, v in r.items()} for r in records]
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = clean(left.sort_values("pos")[[*FIELDS, "review_reason"]].to_dict("records"))
+        rows = clean(left.sort_values("pos")[fields].to_dict("records"))
         for r in rows:
+            r["restyle"] = False
+            r["style"] = dict(r["style"]) if r.get("style") is not None else None
             r["id"] = None if r["id"] is None else int(r["id"])
         project = Project(rows, mark, renumber)
         for e in clean(right.sort_values("seq").to_dict("records")):
             e["anchor_id"] = None if e["anchor_id"] is None else int(e["anchor_id"])
             project.apply(e)
-        pdf = pd.DataFrame(project.rows, columns=[*FIELDS, "review_reason"])
+        pdf = pd.DataFrame(project.rows, columns=[*fields, *(["restyle"] if styled else [])])
         pdf["id"] = pdf["id"].astype("Int64")
         pdf.insert(0, "pos", range(len(pdf)))
         for i, c in enumerate(k):
@@ -132,3 +147,23 @@ def delete_rows(entries: DataFrame, gone: DataFrame, k: list[str]) -> DataFrame:
     n = F.coalesce(F.sum(F.when(F.col("_gone") & (F.col("id") > 0), 1)).over(before), F.lit(0))
     marked = marked.withColumn("_n", n).where("_gone IS NULL")
     return marked.withColumn("id", F.when(F.col("id") > 0, F.col("id") - F.col("_n")).otherwise(F.col("id"))).drop("_gone", "_n")
+
+
+def restyle(entries: DataFrame, styles: DataFrame, speaker: str = "speaker", max_dist: int = 1) -> DataFrame:
+    """Rows marked ``restyle`` with their speaker's colours; ``restyle`` is dropped.
+
+    styles(speaker, and any of COLOURS).  The other style fields stay; rows of no
+    speaker that styles have lose their colours, blank rows and titles stay as they
+    are, and an ambiguous match adds a reason.
+    """
+    have = [c for c in COLOURS if c in styles.columns]
+    named = styles.select(F.trim(speaker).alias("match"), F.create_map(*[x for c in have for x in (F.lit(c), F.col(c).cast("string"))]).alias("_colours"))
+    named = named.groupBy("match").agg(F.min_by("_colours", F.to_json("_colours")).alias("_colours"))
+    todo = F.coalesce(F.col("restyle"), F.lit(False)) & sc.is_dialogue("kind")
+    d = resolve_dimension(entries, speaker, styles, speaker, max_dist).join(named, "match", "left")
+    none = F.create_map().cast("map<string,string>")
+    rest = F.map_filter(F.coalesce("style", none), lambda f, _: ~f.isin(COLOURS))
+    colours = F.map_filter(F.coalesce("_colours", none), lambda _, v: v.isNotNull())
+    d = d.withColumn("style", F.when(todo, F.map_concat(rest, colours)).otherwise(F.col("style")))
+    why = F.array(F.when(todo & F.col("ambiguous"), "speaker_style_ambiguous"))
+    return d.withColumn("review_reason", sc.merge_reasons("review_reason", why)).select(*[c for c in entries.columns if c != "restyle"])

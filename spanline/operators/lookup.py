@@ -86,7 +86,7 @@ def near_keys(names: DataFrame, keys: DataFrame, max_dist: int) -> DataFrame:
     return union_all(union_all(met[0], met[1]), met[2]).distinct()
 
 
-def resolve_dimension(df: DataFrame, name: str, dim: DataFrame, dim_name: str, max_dist: int = 1, most_dim_rows: int = 100_000) -> DataFrame:
+def resolve_dimension(df: DataFrame, name: str, dim: DataFrame, dim_name: str, max_dist: int = 1, most_dim_rows: int = 1_000) -> DataFrame:
     """Adds ``match`` (the dimension's name) and ``ambiguous``.
 
     By tiers: the normalised name is a key as it stands; equal after normalising;

@@ -45,12 +45,23 @@ def centred(x: np.ndarray) -> np.ndarray:
     return np.divide(z, n, out=np.zeros_like(z), where=n > 0)
 
 
+def shrunk(x: np.ndarray, n: int) -> np.ndarray:
+    """Rows brought to n places by means over equal shares of them, if they have more."""
+    if x.shape[1] <= n:
+        return x
+    total = np.concatenate([np.zeros((len(x), 1)), np.cumsum(x, axis=1)], axis=1)
+    edge = np.linspace(0, x.shape[1], n + 1)
+    whole = np.minimum(edge.astype(np.int64), x.shape[1] - 1)
+    upto = total[:, whole] + (edge - whole) * x[:, whole]
+    return np.diff(upto, axis=1) * n / x.shape[1]
+
+
 def template_match(df: DataFrame, vec: str, templates: np.ndarray, shift: int = 0, step: int = 1, crop: int | None = None, out: str = "score") -> DataFrame:
     """Adds the best normalised correlation of each vector with the templates, moved by up to ``shift`` places.
 
     Within 0 and 1; null for a null vector.  ``crop`` compares the middle places
-    only.  Templates (few, of one length) go with the task; longer ones are cut
-    to the vectors' length.
+    only.  Templates (few, of one length) go with the task; longer ones are shrunk
+    to the vectors' length, shorter ones don't match.
     """
     shifts = [0, *[s * d for d in range(step, shift + 1, step) for s in (1, -1)]]
 
@@ -65,7 +76,7 @@ def template_match(df: DataFrame, vec: str, templates: np.ndarray, shift: int =
         for n in np.unique(lens[lens > 0]):
             at = np.flatnonzero(lens == n)
             x = centred(cut(np.array(s.iloc[at].tolist(), np.float64)))
-            t = templates[:, :n].astype(np.float64)
+            t = shrunk(templates.astype(np.float64), n)
             best = np.max([x @ centred(cut(shifted(t, d))).T for d in shifts], axis=(0, 2)) if t.shape[1] == n else np.zeros(len(at))
             got[at] = np.clip(best, 0, 1)
         return pd.Series(got).where(~np.isnan(got), None)
@@ -73,9 +84,32 @@ def template_match(df: DataFrame, vec: str, templates: np.ndarray, shift: int =
     return df.withColumn(out, score(vec))
 
 
-def text_mask(img: np.ndarray, window: int = 15, offset: float = 12.0) -> np.ndarray:
-    """Places brighter than their surroundings by ``offset``: a local threshold over box means."""
-    x = img.astype(np.float64)
+def enlarged(x: np.ndarray, scale: int) -> np.ndarray:
+    """An image with each side ``scale`` times as long, linear between pixel centres."""
+    for axis in (0, 1):
+        n = x.shape[axis]
+        at = np.clip((np.arange(n * scale) + 0.5) / scale - 0.5, 0, n - 1)
+        low = np.minimum(at.astype(np.int64), max(0, n - 2))
+        part = (at - low).reshape((-1, 1) if axis == 0 else (1, -1))
+        x = x.take(low, axis) * (1 - part) + x.take(np.minimum(low + 1, n - 1), axis) * part
+    return x
+
+
+def smoothed(x: np.ndarray, rounds: int) -> np.ndarray:
+    """Binomial means over three by three pixels, edges repeated."""
+    for _ in range(rounds):
+        p = np.pad(x, 1, mode="edge")
+        p = (p[:-2] + 2 * p[1:-1] + p[2:]) / 4
+        x = (p[:, :-2] + 2 * p[:, 1:-1] + p[:, 2:]) / 4
+    return x
+
+
+def text_mask(img: np.ndarray, window: int = 15, offset: float = 12.0, scale: int = 2, smooth: int = 1) -> np.ndarray:
+    """Places brighter than their surroundings by ``offset``: a local threshold over box means.
+
+    The image is enlarged and smoothed first, so the mask has ``scale`` times its sides.
+    """
+    x = smoothed(enlarged(img.astype(np.float64), max(1, scale)), smooth)
     pad = window // 2
     p = np.pad(x, pad + 1, mode="edge")
     c = p.cumsum(axis=0).cumsum(axis=1)
@@ -109,9 +143,14 @@ def label(mask: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def frame_stats(img: np.ndarray, cfg: dict) -> tuple:
-    """(presence, components, x_min, x_max, x_span, y_span, largest) of the text-like mask."""
-    h, w = img.shape
-    lab, n = label(text_mask(img, cfg.get("window", 15), cfg.get("offset", 12.0)))
+    """(presence, components, x_min, x_max, x_span, y_span, largest) of the text-like mask.
+
+    cfg: window, offset, scale and smooth as for :func:`text_mask`; min_size and
+    max_share of components, in pixels and parts of the enlarged image.
+    """
+    found = text_mask(img, cfg.get("window", 15), cfg.get("offset", 12.0), cfg.get("scale", 2), cfg.get("smooth", 1))
+    h, w = found.shape
+    lab, n = label(found)
     size = np.bincount(lab.ravel(), minlength=n + 1)
     low, high = cfg.get("min_size", 3), cfg.get("max_share", 0.25) * h * w
     keep = np.flatnonzero((size >= low) & (size <= high))

@@ -131,14 +131,28 @@ def h2b(spark, d):
     return out.select(*KEY, "frame_start", "frame_end", "has_name", "outcome")
 
 
-@query("h2b_split_by_mask")
+def h2b_mask_sql() -> str:
+    return f"""WITH {CAND.format(flag='mask')}{PROBE.format(flag='mask')}{BACK.format(step=1, src='u', flag='mask')},
+cf AS (SELECT user_id, sid, re - rs + 1 AS len, avg(value) FILTER (i BETWEEN rs AND re) AS mean, coalesce(avg(value) FILTER (i < rs AND i >= rs - least(re - rs + 1, 4)), 0) AS before FROM u JOIN cand USING (user_id, sid) GROUP BY user_id, sid, rs, re),
+j AS (SELECT s.*, hits, rs, coalesce(rs, back) AS ct, len < 2 OR mean < 30 OR (rs > fs AND mean - before < 0.002) AS low FROM s JOIN pr USING (user_id, sid) LEFT JOIN cand USING (user_id, sid) LEFT JOIN bk USING (user_id, sid) LEFT JOIN cf USING (user_id, sid)),
+c AS (SELECT j.user_id, j.sid, count(*) FILTER (mask AND i < ct AND ((i - j.fs) % 3 = 0 AND i - j.fs <= 6 OR (ct - 1 - i) % 3 = 0 AND ct - 1 - i <= 6)) < 2 AS ok FROM j JOIN x USING (user_id, sid) GROUP BY j.user_id, j.sid),
+o AS (SELECT j.*, CASE WHEN hits >= 3 THEN 'probe' WHEN ct IS NULL THEN 'miss' WHEN low THEN 'low' WHEN ct - fs < 2 THEN 'short' WHEN NOT ok THEN 'not_blank' ELSE 'split' END AS outcome FROM j JOIN c USING (user_id, sid))
+SELECT user_id, sid AS segment_id, fs AS frame_start, ct - 1 AS frame_end, false AS has_name, outcome FROM o WHERE outcome = 'split'
+UNION ALL SELECT user_id, sid, CASE WHEN outcome = 'split' THEN ct ELSE fs END, fe, true, outcome FROM o"""
+
+
+@query("h2b_split_by_mask", h2b_mask_sql())
 def h2b_mask(spark, d):
     s, f = blocks(spark, d)
     out = sg.split_by_presence(s, f, K, "mask", None, 6.0, probe_frames=3, probe_least=3, presence="value", split_presence=30.0)
     return out.select(*KEY, "frame_start", "frame_end", "has_name", "outcome")
 
 
-@query("h1_coarse_to_fine")
+@query("h1_coarse_to_fine", f"""WITH {FR}, p AS (SELECT *, i % 3 = 0 OR i = count(*) OVER (PARTITION BY user_id) - 1 OR count(*) OVER (PARTITION BY user_id) <= 4 AS anchor FROM f),
+a AS (SELECT user_id, i AS a, value AS x, lead(i) OVER w AS b, lead(value) OVER w AS y, quantile_cont(value, 0.7) OVER (PARTITION BY user_id) AS thr FROM p WHERE anchor WINDOW w AS (PARTITION BY user_id ORDER BY i)),
+v AS (SELECT a.*, f.i AS m, (x >= thr) <> (y >= thr) OR abs(x - thr) <= 5 OR abs(y - thr) <= 5 OR abs(f.value - thr) <= 5 OR (f.value >= thr) <> (x >= thr) AS rough FROM a JOIN f ON f.user_id = a.user_id AND f.i = a.a + (b - a.a) // 2)
+SELECT event_id, round(CASE WHEN anchor OR rough THEN value WHEN i - a <= b - i THEN x ELSE y END, 6) AS score, anchor OR rough OR i = m AS computed
+FROM p LEFT JOIN v ON p.user_id = v.user_id AND i >= a AND i < b""")
 def h1(spark, d):
     f = frames(spark, d).select("user_id", "ts", "event_id", "value")
     return sg.coarse_to_fine(f, K, ["ts", "event_id"], F.col("value"), 3, 5.0).select("event_id", F.round("score", 6).alias("score"), "computed")

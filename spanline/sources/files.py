@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanline.functions import scalars as sc
+from spanline.operators.lookup import resolve_dimension
 from spanline.operators.review import review_metadata
 from spanline.operators.sequence import by
 
@@ -33,13 +34,32 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
     return d.select("project", "video", "pos", e.alias("e")).select("project", "video", "pos", "e.*")
 
 
-def write_cache(entries: DataFrame, path: str, project: str = "project", meta: dict | None = None) -> None:
+def with_styles(entries: DataFrame, styles: DataFrame) -> DataFrame:
+    """Dialogue rows without a style of their own get their speaker's, as ``subtitle_style``; ambiguous matches get a reason.
+
+    styles(speaker, style fields), fields that styles lack are null.
+    """
+    fields = [f for f in STYLE.removeprefix("struct<").removesuffix(">").replace(":string", "").split(",")]
+    named = styles.select(F.trim("speaker").alias("match"), F.struct(*[(F.col(f).cast("string") if f in styles.columns else F.lit(None).cast("string")).alias(f) for f in fields]).alias("_style"))
+    named = named.groupBy("match").agg(F.min("_style").alias("_style"))
+    d = resolve_dimension(entries, "speaker", styles, "speaker").join(named, "match", "left")
+    own = F.col("subtitle_style") if "subtitle_style" in entries.columns else F.lit(None).cast(STYLE)
+    empty = own.isNull() | F.coalesce(*[F.nullif(F.trim(own[f]), F.lit("")) for f in fields]).isNull()
+    todo = empty & sc.is_dialogue("dialogue_type")
+    stored = ["review_reason"] if "review_reason" in entries.columns else []
+    why = F.array(F.when(todo & F.col("ambiguous"), "speaker_style_ambiguous"))
+    d = d.withColumns({"subtitle_style": F.when(todo, F.col("_style")).otherwise(own), "review_reason": sc.merge_reasons(*stored, why)})
+    return d.drop("match", "ambiguous", "_style")
+
+
+def write_cache(entries: DataFrame, path: str, project: str = "project", meta: dict | None = None, styles: DataFrame | None = None) -> None:
     """One JSON document per project below ``path``/project=...: header fields and ordered entries.
 
+    With ``styles`` speakers' styles are resolved first, see :func:`with_styles`.
     Review metadata is computed anew.  A project's entries are one document, held
     in one row; large tables are better written one row per entry.
     """
-    e = review_metadata(entries)
+    e = review_metadata(entries if styles is None else with_styles(entries, styles))
     fields = [c for c in e.columns if c not in (project, "pos", "video")]
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.struct(*fields).alias("e")))), lambda x: x["e"])
     header = [F.lit(v).alias(n) for n, v in ({"version": 1} | (meta or {})).items()]
