@@ -17,6 +17,8 @@ _collected = 0.0
 SENT = 1_000_000
 #: Links of one node from which they are joined apart from the others.
 HUB = 50_000
+#: Links for each partition of a round of :func:`components`.
+EDGES = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -113,34 +115,31 @@ def components(edges: DataFrame) -> DataFrame:
     broadcast, so that no hub's links meet in one task.  Self-loops and nulls are
     ignored; no edges give no rows.
     """
-    cur = cut(
-        edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
-    )
+    cur = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "edges")
     total, seen = cur.count(), None
-    while True:
-        # Large star: every neighbour larger than u is moved to u's smallest neighbour.
-        both = cur.select("u", "v").unionAll(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    while total:
+        # Dealt by u into as many partitions as the links need; what follows on u needs no exchange.
+        n = max(1, min(buckets_for(cur.sparkSession), -(-total // EDGES)))
+        dealt = lambda df: df.repartition(n, "u")  # noqa: B023, E731
+        both = dealt(cur.select("u", "v").unionAll(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))).distinct()
         hubs = None
         if HUB <= total and 2 * total <= HUB * SENT:
             hubs = cut(both.groupBy("u").agg(F.count("*").alias("links")).where(F.col("links") >= HUB).select("u"), "hubs")
+        # Large star: every neighbour larger than u is moved to u's smallest neighbour.
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = hub_join(both.where("v > u"), low, "u", hubs).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = hub_join(both.where("v > u"), low, "u", hubs).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = dealt(large).distinct()
         # Small star: the smaller neighbours of u, and u itself, are moved to the smallest of them.
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low2, "u")
-            .select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-            .select("e.*")
-            .where("u <> v")
-            .distinct()
-        )
+        moved = F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        small = dealt(large.join(low2, "u").select(F.explode(moved).alias("e")).select("e.*").where("u <> v")).distinct()
         nxt = cut(small, "edges")
         total, state = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         drop_scratch(cur)
         if hubs is not None:
             drop_scratch(hubs)
         cur = nxt
-        if state == seen or total == 0:
+        if state == seen:
             break
         seen = state
     roots = cur.select(F.col("v").alias("node")).distinct()

@@ -11,41 +11,80 @@ from pyspark.sql import functions as F
 
 from spanline.llm.common import components, cut
 
-#: Width in bits of a table's part of the code; parts that differ in two bits at most meet.
+#: Least width in bits of a table's part of a code; parts that differ in two bits at most meet.
+#: Parts are as wide as the largest label has doublings, so that what meets by chance grows only with their square.
 PART = 13
+#: Share of vectors turned to the threshold at random that must meet, which sets the number of tables.
+MEET = 0.998
+#: Most rotations, of 64 bits each; where they don't do, parts are made narrower.
+ROTATIONS = 8
 #: Bits of a 64-bit code in which candidates may differ.
 RADIUS = 20
 
 
 class Codes:
-    """A rotation learned by iterative quantisation, and the codes it gives."""
+    """Rotations learned by iterative quantisation, the codes they give, and the tables over these.
 
-    def __init__(self, sample: np.ndarray, rounds: int = 30, seed: int = 0):
+    Each rotation is learned from another start.  A table is a part (rotation,
+    shift, width) of a code; tables are added until of sample vectors, each turned
+    at random to the threshold, a share of MEET meets itself in one.
+    """
+
+    def __init__(self, sample: np.ndarray, least: float, largest: int, seed: int = 0):
         unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
         self.dim = sample.shape[1]
         self.bits = min(64, self.dim)
         self.mean = unit.mean(axis=0)
         _, vec = np.linalg.eigh(np.cov((unit - self.mean).T).reshape(self.dim, self.dim))
-        base = vec[:, ::-1][:, : self.bits]
-        v = (unit - self.mean) @ base
+        self.base = vec[:, ::-1][:, : self.bits]
+        self.maps, self.middles = [], []
+        rng = np.random.default_rng(seed)
+        some = unit[:2000]
+        turn = rng.normal(size=some.shape)
+        turn -= (turn * some).sum(axis=1, keepdims=True) * some
+        turn /= np.linalg.norm(turn, axis=1, keepdims=True) + 1e-12
+        turned = least * some + np.sqrt(1 - least * least) * turn
+        width = max(PART, int(largest).bit_length())
+        while not self._choose(unit, some, turned, min(width, self.bits), seed):
+            width -= 1
+
+    def _learn(self, unit: np.ndarray, seed: int, rounds: int = 30) -> None:
+        v = (unit - self.mean) @ self.base
         rot, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(self.bits, self.bits)))
         for _ in range(rounds):  # the rotation that brings the projections nearest to their signs
             u, _, w = np.linalg.svd(np.where(v @ rot >= 0, 1.0, -1.0).T @ v)
             rot = (u @ w).T
-        self.map = base @ rot
-        self.middle = np.median(v @ rot, axis=0)  # balanced: each bit splits the sample in half
+        self.maps.append(self.base @ rot)
+        self.middles.append(np.median(v @ rot, axis=0))  # balanced: each bit splits the sample in half
+
+    def _choose(self, unit, x, y, width: int, seed: int) -> bool:
+        self.tables = []
+        met = np.zeros(len(x), bool)
+        for r in range(ROTATIONS):
+            if r == len(self.maps):
+                self._learn(unit, seed + r)
+            diff = (self.code(x, r) ^ self.code(y, r)).view(np.uint64)
+            for shift, own in parts(self.bits, width):
+                self.tables.append((r, shift, own))
+                met |= np.bitwise_count((diff >> np.uint64(shift)) & np.uint64((1 << own) - 1)) <= 2
+            if met.mean() >= MEET:
+                return True
+        return width <= PART
+
+    def code(self, unit: np.ndarray, r: int) -> np.ndarray:
+        out = np.zeros((len(unit), 64), np.uint8)
+        out[:, : self.bits] = (unit - self.mean) @ self.maps[r] > self.middles[r]
+        return np.packbits(out, axis=1).view(">u8").astype(np.int64).ravel()
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
+        """One column of codes for each rotation that the tables use."""
         unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-        on = ((unit - self.mean) @ self.map > self.middle).astype(np.uint8)
-        out = np.zeros((len(x), 64), np.uint8)
-        out[:, : self.bits] = on
-        return np.packbits(out, axis=1).view(">u8").astype(np.int64).ravel()
+        return np.stack([self.code(unit, r) for r in range(self.tables[-1][0] + 1)], axis=1)
 
 
-def parts(bits: int) -> list[tuple[int, int]]:
-    """(shift, width) of the tables' parts of a 64-bit code whose upper ``bits`` are used."""
-    n = max(1, round(bits / PART))
+def parts(bits: int, width: int) -> list[tuple[int, int]]:
+    """(shift, width) of the parts of a 64-bit code whose upper ``bits`` are used."""
+    n = max(1, round(bits / width) if width <= PART else bits // width)
     edge = [bits * i // n for i in range(n + 1)]
     return [(64 - edge[i + 1], edge[i + 1] - edge[i]) for i in range(n)]
 
@@ -57,9 +96,9 @@ def valid(vector: str) -> F.Column:
 
 
 def linked(vectors: DataFrame, least: float = 0.93, sample_rows: int = 20_000, key: str = "vec_id", vector: str = "embedding", group: str = "label"):
-    """(classes, links): classes of equal (group, vector), and links (u, v, cosine) between them.
+    """(classes, links): classes of equal (group, vector), and links (u, v, cosine) between their ids.
 
-    The rotation is fitted on at most ``sample_rows`` vectors of the most frequent
+    Rotations are fitted on at most ``sample_rows`` vectors of the most frequent
     length, those with the smallest hashes of ``key``; every vector is indexed.
     Vectors of other lengths are compared by the same tables over signs of their
     own components.
@@ -69,54 +108,59 @@ def linked(vectors: DataFrame, least: float = 0.93, sample_rows: int = 20_000, k
     )
     classes = rows.groupBy("label", "vec").agg(F.min("key").alias("rep"), F.count("*").alias("copies"))
     cls = F.concat(F.hex(F.xxhash64("label", "vec")), F.hex(F.xxhash64(F.lit(7), "vec", "label")))
-    classes = cut(classes.withColumn("cls", cls), "classes")
+    classes = cut(classes.withColumn("cls", cls).withColumn("id", F.monotonically_increasing_id()), "classes")
     size = classes.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if size is None:
-        empty = classes.sparkSession.createDataFrame([], "u string, v string, cosine double")
+        empty = classes.sparkSession.createDataFrame([], "u long, v long, cosine double")
         return classes, empty
     drawn = classes.where(F.size("vec") == size["d"]).select("vec", "cls").orderBy(F.xxhash64("rep"), "cls").limit(sample_rows).toArrow()
     sample = np.array(drawn.column("vec").to_pylist(), dtype=np.float64)
-    codes = classes.sparkSession.sparkContext.broadcast(Codes(sample))
+    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0]
+    fitted = Codes(sample, least, largest)
+    codes = classes.sparkSession.sparkContext.broadcast(fitted)
+    width = fitted.tables[-1][0] + 1
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codes.value
         for b in batches:
-            out = np.zeros(b.num_rows, np.int64)
+            out = np.zeros((b.num_rows, width), np.int64)
             lens = b.column(2).value_lengths().to_numpy()
             for d in np.unique(lens):
                 at = np.flatnonzero(lens == d)
-                x = np.array(b.column(2).take(pa.array(at)).to_pylist(), np.float64)
+                x = b.column(2).take(pa.array(at)).flatten().to_numpy().reshape(len(at), d)
                 if d == own.dim:
                     out[at] = own(x)
                 else:
                     sign = np.zeros((len(at), 64), np.uint8)
                     sign[:, : min(64, d)] = x[:, :64] > 0
-                    out[at] = np.packbits(sign, axis=1).view(">u8").astype(np.int64).ravel()
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out), pa.array(lens.astype(np.int32))], names=["cls", "label", "code", "d"])
+                    out[at] = np.packbits(sign, axis=1).view(">u8").astype(np.int64)
+            ends = pa.array(np.arange(0, out.size + 1, width, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(ends, pa.array(out.ravel())), pa.array(lens.astype(np.int32))], names=["id", "label", "codes", "d"])
 
-    coded = cut(classes.select("cls", "label", "vec").mapInArrow(encode, "cls string, label string, code long, d int"), "codes")
+    coded = cut(classes.select("id", "label", "vec").mapInArrow(encode, "id long, label string, codes array<long>, d int"), "codes")
     # Each code enters each table once as it is and once with each bit of its part turned:
     # two codes whose parts differ in at most two bits then share an entry.
-    tables = parts(min(64, size["d"]))
-    entries = F.array(*[F.struct(F.lit(t).alias("table"), F.lit(f).alias("flip")) for t, (shift, width) in enumerate(tables) for f in [0, *[signed(1 << (shift + i)) for i in range(width)]]])
-    masks = [signed(((1 << width) - 1) << shift) for shift, width in tables]
-    mask = F.element_at(F.array(*[F.lit(m) for m in masks]), F.col("table") + 1)
-    probes = coded.select("cls", "label", "code", "d", F.explode(entries).alias("e")).select("cls", "label", "code", "d", "e.table", "e.flip")
-    probes = probes.withColumn("part", F.col("code").bitwiseXOR(F.col("flip")).bitwiseAND(mask))
+    tables = fitted.tables
+    masks = [signed(((1 << w) - 1) << shift) for _, shift, w in tables]
+    entries = F.array(*[
+        F.struct(F.lit(t).alias("table"), F.lit(f).alias("flip"), F.get("codes", F.lit(r)).bitwiseXOR(F.lit(f)).bitwiseAND(F.lit(masks[t])).alias("part"))
+        for t, (r, shift, w) in enumerate(tables) for f in [0, *[signed(1 << (shift + i)) for i in range(w)]]
+    ])
+    probes = coded.select("id", "label", "codes", "d", F.explode(entries).alias("e")).select("id", "label", "codes", "d", "e.*")
     a, b = probes.alias("a"), probes.alias("b")
-    diff = F.expr("a.code ^ b.code")
+    diffs = [F.get("a.codes", F.lit(r)).bitwiseXOR(F.get("b.codes", F.lit(r))) for r in range(width)]
     # A pair is taken from the first table where it meets, and there from one entry.
     first = F.lit(False)
     for t, m in enumerate(masks):
-        own = diff.bitwiseAND(F.lit(m))
+        own = diffs[tables[t][0]].bitwiseAND(F.lit(m))
         near = F.bit_count(own)
         entry = F.col("a.flip") == F.when(near == 2, own.bitwiseAND(-own)).otherwise(F.lit(0).cast("long"))
         here = (F.col("a.table") == t) & entry
-        for earlier in masks[:t]:
-            here = here & (F.bit_count(diff.bitwiseAND(F.lit(earlier))) > 2)
+        for earlier in range(t):
+            here = here & (F.bit_count(diffs[tables[earlier][0]].bitwiseAND(F.lit(masks[earlier]))) > 2)
         first = first | here
     on = (F.col("a.label") == F.col("b.label")) & (F.col("a.d") == F.col("b.d")) & (F.col("a.table") == F.col("b.table")) & (F.col("a.part") == F.col("b.part"))
-    pairs = a.join(b, on & (F.col("a.cls") < F.col("b.cls")) & (F.bit_count(diff) <= RADIUS) & first).select(F.col("a.cls").alias("u"), F.col("b.cls").alias("v"))
+    pairs = a.join(b, on & (F.col("a.id") < F.col("b.id")) & (F.bit_count(diffs[0]) <= RADIUS) & first).select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,13 +174,13 @@ def linked(vectors: DataFrame, least: float = 0.93, sample_rows: int = 20_000, k
             out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cosine)], names=["u", "v", "cosine"])
             yield out.filter(pa.array(cosine >= least))
 
-    vecs = classes.select("cls", "vec")
+    vecs = classes.select("id", "vec")
     full = (
-        pairs.join(vecs.select(F.col("cls").alias("u"), F.col("vec").alias("x")), "u")
-        .join(vecs.select(F.col("cls").alias("v"), F.col("vec").alias("y")), "v")
+        pairs.join(vecs.select(F.col("id").alias("u"), F.col("vec").alias("x")), "u")
+        .join(vecs.select(F.col("id").alias("v"), F.col("vec").alias("y")), "v")
         .select("u", "v", "x", "y")
     )
-    return classes, full.mapInArrow(rerank, "u string, v string, cosine double")
+    return classes, full.mapInArrow(rerank, "u long, v long, cosine double")
 
 
 def signed(x: int) -> int:
@@ -157,13 +201,13 @@ def groups(vectors: DataFrame, least: float = 0.93, key: str = "vec_id", vector:
     classes, links = linked(vectors, least, key=key, vector=vector, group=group, **options)
     links = cut(links, "links")
     both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    counts = both.join(classes.select(F.col("cls").alias("v"), "copies"), "v").groupBy("u").agg(F.sum("copies").alias("others"))
+    counts = both.join(classes.select(F.col("id").alias("v"), "copies"), "v").groupBy("u").agg(F.sum("copies").alias("others"))
     comps = components(links.select("u", "v"))
     of = (
-        classes.select("cls", "label", "vec", "rep", "copies")
-        .join(counts.withColumnRenamed("u", "cls"), "cls", "left")
-        .join(comps.withColumnRenamed("node", "cls"), "cls", "left")
-        .withColumn("component", F.coalesce("component", "cls"))
+        classes.select("id", "cls", "rep", "copies")
+        .join(counts.withColumnRenamed("u", "id"), "id", "left")
+        .join(comps.withColumnRenamed("node", "id"), "id", "left")
+        .withColumn("component", F.coalesce("component", "id"))
     )
     low = of.groupBy("component").agg(F.min("rep").alias("component_id"))
     of = of.join(low, "component").select("cls", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")

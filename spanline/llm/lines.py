@@ -121,8 +121,8 @@ def likeness(similarity: float):
 
 
 def finer(keys: np.ndarray) -> np.ndarray:
-    """Twelve keys of two blocks each, which deal the members of a table's key."""
-    blocks = np.stack([(keys[:, i // EACH] >> np.uint64(16 * (i % EACH))) & np.uint64(0xFFFF) for i in range(BLOCKS)], axis=1)
+    """Eight keys of two blocks each, which deal the members of a table's key."""
+    blocks = np.stack([(keys[:, i // EACH] >> np.uint64(16 * (i % EACH))) & np.uint64(0xFFFF) for i in range(16)], axis=1)
     return blocks[:, 0::2] | blocks[:, 1::2] << np.uint64(16)
 
 
@@ -276,7 +276,7 @@ def repeated(docs: DataFrame, similarity: float = 0.8, text: str = "text") -> Da
     of = cut(of.join(low, "component").select("hi", "lo", "keep", "times"), "keepers")
     on = ["hi", "lo"]
     # A line of very many occurrences is joined where they are.
-    found = hub_join(lines.select(*on, "doc_id", "body", "line"), of.select(*on, "keep"), on, hot_keys(of, on, "times", COMMON))
+    found = hub_join(lines.select(*on, "doc_id", "body", "line"), of.select(*on, "keep").hint("merge"), on, hot_keys(of, on, "times", COMMON))
     return found.where(~at.eqNullSafe(F.col("keep"))).select("doc_id", "body", "line").distinct()
 
 
@@ -284,7 +284,8 @@ def dedup(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``, and n_lines, n_removed added; see :func:`repeated`."""
     gone = repeated(docs, text=text, **options).groupBy("doc_id", "body").agg(F.collect_set("line").alias("__lines_gone"))
     gone = cut(gone.withColumnRenamed("doc_id", "__lines_of").withColumnRenamed("body", "__lines_in"), "gone")
-    gone = broadcast_if(gone, gone.agg(F.sum(F.size("__lines_gone") + 4)).first()[0], SENT)
+    # Much of a corpus repeats: texts and lines meet by one exchange at every size.
+    gone = gone.hint("merge")
     parts = F.split(F.col(text), "\n", -1)
     kept = F.filter(parts, lambda _, i: ~F.array_contains("__lines_gone", i.cast("long")))
     own = F.xxhash64(docs[text].cast("string"))
