@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns what it keeps, with the columns
 of documents; the last returns what the mix takes of each document.
+
+In every stage rows are judged by their own text: rows that share a doc_id, null
+included, are told apart by it, and extra columns stay.  Null and empty texts have no
+language, so the first stage drops them; the others keep them.  Repeated rows are
+one: of equal doc_id and text, the lines of both stay, and one row stays of the
+group.  Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -19,9 +25,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go out of the texts; a document stays even if nothing is left of it."""
+    """Repeated lines go out of the texts; a document stays even if nothing is left of it.  n_chars, if there, is counted anew."""
     done = lines.dedup(docs)
-    return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return done.select(*docs.columns)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

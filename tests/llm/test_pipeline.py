@@ -56,3 +56,22 @@ def test_stages(spark):
     for i, r in mixed.items():
         by.setdefault(clean[i].source, [r.target, 0])[1] += r.taken
     assert all(abs(t - s) <= 2 for t, s in by.values())
+
+
+def test_stages_on_edges(spark):
+    """Null, empty, repeated and clashing input, without n_chars, and empty tables."""
+    long = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, long, "en", "a"), (1, "another text of the same id\nand its line", "en", "a"), (2, long + " more", None, None), (2, long + " more", None, None), (3, None, "en", "b"), (4, "", None, "b"), (None, "a text without an id at all", "de", None), (None, long, "de", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "1 as id", "2 as body", "3 as hits", "4 as keep")
+    want = {
+        "language_id": ["a text without an id at all", "another text of the same id\nand its line", long, long, long + " more", long + " more"],
+        "line_dedup": ["", "", "", "", "a text without an id at all", "another text of the same id\nand its line", long, None],
+        "minhash": ["", "a text without an id at all", "another text of the same id\nand its line", long, None],
+        "decontaminate": sorted((r[1] for r in rows), key=str),
+    }
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, DATA)
+        assert got.columns == docs.columns and sorted((r.text for r in got.collect()), key=str) == sorted(want[name], key=str), name
+        assert stage(spark, docs.limit(0), DATA).count() == 0
+    assert corpus_pipeline.mix_sources(spark, docs, DATA).count() == len(rows)
+    assert corpus_pipeline.mix_sources(spark, docs.limit(0), DATA).count() == 0
