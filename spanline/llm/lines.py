@@ -271,7 +271,9 @@ def repeated(docs: DataFrame, similarity: float = 0.8, text: str = "text") -> Da
     fuzzy = classes.where(F.size("sketch") > 0).select("id", "n", "sketch", F.slice("sketch", 1, TABLES).alias("keys"))
     links = linked(fuzzy, lambda ids: words_of(texts, classes, ids), alike(similarity), likeness(similarity), finer)
     comps = components(links).withColumnRenamed("node", "id")
-    of = classes.select("hi", "lo", "id", "at", "times").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    of = classes.select("hi", "lo", "id", "at", "times").join(comps, "id", "left")
+    # What is linked with nothing and occurs once stays, and needs no more work.
+    of = of.where("component IS NOT NULL OR times > 1").withColumn("component", F.coalesce("component", "id"))
     low = of.groupBy("component").agg(F.min("at").alias("keep"), F.sum("times").alias("total")).where("total > 1")
     of = cut(of.join(low, "component").select("hi", "lo", "keep", "times"), "keepers")
     on = ["hi", "lo"]
