@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanline.llm import chat, decontaminate, embeddings, langid, licenses, lines, minhash, mixing, suffixes, warc
+from spanline.llm import chat, codes, decontaminate, embeddings, langid, licenses, lines, minhash, mixing, suffixes, warc
 from spanline.llm.common import scratch, table
 
 
@@ -69,6 +69,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -80,6 +84,7 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_mix_sources": op9_mix_sources,
     "op10_language_id": op10_language_id,
+    "op11_vector_codes": op11_vector_codes,
 }
 
 _WORDS7 = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
@@ -200,5 +205,26 @@ pos AS (
   FROM s JOIN tgt t ON s.source IS NOT DISTINCT FROM t.source),
 w AS (SELECT pos.*, greatest(source_size, 1) AS whole, least(coalesce(words, 0), 3 * source_size) AS words FROM pos LEFT JOIN n USING (sid))
 SELECT doc_id, size, source_size, target, CAST(words // whole * size + greatest(0, least(size, words % whole - before)) AS BIGINT) AS taken FROM w
+""",
+    "op11_vector_codes": r"""
+WITH v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT vec_id, (i - 1) // (len(q) // 16) AS p, (i - 1) % (len(q) // 16) AS d, q[i] AS c FROM v, unnest(range(1, len(q) + 1)) AS t(i)),
+b0 AS MATERIALIZED (SELECT p, k, d, c FROM x JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM v QUALIFY k < 64) USING (vec_id)),
+e0 AS MATERIALIZED (SELECT vec_id, p, min((s, k)) AS sk FROM (
+  SELECT x.vec_id, x.p, b.k, CAST(sum((x.c - b.c) * (x.c - b.c)) AS BIGINT) AS s FROM x JOIN b0 b ON b.p = x.p AND b.d = x.d GROUP BY ALL) GROUP BY ALL),
+b1 AS MATERIALIZED (SELECT b.p, b.k, b.d, coalesce(m.c, b.c) AS c FROM b0 b LEFT JOIN (
+  SELECT p, e.sk[2] AS k, d, CAST(floor(sum(c) / count(*)) AS BIGINT) AS c FROM x JOIN e0 e USING (vec_id, p) GROUP BY ALL) m USING (p, k, d)),
+e1 AS MATERIALIZED (SELECT vec_id, p, min((s, k)) AS sk FROM (
+  SELECT x.vec_id, x.p, b.k, CAST(sum((x.c - b.c) * (x.c - b.c)) AS BIGINT) AS s FROM x JOIN b1 b ON b.p = x.p AND b.d = x.d GROUP BY ALL) GROUP BY ALL),
+b2 AS MATERIALIZED (SELECT b.p, b.k, b.d, coalesce(m.c, b.c) AS c FROM b1 b LEFT JOIN (
+  SELECT p, e.sk[2] AS k, d, CAST(floor(sum(c) / count(*)) AS BIGINT) AS c FROM x JOIN e1 e USING (vec_id, p) GROUP BY ALL) m USING (p, k, d)),
+e2 AS MATERIALIZED (SELECT vec_id, p, min((s, k)) AS sk FROM (
+  SELECT x.vec_id, x.p, b.k, CAST(sum((x.c - b.c) * (x.c - b.c)) AS BIGINT) AS s FROM x JOIN b2 b ON b.p = x.p AND b.d = x.d GROUP BY ALL) GROUP BY ALL),
+r AS (SELECT vec_id, string_agg(printf('%02x', e.sk[2]), '' ORDER BY p) AS code, CAST(sum(e.sk[1]) AS BIGINT) AS error FROM e2 e GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY p, k, d)) FROM b2) AS codebooks_sha256
+FROM r JOIN v USING (vec_id)
 """,
 }
