@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanline.llm import chat, codes, decontaminate, embeddings, langid, licenses, lines, minhash, mixing, suffixes, warc
+from spanline.llm import chat, codes, decontaminate, embeddings, langid, licenses, lines, minhash, mixing, passages, suffixes, warc
 from spanline.llm.common import scratch, table
 
 
@@ -73,6 +73,12 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(table(spark, sf_dir, "embeddings"))
 
 
+def op12_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = passages.deduplicate(table(spark, sf_dir, "documents"))
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    return done.select("doc_id", "n_words", n_removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -85,6 +91,7 @@ QUERIES = {
     "op9_mix_sources": op9_mix_sources,
     "op10_language_id": op10_language_id,
     "op11_vector_codes": op11_vector_codes,
+    "op12_super_kmers": op12_super_kmers,
 }
 
 _WORDS7 = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
@@ -226,5 +233,15 @@ r AS (SELECT vec_id, string_agg(printf('%02x', e.sk[2]), '' ORDER BY p) AS code,
 SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
        (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY p, k, d)) FROM b2) AS codebooks_sha256
 FROM r JOIN v USING (vec_id)
+""",
+    "op12_super_kmers": r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+x AS (SELECT doc_id, i, md5_number(array_to_string(w[i : i + 34], ' ')) AS s FROM d, unnest(range(1, len(w) - 33)) AS t(i)),
+dup AS (SELECT doc_id, i FROM x QUALIFY count(*) OVER (PARTITION BY s) > 1),
+gone AS (SELECT DISTINCT doc_id, j FROM dup, unnest(range(i, i + 35)) AS t(j)),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS rest FROM words ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
 """,
 }
