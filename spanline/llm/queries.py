@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanline.llm import chat, codes, decontaminate, embeddings, langid, licenses, lines, minhash, mixing, passages, suffixes, warc
+from spanline.llm import chat, codes, decontaminate, embeddings, langid, licenses, lines, minhash, mixing, passages, periods, suffixes, warc
 from spanline.llm.common import scratch, table
 
 
@@ -79,6 +79,10 @@ def op12_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", n_removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.digest(periods.find(periods.planted(table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -92,8 +96,17 @@ QUERIES = {
     "op10_language_id": op10_language_id,
     "op11_vector_codes": op11_vector_codes,
     "op12_super_kmers": op12_super_kmers,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
+#: crc32 of a decimal doc_id, byte by byte over a table made here (DuckDB has no crc32).
+_CRC = """
+byte(b, v) AS (SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) FROM range(256) AS t(b)),
+crc AS (SELECT tab.t AS tab FROM (SELECT list(v ORDER BY b) AS t FROM byte) AS tab),
+hashed AS (
+  SELECT doc_id, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda c, x: xor(c // 256, tab[1 + xor(c % 256, x)])), 4294967295) AS h FROM documents, crc)"""
+
 _WORDS7 = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
 ORACLES = {
@@ -243,5 +256,26 @@ words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM
 kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS rest FROM words ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)
+""",
+    "op13_periodic_runs": rf"""
+WITH {_CRC},
+d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w, h // 10 AS g, h % 10 = 0 AS hit FROM documents JOIN hashed USING (doc_id)),
+k AS (SELECT *, CASE WHEN hit AND len(w) > 0 THEN g % len(w) ELSE len(w) END AS a FROM d),
+p AS (SELECT *, 1 + (len(w) - a) // (3 + g % 8) AS p FROM k),
+x AS MATERIALIZED (
+  SELECT doc_id, len(w) AS n, i, CASE WHEN i < a THEN w[i + 1] ELSE w[1 + a + (i - a) % p] END AS word FROM p, unnest(range(len(w))) AS t(i)),
+same AS (SELECT u.doc_id, v.i - u.i AS q, u.i AS i FROM x u JOIN x v ON u.doc_id = v.doc_id AND u.word = v.word AND u.i < v.i AND 4 * (v.i - u.i) <= u.n),
+isle AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS r FROM same),
+run AS (
+  SELECT doc_id, start, length, min(q) AS q FROM (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM isle GROUP BY doc_id, q, r)
+  WHERE length >= greatest(6, 4 * q) GROUP BY doc_id, start, length),
+gone AS (SELECT DISTINCT doc_id, i FROM run, unnest(range(start + q, start + length)) AS t(i)),
+rest AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS rest FROM x ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+best AS (
+  SELECT doc_id, count(*) AS n_runs, max((length, -start, -q)) AS b,
+         string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS lines FROM run GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(-b[2] AS BIGINT) AS start, CAST(b[1] AS BIGINT) AS length, CAST(-b[3] AS BIGINT) AS period,
+       CAST(1000 * b[1] // -b[3] AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(rest, '')) AS collapsed_sha256
+FROM documents LEFT JOIN best USING (doc_id) LEFT JOIN rest USING (doc_id)
 """,
 }
