@@ -60,11 +60,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(df_or_path: DataFrame | str, spark: SparkSession | None = None) -> None:
+def drop_scratch(df_or_path: DataFrame | str, spark: SparkSession | None = None, now: bool = False) -> None:
     """Delete a scratch table that is no longer read.
 
     The shuffle files it was made from go once the driver's JVM has collected what
-    refers to them, which is asked for here, now and then: disks fill faster than heaps.
+    refers to them, which is asked for here, now and then (``now``: at once): disks fill
+    faster than heaps.
     """
     global _collected
     if isinstance(df_or_path, DataFrame):
@@ -75,7 +76,7 @@ def drop_scratch(df_or_path: DataFrame | str, spark: SparkSession | None = None)
     for p in paths:
         jpath = spark._jvm.org.apache.hadoop.fs.Path(p)
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
-    if time.monotonic() - _collected > 10:
+    if now or time.monotonic() - _collected > 10:
         spark._jvm.System.gc()
         _collected = time.monotonic()
 

@@ -267,20 +267,28 @@ def deduplicate(docs: DataFrame, text: str = "text", window: int = WINDOW, gram:
     src = docs.select("doc_id", F.xxhash64(value).alias("body"), value.alias("_text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     of = f"doc_id {kind}, body long"
-    places = cut(src.where("_text is not null").mapInArrow(lambda it: place_rows(it, window, gram), f"{of}, h long, at long"), "minimisers")
-    again = cut(places.groupBy("h").agg(F.count("*").alias("times")).where("times > 1"), "repeated")
-    least = max(frequent, places.count() // SENT)
-    hubs = hot_keys(again, ["h"], "times", least)
-    asked = hub_join(places, again, "h", hubs).select("doc_id", "body", F.struct("at", (F.col("times") >= least).alias("often")).alias("at"))
-    asked = asked.groupBy("doc_id", "body").agg(F.collect_set("at").alias("asked")).select(F.col("doc_id").alias("_of"), F.col("body").alias("_in"), "asked")
+    asked = asked_places(src, of, window, gram, frequent)
     same = lambda side: src["doc_id"].eqNullSafe(side["_of"]) & (src["body"] == side["_in"])
     packed = src.join(asked, same(asked)).select("doc_id", "body", "_text", "asked").mapInArrow(
         lambda it: packed_rows(it, window, gram), f"h long, words binary, places array<struct<doc_id:{kind},body:long,start:long>>"
     )
-    spans = packed.repartition("h").sortWithinPartitions("h").mapInArrow(lambda it: span_rows(it, window), f"{of}, lo long, hi long")
-    spans = cut(spans, "spans")
-    drop_scratch(places)
-    drop_scratch(again)
+    spans = cut(packed.repartition("h").sortWithinPartitions("h").mapInArrow(lambda it: span_rows(it, window), f"{of}, lo long, hi long"), "spans")
+    del packed
+    drop_scratch(asked, now=True)
     found = spans.groupBy("doc_id", "body").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")).select(F.col("doc_id").alias("_of"), F.col("body").alias("_in"), "spans")
     both = src.join(found, same(found), "left").select("doc_id", "body", "_text", "spans")
     return both.mapInArrow(kept_rows, f"doc_id {kind}, n_words long, removed array<struct<start:long,end:long>>, kept string")
+
+
+def asked_places(src: DataFrame, of: str, window: int, gram: int, frequent: int) -> DataFrame:
+    """(_of, _in, asked): for each document the places of minimisers that occur again, and whether they are frequent."""
+    places = cut(src.where("_text is not null").mapInArrow(lambda it: place_rows(it, window, gram), f"{of}, h long, at long"), "minimisers")
+    again = cut(places.groupBy("h").agg(F.count("*").alias("times")).where("times > 1"), "repeated")
+    least = max(frequent, places.count() // SENT)
+    hubs = hot_keys(again, ["h"], "times", least)
+    asked = hub_join(places, again, "h", hubs).select("doc_id", "body", F.struct("at", (F.col("times") >= least).alias("often")).alias("at"))
+    asked = asked.groupBy("doc_id", "body").agg(F.collect_set("at").alias("asked"))
+    asked = cut(asked.select(F.col("doc_id").alias("_of"), F.col("body").alias("_in"), "asked"), "asked")
+    drop_scratch(places)
+    drop_scratch(again, now=True)
+    return asked
