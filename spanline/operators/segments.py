@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from spanline.functions import machine
 from spanline.functions import scalars as sc
 from spanline.operators import sequence as seq
+from spanline.operators.chunks import Chunked
+from spanline.operators.union import union_all
+from spanline.sources.shared import shared_path
 
 #: Seconds from a segment's start to its head probe.
 PROBE_AFTER = 0.16
@@ -256,44 +259,65 @@ def split_by_presence(
 def coarse_to_fine(df: DataFrame, k: list[str], order: list, score: Column, step: int, margin: float, threshold: float | None = None) -> DataFrame:
     """Adds score and ``computed``: every step-th row is scored, and more only near changes.
 
-    ``score`` is evaluated on anchors (every step-th row and the last), on the middles
-    of calm intervals, and on all rows around intervals whose ends differ, lie
-    within ``margin`` of the threshold, or whose middle does; each is one filtered
-    pass.  The rows of calm intervals take the nearer end's score.  The threshold
-    is the 70th percentile of the anchors if none is given.
+    ``score`` may be a costly Python function: it is evaluated on the rows that are
+    needed, once each, in three passes whose results are written.  First on anchors
+    (every step-th row and the last), then on the middles of calm intervals, then on
+    the rows of intervals whose ends differ, lie within ``margin`` of the threshold, or
+    whose middle does.  The rows of calm intervals take the nearer end's score.  The
+    threshold is the 70th percentile of the anchors if none is given.
+
+    A row is found by its key and place; an interval by the place of its left anchor.
     """
-    w = Window.partitionBy(*k)
+    spark, step = df.sparkSession, max(1, step)
     margin = max(0.01, margin)
+
+    def kept(rows: DataFrame, name: str) -> DataFrame:
+        path = shared_path(spark, name)
+        rows.write.parquet(path)
+        return spark.read.schema(rows.schema).parquet(path)
+
+    w = Window.partitionBy(*k)
     d = seq.positions(df, k, order, "_p").withColumn("_n", F.count("*").over(w))
-    full = F.lit(True) if step <= 1 else F.col("_n") <= step + 1
-    anchor = full | (F.col("_p") % step == 0) | (F.col("_p") == F.col("_n") - 1)
-    d = d.withColumn("_anchor", anchor).withColumn("_a", F.when(F.col("_anchor"), score))
-    d = d.withColumn("_thr", F.lit(threshold) if threshold is not None else F.percentile("_a", 0.7).over(w))
-    fwd, bwd = w.orderBy("_p").rowsBetween(0, seq.AHEAD), w.orderBy("_p").rowsBetween(seq.PAST, 0)
-    left = F.last(F.when(F.col("_anchor"), F.struct("_p", "_a")), ignorenulls=True).over(bwd)
-    right = F.first(F.when(F.col("_anchor"), F.struct("_p", "_a")), ignorenulls=True)
-    # An anchor belongs to the interval on its right; the last one to none.
-    right = right.over(w.orderBy("_p").rowsBetween(1, seq.AHEAD))
-    d = d.withColumn("_l", left).withColumn("_r", right)
-    ls, rs, on = F.col("_l._a"), F.col("_r._a"), lambda x: x >= F.col("_thr")
-    near = lambda x: F.abs(x - F.col("_thr")) <= margin
-    rough = (on(ls) != on(rs)) | near(ls) | near(rs)
-    middle = F.col("_l._p") + F.floor((F.col("_r._p") - F.col("_l._p")) / 2)
-    d = d.withColumn("_mid", middle).withColumn("_rough1", F.coalesce(rough, F.lit(False)))
-    d = d.withColumn("_m", F.when(~F.col("_rough1") & (F.col("_p") == F.col("_mid")) & ~F.col("_anchor"), score))
-    inner = Window.partitionBy(*k, F.col("_l._p"))
-    ms = F.coalesce(F.max("_m").over(inner), ls)
-    d = d.withColumn("_rough", F.col("_r").isNotNull() & (F.col("_rough1") | near(ms) | (on(ms) != on(ls))))
-    # Rough intervals are scored with step rows more on either side.
-    reach = F.max(F.when(F.col("_rough"), F.col("_r._p"))).over(bwd) + step
-    ahead = F.min(F.when(F.col("_rough"), F.col("_l._p"))).over(fwd) - step
-    d = d.withColumn("_refine", F.coalesce(F.col("_p") <= reach, F.lit(False)) | F.coalesce(F.col("_p") >= ahead, F.lit(False)))
-    calm = F.col("_r").isNotNull() & ~F.col("_rough") & ~F.col("_anchor")
-    nearer = F.when(F.col("_p") - F.col("_l._p") <= F.col("_r._p") - F.col("_p"), ls).otherwise(rs)
-    d = d.withColumn("_fine", F.when(F.col("_refine") & ~calm & ~F.col("_anchor"), score))
-    d = d.withColumn("score", F.when(F.col("_anchor"), F.col("_a")).when(calm, nearer).otherwise(F.col("_fine")))
-    d = d.withColumn("computed", F.col("_anchor") | F.col("_m").isNotNull() | F.col("_fine").isNotNull())
-    return d.drop("_p", "_n", "_anchor", "_a", "_thr", "_l", "_r", "_mid", "_m", "_rough1", "_rough", "_refine", "_fine")
+    d = d.withColumn("_step", F.when(F.col("_n") <= step + 1, 1).otherwise(step))
+    d = kept(d.withColumn("_left", F.col("_p") - F.col("_p") % F.col("_step")), "series")
+    at = [*k, "_p"]
+    anchor = (F.col("_p") == F.col("_left")) | (F.col("_p") == F.col("_n") - 1)
+    anchors = kept(d.where(anchor).select(*at, "_left", score.cast("double").alias("score")), "anchors")
+    # Intervals between neighbouring anchors; the last anchor begins none.
+    nxt = lambda c: F.lead(c).over(w.orderBy("_p"))
+    spans = anchors.select(*k, "_p", F.col("score").alias("_ls"), nxt("_p").alias("_right"), nxt("score").alias("_rs")).where("_right IS NOT NULL")
+    if threshold is None:
+        levels = anchors.groupBy(*k).agg(F.percentile("score", 0.7).alias("_thr"))
+        spans = same(spans, levels, k)
+    else:
+        spans = spans.withColumn("_thr", F.lit(float(threshold)))
+    on = lambda x: F.col(x) >= F.col("_thr")
+    near = lambda x: F.abs(F.col(x) - F.col("_thr")) <= margin
+    spans = spans.withColumn("_rough", (on("_ls") != on("_rs")) | near("_ls") | near("_rs"))
+    spans = kept(spans.withColumn("_mid", F.col("_p") + F.floor((F.col("_right") - F.col("_p")) / 2)), "spans")
+    calm = spans.where("NOT _rough AND _mid > _p").select(*k, F.col("_mid").alias("_p"))
+    middles = kept(same(d, calm, at, "left_semi").select(*at, "_left", score.cast("double").alias("score")), "middles")
+    seen = middles.select(*k, F.col("_left").alias("_p"), F.col("score").alias("_ms"))
+    spans = same(spans, seen, at, "left").withColumn("_rough", F.col("_rough") | F.coalesce(near("_ms") | (on("_ms") != on("_ls")), F.lit(False)))
+    spans = kept(spans.withColumnRenamed("_p", "_left").select(*k, "_left", "_right", "_ls", "_rs", "_rough", F.col("_ms").isNotNull().alias("_seen"), "_mid"), "decided")
+    rough = spans.where("_rough").select(*k, "_left", F.when(F.col("_seen"), F.col("_mid")).alias("_done"))
+    rest = same(d.where(~anchor), rough, [*k, "_left"]).where("_done IS NULL OR _p <> _done")
+    fine = kept(rest.select(*at, score.cast("double").alias("score")), "fine")
+    known = union_all(anchors.select(*at, "score"), middles.select(*at, "score"), fine).select(*at, F.col("score").alias("_score"), F.lit(True).alias("_scored"))
+    out = same(same(d, known, at, "left"), spans.where("NOT _rough").select(*k, "_left", "_right", "_ls", "_rs"), [*k, "_left"], "left")
+    nearer = F.when(F.col("_p") - F.col("_left") <= F.col("_right") - F.col("_p"), F.col("_ls")).otherwise(F.col("_rs"))
+    inner = F.col("_right").isNotNull() & ~anchor
+    out = out.withColumn("score", F.when(inner, nearer).otherwise(F.col("_score"))).withColumn("computed", F.coalesce("_scored", F.lit(False)))
+    return out.drop("_p", "_n", "_step", "_left", "_right", "_ls", "_rs", "_score", "_scored")
+
+
+def same(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``a`` join ``b`` on equal columns, null being equal to null; the columns of a, then b's others."""
+    b = b.select(*[F.col(c).alias(f"_on_{c}") if c in on else F.col(c) for c in b.columns])
+    cond = F.lit(True)
+    for c in on:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_on_{c}"))
+    return a.join(b, cond, how).drop(*[f"_on_{c}" for c in on])
 
 
 def dialogue_segments(df: DataFrame, k: list[str], order: list, cfg: dict) -> DataFrame:
@@ -301,50 +325,73 @@ def dialogue_segments(df: DataFrame, k: list[str], order: list, cfg: dict) -> Da
 
     df(k, idx, ts, presence, diff, name_presence, name_diff); cfg as for
     :func:`spanline.functions.scalars.flags`, with stable_frames, clear_frames and
-    min_duration.  Each step depends on the state so far, so a key is folded in
-    order, as a stream of sorted rows of which only the open segment is held:
-    (k, frame_start, frame_end, start, end, samples).
+    min_duration.  Gives (k, frame_start, frame_end, start, end, samples).
+
+    The machine has few places, so a chunk of a key is summed up as a map from place to
+    place, and chunks are followed at once (:mod:`spanline.operators.chunks`); of
+    each only the open segment is held.  Segments that lie in several chunks are put
+    together afterwards.
     """
-    rest = [c for c in order if c not in ("idx", "ts", *k)]
-    flagged = df.select(*k, *rest, "idx", "ts", sc.flags("presence", "diff", "name_presence", "name_diff", cfg).alias("f"))
+    flagged = df.withColumn("_f", sc.flags("presence", "diff", "name_presence", "name_diff", cfg))
     bits = [("has_text", machine.TEXT), ("has_change", machine.CHANGE), ("is_clear", machine.CLEAR), ("name_changed", machine.NAME)]
-    symbol = sum((F.coalesce(F.col(f"f.{name}"), F.lit(False)).cast("int") * bit for name, bit in bits), F.lit(0))
-    rows = flagged.withColumn("symbol", symbol).repartition(*k).sortWithinPartitions(*k, *order)
-    kinds = [f"{c} {df.schema[c].dataType.simpleString()}" for c in k]
-    rows = rows.select(*k, F.col("idx").cast("long"), F.col("ts").cast("double"), "symbol")
-    return rows.mapInArrow(lambda it: segment_rows(it, k, cfg), ", ".join([*kinds, machine.SCHEMA]))
+    symbol = sum((F.coalesce(F.col(f"_f.{name}"), F.lit(False)).cast("int") * bit for name, bit in bits), F.lit(0))
+    rows = flagged.select(*k, *[c for c in order if c not in (*k, "idx", "ts")], F.col("idx").cast("long").alias("idx"), F.col("ts").cast("double").alias("ts"), symbol.alias("symbol"))
+
+    class Summary:
+        def __init__(self):
+            self.places = machine.Places(cfg)
+
+        def add(self, part: pa.RecordBatch) -> None:
+            self.places.add(part.column("symbol").to_numpy(zero_copy_only=False))
+
+        def apply(self, place: int) -> int:
+            return self.places.apply(place)
+
+    chunks = Chunked(rows, k, order, ["idx", "ts", "symbol"], Summary, 0)
+    keys = [f"{c} {df.schema[c].dataType.simpleString()}" for c in k]
+    schema = ", ".join([*keys, "_chunk int", "_seq int", machine.SCHEMA])
+    path = shared_path(df.sparkSession, "segments")
+    got = chunks.fold(lambda key, chunk, entered, goes_on, batches: segment_rows(key, chunk, entered, goes_on, batches, cfg), schema)
+    got.write.parquet(path)
+    got = df.sparkSession.read.schema(got.schema).parquet(path)
+    # Parts of a segment follow each other; each that begins one begins a new group.
+    parts = got.where("_seq IS NOT NULL")
+    parts = parts.withColumn("_nth", F.sum(F.col("frame_start").isNotNull().cast("int")).over(Window.partitionBy(*k).orderBy("_chunk", "_seq")))
+    at = F.struct("_chunk", "_seq")
+    heard = F.array_sort(F.array_distinct(F.flatten(F.collect_list("samples"))))
+    ends = F.max_by(F.struct("frame_end", "end"), F.when(F.col("frame_end").isNotNull(), at)).alias("_e")
+    whole = parts.groupBy(*k, "_nth").agg(F.max("frame_start").alias("frame_start"), F.max("start").alias("start"), ends, heard.alias("samples"))
+    whole = whole.where(F.col("start").isNotNull() & (F.col("_e.end") - F.col("start") >= cfg.get("min_duration", 0.0)))
+    names = [*k, "frame_start", "frame_end", "start", "end", "samples"]
+    return union_all(got.where("_seq IS NULL").select(*names), whole.select(*k, "frame_start", "_e.frame_end", "start", "_e.end", "samples"))
 
 
-def segment_rows(batches: Iterator[pa.RecordBatch], k: list[str], cfg: dict) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key and order through one machine for each key."""
-    key, fold, kinds = None, None, None
-    names = [*k, "frame_start", "frame_end", "start", "end", "samples"]
+def segment_rows(key: tuple, chunk: int, entered: int | None, goes_on, batches: Iterator[pa.RecordBatch], cfg: dict) -> Iterator[pa.RecordBatch]:
+    """Segments that lie within one chunk of a key, and with ``_seq`` the parts of others: 0 begun before, 1 begun here."""
+    fold = machine.Segmenter(cfg, entered or 0)
+    kinds = names = None
 
     def emit(done: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*done, strict=True))
-        types = [*kinds, pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64())]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+        types = [*kinds, pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64())]
+        cols = list(zip(*((*key, chunk, *row) for row in done), strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[str(i) for i in range(len(types))])
 
     for b in batches:
-        kinds = [b.schema.field(i).type for i in range(len(k))]
-        keys = list(zip(*(b.column(i).to_pylist() for i in range(len(k))), strict=True))
-        idx, ts, symbol = (b.column(len(k) + i).to_numpy(zero_copy_only=False) for i in range(3))
-        cuts = [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]]
-        done = []
-        for lo, hi in zip([0, *cuts], [*cuts, len(keys)], strict=True):
-            if lo == hi:
-                continue
-            if fold is None or keys[lo] != key:
-                if fold is not None:
-                    fold.finish()
-                    done += [(*key, *row) for row in fold.out]
-                key, fold = keys[lo], machine.Segmenter(cfg)
-            fold.feed(idx[lo:hi], ts[lo:hi], symbol[lo:hi])
-            done += [(*key, *row) for row in fold.out]
+        kinds = [b.schema.field(1 + i).type for i in range(len(key))]
+        fold.feed(*(b.column(c).to_numpy(zero_copy_only=False) for c in ("idx", "ts", "symbol")))
+        if fold.out:
+            yield emit([(None, *row) for row in fold.out])
             fold.out = []
-        if done:
-            yield emit(done)
-    if fold is not None:
+    none = (None, None)
+    parts = []
+    if not goes_on():
         fold.finish()
-        if fold.out:
-            yield emit([(*key, *row) for row in fold.out])
+    if fold.head is not None:
+        last, heard = fold.head
+        parts.append((0, None, (last or none)[0], None, (last or none)[1], heard))
+    if goes_on() and (fold.cut or fold.begun is not None):
+        begun, last = fold.begun or none, fold.last or none
+        parts.append((0 if fold.cut else 1, begun[0], last[0], begun[1], last[1], fold.heard))
+    done = [*((None, *row) for row in fold.out), *parts]
+    if done:
+        yield emit(done)

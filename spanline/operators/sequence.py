@@ -7,9 +7,14 @@ share the partitioning by key, so a chain of operators costs one exchange.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanline.operators.chunks import Chunked
 from spanline.operators.union import union_all
 
 PAST = Window.unboundedPreceding
@@ -101,18 +106,58 @@ def edges(df: DataFrame, key, order, flag: str, min_on: int = 1, min_off: int =
     return r.select(*key, F.explode(F.array_compact(kinds)).alias("e")).select(*key, "e.pos", "e.kind")
 
 
+class Thinned:
+    """What positions in order do to the last one kept: an exit for every position that a chunk may begin to keep at."""
+
+    def __init__(self, gap: int):
+        self.gap, self.seen = gap, []
+
+    def add(self, part: pa.RecordBatch) -> None:
+        self.seen.append(part.column("_pos").to_numpy(zero_copy_only=False))
+
+    def __getstate__(self) -> dict:
+        at = np.concatenate(self.seen)
+        n = len(at)
+        # Pointers to the next kept position, doubled until none goes on.
+        jump = np.append(np.searchsorted(at, at + self.gap), n)
+        last = np.arange(n + 1)
+        while (jump[:n] < n).any():
+            last = np.where(jump < n, last[jump], last)
+            jump = jump[jump]
+        some = int(np.searchsorted(at, at[0] + self.gap)) + 1  # the last one kept stands before the chunk
+        return {"gap": self.gap, "starts": at[:some], "exits": at[last[: len(at[:some])]]}
+
+    def apply(self, kept: int | None) -> int | None:
+        i = 0 if kept is None else int(np.searchsorted(self.starts, kept + self.gap))
+        return int(self.exits[i]) if i < len(self.starts) else kept
+
+
 def thin(df: DataFrame, key, pos: str, min_gap: int) -> DataFrame:
-    """Keep a position if it is min_gap or more after the last one kept.
+    """Keep a position if it is min_gap or more after the last one kept; equal positions are one, nulls none.
 
-    What is kept depends on all that came before, so a key's positions are folded
-    in order; they must fit into one row.
+    What is kept depends on all that came before.  A chunk of a key is summed up as
+    where it would end for each position it may begin at, at most ``min_gap`` of them,
+    and chunks are thinned at once (:mod:`spanline.operators.chunks`).
     """
-    kept = F.aggregate(
-        F.array_sort(F.collect_set(F.col(pos).cast("long"))),
-        F.array().cast("array<bigint>"),
-        lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) >= min_gap), F.concat(acc, F.array(x))).otherwise(acc),
-    )
-    return df.groupBy(*key).agg(kept.alias("_kept")).select(*key, F.explode("_kept").alias(pos))
+    gap = max(1, min_gap)
+    rows = df.select(*key, F.col(pos).cast("long").alias("_pos")).where("_pos IS NOT NULL")
+    chunks = Chunked(rows, list(key), ["_pos"], ["_pos"], lambda: Thinned(gap), None)
+
+    def run(values: tuple, chunk: int, kept: int | None, goes_on, batches) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column("_pos").to_numpy(zero_copy_only=False)
+            ahead = np.searchsorted(at, at + gap).tolist()
+            i, keep = 0 if kept is None else int(np.searchsorted(at, kept + gap)), []
+            while i < len(at):
+                keep.append(i)
+                i = ahead[i]
+            if keep:
+                kept = int(at[keep[-1]])
+                own = [pa.array([v] * len(keep), b.schema.field(1 + j).type) for j, v in enumerate(values)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(at[keep])], names=[str(j) for j in range(len(values) + 1)])
+
+    kinds = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in key]
+    return chunks.fold(run, ", ".join([*kinds, f"`{pos}` long"]))
 
 
 def intervals(edge_rows: DataFrame, key, pos: str = "pos") -> DataFrame:

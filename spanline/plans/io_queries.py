@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanline.functions import scalars as sc
 from spanline.operators import vision
 from spanline.plans import pipeline
 from spanline.plans.entry_queries import LAYOUT, stored
 from spanline.plans.scalar_queries import t
+from spanline.plans.segment_queries import CFG, FLAGS, MACHINE
+from spanline.plans.seq_queries import MARKER
 from spanline.sources import files
 from spanline.sources.shared import shared_path
 from spanline.streaming import streams as st
@@ -105,3 +108,65 @@ def g4(spark, d):
     ev = F.when(F.col("event_type") == "view", "request").when(F.col("event_type") == "click", "response").when(F.col("event_type") == "error", "error").otherwise("other")
     pairs = st.stream_pairs(e.select("user_id", F.col("event_id").alias("id"), ev.alias("event"), F.lit(False).alias("eof")), ["user_id"])
     return st.run_to_table(pairs, shared_path(spark, "stream"))
+
+
+#: Seconds without an event after which a user's input has ended, and by which events may be late.
+QUIET, LATE = 100_000, 3600
+#: f: the events of each user from one silence to the next, under a key of their own, with places from 0; wm: the last watermark.
+SESSIONS = f"""src AS (SELECT *, epoch_us(ts) // 1000 AS ms FROM events),
+fresh AS (SELECT *, CASE WHEN ms - lag(ms) OVER (PARTITION BY user_id ORDER BY event_id) > {QUIET} * 1000 THEN 1 ELSE 0 END AS fresh FROM src),
+ses AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY event_id) AS ses, max(ms) OVER (PARTITION BY user_id) AS until FROM fresh),
+f AS (
+  SELECT CAST(user_id * 1000000 + ses AS BIGINT) AS user_id, event_id, value, epoch_us(ts) / 1000000.0 AS at, until,
+         row_number() OVER (PARTITION BY user_id, ses ORDER BY event_id) - 1 AS i, ses = max(ses) OVER (PARTITION BY user_id) AS final FROM ses),
+wm AS (SELECT max(ms) - {LATE} * 1000 AS wm FROM src)"""
+
+
+@query(
+    "g2_stream",
+    f"""WITH RECURSIVE {SESSIONS}, m AS (SELECT user_id, i, {FLAGS} FROM f),
+open AS (SELECT DISTINCT user_id FROM f, wm WHERE final AND until + {QUIET} * 1000 > wm),
+{MACHINE.format(ended=" AND user_id NOT IN (SELECT user_id FROM open)", idx="i")},
+said AS (SELECT user_id, r, unnest(string_split(samples, ',')) AS n FROM s WHERE samples <> ''),
+ids AS (SELECT said.user_id, r, string_agg(event_id, ',' ORDER BY event_id) AS heard FROM said JOIN f ON f.user_id = said.user_id AND f.i = CAST(n AS BIGINT) GROUP BY said.user_id, r)
+SELECT s.user_id // 1000000 AS user_id, x.event_id AS frame_start, y.event_id AS frame_end, coalesce(heard, '') AS samples
+FROM s JOIN f x ON x.user_id = s.user_id AND x.i = a JOIN f y ON y.user_id = s.user_id AND y.i = b LEFT JOIN ids ON ids.user_id = s.user_id AND ids.r = s.r
+WHERE y.at - x.at >= 1""",
+)
+def g2_stream(spark, d):
+    """The events as a stream, through the dialogue machine; silent users end, and their state goes, by event-time timers."""
+    e = stream_table(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    value, n = F.col("value"), F.col("event_id")
+    flags = sc.flags(value, (n % 10) / 10, value, n % 4 / 2, CFG)
+    rows = e.select("user_id", n.alias("idx"), F.col("at").cast("double").alias("ts"), "at", flags.alias("f"), F.lit(False).alias("eof")).select("user_id", "idx", "ts", "at", "f.*", "eof")
+    out = st.run_to_table(st.stream_segments(rows, ["user_id"], CFG, "dialogue", "at", QUIET, f"{LATE} seconds"), shared_path(spark, "stream"))
+    return out.select("user_id", "frame_start", "frame_end", F.array_join(F.transform("samples", lambda x: x.cast("string")), ",").alias("samples"))
+
+
+@query(
+    "g3_stream",
+    f"""WITH RECURSIVE {SESSIONS}, sm AS (SELECT *, value >= 35 AS raw FROM f),
+{MARKER}
+SELECT user_id // 1000000 AS user_id, s AS frame_start, t AS frame_end, sample FROM rep""",
+)
+def g3_stream(spark, d):
+    """The events as a stream, cut where the marker disappears; places count from each user's last silence."""
+    e = stream_table(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    rows = e.select("user_id", F.col("event_id").alias("idx"), "at", (F.col("value") >= 35).alias("on"), F.lit(False).alias("eof"))
+    return st.run_to_table(st.stream_segments(rows, ["user_id"], {"min_on": 2, "min_off": 2}, "marker", "at", QUIET, f"{LATE} seconds"), shared_path(spark, "stream"))
+
+
+@query(
+    "g5_stream",
+    """WITH c AS (SELECT *, conv_id * 3600 + turn AS s FROM conversations), r AS (SELECT conv_id, max(s) AS until, md5(string_agg(text, '' ORDER BY turn) FILTER (turn % 5 <> 4)) AS content,
+  CASE WHEN count(*) FILTER (turn = 3) > 0 THEN 'stop' END AS finish, count(*) FILTER (turn % 5 = 4) AS malformed FROM c GROUP BY conv_id)
+SELECT conv_id, content, finish, malformed FROM r WHERE until + 600 <= (SELECT max(s) FROM c) - 60""",
+)
+def g5_stream(spark, d):
+    """Conversations as a stream of lines, an hour from one to the next: those that the watermark has passed come out."""
+    c = stream_table(spark, d, "conversations")
+    js = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("delta"), F.when(F.col("turn") == 3, "stop").alias("finish_reason"))).alias("choices")))
+    line = F.when(F.col("turn") % 5 == 4, "data: {oops").otherwise(F.concat(F.lit("data: "), js))
+    rows = c.select("conv_id", F.col("turn").alias("seq"), line.alias("line"), F.timestamp_seconds(F.col("conv_id") * 3600 + F.col("turn") + 1).alias("at"))
+    done = st.run_to_table(st.stream_chunks(rows, "conv_id", "at", "10 minutes", "1 minute"), shared_path(spark, "stream"))
+    return done.select("conv_id", F.md5("content").alias("content"), "finish", "malformed")

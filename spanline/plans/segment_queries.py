@@ -167,8 +167,8 @@ def metrics(spark, d):
 
 
 #: The machine row by row (stable_frames 1, clear_frames 2), then segments from where it opened (act 1, 3) and closed (2, 3).
-G2 = f"""WITH RECURSIVE {FR}, m AS (SELECT user_id, i, value >= 35 AS t, (event_id % 10) / 10.0 >= 0.5 AS c, value <= 15 AS x, value >= 60 AND (event_id % 4) / 2.0 >= 1.0 AS n FROM f),
-w AS (
+FLAGS = "value >= 35 AS t, (event_id % 10) / 10.0 >= 0.5 AS c, value <= 15 AS x, value >= 60 AND (event_id % 4) / 2.0 >= 1.0 AS n"
+MACHINE = """w AS (
   SELECT user_id, -1::BIGINT AS i, 'idle' AS phase, 0 AS gone, 0 AS act, false AS t FROM (SELECT DISTINCT user_id FROM m)
   UNION ALL
   SELECT user_id, i, CASE WHEN act % 2 = 1 THEN 'rising' WHEN act = 2 THEN 'idle' WHEN phase = 'rising' AND t AND NOT c THEN 'still' WHEN phase = 'still' AND x THEN 'fading' ELSE phase END,
@@ -180,11 +180,13 @@ w AS (
       WHEN phase = 'still' THEN CASE WHEN c AND NOT x THEN 3 ELSE 0 END
       WHEN m.t THEN 3 WHEN gone >= 1 THEN 2 ELSE 0 END AS act
     FROM w JOIN m ON m.user_id = w.user_id AND m.i = w.i + 1)),
-ends AS (SELECT user_id, i AS r FROM w WHERE act >= 2 UNION ALL SELECT user_id, max(i) + 1 FROM w GROUP BY user_id HAVING arg_max(phase, i) <> 'idle'),
+ends AS (SELECT user_id, i AS r FROM w WHERE act >= 2 UNION ALL SELECT user_id, max(i) + 1 FROM w GROUP BY user_id HAVING arg_max(phase, i) <> 'idle'{ended}),
 e AS (SELECT *, coalesce(lag(r) OVER (PARTITION BY user_id ORDER BY r), -1) AS since FROM ends),
 s AS (
-  SELECT e.user_id, r, max(i) FILTER (act % 2 = 1 AND i < r) AS a, max(i) FILTER (t AND i <= r) AS b, coalesce(string_agg(i, ',' ORDER BY i) FILTER (t AND i > since AND i <= r), '') AS samples
-  FROM e JOIN w USING (user_id) GROUP BY e.user_id, r)
+  SELECT e.user_id, r, max(i) FILTER (act % 2 = 1 AND i < r) AS a, max(i) FILTER (t AND i <= r) AS b, coalesce(string_agg({idx}, ',' ORDER BY i) FILTER (t AND i > since AND i <= r), '') AS samples
+  FROM e JOIN w USING (user_id) GROUP BY e.user_id, r)"""
+G2 = f"""WITH RECURSIVE {FR}, m AS (SELECT user_id, i, {FLAGS} FROM f),
+{MACHINE.format(ended="", idx="i")}
 SELECT user_id, a AS frame_start, b AS frame_end, CAST(a AS DOUBLE) AS start, CAST(b AS DOUBLE) AS "end", samples FROM s WHERE b - a >= 1"""
 
 

@@ -199,10 +199,8 @@ def f1(spark, d):
     return seq.even_sample(frames(spark, d), KEY, ORDER, 7).select("event_id")
 
 
-@query(
-    "g3_marker_segments",
-    f"""WITH RECURSIVE {FR.replace('value >= 35 AS flag,', '')}, sm AS (SELECT *, avg(value) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) >= 35 AS raw FROM f),
-t0 AS (SELECT *, CASE WHEN raw <> lag(raw) OVER (PARTITION BY user_id ORDER BY i) THEN 1 ELSE 0 END AS turn FROM sm),
+#: From smoothed frames sm(user_id, i, raw) to intervals with their samples.
+MARKER = f"""t0 AS (SELECT *, CASE WHEN raw <> lag(raw) OVER (PARTITION BY user_id ORDER BY i) THEN 1 ELSE 0 END AS turn FROM sm),
 r0 AS (SELECT *, sum(turn) OVER (PARTITION BY user_id ORDER BY i) AS run FROM t0),
 ev AS (SELECT *, CASE WHEN i = 0 OR i - min(i) OVER (PARTITION BY user_id, run) + 1 >= 2 THEN raw END AS e0 FROM r0),
 f2 AS (SELECT user_id, i, last_value(e0 IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS flag FROM ev),
@@ -210,7 +208,13 @@ t AS (SELECT *, CASE WHEN flag <> lag(flag) OVER (PARTITION BY user_id ORDER BY
 r AS (SELECT *, sum(turn) OVER (PARTITION BY user_id ORDER BY i) AS run FROM t),
 rr AS (SELECT user_id, run, bool_or(flag) AS v, min(i) AS rs, max(i) AS re, count(*) AS n FROM r GROUP BY user_id, run)
 {EDGE.format(on=2, off=2)}{THIN.format(gap=4)}
-{SAMPLE.format(gone="(SELECT * FROM th WHERE kept AND kind = 'disappear')", seen="(SELECT * FROM th WHERE kept AND kind = 'appear')", fr='f2', flag='flag')}
+{SAMPLE.format(gone="(SELECT * FROM th WHERE kept AND kind = 'disappear')", seen="(SELECT * FROM th WHERE kept AND kind = 'appear')", fr='f2', flag='flag')}"""
+
+
+@query(
+    "g3_marker_segments",
+    f"""WITH RECURSIVE {FR.replace('value >= 35 AS flag,', '')}, sm AS (SELECT *, avg(value) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) >= 35 AS raw FROM f),
+{MARKER}
 SELECT user_id, s AS frame_start, t AS frame_end, sample FROM rep""",
 )
 def g3(spark, d):

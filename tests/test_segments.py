@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from spanline.functions import machine
@@ -62,6 +63,23 @@ def test_coarse_to_fine(spark):
     assert {(r.k, r.i): (r.score, r.computed) for r in got} == want
 
 
+def test_only_needed_rows_are_scored(spark):
+    """A Python scorer sees each row that counts as computed, once, and no other."""
+    rows = [(k, i, round(float(100 * np.sin(i / 60 + (k or 2))), 3)) for k in (1, None, 3) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k int, i int, v double")
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("double")
+    def scorer(v: pd.Series) -> pd.Series:
+        calls.add(len(v))
+        return v
+
+    got = sg.coarse_to_fine(df, ["k"], ["i"], scorer("v"), 6, 5.0).collect()
+    want = {(k, i): (s, i in done) for k in (1, None, 3) for s_all, done in [coarse([v for q, _, v in rows if q == k], 6, 5.0)] for i, s in enumerate(s_all)}
+    assert {(r.k, r.i): (r.score, r.computed) for r in got} == want
+    assert calls.value == sum(r.computed for r in got) < 0.5 * len(rows)
+
+
 def test_machine_is_the_same_however_rows_are_dealt(spark):
     """Its rules are checked against SQL (g2_dialogue_segments); here rows one by one give what whole keys give."""
     rng = random.Random(4)
@@ -69,16 +87,13 @@ def test_machine_is_the_same_however_rows_are_dealt(spark):
         cfg = {"stable_frames": stable, "clear_frames": clear, "min_duration": 1.0}
         idx = np.arange(300)
         symbols = np.array([rng.choice([0, 1, 1, 3, 4, 9, 8, 2]) for _ in idx])
-        whole, single = machine.Segmenter(cfg), None
+        whole, single = machine.Segmenter(cfg), machine.Segmenter(cfg)
         whole.feed(idx, idx * 1.0, symbols)
         whole.finish()
-        out = []
         for i in idx:
-            single = machine.Segmenter(cfg, single and single.saved())
             single.feed(idx[i : i + 1], idx[i : i + 1] * 1.0, symbols[i : i + 1])
-            out += single.out
         single.finish()
-        assert whole.out == out + single.out[len(single.out) - (len(whole.out) - len(out)) :] and whole.out
+        assert whole.out == single.out and whole.out
         assert all(b >= a + 1 and set(x) <= set(idx[symbols & 1 > 0]) for a, b, _, _, x in whole.out)
 
 

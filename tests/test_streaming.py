@@ -5,6 +5,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
+from spanline.functions import machine
 from spanline.functions import scalars as sc
 from spanline.operators import segments as sg
 from spanline.operators import sequence as seq
@@ -87,3 +88,28 @@ def test_chunks_stream(spark):
     assert want[0] == ("w0 w1 w2 w3 ", "stop", 7, 1, False)
     got = st.run_to_table(st.stream_chunks(as_stream(spark, df, ["ts"]), "request_id", "ts", "10 minutes", "1 minute"), tempfile.mkdtemp()).collect()
     assert got and all(want[r.request_id] == (r.content, r.finish, r.usage, r.malformed, r.empty) for r in got)
+
+
+def test_silent_keys_end_and_lose_their_state(spark):
+    """A timer ends a key once the watermark is past it, and drops its state; a gap within the rows ends it too."""
+    cfg = {"stable_frames": 1, "clear_frames": 1}
+    rows = [("gone", i, i * 10, True) for i in range(5)] + [("gap", 0, 0, True), ("gap", 1, 10, True), ("gap", 2, 400, True), ("gap", 3, 410, True)]
+    rows += [("late", i, 5000 + i * 10, True) for i in range(3)] + [("last", i, 9000 + i * 10, True) for i in range(3)]
+    df = spark.createDataFrame(rows, "k string, idx long, s long, has_text boolean").selectExpr("*", "cast(s as double) as ts", "timestamp_seconds(s + 1000) as at", "false as has_change", "false as is_clear", "false as name_changed", "false as eof")
+    s = as_stream(spark, df, ["s", "k"], 6)
+    path = tempfile.mkdtemp()
+    got = st.run_to_table(st.stream_segments(s, ["k"], cfg, "dialogue", "at", 100.0, "10 seconds"), path)
+    assert table(got.collect()) == [("gap", 0, 1, 0.0, 10.0, (0, 1)), ("gap", 2, 3, 400.0, 410.0, (2, 3)), ("gone", 0, 4, 0.0, 40.0, (0, 1, 2, 3, 4)), ("late", 0, 2, 5000.0, 5020.0, (0, 1, 2))]
+    left = spark.read.format("statestore").option("path", f"{path}/_state").option("stateVarName", "fold").load()
+    assert {r.key[0] for r in left.select("key").collect()} == {"last"}
+
+
+def test_marker_state_is_runs_not_frames():
+    m = machine.MarkerMachine({"min_on": 2, "min_off": 2})
+    for i in range(10_000):
+        m.step(i, i > 0)
+    assert m.seen == 1 and not m.ons
+    other = machine.MarkerMachine({"min_on": 2, "min_off": 2})
+    for i in range(10_000):
+        other.step(i, True)
+    assert other.ons == [(0, 9999)]
