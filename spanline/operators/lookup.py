@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanline.functions import scalars as sc
+from spanline.operators.intervals import in_spans
 from spanline.operators.union import union_all
 
 
@@ -67,10 +68,13 @@ def near_keys(names: DataFrame, keys: DataFrame, max_dist: int) -> DataFrame:
     letters are taken out of each.
     """
 
-    def pieces(c: str, other: DataFrame, o: str) -> Column:
-        lengths = [r[0] for r in other.select(F.length(o)).distinct().collect()] or [0]
-        fit = F.filter(F.array(*[F.lit(n) for n in sorted(lengths)]), lambda n: n <= F.length(c))
-        return F.flatten(F.transform(fit, lambda n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, n))))
+    def pieces(df: DataFrame, c: str, other: DataFrame, o: str) -> DataFrame:
+        sized = df.withColumn("_n", F.explode(other.agg(F.collect_set(F.length(o))).scalar())).where(F.col("_n") <= F.length(c))
+        cut = F.transform(F.sequence(F.lit(1), F.length(c) - F.col("_n") + 1), lambda i: F.substring(c, i, F.col("_n")))
+        return sized.withColumn("_piece", F.explode(F.array_distinct(cut))).drop("_n")
+
+    def whole(df: DataFrame, c: str) -> DataFrame:
+        return df.withColumn("_piece", F.col(c))
 
     def shorter(c: str) -> Column:
         out = F.array(F.col(c))
@@ -79,22 +83,20 @@ def near_keys(names: DataFrame, keys: DataFrame, max_dist: int) -> DataFrame:
             out = F.array_distinct(F.concat(out, F.flatten(F.transform(out, less))))
         return out
 
-    met = []
-    for mine, theirs in ((pieces("nn", keys, "nk"), F.array("nk")), (F.array("nn"), pieces("nk", names, "nn")), (shorter("nn"), shorter("nk"))):
-        left, right = (df.withColumn("_piece", F.explode(F.array_distinct(p))) for df, p in ((names, mine), (keys, theirs)))
-        met.append(left.join(right, "_piece").drop("_piece"))
-    return union_all(union_all(met[0], met[1]), met[2]).distinct()
+    less = [df.withColumn("_piece", F.explode(F.array_distinct(shorter(c)))) for df, c in ((names, "nn"), (keys, "nk"))]
+    sides = [(pieces(names, "nn", keys, "nk"), whole(keys, "nk")), (whole(names, "nn"), pieces(keys, "nk", names, "nn")), less]
+    met = [left.join(right, "_piece").drop("_piece") for left, right in sides]
+    return union_all(*met).distinct()
 
 
-def resolve_dimension(df: DataFrame, name: str, dim: DataFrame, dim_name: str, max_dist: int = 1, most_dim_rows: int = 1_000) -> DataFrame:
+def resolve_dimension(df: DataFrame, name: str, dim: DataFrame, dim_name: str, max_dist: int = 1) -> DataFrame:
     """Adds ``match`` (the dimension's name) and ``ambiguous``.
 
     By tiers: the normalised name is a key as it stands; equal after normalising;
     one contains the other; smallest edit distance of at most max_dist.  The first
     tier with a candidate decides, and only with a single best one.  Work is per
-    distinct name.  The first two tiers are equi-joins; names left over meet all of
-    the dimension's names, which are broadcast, their number checked against
-    ``most_dim_rows``, and beyond that the same pairs are found by equi-joins.
+    distinct name, and all tiers are equi-joins (:func:`near_keys`), at every size of
+    the dimension.
     """
     keys = dim.select(F.trim(dim_name).alias("key")).where("key <> ''").distinct().withColumn("nk", sc.normalize_name("key")).where("nk <> ''")
     names = df.select(F.col(name).alias("name")).distinct().withColumn("nn", sc.normalize_name("name")).where("nn <> ''")
@@ -104,10 +106,7 @@ def resolve_dimension(df: DataFrame, name: str, dim: DataFrame, dim_name: str, m
     rest = names.join(exact.select("name").distinct(), "name", "left_anti")
     near = F.contains("nn", "nk") | F.contains("nk", "nn")
     dist = F.levenshtein("nn", "nk", max_dist)
-    if keys.count() <= most_dim_rows:
-        pairs = rest.join(F.broadcast(keys), near | (dist >= 0))
-    else:
-        pairs = near_keys(rest, keys, max_dist).where(near | (dist >= 0))
+    pairs = near_keys(rest, keys, max_dist).where(near | (dist >= 0))
     loose = pairs.select("name", "key", F.when(near, 2).otherwise(3).alias("tier"), F.when(near, 0).otherwise(dist).alias("dist"))
     rank = Window.partitionBy("name")
     best = union_all(exact, loose).withColumn("top", F.min(F.struct("tier", "dist")).over(rank)).where(F.struct("tier", "dist") == F.col("top"))
@@ -144,32 +143,27 @@ def keep_anchors(frames: DataFrame, anchors: DataFrame, k: list[str]) -> tuple[D
     return frames.join(anchors.select(*k).distinct(), k, "left_semi"), counts
 
 
-def _cells(spans: DataFrame, start: str, end: str, bucket: float) -> DataFrame:
-    return spans.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(start) / bucket), F.floor(F.col(end) / bucket))))
-
-
-def frames_in_segments(frames: DataFrame, segments: DataFrame, k: list[str], at: str, start: str, end: str, bucket: float) -> DataFrame:
-    """All (frame, segment) pairs with start <= at <= end, by an equi-join on cells of ``bucket`` width."""
-    f = frames.withColumn("_cell", F.floor(F.col(at) / bucket))
-    return f.join(_cells(segments, start, end, bucket), [*k, "_cell"]).where(F.col(at).between(F.col(start), F.col(end))).drop("_cell")
+def frames_in_segments(frames: DataFrame, segments: DataFrame, k: list[str], at: str, start: str, end: str) -> DataFrame:
+    """All (frame, segment) pairs with start <= at <= end (:func:`spanline.operators.intervals.in_spans`)."""
+    return in_spans(frames, segments, k, at, start, end)
 
 
-def segment_at(points: DataFrame, segments: DataFrame, k: list[str], at: str, start: str, end: str, ident: Column, order: Column, bucket: float) -> DataFrame:
+def segment_at(points: DataFrame, segments: DataFrame, k: list[str], at: str, start: str, end: str, ident: Column, order: Column) -> DataFrame:
     """Points with ``segment``: the first one, by ``order``, that holds the point; null if none does."""
     s = segments.select(*k, F.col(start).alias("_s"), F.col(end).alias("_e"), order.alias("_o"), ident.alias("_id"))
-    hit = frames_in_segments(points.select(*k, at).distinct(), s, k, at, "_s", "_e", bucket)
+    hit = frames_in_segments(points.select(*k, at).distinct(), s, k, at, "_s", "_e")
     best = hit.groupBy(*k, at).agg(F.min_by("_id", "_o").alias("segment"))
     return points.join(best, [*k, at], "left")
 
 
-def series_value_at(points: DataFrame, series: DataFrame, k: list[str], at: str = "at", bucket: float = 60.0) -> DataFrame:
+def series_value_at(points: DataFrame, series: DataFrame, k: list[str], at: str = "at") -> DataFrame:
     """Points with ``score`` from series(k, range_index, start, end, fps, pos, score): the first range that holds the point.
 
     Its position is (at - start) * fps, rounded half to even; null outside of all
-    ranges.  Points meet ranges in cells of ``bucket`` seconds.
+    ranges.
     """
     ranges = series.select(*k, "range_index", "start", "end", "fps").distinct()
-    hit = frames_in_segments(points.select(*k, at).distinct(), ranges, k, at, "start", "end", bucket)
+    hit = frames_in_segments(points.select(*k, at).distinct(), ranges, k, at, "start", "end")
     hit = hit.groupBy(*k, at).agg(F.min(F.struct("range_index", "start", "fps")).alias("r")).select(*k, at, "r.*")
     hit = hit.withColumn("pos", F.bround((F.col(at) - F.col("start")) * F.col("fps"), 0).cast("long"))
     got = hit.join(series.select(*k, "range_index", F.col("pos").cast("long").alias("pos"), "score"), [*k, "range_index", "pos"], "left")

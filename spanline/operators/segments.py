@@ -12,18 +12,17 @@ from spanline.functions import machine
 from spanline.functions import scalars as sc
 from spanline.operators import sequence as seq
 from spanline.operators.chunks import Chunked
+from spanline.operators.intervals import in_spans
 from spanline.operators.union import union_all
-from spanline.sources.shared import shared_path
+from spanline.sources.shared import kept
 
 #: Seconds from a segment's start to its head probe.
 PROBE_AFTER = 0.16
 
 
-def in_segments(segments: DataFrame, frames: DataFrame, k: list[str], start: str = "frame_start", end: str = "frame_end", bucket: int = 256) -> DataFrame:
+def in_segments(segments: DataFrame, frames: DataFrame, k: list[str], start: str = "frame_start", end: str = "frame_end") -> DataFrame:
     """Frames of every segment: k, segment_id, idx and all columns of frames(k, idx, ...)."""
-    cells = segments.select(*k, "segment_id", start, end).withColumn("_cell", F.explode(F.sequence(F.floor(F.col(start) / bucket), F.floor(F.col(end) / bucket))))
-    f = frames.withColumn("_cell", F.floor(F.col("idx") / bucket))
-    return f.join(cells, [*k, "_cell"]).where(F.col("idx").between(F.col(start), F.col(end))).drop("_cell")
+    return in_spans(frames, segments.select(*k, "segment_id", start, end), k, "idx", start, end)
 
 
 # --- expressions over a segment's frames -----------------------------------------
@@ -268,13 +267,7 @@ def coarse_to_fine(df: DataFrame, k: list[str], order: list, score: Column, step
 
     A row is found by its key and place; an interval by the place of its left anchor.
     """
-    spark, step = df.sparkSession, max(1, step)
-    margin = max(0.01, margin)
-
-    def kept(rows: DataFrame, name: str) -> DataFrame:
-        path = shared_path(spark, name)
-        rows.write.parquet(path)
-        return spark.read.schema(rows.schema).parquet(path)
+    step, margin = max(1, step), max(0.01, margin)
 
     w = Window.partitionBy(*k)
     d = seq.positions(df, k, order, "_p").withColumn("_n", F.count("*").over(w))
@@ -350,10 +343,8 @@ def dialogue_segments(df: DataFrame, k: list[str], order: list, cfg: dict) -> Da
     chunks = Chunked(rows, k, order, ["idx", "ts", "symbol"], Summary, 0)
     keys = [f"{c} {df.schema[c].dataType.simpleString()}" for c in k]
     schema = ", ".join([*keys, "_chunk int", "_seq int", machine.SCHEMA])
-    path = shared_path(df.sparkSession, "segments")
     got = chunks.fold(lambda key, chunk, entered, goes_on, batches: segment_rows(key, chunk, entered, goes_on, batches, cfg), schema)
-    got.write.parquet(path)
-    got = df.sparkSession.read.schema(got.schema).parquet(path)
+    got = kept(got, "segments")
     # Parts of a segment follow each other; each that begins one begins a new group.
     parts = got.where("_seq IS NOT NULL")
     parts = parts.withColumn("_nth", F.sum(F.col("frame_start").isNotNull().cast("int")).over(Window.partitionBy(*k).orderBy("_chunk", "_seq")))

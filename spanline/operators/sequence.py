@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanline.operators.chunks import Chunked
+from spanline.operators.intervals import in_spans
 from spanline.operators.union import union_all
+from spanline.sources.shared import kept
 
 PAST = Window.unboundedPreceding
 AHEAD = Window.unboundedFollowing
@@ -169,17 +171,16 @@ def intervals(edge_rows: DataFrame, key, pos: str = "pos") -> DataFrame:
     return edge_rows.select(*key, start.alias("start"), F.col(pos).alias("end")).where(F.col("end") > F.col("start"))
 
 
-def representative(frames: DataFrame, spans: DataFrame, appear: DataFrame, key, flag: str, cell: int = 256) -> DataFrame:
+def representative(frames: DataFrame, spans: DataFrame, appear: DataFrame, key, flag: str) -> DataFrame:
     """Adds ``sample`` to spans(key, start, end): the first appearance inside (ends included), else the
     middle one (n // 2) of the positions where the flag is on, else the span's middle.
 
-    Positions meet their spans in cells of ``cell`` positions; ranks, not lists, find the middle.
+    Ranks, not lists, find the middle.
     """
     at = frames.where(F.col(flag)).select(*key, F.col("pos").alias("_p"), F.lit(False).alias("_a"))
-    at = union_all(at, appear.select(*key, F.col("pos").alias("_p"), F.lit(True).alias("_a"))).withColumn("_cell", F.floor(F.col("_p") / cell))
-    cells = F.sequence(F.floor(F.col("start") / cell), F.floor(F.col("end") / cell))
+    at = union_all(at, appear.select(*key, F.col("pos").alias("_p"), F.lit(True).alias("_a")))
     span = [*key, "start", "end"]
-    hit = spans.select(*span, F.explode(cells).alias("_cell")).join(at, [*key, "_cell"]).where(F.col("_p").between(F.col("start"), F.col("end")))
+    hit = in_spans(at, spans.select(*span), key, "_p", "start", "end")
     w = Window.partitionBy(*span)
     hit = hit.withColumn("_ons", F.count_if(~F.col("_a")).over(w)).withColumn("_nth", F.row_number().over(w.orderBy("_a", "_p")))
     middle = ~F.col("_a") & (F.col("_nth") == F.floor(F.col("_ons") / 2) + 1)
@@ -308,16 +309,18 @@ def marker_segments(
     The score is smoothed and thresholded, the flag debounced; edges of either kind
     closer than max(2, min_on + min_off) to the last one kept are thinned out.
     What follows the last disappearance is no segment unless ``keep_tail``.
+    Flags and edges are written once, for all that looks at them.
     """
     df = moving_average(df, key, order, score, max(1, smooth), "_smooth").withColumn("_on", F.col("_smooth") >= threshold)
     if use_debounce:
         df = debounce(df, key, order, "_on", max(1, min_on), max(1, min_off), "_flag")
-        e = edges(df, key, order, "_flag", max(1, min_on), max(1, min_off))
-        e = thin(e, [*key, "kind"], "pos", max(2, min_on + min_off))
     else:
-        df = df.withColumn("_flag", F.col("_on"))
-        e = edges(df, key, order, "_flag")
-    frames = positions(df, key, order).select(*key, "pos", "_flag")
+        df, min_on, min_off = df.withColumn("_flag", F.col("_on")), 1, 1
+    frames = kept(positions(df, key, order).select(*key, "pos", "_flag"), "flags")
+    e = edges(frames, key, ["pos"], "_flag", max(1, min_on), max(1, min_off))
+    if use_debounce:
+        e = thin(e, [*key, "kind"], "pos", max(2, min_on + min_off))
+    e = kept(e, "edges")
     gone = e.where("kind = 'disappear'").select(*key, "pos")
     if keep_tail:
         gone = union_all(gone, frames.groupBy(*key).agg(F.max("pos").alias("pos"))).distinct()

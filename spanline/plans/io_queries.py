@@ -71,9 +71,43 @@ def a7(spark, d):
     return out.select("video_id", "frame_number", "roi", "w", "h", F.left(F.hex("gray"), F.lit(4)).alias("head"))
 
 
+FEATURES = {"window": 5, "offset": 10.0, "min_area": 2, "max_area": 64, "min_width": 1, "min_height": 1}
+
+
 @query("h4_frame_features")
 def h4(spark, d):
-    return vision.frame_features(grey(spark, d), {"window": 5, "offset": 10.0, "min_size": 1, "max_share": 0.5})
+    return vision.frame_features(grey(spark, d), FEATURES)
+
+
+@query("h4_presence")
+def h4_presence(spark, d):
+    """What the frames' text masks say of presence (b29's decision)."""
+    f = vision.frame_features(grey(spark, d), FEATURES)
+    cfg = {"min_components": 2, "max_components": 8, "max_x_min": 0.5, "max_y_span": 0.95, "min_aspect": 0.8, "max_largest": 0.7, "off": 0.05, "on": 0.2}
+    said = sc.presence_decision("presence", "components", "x_min", "x_span", "y_span", "largest", cfg)
+    return f.select("video_id", "frame_index", said.alias("p")).select("video_id", "frame_index", "p.*")
+
+
+#: A falling edge and a bright spot, as templates.
+EDGE = [[200, 120, 40], [200, 120, 40], [200, 120, 40]]
+SPOT = [[0, 0, 0, 0], [0, 250, 250, 0], [0, 250, 250, 0], [0, 0, 0, 0]]
+
+
+@query(
+    "h3_image_match",
+    """WITH e AS (SELECT label, vec_id, list_transform(embedding, lambda x: CAST(greatest(0, least(255, floor(CAST(x AS FLOAT) * 400 + 128))) AS BIGINT)) AS p FROM embeddings),
+m AS (SELECT label, vec_id, d, y, x, p[8 * y + least(7, greatest(0, x - d)) + 1] AS v FROM e, (VALUES (0), (-2), (2)) AS s(d), range(8) AS r(y), range(8) AS c(x)),
+t AS (SELECT 0 AS n, 3 AS size, y, x, CASE x WHEN 0 THEN 200 WHEN 1 THEN 120 ELSE 40 END AS t FROM range(3) AS r(y), range(3) AS c(x)
+  UNION ALL SELECT 1, 4, y, x, CASE WHEN y IN (1, 2) AND x IN (1, 2) THEN 250 ELSE 0 END FROM range(4) AS r(y), range(4) AS c(x)),
+win AS (SELECT label, vec_id, d, t.n, t.size, oy, ox, count(*) AS k, sum(v) AS sv, sum(v * v) AS svv, sum(t) AS st, sum(t * t) AS stt, sum(v * t) AS svt
+  FROM (SELECT DISTINCT n, size FROM t) q, range(6) AS a(oy), range(6) AS b(ox), m, t WHERE t.n = q.n AND oy + t.size <= 8 AND ox + t.size <= 8 AND m.y = oy + t.y AND m.x = ox + t.x GROUP BY ALL)
+SELECT CAST(label AS VARCHAR) AS video_id, CAST(vec_id AS INTEGER) AS frame_index,
+  round(greatest(0, least(1, max(CASE WHEN k * svv = sv * sv THEN 0 ELSE (k * svt - sv * st) / sqrt(CAST(k * svv - sv * sv AS DOUBLE) * (k * stt - st * st)) END))), 6) AS score FROM win GROUP BY label, vec_id""",
+)
+def h3_images(spark, d):
+    """The embeddings as frames of 8 by 8 pixels, against two templates slid over them and moved sideways."""
+    out = vision.match_images(grey(spark, d), [EDGE, SPOT], 2, 2, "horizontal")
+    return out.select("video_id", "frame_index", F.round("score", 6).alias("score"))
 
 
 def stream_table(spark, d, name: str) -> DataFrame:

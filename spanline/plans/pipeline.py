@@ -14,6 +14,7 @@ from spanline.operators import sequence as seq
 from spanline.operators.infer import Policy, batch_infer
 from spanline.operators.render import entry_style, render_events
 from spanline.operators.review import coerce_entries, review_metadata
+from spanline.sources.shared import kept
 
 
 def subtitles_from_cache(cache: DataFrame, layout: dict, styles: DataFrame | None = None, base: Column | None = None, debug: bool = False, timeline_only: bool = False) -> DataFrame:
@@ -44,9 +45,9 @@ def timeline(frames: DataFrame, k: list[str], order: list, score: str, cfg: dict
     probe_hits, gap, min_blank.  ``confirm`` names the second score series.
     Without ``infer`` misses stay without text: the timeline alone.
     """
-    f = seq.positions(frames, k, order, "idx")
+    f = kept(seq.positions(frames, k, order, "idx"), "frames")
     raw = seq.marker_segments(frames, k, order, score, cfg["threshold"], cfg.get("smooth", 1), True, cfg.get("min_on", 2), cfg.get("min_off", 2), fps=cfg["fps"])
-    raw = raw.withColumn("segment_id", F.row_number().over(seq.by(k, ["frame_start"])))
+    raw = kept(raw.withColumn("segment_id", F.row_number().over(seq.by(k, ["frame_start"]))), "raw")
     parts = sg.split_blank_dialogue(raw, f, k, confirm or score, cfg.get("confirm_threshold", cfg["threshold"]), cfg["fps"], cfg.get("probe_frames", 5), cfg.get("probe_hits", 4), cfg.get("gap", 2), cfg.get("min_blank", 2))
     e = parts.withColumnRenamed("segment_id", "raw_id").withColumn("segment_id", F.row_number().over(seq.by(k, ["frame_start", "frame_end"])))
     e = e.withColumns({"start": F.col("frame_start") / cfg["fps"], "end": F.col("frame_end") / cfg["fps"], "kind": F.when(F.col("has_name"), "speaker_dialogue").otherwise("blank_no_name")})

@@ -139,7 +139,7 @@ def c8(spark, d):
     day = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / 86400)
     s = t(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 50).alias("k"), (day("o_orderdate") % 400).alias("s")).withColumn("e", F.col("s") + 3)
     e = t(spark, d, "events").select("event_id", (F.col("user_id") % 50).alias("k"), (day("ts") % 400).alias("p"))
-    return lk.frames_in_segments(e, s, ["k"], "p", "s", "e", 8).groupBy("o_orderkey").agg(F.count("*").alias("n"))
+    return lk.frames_in_segments(e, s, ["k"], "p", "s", "e").groupBy("o_orderkey").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -152,7 +152,7 @@ def c9(spark, d):
     f = frames(spark, d)
     s = f.select("user_id", F.col("i").alias("id"), (F.col("i") * 2.0).alias("st"), (F.col("i") * 2.0 + F.when(F.col("i") % 3 == 0, 2.0).otherwise(1.5)).alias("en"))
     p = f.select("event_id", "user_id", (F.floor(F.col("value") * 2) / 4).alias("q"))
-    return lk.segment_at(p, s, ["user_id"], "q", "st", "en", F.col("id"), F.col("id"), 4.0).select("event_id", "segment")
+    return lk.segment_at(p, s, ["user_id"], "q", "st", "en", F.col("id"), F.col("id")).select("event_id", "segment")
 
 
 @query(
