@@ -1,12 +1,15 @@
 """Fuzzy line deduplication: SimHash in pigeonhole blocks, edit similarity, connected groups.
 
-A SimHash gives each bit the sign of a weighted sum over a line's words.  With equal
-weights, lines of edit similarity 0.8 differ in a fifth of all bits, and no block
-long enough to tell lines apart agrees.  Here the words have, for each of BLOCKS
-blocks of 16 bits, random weights of so heavy a tail that the heaviest word alone
-decides the signs: a block of two lines agrees as a whole with the probability of
-the Jaccard similarity of their words (about 2/3 or more), however many bits it has.
-Words of up to SHORT bytes, which say little, have a quarter of the weight.
+A SimHash gives each bit the sign of a weighted sum over a line's words, each adding
+or taking away its weight by a random bit of its own.  With equal weights, lines of edit
+similarity 0.8 differ in a fifth of all bits, and no block long enough to tell lines
+apart agrees.  Here a word has another weight in each of BLOCKS blocks of 16 bits:
+u ** -TAIL for a random u from 0 to 1, so that mostly few words decide a block, and the
+blocks of two lines agree as a whole nearly as often as their words do (2/3 or more).
+Words of up to SHORT bytes, which say little, have a u four times as large.
+
+In nine lines of ten a block's heaviest word weighs more than all others together:
+then all 16 sums have the signs of its bits.  For the others they are added up.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ LEAST = 9 / BLOCKS
 PARITIES = 4
 #: Bytes of the words that have little weight.
 SHORT = 3
+#: The power of the weights' tail.
+TAIL = 8
 #: Occurrences of a line from which they are joined apart from the others.
 COMMON = 50_000
 
@@ -82,13 +87,39 @@ def simhashes(h: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
             parity[some, i] = np.bitwise_xor.reduceat(np.where(h >> np.uint64(62) == np.uint64(i), bit, np.uint64(0)), first[:-1][some])
         odd = tk.mix(np.arange(1, BLOCKS + 1, dtype=np.uint64) * tk.MULT) | np.uint64(1)
         lift = np.where(size > SHORT, np.uint64(2), np.uint64(0))
+        begin = first[:-1][some]
         for i in range(BLOCKS):
-            # A word's weight grows as its hash falls; longer words have four times the weight.
-            heaviest = np.minimum.reduceat((h * odd[i]) >> lift, first[:-1][some])
-            out[some, i // EACH] |= (tk.mix(heaviest) & np.uint64(0xFFFF)) << np.uint64(16 * (i % EACH))
+            drawn = (h * odd[i]) >> lift
+            block = signs(drawn, begin)
+            out[some, i // EACH] |= block << np.uint64(16 * (i % EACH))
     return np.concatenate([out | (np.arange(TABLES, dtype=np.uint64) << np.uint64(16 * EACH))[None], parity], axis=1)
 
 
+def signs(drawn: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """16 bits for each line: whether the sums of its words' weights, with the signs of their bits, are above 0.
+
+    ``drawn`` are the words' random numbers, of which weights and bits are functions,
+    ``begin`` the lines' first words.
+    """
+    weight = (drawn.astype(np.float64) * 2.0**-64 + 2.0**-64) ** -1.0
+    for _ in range(TAIL.bit_length() - 1):
+        weight *= weight
+    least = np.minimum.reduceat(drawn, begin)
+    out = tk.mix(least) & np.uint64(0xFFFF)  # the heaviest word's bits
+    open_ = np.flatnonzero(np.maximum.reduceat(weight, begin) * 2 <= np.add.reduceat(weight, begin))
+    if len(open_):
+        size = np.diff(np.append(begin, len(drawn)))[open_]
+        at = np.repeat(begin[open_] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        bits, own = tk.mix(drawn[at]), weight[at]
+        start = np.cumsum(size) - size
+        block = np.zeros(len(open_), np.uint64)
+        for b in range(16):
+            total = np.add.reduceat(np.where((bits >> np.uint64(b)) & np.uint64(1) == 1, own, -own), start)
+            block |= (total > 0).astype(np.uint64) << np.uint64(b)
+        out[open_] = block
+    return out
+
+
 def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """The share of blocks in which SimHashes agree."""
     apart = x ^ y
@@ -120,10 +151,26 @@ def likeness(similarity: float):
     return score
 
 
-def finer(keys: np.ndarray) -> np.ndarray:
-    """Eight keys of two blocks each, which deal the members of a table's key."""
-    blocks = np.stack([(keys[:, i // EACH] >> np.uint64(16 * (i % EACH))) & np.uint64(0xFFFF) for i in range(16)], axis=1)
-    return blocks[:, 0::2] | blocks[:, 1::2] << np.uint64(16)
+def other_pairs() -> np.ndarray:
+    """For each table ten pairs of blocks of the other tables: the first two of each, and last ones of several."""
+    out = []
+    for t in range(TABLES):
+        rest = [EACH * u for u in range(TABLES) if u != t]
+        last = [b + 2 for b in rest]
+        out.append([*((b, b + 1) for b in rest), *zip(last[0:6:2], last[1:6:2], strict=True)])
+    return np.array(out)
+
+
+PAIRS = other_pairs()
+
+
+def finer(keys: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ten keys of two blocks each, none of the blocks in the table's own ``key``, which deal its members."""
+    blocks = np.stack([(keys[:, i // EACH] >> np.uint64(16 * (i % EACH))) & np.uint64(0xFFFF) for i in range(BLOCKS)], axis=1)
+    pairs = PAIRS[(key >> np.uint64(16 * EACH)).astype(np.int64)]
+    at = np.arange(len(keys))[:, None]
+    out = blocks[at, pairs[..., 0]] | blocks[at, pairs[..., 1]] << np.uint64(16)
+    return out, np.ones(out.shape, bool)
 
 
 def digests(h: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -154,8 +201,10 @@ def line_rows(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[
             use = np.flatnonzero(np.diff(first))
             n, dig = np.diff(first)[use], digests(h, first)[use].view(np.int64)
             fuzzy = edits(np.floor(n / similarity + 1e-9), similarity) > 0
-            sketch = simhashes(h, first, size)[use][fuzzy].view(np.int64)
-            ends = np.concatenate([[0], np.cumsum(fuzzy) * (TABLES + PARITIES)]).astype(np.int32)
+            # Of a line's occurrences in the slice the first has the SimHash.
+            once = np.zeros(len(use), bool)
+            once[np.unique(dig[:, 0] ^ dig[:, 1], return_index=True)[1]] = True
+            sketch, ends = first_sketches(h, first, size, use, fuzzy & once)
             yield pa.RecordBatch.from_arrays(
                 [
                     *(b.column(i).take(pa.array(at + row[use])) for i in (0, 1)),
@@ -166,6 +215,15 @@ def line_rows(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[
             )
 
 
+def first_sketches(h, first, size, use, wanted) -> tuple[np.ndarray, np.ndarray]:
+    """(SimHashes of the wanted lines, where each line's begin and end among them)."""
+    at = use[wanted]
+    n = np.diff(first)[at]
+    words = np.repeat(first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    sketch = simhashes(h[words], np.append(0, np.cumsum(n)), size[words]).view(np.int64)
+    return sketch, np.concatenate([[0], np.cumsum(wanted) * (TABLES + PARITIES)]).astype(np.int32)
+
+
 def pick_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The word hashes of the lines asked for: (lines as (line, id), text) to (id, body)."""
     for b in batches:
@@ -186,8 +244,9 @@ def pick_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def within(x: np.ndarray, y: np.ndarray, most: int) -> bool:
     """Whether the edit distance of two word sequences is at most ``most``.
 
-    Equal ends are cut off; the rest is compared bit-parallel (Myers 1999): a
-    column of the table is two bit vectors of its steps up and down.
+    Equal ends are cut off; long lines are first tried for a few edits; the rest is
+    compared bit-parallel (Myers 1999): a column of the table is two bit vectors of
+    its steps up and down.
     """
     if abs(len(x) - len(y)) > most:
         return False
@@ -203,6 +262,8 @@ def within(x: np.ndarray, y: np.ndarray, most: int) -> bool:
         return True
     if not a or not b:
         return False
+    if min(len(a), len(b)) >= LONG and few_edits(x[: len(a)], y[: len(b)], min(most, 8)):
+        return True
     where: dict[int, int] = {}
     for i, w in enumerate(a):
         where[w] = where.get(w, 0) | 1 << i
@@ -218,6 +279,40 @@ def within(x: np.ndarray, y: np.ndarray, most: int) -> bool:
     return score <= most
 
 
+#: Words from which lines are first tried for a few edits.
+LONG = 2000
+
+
+def few_edits(x: np.ndarray, y: np.ndarray, most: int) -> bool:
+    """Whether the edit distance is at most ``most``, by the furthest reach on each diagonal: words compared grow with most squared."""
+
+    def run(i: int, j: int) -> int:
+        """Where equal words from (i, j) on end, in x; looked at in growing steps."""
+        step, end = 64, min(len(x) - i, len(y) - j)
+        done = 0
+        while done < end:
+            upto = min(end, done + step)
+            apart = np.flatnonzero(x[i + done : i + upto] != y[j + done : j + upto])
+            if len(apart):
+                return i + done + int(apart[0])
+            done, step = upto, step * 4
+        return i + end
+
+    goal = len(y) - len(x)
+    reach = {0: run(0, 0)}
+    for _ in range(most):
+        if reach.get(goal, -1) >= len(x):
+            break
+        grown = {}
+        for d in range(min(reach) - 1, max(reach) + 2):
+            i = max(reach.get(d, -2) + 1, reach.get(d - 1, -2), reach.get(d + 1, -2) + 1)  # changed, put in, taken out
+            i = min(i, len(x), len(y) - d)
+            if i >= 0 and i + d >= 0:
+                grown[d] = run(i, i + d)
+        reach = grown
+    return reach.get(goal, -1) >= len(x)
+
+
 def alike(similarity: float):
     """Whether two lines' word hashes are within the edit similarity."""
 
@@ -266,7 +361,7 @@ def repeated(docs: DataFrame, similarity: float = 0.8, text: str = "text") -> Da
     texts = with_body(docs, text)
     lines = cut(texts.mapInArrow(lambda it: line_rows(it, similarity), ROW.format(kind) + ", line long, hi long, lo long, n long, sketch array<long>"), "lines")
     at = F.struct("doc_id", "body", "line")
-    classes = lines.groupBy("hi", "lo").agg(F.min(at).alias("at"), F.count("*").alias("times"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = lines.groupBy("hi", "lo").agg(F.min(at).alias("at"), F.count("*").alias("times"), F.first("n").alias("n"), F.max_by("sketch", F.size("sketch")).alias("sketch"))
     classes = cut(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     fuzzy = classes.where(F.size("sketch") > 0).select("id", "n", "sketch", F.slice("sketch", 1, TABLES).alias("keys"))
     links = linked(fuzzy, lambda ids: words_of(texts, classes, ids), alike(similarity), likeness(similarity), finer)

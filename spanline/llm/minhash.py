@@ -183,7 +183,7 @@ def members(docs: DataFrame, num: int, den: int, k: int = SHINGLE, text: str = "
     rep = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body")
     classes = sets.where("n > 0").groupBy("hi", "lo").agg(F.min(rep).alias("rep"), *[F.first(c).alias(c) for c in ("n", "sketch", "keys")])
     classes = cut(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
-    links = linked(classes.select("id", "n", "sketch", "keys"), lambda ids: sets_of(docs, classes, ids, k), alike(num, den), likeness(least, ratio), lambda keys: keys)
+    links = linked(classes.select("id", "n", "sketch", "keys"), lambda ids: sets_of(docs, classes, ids, k), alike(num, den), likeness(least, ratio), lambda keys, key: (keys, keys != key[:, None]))
     comps = components(links)
     of = classes.select("hi", "lo", "id", "rep").join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     low = of.groupBy("component").agg(F.min("rep").alias("first"))
