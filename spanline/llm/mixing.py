@@ -1,43 +1,26 @@
 """Mixing sources to target weights with a low-discrepancy schedule (DataFrame operations only).
 
-The mix is a schedule of slots of one word.  Slot i takes the golden-ratio point
-frac(i * phi), which falls into one source's part of the cumulative target
-weights; the slots of a source are ranked, and the r-th one takes the r-th word of
-that source's shuffled documents, starting over after the last.  How many slots a
-source gets is counted in closed form, so that no slot need be written.
+The mix is a schedule of slots.  Slot i takes the golden-ratio point frac(i * phi),
+which falls into one source's part of the cumulative target weights.  The slots of a
+source are ranked, and the r-th one takes the r-th block of that source's shuffled
+documents, laid end to end and starting over after the last.  A source's blocks have
+equally many words, to within one, so many that they add up to its target: their
+number comes from the schedule, and they are about as long in all sources.
 """
 
 from __future__ import annotations
 
-import json
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanline.llm.common import cut
+from spanline.llm.common import SENT, broadcast_if, cut
 
 #: floor(2**32 / phi): consecutive multiples modulo 2**32 are golden-ratio points.
 GOLDEN = 2654435769
 PERIOD = 1 << 32
 CELLS = 1024
-
-
-def floor_sum(n: int, m: int, a: int, b: int) -> int:
-    """The sum of (a * i + b) // m over 0 <= i < n, by Euclid's algorithm."""
-    out = 0
-    while n > 0:
-        out += (a // m) * (n * (n - 1) // 2) + (b // m) * n
-        a, b = a % m, b % m
-        last = a * n + b
-        n, b, m, a = last // m, last % m, a, m
-    return out
-
-
-def points_below(slots: int, bound: float) -> int:
-    """How many of the first ``slots`` golden-ratio points are below ``bound``."""
-    c = math.ceil(bound * PERIOD)
-    return floor_sum(slots, PERIOD, GOLDEN, PERIOD) - floor_sum(slots, PERIOD, GOLDEN, PERIOD - c)
+#: Words of a slot's block, about.
+BLOCK_WORDS = 1024
 
 
 def running_sum(df: DataFrame, group: str, value: str, order: list[str], part: str) -> DataFrame:
@@ -104,36 +87,62 @@ def shares(targets: DataFrame) -> DataFrame:
     )
 
 
-def slot_counts(targets: DataFrame, slots: int) -> DataFrame:
-    """(sid, words): the slots that each source gets; one row per source passes through the driver."""
-    counts = [{"sid": r.sid, "words": points_below(slots, r.hi) - points_below(slots, r.lo)} for r in shares(targets).collect()]
-    return targets.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(counts)), "array<struct<sid:long,words:long>>")))
-
-
 def schedule(targets: DataFrame, slots: int) -> DataFrame:
     """(slot, sid, rank): golden-ratio points mapped through the cumulative target weights.
 
-    A slot's point picks its source through ``CELLS`` equal cells, an equi-join.
+    A slot's point picks its source through ``CELLS`` equal cells, an equi-join.  A
+    source too small for any point has one slot more, in its part's place.
     """
     spark = targets.sparkSession
-    cells = shares(targets).withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)))))
+    parts = cut(shares(targets), "shares")
+    cells = parts.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)))))
     high = F.pmod(F.floor(F.col("id") / (1 << 16)) % (1 << 16) * GOLDEN, F.lit(PERIOD)) * (1 << 16)
     points = spark.range(slots).select(F.col("id").alias("slot"), (F.pmod(high + F.col("id") % (1 << 16) * GOLDEN, F.lit(PERIOD)) / F.lit(float(PERIOD))).alias("u"))
     points = points.withColumn("cell", F.floor(F.col("u") * CELLS))
     hit = points.join(cells, "cell").where("u >= lo and u < hi").select("slot", "sid", F.lit(1).alias("one"))
     hit = hit.withColumn("piece", F.floor(F.col("slot") / 1024))
-    return running_sum(hit, "sid", "one", ["slot"], "piece").select("slot", "sid", F.col("before").alias("rank"))
+    ranked = running_sum(hit, "sid", "one", ["slot"], "piece").select("slot", "sid", F.col("before").alias("rank"))
+    ranked = cut(ranked, "schedule")
+    missed = parts.join(ranked.select("sid").distinct(), "sid", "left_anti")
+    return ranked.unionByName(missed.select(F.floor(F.col("lo") * slots).alias("slot"), "sid", F.lit(0).cast("long").alias("rank")))
 
 
-def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.0, repeat: int = 3, piece_rows: int = 100, max_pieces: int = 8192) -> dict:
-    """The mix of ``docs(doc_id, source, text, ...)`` as ``{"targets", "schedule", "placed", "words", "slots"}``.
+def blocks(slots: DataFrame, targets: DataFrame) -> DataFrame:
+    """(slot, sid, rank, start, end): the words of its source, counted through all repeats, that a slot takes."""
+    n = slots.groupBy("sid").agg(F.count("*").alias("n"))
+    per = cut(targets.select("sid", F.bround("target").cast("long").alias("words")).join(n, "sid"), "blocks")
+    rows = slots.join(broadcast_if(per, per.count(), SENT), "sid")
+    begin = lambda r: r * F.expr("words div n") + F.least(r, F.col("words") % F.col("n"))
+    return rows.select("slot", "sid", "rank", begin(F.col("rank")).alias("start"), begin(F.col("rank") + 1).alias("end")).where("start < end")
 
-    ``schedule`` has one row per word and isn't computed unless it is read;
-    ``words`` counts its slots for each source, exact at every size.  ``placed``
-    has the documents with the words before them.  Documents of a source are
-    shuffled by the MD5 of doc_id, which range is dealt to pieces of about
-    ``piece_rows`` documents of the largest source, ``max_pieces`` at most, so that
-    larger sources have larger pieces and the table of pieces stays small.
+
+def placed(sized: DataFrame, targets: DataFrame, piece_rows: int = 100, max_pieces: int = 8192) -> DataFrame:
+    """Documents with ``before``, the words of their source before them, in the order of the MD5 of doc_id.
+
+    That order's range is dealt to pieces of about ``piece_rows`` documents of the
+    largest source, ``max_pieces`` at most, so that larger sources have larger
+    pieces and the table of pieces stays small.
+    """
+    n, most = targets.agg(F.count("*"), F.max("n_docs")).first()
+    pieces = max(1, min(max_pieces, (most or 0) // piece_rows))
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    small = broadcast_if(targets, n, SENT)
+    rows = (
+        sized.join(small, sized["source"].eqNullSafe(targets["source"]))
+        .select("doc_id", "sid", "size", "source_size", "target", key.alias("order"))
+        .withColumn("piece", F.floor(F.conv(F.substring("order", 1, 7), 16, 10).cast("long") * pieces / F.lit(1 << 28)))
+    )
+    return running_sum(rows, "sid", "size", ["order", "doc_id", "size"], "piece")
+
+
+def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.0, repeat: int = 3, block_words: int = BLOCK_WORDS) -> dict[str, DataFrame]:
+    """The mix of ``docs(doc_id, source, text, ...)`` as ``{"targets", "placed", "order"}``.
+
+    ``order`` is the mix itself, (slot, sid, doc_id, before, start, words): in the order
+    of (slot, sid, before), the stretches of documents that follow each other, from
+    word ``start`` of the document on.  ``placed`` has the documents with the words
+    before them.  Blocks and documents of a source meet in cells of ``block_words``
+    words, so that a source may hold any share of the rows.
 
     Nulls: a null text has size 0 and takes nothing; null sources form one source,
     the last; a null doc_id sorts first.  Repeated rows are placed one after the
@@ -142,28 +151,30 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.0, repeat: int = 3,
     """
     sized = cut(with_sizes(docs), "sizes")  # the texts are read once
     targets = cut(source_targets(sized, weights, share, repeat), "targets")
-    slots, most = (round(x or 0) for x in targets.agg(F.sum("target"), F.max("n_docs")).first())
-    pieces = max(1, min(max_pieces, most // piece_rows))
-
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = (
-        sized.join(targets, sized["source"].eqNullSafe(targets["source"]))
-        .select("doc_id", "sid", "size", "source_size", "target", key.alias("order"))
-        .withColumn("piece", F.floor(F.conv(F.substring("order", 1, 7), 16, 10).cast("long") * pieces / F.lit(1 << 28)))
-    )
-    rows = running_sum(rows, "sid", "size", ["order", "doc_id", "size"], "piece")
-    return {"targets": targets, "schedule": schedule(targets, slots), "placed": rows, "words": slot_counts(targets, slots), "slots": slots}
+    total = targets.agg(F.sum("target")).first()[0] or 0
+    taking = blocks(schedule(targets, max(1, round(total / block_words)) if total else 0), targets)
+    rows = cut(placed(sized, targets), "placed")
+    cells = lambda lo, hi: F.sequence(F.expr(f"{lo} div {block_words}L"), F.expr(f"({hi} - 1) div {block_words}L"))
+    # A document stands in its source's stream once for each repeat that the target reaches.
+    last = F.expr("(cast(bround(target) as bigint) - 1 - before) div source_size")
+    again = rows.where("size > 0 AND before < bround(target)").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    again = again.select("sid", "doc_id", "before", (F.col("copy") * F.col("source_size") + F.col("before")).alias("lo"), "size").withColumn("hi", F.col("lo") + F.col("size"))
+    at = again.withColumn("cell", F.explode(cells("lo", "hi")))
+    to = taking.withColumn("cell", F.explode(cells("start", "end")))
+    first, end = F.greatest("lo", "start"), F.least("hi", "end")
+    met = at.join(to, ["sid", "cell"]).where((first < end) & (F.col("cell") == F.floor(first / block_words)))  # once, in the first cell of both
+    order = met.select("slot", "sid", "doc_id", "before", "size", (first - F.col("lo")).alias("start"), (end - first).alias("words"))
+    return {"targets": targets, "placed": rows, "order": order}
 
 
 def taken(docs: DataFrame, repeat: int = 3, **options) -> DataFrame:
-    """doc_id, size, source_size, target, taken: see :func:`mix`.
+    """doc_id, size, source_size, target, taken (the words that the slots of :func:`mix` take of it).
 
-    No word is used more than ``repeat`` times, so no document exceeds that.
+    A source's slots take its target, to the nearest word; no word is used more
+    than ``repeat`` times, so no document exceeds that.
     """
     m = mix(docs, repeat=repeat, **options)
-    words = F.least(F.coalesce("words", F.lit(0)), F.col("source_size") * repeat)
-    size = F.greatest("source_size", F.lit(1))
-    rest = F.greatest(F.lit(0), F.least(F.col("size"), words % size - F.col("before")))
-    return m["placed"].join(F.broadcast(m["words"]), "sid", "left").select(
-        "doc_id", "size", "source_size", "target", (F.floor(words / size) * F.col("size") + rest).cast("long").alias("taken")
-    )
+    used = m["order"].groupBy("sid", "before").agg(F.sum("words").alias("taken"))
+    rows = m["placed"].withColumn("_at", F.when(F.col("size") > 0, F.col("before")))  # rows without words share their place
+    out = rows.join(used.withColumnRenamed("before", "_at"), ["sid", "_at"], "left")
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

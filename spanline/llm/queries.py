@@ -211,19 +211,11 @@ lev AS (
   FROM per WINDOW w AS (ORDER BY cap / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 one AS (SELECT arg_min(rest / w_rest, row(cap / weight, sid)) AS level FROM lev WHERE rest <= w_rest * cap / weight),
 tgt AS (SELECT source, sid, source_size, greatest(least(cap, coalesce(level * weight, cap)), 0) AS target FROM per, one),
-tot AS (SELECT CAST(round_even(sum(target), 0) AS BIGINT) AS slots FROM tgt),
-cum AS (
-  SELECT sid, coalesce(sum(target) OVER (ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(target) OVER () AS lo,
-         CASE WHEN lead(sid) OVER (ORDER BY sid) IS NULL THEN 1.0
-              ELSE sum(target) OVER (ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(target) OVER () END AS hi
-  FROM tgt WHERE target > 0),
-pts AS (SELECT CAST((i * 2654435769) % 4294967296 AS DOUBLE) / 4294967296.0 AS u FROM (SELECT unnest(range(0, (SELECT slots FROM tot))) AS i)),
-n AS (SELECT sid, count(*) AS words FROM pts JOIN cum ON u >= lo AND u < hi GROUP BY sid),
 pos AS (
   SELECT s.doc_id, s.size, t.sid, t.source_size, t.target,
          coalesce(sum(s.size) OVER (PARTITION BY t.sid ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM s JOIN tgt t ON s.source IS NOT DISTINCT FROM t.source),
-w AS (SELECT pos.*, greatest(source_size, 1) AS whole, least(coalesce(words, 0), 3 * source_size) AS words FROM pos LEFT JOIN n USING (sid))
+w AS (SELECT *, greatest(source_size, 1) AS whole, CAST(round_even(target, 0) AS BIGINT) AS words FROM pos)
 SELECT doc_id, size, source_size, target, CAST(words // whole * size + greatest(0, least(size, words % whole - before)) AS BIGINT) AS taken FROM w
 """,
     "op11_vector_codes": r"""
