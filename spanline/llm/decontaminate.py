@@ -1,12 +1,13 @@
 """Benchmark decontamination by winnowing.
 
 Both sides are cut into words; of the K-word hashes in every run of
-``window - K + 1`` starts the smallest is a fingerprint, so every shared span of
-``window`` words has a fingerprint in common.  The two sides are joined on
-fingerprint and window, and hits are extended to all windows that a fingerprint
-stands for.  Before the join, bitmaps of the benchmark's fingerprints and windows
-drop most of what has no partner: their size is fixed, they lose nothing, and a
-benchmark too large for them only makes the join larger.
+``window - K + 1`` starts the leftmost smallest is a fingerprint, so every shared span
+of ``window`` words has a fingerprint in common.  Fingerprints, of which a text has
+one for some five words, are joined with those of the benchmark, and each hit is
+extended word by word to both sides, as far as a window reaches; a span of ``window``
+words or more is hit.  Before the join a bitmap of the benchmark's fingerprints drops
+most of what has no partner: its size is fixed, it loses nothing, and a benchmark too
+large for it only makes the join larger.
 """
 
 from __future__ import annotations
@@ -15,52 +16,58 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanline.llm import textkit as tk
-from spanline.llm.common import SENT, broadcast_if, cut
+from spanline.llm.common import SENT, broadcast_if, cut, hot_keys, hub_join
+from spanline.llm.passages import sliding_argmin
 
 K = 5
 #: Bits of a bitmap, as a power of two: 4 MB each, and as much through the driver.
 BITS = 25
+#: Benchmark fingerprints with their surroundings (200 bytes each) up to which they are sent to the documents.
+CONTEXTS = SENT // 8
 
 
-def starts_in(h: np.ndarray, row: np.ndarray, size: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start, fingerprint) of the windows of ``size`` words that lie in one row.
-
-    A whole window's fingerprint is its smallest K-gram; a shorter one's is its own hash.
-    """
+def prints_in(h: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, fingerprint) of the grams that stand for the windows of ``size`` words; the size is part of the hash."""
+    k = min(K, size)
+    grams = tk.gram_hashes(h, k)
     n = len(h) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    at = np.flatnonzero(row[:n] == row[size - 1 :])
-    low = tk.gram_hashes(h, size) if size < window else tk.sliding_min(tk.gram_hashes(h, K), window - K + 1)
-    return at, low[at]
+    at = np.unique(sliding_argmin(grams, size - k + 1)[row[:n] == row[size - 1 :]])
+    return at, tk.mix(grams[at] + np.full(1, size, np.uint64) * tk.MIX1)
+
 
+def around(h: np.ndarray, first: np.ndarray, row: np.ndarray, at: np.ndarray, size: int, reach: int) -> np.ndarray:
+    """The words around grams: ``reach`` to the left, nearest first, the gram, ``reach`` to the right; 0 outside of the row."""
+    k = min(K, size)
+    place = np.concatenate([-1 - np.arange(reach), np.arange(K), k + np.arange(reach)])
+    pos = at[:, None] + place
+    inside = (pos >= first[row[at]][:, None]) & (pos < first[row[at] + 1][:, None])
+    inside[:, reach + k : reach + K] = False
+    return np.where(inside, np.maximum(h[np.clip(pos, 0, len(h) - 1)], np.uint64(1)), np.uint64(0))
 
-def window_hashes(h: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    g = np.zeros(len(at), np.uint64)
-    for j in range(size):
-        g = g * tk.MULT + h[at + j]
-    return tk.mix(g + np.full(1, size, np.uint64) * tk.MIX1)
+
+def word_lists(rows: np.ndarray) -> pa.Array:
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(rows).view(np.int64).ravel()))
 
 
 def item_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """(item, size, print, win): the distinct windows of each item; an item of fewer words is one window."""
+    """(item, size, print, words): the fingerprints of each item; an item of fewer words than a window is one window."""
     for b in batches:
-        for at, data, offs in tk.slices(b.column(1)):
+        for lo, data, offs in tk.slices(b.column(1)):
             h, first = tk.word_hashes(data, offs, tk.ALNUM)
             row, n = tk.row_of(first), np.diff(first)
             for size in np.unique(np.minimum(n[n > 0], window)).tolist():
-                start, low = starts_in(h, row, size, window)
-                own = n[row[start]] == size if size < window else np.ones(len(start), bool)
-                start, low = start[own], low[own]
-                rows = np.unique(np.stack([row[start].astype(np.uint64), low, window_hashes(h, start, size)]), axis=1)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(at + rows[0].astype(np.int64))), pa.array(np.full(rows.shape[1], size)), pa.array(rows[1].view(np.int64)), pa.array(rows[2].view(np.int64))],
-                    names=["item", "size", "print", "win"],
-                )
+                at, prints = prints_in(h, row, size)
+                own = n[row[at]] == size if size < window else np.ones(len(at), bool)
+                at, prints = at[own], prints[own]
+                words = around(h, first, row, at, size, max(0, window - K))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(lo + row[at])), pa.array(np.full(len(at), size)), pa.array(prints.view(np.int64)), word_lists(words)], names=["item", "size", "print", "words"])
 
 
 def bitmap(wins: DataFrame, column: str) -> np.ndarray:
@@ -78,49 +85,69 @@ def in_map(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) == 1
 
 
-HIT = pa.list_(pa.struct([("pos", pa.int64()), ("size", pa.int64()), ("print", pa.int64()), ("win", pa.int64())]))
-SCANNED = "doc_id {}, body long, n_words long, hits array<struct<pos:long,size:long,print:long,win:long>>"
+SCANNED = "doc_id {}, body long, n_words long, hits array<struct<pos:long,size:long,print:long,words:array<long>>>"
 
 
-def scan_rows(batches: Iterator[pa.RecordBatch], window: int, sizes: list[int], prints: np.ndarray, wins: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Per document its words, and the windows that both bitmaps let through."""
+def scan_rows(batches: Iterator[pa.RecordBatch], window: int, sizes: list[int], prints: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Per document its words, and its fingerprints that the bitmap lets through."""
+    reach = max(0, window - K)
     for batch in batches:
         n_words, hits = [], []
         for _, data, offs in tk.slices(batch.column(2)):
             h, first = tk.word_hashes(data, offs, tk.ALNUM)
             row = tk.row_of(first)
-            found = []
+            cols, words = [], []
             for size in sizes:
-                start, low = starts_in(h, row, size, window)
+                at, low = prints_in(h, row, size)
                 some = in_map(prints, low)
-                start, low = start[some], low[some]
-                win = window_hashes(h, start, size)
-                some = in_map(wins, win)
-                found.append(np.stack([row[start][some].astype(np.uint64), (start - first[row[start]])[some].astype(np.uint64), np.full(int(some.sum()), size, np.uint64), low[some], win[some]]))
-            all_hits = np.concatenate(found, axis=1) if found else np.zeros((5, 0), np.uint64)
-            all_hits = all_hits[:, np.argsort(all_hits[0], kind="stable")]
-            ends = np.searchsorted(all_hits[0], np.arange(len(offs)).astype(np.uint64)).astype(np.int32)
-            parts = pa.StructArray.from_arrays([pa.array(all_hits[i].view(np.int64)) for i in range(1, 5)], fields=list(HIT.value_type))
+                at, low = at[some], low[some]
+                cols.append(np.stack([row[at], at - first[row[at]], np.full(len(at), size), low.view(np.int64)]))
+                words.append(around(h, first, row, at, size, reach))
+            cols = np.concatenate(cols, axis=1) if cols else np.zeros((4, 0), np.int64)
+            words = np.concatenate(words) if words else np.zeros((0, 2 * reach + K), np.uint64)
+            by = np.argsort(cols[0], kind="stable")
+            cols, words = cols[:, by], words[by]
+            ends = np.searchsorted(cols[0], np.arange(len(offs))).astype(np.int32)
+            parts = pa.StructArray.from_arrays([*(pa.array(c) for c in cols[1:]), word_lists(words)], names=["pos", "size", "print", "words"])
             n_words.append(np.diff(first))
             hits.append(pa.ListArray.from_arrays(pa.array(ends), parts))
         if n_words:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(n_words), pa.int64()), pa.concat_arrays(hits)], names=["doc_id", "body", "n_words", "hits"])
 
 
-def united(spans: F.Column) -> F.Column:
-    """Sorted [start, end) spans, those that touch put together."""
-    last = lambda acc: F.element_at(acc, -1)
-    joins = lambda acc, r: (F.size(acc) > 0) & (F.try_element_at(F.try_element_at(acc, F.lit(-1)), F.lit(2)) >= r[0])
-    grown = lambda acc, r: F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.array(last(acc)[0], F.greatest(last(acc)[1], r[1]))))
-    return F.aggregate(spans, F.array().cast("array<array<long>>"), lambda acc, r: F.when(joins(acc, r), grown(acc, r)).otherwise(F.concat(acc, F.array(r))))
+def equal_words(a: Column, b: Column, start: int, n: int) -> Column:
+    """How many of n words from ``start`` on (from 1) agree before the first that doesn't; 0 agrees with nothing."""
+    if n <= 0:
+        return F.lit(0)
+    same = F.zip_with(F.slice(a, start, n), F.slice(b, start, n), lambda x, y: (x == y) & (x != 0))
+    at = F.array_position(same, False)
+    return F.when(at == 0, n).otherwise(at - 1)
+
+
+def extended(hits: DataFrame, window: int) -> DataFrame:
+    """Rows of (pos, size, words, item_words) whose gram extends to a window or more, with ``start`` and ``end`` of the span."""
+    reach = max(0, window - K)
+    k = F.least(F.col("size"), F.lit(K))
+    count = lambda start, n: equal_words(F.col("words"), F.col("item_words"), start, n)
+    rows = hits.withColumns({"_left": count(1, reach), "_gram": count(1 + reach, K), "_right": count(1 + reach + K, reach)})
+    rows = rows.where((F.col("_gram") >= k) & (F.col("_left") + k + F.col("_right") >= F.col("size")))
+    return rows.withColumn("start", F.col("pos") - F.col("_left")).withColumn("end", F.col("pos") + k + F.col("_right"))
+
+
+def united(spans: DataFrame, by: str) -> DataFrame:
+    """(by, start, end): overlapping or touching spans of the rows (by, start, end) put together."""
+    w = Window.partitionBy(by).orderBy("start", "end")
+    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = spans.withColumn("_new", (reach.isNull() | (F.col("start") > reach)).cast("int"))
+    runs = fresh.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy(by, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_run")
 
 
 def find(docs: DataFrame, bench: DataFrame, window: int = 13, text: str = "text") -> DataFrame:
     """doc_id, body (a hash of the text), n_words, n_hit, runs, items for every row.
 
     ``runs`` are the hit words as [start, end); ``items`` the sorted ids, as strings,
-    of the items with an occurring window.  Windows of the benchmark are counted:
-    up to SENT of them are sent to the documents, more are joined by an exchange.
+    of the items with an occurring window.  Words are compared by 64-bit hashes.
 
     Nulls: a null or empty text, and an item without words, have no windows; a
     null item_id counts as the string "null".  An item of fewer words than
@@ -130,23 +157,29 @@ def find(docs: DataFrame, bench: DataFrame, window: int = 13, text: str = "text"
     """
     spark = docs.sparkSession
     items = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col(text).cast("string").alias("body")).where("body is not null")
-    wins = cut(items.mapInArrow(lambda it: item_rows(it, window), "item string, size long, print long, win long").distinct(), "windows")
+    wins = cut(items.mapInArrow(lambda it: item_rows(it, window), "item string, size long, print long, words array<long>").distinct(), "prints")
     sizes = sorted(r[0] for r in wins.select("size").distinct().collect())  # ``window`` rows at most
-    maps = spark.sparkContext.broadcast((bitmap(wins, "print"), bitmap(wins, "win")))
+    maps = spark.sparkContext.broadcast(bitmap(wins, "print"))
     value = F.col(text).cast("string")
     kind = docs.schema["doc_id"].dataType.simpleString()
     src = docs.select("doc_id", F.xxhash64(value).alias("body"), value.alias("_text"))
-    seen = src.mapInArrow(lambda it: scan_rows(it, window, sizes, *maps.value), SCANNED.format(kind))
+    seen = src.mapInArrow(lambda it: scan_rows(it, window, sizes, maps.value), SCANNED.format(kind))
     seen = cut(seen.withColumn("_row", F.monotonically_increasing_id()), "scanned")
-    on = ["size", "print", "win"]
+    on = ["size", "print"]
     hits = seen.select("_row", F.explode("hits").alias("h")).select("_row", "h.*")
-    n_wins = wins.count()
-    hits = cut(hits.join(broadcast_if(wins.select(*on).distinct(), n_wins, SENT), on, "left_semi"), "hits")
-    some = hits.groupBy("_row").agg(F.array_sort(F.collect_set(F.array(F.col("pos"), F.col("pos") + F.col("size")))).alias("spans"))
-    named = hits.select("_row", *on).distinct().join(broadcast_if(wins, n_wins, SENT), on).groupBy("_row").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    some = some.withColumn("runs", united(F.col("spans"))).join(named, "_row")
-    n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r[1] - r[0])
-    some = some.select("_row", n_hit.alias("n_hit"), "runs", "items")
+    contexts = wins.select(*on, F.col("words").alias("item_words")).distinct()
+    n_contexts = contexts.count()
+    if n_contexts <= CONTEXTS:
+        met = hits.join(F.broadcast(contexts), on)
+    else:  # a passage that very many documents share is joined where they are
+        met = hub_join(hits, contexts, on, hot_keys(hits.groupBy(*on).agg(F.count("*").alias("times")), on, "times"))
+    spans = cut(extended(met, window).select("_row", "start", "end", *on, "item_words"), "spans")
+    run = F.struct("start", "end")
+    runs = united(spans.select("_row", "start", "end").distinct(), "_row").groupBy("_row").agg(F.sum(F.col("end") - F.col("start")).alias("n_hit"), F.array_sort(F.collect_list(run)).alias("runs"))
+    named = wins.withColumnRenamed("words", "item_words")
+    which = [*on, "item_words"]
+    named = spans.select("_row", *which).distinct().join(broadcast_if(named, wins.count(), CONTEXTS), which).groupBy("_row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    some = runs.withColumn("runs", F.transform("runs", lambda r: F.array(r["start"], r["end"]))).join(named, "_row")
     none = {"n_hit": F.lit(0).cast("long"), "runs": F.array().cast("array<array<long>>"), "items": F.array().cast("array<string>")}
     return seen.select("_row", "doc_id", "body", "n_words").join(some, "_row", "left").select("doc_id", "body", "n_words", *[F.coalesce(c, v).alias(c) for c, v in none.items()])
 

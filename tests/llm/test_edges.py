@@ -37,7 +37,7 @@ def test_minhash(docs):
 def test_decontaminate(spark, docs, monkeypatch):
     bench = crowded(spark.createDataFrame([(1, " ".join(BASE.split()[10:25])), (2, "one two"), (3, None), (4, ""), (5, "one two"), (None, "lorem ipsum")], "item_id long, text string"))
     for sent, bits in ((1 << 20, 25), (0, 6)):  # broadcast or exchanged, bitmaps that filter or let all through
-        monkeypatch.setattr(decontaminate, "SENT", sent)
+        monkeypatch.setattr(decontaminate, "CONTEXTS", sent)
         monkeypatch.setattr(decontaminate, "BITS", bits)
         got = {}
         for r in decontaminate.judge(decontaminate.find(docs, bench)).collect():
