@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+import json
 import time
+import uuid
+from collections import deque
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
 
+from spanline.operators.chunks import pieces
+
 OUTCOME = "result string, status string, attempts int, error string, prompt long, completion long, total long, reason string"
 
 
@@ -80,20 +89,90 @@ def batch_infer(df: DataFrame, fn: Callable, request: str, policy: Policy | None
     return src.mapInPandas(run, schema)
 
 
-def sequential_infer(df: DataFrame, k: list[str], order: list[str], fn: Callable, text: str, n: int, out: str = "result") -> DataFrame:
+class Journal:
+    """Results of calls by what was asked, in small files of the shared folder, so that a repeated task doesn't ask again."""
+
+    def __init__(self, path: str, key: tuple, every: int):
+        self.store, base = fs.FileSystem.from_uri(path)
+        self.folder = f"{base}/{hashlib.sha256(repr(key).encode()).hexdigest()}"
+        self.every, self.new, self.known = every, {}, {}
+        if self.store.get_file_info(self.folder).type == fs.FileType.Directory:
+            for f in self.store.get_file_info(fs.FileSelector(self.folder)):
+                with self.store.open_input_stream(f.path) as file:
+                    try:
+                        self.known |= json.loads(file.read())
+                    except ValueError:  # cut short by a lost executor
+                        continue
+
+    def call(self, fn: Callable, text, before: list, after: list):
+        asked = hashlib.sha256(json.dumps([text, before, after]).encode()).hexdigest()
+        if asked not in self.known:
+            self.known[asked] = self.new[asked] = fn(text, before, after)
+            if len(self.new) >= self.every:
+                self.flush()
+        return self.known[asked]
+
+    def flush(self) -> None:
+        if self.new:
+            self.store.create_dir(self.folder)
+            with self.store.open_output_stream(f"{self.folder}/{uuid.uuid4().hex}") as file:
+                file.write(json.dumps(self.new).encode())
+            self.new = {}
+
+
+def sequential_infer(df: DataFrame, k: list[str], order: list[str], fn: Callable, text: str, n: int, out: str = "result", journal: str | None = None, every: int = 20) -> DataFrame:
     """Strictly ordered calls within a key: fn(text, before, after) sees the n results before and the n texts after.
 
-    ``before`` is a list of (text, result).  Keys run in parallel; one key is held
-    by one task.
+    ``before`` is a list of [text, result].  Keys run in parallel; a key's sorted rows
+    stream through one task, which holds as many as it looks ahead.  With a
+    ``journal`` (a folder that executors share) results are kept there by what was
+    asked, ``every`` few, and read again when a task is repeated; it must not outlive
+    a change of ``fn``.
     """
     df = df.drop(out)
-    schema = StructType([*df.schema.fields, StructField(out, StringType())])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order).reset_index(drop=True)
-        texts, done = pdf[text].tolist(), []
-        for i, t in enumerate(texts):
-            done.append((t, fn(t, done[max(0, i - n) : i] if n else [], texts[i + 1 : i + 1 + n])))
-        return pdf.assign(**{out: [r for _, r in done]})
-
-    return df.groupBy(*k).applyInPandas(run, schema)
+    columns = [*k, *(c for c in df.columns if c not in k)]
+    schema = StructType([*(df.schema[c] for c in columns), StructField(out, StringType())])
+    rows = df.select(*columns).repartition(*k).sortWithinPartitions(*k, *order)
+    found = rows.mapInArrow(lambda it: sequential_rows(it, len(k), columns.index(text), fn, n, journal, every), schema)
+    return found.select(*df.columns, out)
+
+
+def sequential_rows(batches: Iterator[pa.RecordBatch], width: int, text: int, fn: Callable, n: int, journal: str | None, every: int) -> Iterator[pa.RecordBatch]:
+    held: deque[tuple[pa.RecordBatch, list]] = deque()  # rows whose results aren't all known
+    ahead: deque = deque()
+    before: deque = deque(maxlen=max(0, n))
+    log: Journal | None = None
+
+    def step() -> None:
+        t = ahead.popleft()
+        args = (t, [list(x) for x in before], list(itertools.islice(ahead, n)))
+        result = log.call(fn, *args) if log else fn(*args)
+        before.append((t, result))
+        next(h for h in held if len(h[1]) < h[0].num_rows)[1].append(result)
+
+    def done() -> Iterator[pa.RecordBatch]:
+        while held and len(held[0][1]) == held[0][0].num_rows:
+            b, results = held.popleft()
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(results, pa.string())], names=[*b.schema.names, "_result"])
+
+    try:
+        for key, fresh, part in pieces(batches, width):
+            if fresh:
+                while ahead:
+                    step()
+                yield from done()
+                before.clear()
+                if log:
+                    log.flush()
+                log = Journal(journal, key, every) if journal else None
+            held.append((part, []))
+            ahead.extend(part.column(text).to_pylist())
+            while len(ahead) > n:
+                step()
+            yield from done()
+        while ahead:
+            step()
+        yield from done()
+    finally:
+        if log:
+            log.flush()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from spanline.functions import scalars as sc
 from spanline.operators.lookup import resolve_dimension
 from spanline.operators.review import review_metadata
 from spanline.operators.sequence import by
+from spanline.sources.documents import write_documents
 
 STYLE = "struct<" + ",".join(f"{f}:string" for f in ("font_name", "font_size", "font_size_scale", "primary_colour", "secondary_colour", "outline_colour", "back_colour", "bold", "italic", "outline", "shadow", "alignment")) + ">"
 ENTRY = (
@@ -56,15 +59,13 @@ def write_cache(entries: DataFrame, path: str, project: str = "project", meta: d
     """One JSON document per project below ``path``/project=...: header fields and ordered entries.
 
     With ``styles`` speakers' styles are resolved first, see :func:`with_styles`.
-    Review metadata is computed anew.  A project's entries are one document, held
-    in one row; large tables are better written one row per entry.
+    Review metadata is computed anew.  Entries stream into their project's document.
     """
     e = review_metadata(entries if styles is None else with_styles(entries, styles))
     fields = [c for c in e.columns if c not in (project, "pos", "video")]
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.struct(*fields).alias("e")))), lambda x: x["e"])
-    header = [F.lit(v).alias(n) for n, v in ({"version": 1} | (meta or {})).items()]
-    docs = e.groupBy(project).agg(F.to_json(F.struct(*header, ordered.alias("entries"))).alias("value"))
-    docs.write.partitionBy(project).mode("overwrite").text(path)
+    rows = e.select(project, "pos", F.to_json(F.struct(*fields)).alias("value"))
+    head = json.dumps({"version": 1} | (meta or {}), ensure_ascii=False).removesuffix("}") + ', "entries": ['
+    write_documents(rows, path, project, ["pos"], "value", "document.json", head, ",\n", "]}")
 
 
 def checkpoint_segments(df: DataFrame, path: str) -> None:
@@ -95,8 +96,7 @@ def unpack_series(df: DataFrame, scores: str = "scores", start: str = "start_sec
 
 def write_subtitles(lines: DataFrame, path: str, project: str = "video_id") -> None:
     """One text file per project below ``path``, its lines by (section, pos, sub)."""
-    out = lines.repartition(project).sortWithinPartitions(project, "section", "pos", "sub")
-    out.select(project, F.col("line").alias("value")).write.partitionBy(project).mode("overwrite").text(path)
+    write_documents(lines, path, project, ["section", "pos", "sub"], "line", "subtitles.ass", "", "\n", "\n")
 
 
 def from_conversations(df: DataFrame) -> DataFrame:
