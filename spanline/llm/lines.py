@@ -37,6 +37,8 @@ PARITIES = 4
 SHORT = 3
 #: The power of the weights' tail.
 TAIL = 8
+#: Above it three times a number is out of range, and all words are near.
+FAR = np.uint64((1 << 64) // 3 - 1)
 #: Occurrences of a line from which they are joined apart from the others.
 COMMON = 50_000
 
@@ -87,34 +89,35 @@ def simhashes(h: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
             parity[some, i] = np.bitwise_xor.reduceat(np.where(h >> np.uint64(62) == np.uint64(i), bit, np.uint64(0)), first[:-1][some])
         odd = tk.mix(np.arange(1, BLOCKS + 1, dtype=np.uint64) * tk.MULT) | np.uint64(1)
         lift = np.where(size > SHORT, np.uint64(2), np.uint64(0))
-        begin = first[:-1][some]
+        begin, n = first[:-1][some], np.diff(first)[some]
         for i in range(BLOCKS):
-            drawn = (h * odd[i]) >> lift
-            block = signs(drawn, begin)
+            block = signs((h * odd[i]) >> lift, begin, n)
             out[some, i // EACH] |= block << np.uint64(16 * (i % EACH))
     return np.concatenate([out | (np.arange(TABLES, dtype=np.uint64) << np.uint64(16 * EACH))[None], parity], axis=1)
 
 
-def signs(drawn: np.ndarray, begin: np.ndarray) -> np.ndarray:
+def signs(drawn: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """16 bits for each line: whether the sums of its words' weights, with the signs of their bits, are above 0.
 
-    ``drawn`` are the words' random numbers, of which weights and bits are functions,
-    ``begin`` the lines' first words.
+    ``drawn`` are the words' random numbers, of which weights and bits are functions;
+    ``begin`` and ``size`` say which words are a line's.  Words are weighed against the
+    line's heaviest; those of a 6000th of its weight or less are left out.
     """
-    weight = (drawn.astype(np.float64) * 2.0**-64 + 2.0**-64) ** -1.0
-    for _ in range(TAIL.bit_length() - 1):
-        weight *= weight
     least = np.minimum.reduceat(drawn, begin)
+    near = np.flatnonzero(drawn <= np.repeat(np.minimum(least, FAR) * np.uint64(3), size))
+    start = np.searchsorted(near, begin)
+    line = np.repeat(np.arange(len(begin)), np.diff(np.append(start, len(near))))
+    weight = ((least[line].astype(np.float64) + 1) / (drawn[near].astype(np.float64) + 1)) ** TAIL
     out = tk.mix(least) & np.uint64(0xFFFF)  # the heaviest word's bits
-    open_ = np.flatnonzero(np.maximum.reduceat(weight, begin) * 2 <= np.add.reduceat(weight, begin))
+    open_ = np.flatnonzero(np.add.reduceat(weight, start) >= 2)
     if len(open_):
-        size = np.diff(np.append(begin, len(drawn)))[open_]
-        at = np.repeat(begin[open_] - np.cumsum(size) + size, size) + np.arange(size.sum())
-        bits, own = tk.mix(drawn[at]), weight[at]
-        start = np.cumsum(size) - size
+        n = np.diff(np.append(start, len(near)))[open_]
+        at = np.repeat(start[open_] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        bits, own = tk.mix(drawn[near[at]]), weight[at]
+        first = np.cumsum(n) - n
         block = np.zeros(len(open_), np.uint64)
         for b in range(16):
-            total = np.add.reduceat(np.where((bits >> np.uint64(b)) & np.uint64(1) == 1, own, -own), start)
+            total = np.add.reduceat(np.where((bits >> np.uint64(b)) & np.uint64(1) == 1, own, -own), first)
             block |= (total > 0).astype(np.uint64) << np.uint64(b)
         out[open_] = block
     return out
