@@ -155,20 +155,15 @@ def likeness(similarity: float):
 
 
 def other_pairs() -> np.ndarray:
-    """For each table ten pairs of blocks of the other tables: the first two of each, and last ones of several."""
-    out = []
-    for t in range(TABLES):
-        rest = [EACH * u for u in range(TABLES) if u != t]
-        last = [b + 2 for b in rest]
-        out.append([*((b, b + 1) for b in rest), *zip(last[0:6:2], last[1:6:2], strict=True)])
-    return np.array(out)
+    """For each table the first two blocks of each of the others."""
+    return np.array([[(EACH * u, EACH * u + 1) for u in range(TABLES) if u != t] for t in range(TABLES)])
 
 
 PAIRS = other_pairs()
 
 
 def finer(keys: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ten keys of two blocks each, none of the blocks in the table's own ``key``, which deal its members."""
+    """Seven keys of two blocks each, none of the blocks in the table's own ``key``, which deal its members."""
     blocks = np.stack([(keys[:, i // EACH] >> np.uint64(16 * (i % EACH))) & np.uint64(0xFFFF) for i in range(BLOCKS)], axis=1)
     pairs = PAIRS[(key >> np.uint64(16 * EACH)).astype(np.int64)]
     at = np.arange(len(keys))[:, None]

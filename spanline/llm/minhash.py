@@ -100,6 +100,17 @@ def likeness(least: float, ratio: float):
     return score
 
 
+#: Bands after a member's own, in a circle, under which it is dealt: of five bands that a pair shares, two are as near.
+NEXT = 6
+
+
+def next_bands(keys: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bands after the one that is ``key``; a pair meets if it shares two bands as near in the circle."""
+    own = (keys == key[:, None]).argmax(axis=1)
+    out = np.take_along_axis(keys, (own[:, None] + np.arange(1, NEXT + 1)) % keys.shape[1], axis=1)
+    return out, np.ones(out.shape, bool)
+
+
 def sketch_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, body, hi, lo, n, sketch, keys): the class (128-bit digest of the set), one bit of each coordinate, the bands."""
     for b in batches:
@@ -183,7 +194,7 @@ def members(docs: DataFrame, num: int, den: int, k: int = SHINGLE, text: str = "
     rep = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body")
     classes = sets.where("n > 0").groupBy("hi", "lo").agg(F.min(rep).alias("rep"), *[F.first(c).alias(c) for c in ("n", "sketch", "keys")])
     classes = cut(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
-    links = linked(classes.select("id", "n", "sketch", "keys"), lambda ids: sets_of(docs, classes, ids, k), alike(num, den), likeness(least, ratio), lambda keys, key: (keys, keys != key[:, None]))
+    links = linked(classes.select("id", "n", "sketch", "keys"), lambda ids: sets_of(docs, classes, ids, k), alike(num, den), likeness(least, ratio), next_bands)
     comps = components(links)
     of = classes.select("hi", "lo", "id", "rep").join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     low = of.groupBy("component").agg(F.min("rep").alias("first"))
