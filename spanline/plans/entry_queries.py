@@ -281,7 +281,22 @@ def h11(spark, d):
     return pipeline.subtitles_from_cache(stored(spark, d), LAYOUT, timeline_only=True).where("section = 4 AND sub = 0").select("project", "pos", "line")
 
 
-@query("h13_subtitles_from_cache")
+STYLE = "'Style: {name},Microsoft YaHei,80,{primary},&H000000FF,' || {outline} || ',&H64000000,0,0,0,0,100,100,0,0,1,{rest},40,40,40,1'"
+#: Whole files: headers, the two fixed styles, a style for each styled speaker's row, events as in h10 with it, labels on top.
+FILES = LINES[: LINES.index("\nSELECT conv_id")] + rf""",
+p AS (SELECT DISTINCT conv_id FROM x), k AS (SELECT *, turn > 0 AND role <> 'system' AS own FROM x)
+SELECT conv_id AS project, section, pos, 0 AS sub, line FROM p, (VALUES (0, 0, '[Script Info]'), (0, 1, 'ScriptType: v4.00+'), (0, 2, 'PlayResX: 1280'), (0, 3, 'PlayResY: 720'), (0, 4, ''), (0, 5, '[V4+ Styles]'),
+  (0, 6, 'Format: Name,Fontname,Fontsize,PrimaryColour,SecondaryColour,OutlineColour,BackColour,Bold,Italic,Underline,StrikeOut,ScaleX,ScaleY,Spacing,Angle,BorderStyle,Outline,Shadow,Alignment,MarginL,MarginR,MarginV,Encoding'),
+  (1, 0, {STYLE.format(name="Default", primary="&H00FFFFFF", outline="'&H00000000'", rest="2.4,0.8,2")}), (1, 1, {STYLE.format(name="DebugOverlay", primary="&H0000FFFF", outline="'&H00000000'", rest="2.0,0.5,8")}),
+  (3, 7, ''), (3, 8, '[Events]'), (3, 9, 'Format: Layer,Start,End,Style,Name,MarginL,MarginR,MarginV,Effect,Text')) AS h(section, pos, line)
+UNION ALL SELECT conv_id, 2, turn + 1, 0, {STYLE.format(name="Entry_' || (turn + 1) || '", primary="&H00FFFFFF", outline="CASE role WHEN 'user' THEN '&H00004DFF' ELSE '&H00B76801' END", rest="2.4,0.8,2")} FROM k WHERE own
+UNION ALL SELECT conv_id, 4, turn + 1, 0, 'Dialogue: 0,' || a || ',' || b || ',' || CASE WHEN own THEN 'Entry_' || (turn + 1) ELSE 'Default' END || ',,0,0,0,,' || CASE WHEN turn = 0 THEN '{{\an5\pos(640,50)\fs48}}' ELSE '{{\an1\pos(100,700)}}' END || shown FROM k
+UNION ALL SELECT conv_id, 4, 1, 1, 'Dialogue: 0,' || a || ',' || b || ',Default,,0,0,0,,{{\an5\pos(320,120)\fs48}}' || role FROM k WHERE turn = 0
+UNION ALL SELECT conv_id, 5, turn + 1, 0, 'Dialogue: 1,' || a || ',' || b || ',DebugOverlay,,0,0,0,,{{\an8\pos(640,40)}}' || CASE WHEN turn = 0 THEN '[TITLE]'
+  ELSE printf('[DEBUG] seg %d (id=%d) %.2f-%.2fs ', turn, turn, s, e) || CASE WHEN role = 'system' THEN 'blank' ELSE 'has_name=true' END END FROM k"""
+
+
+@query("h13_subtitles_from_cache", FILES)
 def h13(spark, d):
     """Whole subtitle files, speakers' styles matched by name, labels on top."""
     styles = t(spark, d, "conversations").select(F.col("role").alias("speaker")).distinct().where("speaker <> 'system'").withColumn("outline_colour", F.when(F.col("speaker") == "user", "&H00004DFF").otherwise("&H00B76801"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanline.operators import segments as sg
-from spanline.plans.seq_queries import FR, frames
+from spanline.plans.seq_queries import FR, MARKER, frames
 
 QUERIES, ORACLES = {}, {}
 K, KEY = ["user_id"], ["user_id", "segment_id"]
@@ -114,6 +114,30 @@ def h2a(spark, d):
     return out.select(*KEY, "frame_start", "frame_end", "has_name", "sample", F.array_join("review_reason", ",").alias("reasons"))
 
 
+def timeline_sql() -> str:
+    """The end-to-end timeline: marker segments, split by the score, numbered anew, with the stub's answers and reasons."""
+    return f"""WITH RECURSIVE {FR}, sm AS (SELECT user_id, i, flag AS raw FROM f),
+{MARKER},
+s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY rep.s) AS sid, rep.s AS fs, rep.t AS fe, greatest(rep.s, least(rep.t, sample)) AS anchor FROM rep),
+x AS (SELECT f.user_id, sid, i, value, flag, fs, fe, anchor FROM f JOIN s ON f.user_id = s.user_id AND i BETWEEN fs AND fe){CAND.format(flag='flag')[len(SEG):]},
+pr AS (SELECT user_id, sid, count(*) FILTER (flag AND i BETWEEN fs AND least(fe, fs + 2)) AS hits FROM x GROUP BY user_id, sid),
+lh AS (SELECT user_id, sid, min(value) AS lo, max(value) AS hi FROM u GROUP BY user_id, sid),
+j AS (SELECT s.*, hits, rs, lo, hi, coalesce(hits < 3 AND rs - fs >= 2, false) AS cut FROM s LEFT JOIN pr USING (user_id, sid) LEFT JOIN cand USING (user_id, sid) LEFT JOIN lh USING (user_id, sid)),
+q AS (SELECT *, CASE WHEN hits < 3 AND rs IS NULL THEN printf('marker2_boundary_unconfirmed:score=[%.4f,%.4f] threshold=35.0000', lo, hi) END AS why FROM j),
+parts AS (
+  SELECT user_id, fs, rs - 1 AS fe, false AS talk, NULL::BIGINT AS sample, why FROM q WHERE cut
+  UNION ALL SELECT user_id, CASE WHEN cut THEN rs ELSE fs END AS fs, fe, true, CASE WHEN cut THEN rs + (fe - rs) // 2 ELSE fs + (fe - fs) // 2 END, why FROM q),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY fs, fe) AS id FROM parts),
+asked AS (SELECT *, '{{"user_id":' || user_id || ',"segment_id":' || id || ',"start":' || CAST(fs / 2.0 AS DOUBLE) || ',"end":' || CAST(fe / 2.0 AS DOUBLE) || ',"sample":' || sample || '}}' AS ask FROM o),
+said AS (SELECT *, talk AND length(ask) % 5 > 0 AND length(ask) % 7 > 0 AS ok,
+  CASE WHEN NOT talk THEN NULL WHEN length(ask) % 5 = 0 THEN 'stub_error:ValueError' WHEN length(ask) % 7 = 0 THEN 'stub_empty' END AS failed FROM asked)
+SELECT user_id, id AS segment_id, fs AS frame_start, fe AS frame_end, CASE WHEN talk THEN 'speaker_dialogue' ELSE 'blank_no_name' END AS dialogue_type, CASE WHEN ok THEN upper(ask[1:12]) END AS translation_subtitle,
+  concat_ws(',', why, failed, CASE WHEN talk AND NOT ok THEN 'translation_missing' END) AS reasons, why IS NOT NULL OR talk AND NOT ok AS needs_review FROM said"""
+
+
+ORACLES["h13_timeline"] = timeline_sql()
+
+
 def h2b_sql() -> str:
     return f"""WITH {CAND.format(flag='mask')}{PROBE.format(flag='flag')}{BACK.format(step=1, src='u', flag='flag')},
 fwd AS (SELECT u.* FROM u JOIN cand USING (user_id, sid) WHERE i >= rs - 3){FORE.format(step=1, src='fwd', flag='flag')},

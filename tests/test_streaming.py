@@ -108,7 +108,7 @@ def test_marker_state_is_runs_not_frames():
     m = machine.MarkerMachine({"min_on": 2, "min_off": 2})
     for i in range(10_000):
         m.step(i, i > 0)
-    assert m.seen == 1 and not m.ons
+    assert m.seen == 2 and not m.ons
     other = machine.MarkerMachine({"min_on": 2, "min_off": 2})
     for i in range(10_000):
         other.step(i, True)
