@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import time
 import uuid
@@ -77,6 +78,7 @@ def drop_scratch(df_or_path: DataFrame | str, spark: SparkSession | None = None,
         jpath = spark._jvm.org.apache.hadoop.fs.Path(p)
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
     if now or time.monotonic() - _collected > 10:
+        gc.collect()  # what Python refers to in the JVM
         spark._jvm.System.gc()
         _collected = time.monotonic()
 

@@ -85,12 +85,11 @@ def respaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[by
 
 
 def place_rows(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, body, h, at): the minimisers of every document."""
+    """(ref, h, at): the minimisers of every document, which a hash stands for."""
     for b in batches:
-        for lo, data, offs in tk.slices(b.column(2)):
+        for lo, data, offs in tk.slices(b.column(1)):
             p = Packed(data, offs, window, gram)
-            rows = pa.array(lo + p.row)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(p.hash.view(np.int64)), pa.array(p.place())], names=["doc_id", "body", "h", "at"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(lo + p.row)), pa.array(p.hash.view(np.int64)), pa.array(p.place())], names=["ref", "h", "at"])
 
 
 def packed_rows(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
@@ -267,9 +266,12 @@ def deduplicate(docs: DataFrame, text: str = "text", window: int = WINDOW, gram:
     src = docs.select("doc_id", F.xxhash64(value).alias("body"), value.alias("_text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     of = f"doc_id {kind}, body long"
-    asked = asked_places(src, of, window, gram, frequent)
+    ref = F.xxhash64("doc_id", "body")
+    asked, used = asked_places(src.select(ref.alias("ref"), "_text"), window, gram, frequent)
+    for table in used:
+        drop_scratch(table, now=table is used[-1])
     same = lambda side: src["doc_id"].eqNullSafe(side["_of"]) & (src["body"] == side["_in"])
-    packed = src.join(asked, same(asked)).select("doc_id", "body", "_text", "asked").mapInArrow(
+    packed = src.join(asked, ref == F.col("ref")).select("doc_id", "body", "_text", "asked").mapInArrow(
         lambda it: packed_rows(it, window, gram), f"h long, words binary, places array<struct<doc_id:{kind},body:long,start:long>>"
     )
     spans = cut(packed.repartition("h").sortWithinPartitions("h").mapInArrow(lambda it: span_rows(it, window), f"{of}, lo long, hi long"), "spans")
@@ -280,15 +282,15 @@ def deduplicate(docs: DataFrame, text: str = "text", window: int = WINDOW, gram:
     return both.mapInArrow(kept_rows, f"doc_id {kind}, n_words long, removed array<struct<start:long,end:long>>, kept string")
 
 
-def asked_places(src: DataFrame, of: str, window: int, gram: int, frequent: int) -> DataFrame:
-    """(_of, _in, asked): for each document the places of minimisers that occur again, and whether they are frequent."""
-    places = cut(src.where("_text is not null").mapInArrow(lambda it: place_rows(it, window, gram), f"{of}, h long, at long"), "minimisers")
+def asked_places(src: DataFrame, window: int, gram: int, frequent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(ref, asked): for each document, by a hash, the places of minimisers that occur again, and whether they are frequent.
+
+    Documents whose hashes agree are asked for each other's places too, which only
+    makes more travel.  Also the tables that are no longer needed.
+    """
+    places = cut(src.where("_text is not null").mapInArrow(lambda it: place_rows(it, window, gram), "ref long, h long, at long"), "minimisers")
     again = cut(places.groupBy("h").agg(F.count("*").alias("times")).where("times > 1"), "repeated")
     least = max(frequent, places.count() // SENT)
     hubs = hot_keys(again, ["h"], "times", least)
-    asked = hub_join(places, again, "h", hubs).select("doc_id", "body", F.struct("at", (F.col("times") >= least).alias("often")).alias("at"))
-    asked = asked.groupBy("doc_id", "body").agg(F.collect_set("at").alias("asked"))
-    asked = cut(asked.select(F.col("doc_id").alias("_of"), F.col("body").alias("_in"), "asked"), "asked")
-    drop_scratch(places)
-    drop_scratch(again, now=True)
-    return asked
+    asked = hub_join(places, again, "h", hubs).select("ref", F.struct("at", (F.col("times") >= least).alias("often")).alias("at"))
+    return cut(asked.groupBy("ref").agg(F.collect_set("at").alias("asked")), "asked"), [places, again]
