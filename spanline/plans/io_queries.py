@@ -53,8 +53,13 @@ def a6(spark, d):
 
 
 def grey(spark, d) -> DataFrame:
-    """Embeddings as grey frames, of 8 by 8 pixels or else of one row, a video per label."""
-    pixel = F.transform("embedding", lambda x: F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), F.floor(x * 400 + 128))).cast("long")), 2, "0"))
+    """Embeddings as grey frames, of 8 by 8 pixels or else of one row, a video per label.
+
+    Pixels are worked out in single precision, as in SQL; Spark would widen a float times an integer.
+    """
+    single = lambda x: (F.lit(x) if isinstance(x, int) else x).cast("float")
+    level = lambda x: F.floor(single(x) * single(400) + single(128))
+    pixel = F.transform("embedding", lambda x: F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), level(x))).cast("long")), 2, "0"))
     e = t(spark, d, "embeddings").where("embedding IS NOT NULL")
     square = F.size("embedding") == 64
     return e.select(F.col("label").cast("string").alias("video_id"), F.col("vec_id").cast("int").alias("frame_index"), F.when(square, 8).otherwise(F.size("embedding")).alias("w"), F.when(square, 8).otherwise(1).alias("h"), F.unhex(F.array_join(pixel, "")).alias("gray"))
