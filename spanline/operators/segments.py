@@ -255,6 +255,21 @@ def split_by_presence(
     return _parts(s, k, F.when(F.startswith("outcome", F.lit("split")), F.col("_at")), reasons, "outcome")
 
 
+def percentiles(df: DataFrame, k: list[str], c: str, q: float, out: str) -> DataFrame:
+    """(k, out): the percentile of each key's values that aren't null, between the two next to it.
+
+    The sum of their shares is rounded once, as in DuckDB's quantile_cont: comparisons
+    at the very margin hang on the last bit, and Spark's percentile rounds both products.
+    """
+    w = Window.partitionBy(*k)
+    place = (F.count(c).over(w) - 1) * F.lit(q)
+    d = df.select(*k, F.col(c).alias("_v"), (F.row_number().over(w.orderBy(F.col(c).asc_nulls_last())) - 1).alias("_at"), place.alias("_place"))
+    at = lambda side: F.max(F.when(F.col("_at") == side("_place"), F.col("_v")))
+    d = d.groupBy(*k).agg(at(F.floor).alias("_lo"), at(F.ceil).alias("_hi"), F.max(F.col("_place") - F.floor("_place")).alias("_part"))
+    both = F.java_method(F.lit("java.lang.Math"), F.lit("fma"), F.col("_lo"), 1 - F.col("_part"), F.col("_hi") * F.col("_part")).cast("double")
+    return d.select(*k, F.when((F.col("_part") == 0) | F.col("_lo").isNull(), F.col("_lo")).otherwise(both).alias(out))
+
+
 def coarse_to_fine(df: DataFrame, k: list[str], order: list, score: Column, step: int, margin: float, threshold: float | None = None) -> DataFrame:
     """Adds score and ``computed``: every step-th row is scored, and more only near changes.
 
@@ -280,7 +295,7 @@ def coarse_to_fine(df: DataFrame, k: list[str], order: list, score: Column, step
     nxt = lambda c: F.lead(c).over(w.orderBy("_p"))
     spans = anchors.select(*k, "_p", F.col("score").alias("_ls"), nxt("_p").alias("_right"), nxt("score").alias("_rs")).where("_right IS NOT NULL")
     if threshold is None:
-        levels = anchors.groupBy(*k).agg(F.percentile("score", 0.7).alias("_thr"))
+        levels = percentiles(anchors, k, "score", 0.7, "_thr")
         spans = same(spans, levels, k)
     else:
         spans = spans.withColumn("_thr", F.lit(float(threshold)))
