@@ -143,15 +143,15 @@ def keep_anchors(frames: DataFrame, anchors: DataFrame, k: list[str]) -> tuple[D
     return frames.join(anchors.select(*k).distinct(), k, "left_semi"), counts
 
 
-def frames_in_segments(frames: DataFrame, segments: DataFrame, k: list[str], at: str, start: str, end: str) -> DataFrame:
+def frames_in_segments(frames: DataFrame, segments: DataFrame, k: list[str], at: str, start: str, end: str, merge: bool = True) -> DataFrame:
     """All (frame, segment) pairs with start <= at <= end (:func:`spanline.operators.intervals.in_spans`)."""
-    return in_spans(frames, segments, k, at, start, end)
+    return in_spans(frames, segments, k, at, start, end, merge=merge)
 
 
 def segment_at(points: DataFrame, segments: DataFrame, k: list[str], at: str, start: str, end: str, ident: Column, order: Column) -> DataFrame:
     """Points with ``segment``: the first one, by ``order``, that holds the point; null if none does."""
     s = segments.select(*k, F.col(start).alias("_s"), F.col(end).alias("_e"), order.alias("_o"), ident.alias("_id"))
-    hit = frames_in_segments(points.select(*k, at).distinct(), s, k, at, "_s", "_e")
+    hit = frames_in_segments(points.select(*k, at).distinct(), s, k, at, "_s", "_e", merge=False)
     best = hit.groupBy(*k, at).agg(F.min_by("_id", "_o").alias("segment"))
     return points.join(best, [*k, at], "left")
 
@@ -163,7 +163,7 @@ def series_value_at(points: DataFrame, series: DataFrame, k: list[str], at: str
     ranges.
     """
     ranges = series.select(*k, "range_index", "start", "end", "fps").distinct()
-    hit = frames_in_segments(points.select(*k, at).distinct(), ranges, k, at, "start", "end")
+    hit = frames_in_segments(points.select(*k, at).distinct(), ranges, k, at, "start", "end", merge=False)
     hit = hit.groupBy(*k, at).agg(F.min(F.struct("range_index", "start", "fps")).alias("r")).select(*k, at, "r.*")
     hit = hit.withColumn("pos", F.bround((F.col(at) - F.col("start")) * F.col("fps"), 0).cast("long"))
     got = hit.join(series.select(*k, "range_index", F.col("pos").cast("long").alias("pos"), "score"), [*k, "range_index", "pos"], "left")

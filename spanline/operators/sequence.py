@@ -185,7 +185,7 @@ def representative(frames: DataFrame, spans: DataFrame, appear: DataFrame, key,
     hit = hit.withColumn("_ons", F.count_if(~F.col("_a")).over(w)).withColumn("_nth", F.row_number().over(w.orderBy("_a", "_p")))
     middle = ~F.col("_a") & (F.col("_nth") == F.floor(F.col("_ons") / 2) + 1)
     best = hit.groupBy(*span).agg(F.coalesce(F.min(F.when(F.col("_a"), F.col("_p"))), F.max(F.when(middle, F.col("_p")))).alias("_best"))
-    out = spans.join(best, span, "left")
+    out = spans.join(best.hint("merge"), span, "left")
     return out.withColumn("sample", F.coalesce("_best", F.floor((F.col("start") + F.col("end")) / 2))).drop("_best")
 
 
