@@ -20,9 +20,9 @@ from spanline.sources.shared import kept
 PROBE_AFTER = 0.16
 
 
-def in_segments(segments: DataFrame, frames: DataFrame, k: list[str], start: str = "frame_start", end: str = "frame_end") -> DataFrame:
+def in_segments(segments: DataFrame, frames: DataFrame, k: list[str], start: str = "frame_start", end: str = "frame_end", merge: bool = False) -> DataFrame:
     """Frames of every segment: k, segment_id, idx and all columns of frames(k, idx, ...)."""
-    return in_spans(frames, segments.select(*k, "segment_id", start, end), k, "idx", start, end)
+    return in_spans(frames, segments.select(*k, "segment_id", start, end), k, "idx", start, end, merge=merge)
 
 
 # --- expressions over a segment's frames -----------------------------------------
@@ -35,10 +35,11 @@ def packed(inside: DataFrame, key: list[str], *cols: str) -> DataFrame:
     return inside.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("idx", *cols))).alias("fr"))
 
 
-def with_frames(segments: DataFrame, frames: DataFrame, k: list[str], *cols: str) -> DataFrame:
-    """Segments with ``fr``; it is empty for those without frames."""
+def with_frames(segments: DataFrame, frames: DataFrame, k: list[str], *cols: str, merge: bool = False) -> DataFrame:
+    """Segments with ``fr``; it is empty for those without frames.  With ``merge`` nothing is sent to the driver (:func:`in_spans`)."""
     key = [*k, "segment_id"]
-    out = segments.join(packed(in_segments(segments.select(*key, "frame_start", "frame_end"), frames.select(*k, "idx", *cols), k), key, *cols), key, "left")
+    fr = packed(in_segments(segments.select(*key, "frame_start", "frame_end"), frames.select(*k, "idx", *cols), k, merge=merge), key, *cols)
+    out = segments.join(fr.hint("merge") if merge else fr, key, "left")
     return out.withColumn("fr", F.coalesce("fr", F.array().cast(out.schema["fr"].dataType)))
 
 
@@ -171,7 +172,7 @@ def with_anchor(segments: DataFrame) -> DataFrame:
     return segments.withColumn("anchor", F.greatest("frame_start", F.least("frame_end", F.coalesce("sample", "frame_end"))))
 
 
-def split_blank_dialogue(segments: DataFrame, frames: DataFrame, k: list[str], score: str, threshold: float, fps: float, probe_frames: int = 5, probe_least: int = 4, gap: int = 2, min_blank: int = 2) -> DataFrame:
+def split_blank_dialogue(segments: DataFrame, frames: DataFrame, k: list[str], score: str, threshold: float, fps: float, probe_frames: int = 5, probe_least: int = 4, gap: int = 2, min_blank: int = 2, merge: bool = False) -> DataFrame:
     """Segments cut into a blank and a dialogue part by a second score series.
 
     Whole if the head probe hits; else the dialogue starts at the first durable run
@@ -180,7 +181,7 @@ def split_blank_dialogue(segments: DataFrame, frames: DataFrame, k: list[str], s
     segments(k, segment_id, frame_start, frame_end, sample), frames(k, idx, score).
     """
     frames = frames.select(*k, "idx", F.col(score).alias("_score"), F.coalesce(F.col(score) >= threshold, F.lit(False)).alias("_flag"))
-    s = with_frames(with_anchor(segments), frames, k, "_score", "_flag")
+    s = with_frames(with_anchor(segments), frames, k, "_score", "_flag", merge=merge)
     s = s.withColumn("_upto", F.filter("fr", lambda x: x["idx"] <= F.col("anchor")))
     scores = F.transform("_upto", lambda x: x["_score"])
     s = s.withColumns({

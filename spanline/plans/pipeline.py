@@ -48,7 +48,7 @@ def timeline(frames: DataFrame, k: list[str], order: list, score: str, cfg: dict
     f = kept(seq.positions(frames, k, order, "idx"), "frames")
     raw = seq.marker_segments(frames, k, order, score, cfg["threshold"], cfg.get("smooth", 1), True, cfg.get("min_on", 2), cfg.get("min_off", 2), fps=cfg["fps"])
     raw = kept(raw.withColumn("segment_id", F.row_number().over(seq.by(k, ["frame_start"]))), "raw")
-    parts = sg.split_blank_dialogue(raw, f, k, confirm or score, cfg.get("confirm_threshold", cfg["threshold"]), cfg["fps"], cfg.get("probe_frames", 5), cfg.get("probe_hits", 4), cfg.get("gap", 2), cfg.get("min_blank", 2))
+    parts = sg.split_blank_dialogue(raw, f, k, confirm or score, cfg.get("confirm_threshold", cfg["threshold"]), cfg["fps"], cfg.get("probe_frames", 5), cfg.get("probe_hits", 4), cfg.get("gap", 2), cfg.get("min_blank", 2), merge=True)
     e = parts.withColumnRenamed("segment_id", "raw_id").withColumn("segment_id", F.row_number().over(seq.by(k, ["frame_start", "frame_end"])))
     e = e.withColumns({"start": F.col("frame_start") / cfg["fps"], "end": F.col("frame_end") / cfg["fps"], "kind": F.when(F.col("has_name"), "speaker_dialogue").otherwise("blank_no_name")})
     if cache is not None:
@@ -61,7 +61,7 @@ def timeline(frames: DataFrame, k: list[str], order: list, score: str, cfg: dict
         ask = (F.col("hit").isNull()) & (F.col("kind") == "speaker_dialogue")
         done = batch_infer(e.where(ask), infer, "request", policy)
         key = [*k, "segment_id"]
-        e = e.join(done.select(*key, "result", "reason"), key, "left").withColumn("translation_subtitle", F.coalesce("translation_subtitle", "result"))
+        e = e.join(done.select(*key, "result", "reason").hint("merge"), key, "left").withColumn("translation_subtitle", F.coalesce("translation_subtitle", "result"))
         e = e.withColumn("review_reason", sc.merge_reasons("review_reason", F.array("reason"))).drop("request", "result", "reason")
     e = e.withColumnsRenamed({"start": "time_start", "end": "time_end", "kind": "dialogue_type"}).withColumn("raw_id", F.col("raw_id").cast("string"))
     return review_metadata(e)
