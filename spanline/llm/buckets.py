@@ -5,8 +5,9 @@ long ``keys`` of which similar classes share at least one, and a ``sketch``, an
 of longs: from two sketches and sizes a score tells whether a pair may be similar,
 and how near it seems.  Keys with few such pairs have them all verified.  Of the
 others, first each member is tried against some pivots, which joins a dense group to
-one component; then members of different components are dealt by finer keys, and all
-their pairs are verified where they meet, which gives fewer links than members.
+one component; then members of different components are dealt by the rarest parts of
+their bodies, so many that similar ones share one (prefix filtering), and all their
+pairs are verified where they meet, which gives fewer links than members and misses none.
 """
 
 from __future__ import annotations
@@ -33,6 +34,11 @@ PIVOTS = 32
 #: One class in so many is drawn to find the keys to be salted.
 DRAWN = 64
 
+#: Slots of the table of how often parts occur, which puts rare ones first; any order finds the same links.
+SLOTS = 1 << 16
+
+#: A body's parts, told apart, and how many of them: of two similar bodies, the first so many in any common order share one.
+Parts = Callable[[bytes], tuple[np.ndarray, int]]
 #: (sketches, sketches, sizes, sizes) to scores, below 0 for what can't be similar.
 Score = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
@@ -108,7 +114,7 @@ def pair_batch(a: np.ndarray, b: np.ndarray, hard: np.ndarray) -> pa.RecordBatch
 
 
 def first_rows(batches: Iterator[pa.RecordBatch], score: Score) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b), and the ``hard`` keys of which only pairs with pivots are given.
+    """Pairs (a, b), and the ``hard`` keys of which some pairs are left: dense ones give pairs with pivots only, salted ones none between salts.
 
     One pass for each distance within a group compares all small groups at once.
     """
@@ -140,18 +146,33 @@ def first_rows(batches: Iterator[pa.RecordBatch], score: Score) -> Iterator[pa.R
             for take, to in ((ok.any(axis=1), pivot[e.argmax(axis=1)]), (ok[:, hub], np.full(len(rows), pivot[hub]))):
                 x.append(rows[take])
                 y.append(to[take])
-        yield pair_batch(i[np.concatenate(x)], i[np.concatenate(y)], np.unique(key[start[hard]]))
+        yield pair_batch(i[np.concatenate(x)], i[np.concatenate(y)], np.unique(key[start[hard | (salt[start] > 0)]]))
+
+
+def slots(tokens: np.ndarray) -> np.ndarray:
+    return (tk.mix(tokens) % np.uint64(SLOTS)).astype(np.int64)
 
 
-def sub_rows(batches: Iterator[pa.RecordBatch], fine) -> Iterator[pa.RecordBatch]:
-    """(sub, id, comp): each member of a key under finer ones, which the key itself says nothing of."""
+def count_rows(batches: Iterator[pa.RecordBatch], parts: Parts) -> Iterator[pa.RecordBatch]:
+    """(slot, times): how many parts of the bodies (id, body) fall into each slot."""
+    times = np.zeros(SLOTS, np.int64)
     for b in batches:
         if b.num_rows:
-            key, i, comp = (b.column(j).to_numpy(zero_copy_only=False) for j in range(3))
-            more, use = fine(longs(b.column(3)), key.view(np.uint64))
-            width, use = more.shape[1], use.reshape(-1)
-            sub = tk.mix(more * tk.MULT + tk.mix(key.view(np.uint64))[:, None] + np.arange(width, dtype=np.uint64)[None])
-            yield pa.RecordBatch.from_arrays([pa.array(sub.reshape(-1)[use].view(np.int64)), pa.array(np.repeat(i, width)[use]), pa.array(np.repeat(comp, width)[use])], names=["sub", "id", "comp"])
+            times += np.bincount(slots(np.concatenate([parts(body.as_buffer())[0] for body in b.column(1)])), minlength=SLOTS)
+    some = np.flatnonzero(times)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(times[some])], names=["slot", "times"])
+
+
+def rare_rows(batches: Iterator[pa.RecordBatch], parts: Parts, times: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(sub, id, comp) of (id, comp, body): the rarest parts of each body, as many as similar ones share one of."""
+    for b in batches:
+        subs = []
+        for body in b.column(2):
+            tokens, most = parts(body.as_buffer())
+            subs.append(tokens[np.lexsort((tokens, times[slots(tokens)]))[:most]].view(np.int64))
+        if subs:
+            at = pa.array(np.repeat(np.arange(len(subs)), [len(x) for x in subs]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(subs)), b.column(0).take(at), b.column(1).take(at)], names=["sub", "id", "comp"])
 
 
 class Sets:
@@ -238,20 +259,24 @@ def first_pairs(meet: DataFrame, classes: DataFrame, score: Score) -> DataFrame:
     return rows.mapInArrow(lambda it: first_rows(it, score), "a long, b long, hard long").distinct()
 
 
-def rest_links(meet: DataFrame, hard: DataFrame, classes: DataFrame, comps: DataFrame, bodies, score: Score, same, fine) -> DataFrame:
-    """Links of different components that share a hard key and one of its finer keys.
+def rest_links(meet: DataFrame, hard: DataFrame, classes: DataFrame, comps: DataFrame, bodies, score: Score, same, parts: Parts) -> DataFrame:
+    """Links of different components among the members of hard keys: all that there are.
 
-    The largest component of a finer key is compared with the rest of it only, so
-    that one dense group and a few others cost as much as there are members.
+    Similar bodies share one of their rarest parts, by which they are dealt.  The
+    largest component of a part is compared with the rest of it only, so that one
+    dense group and a few others cost as much as there are members.
     """
     comps = comps.select(F.col("node").alias("id"), "component")
     mem = cut(meet.select("key", "id").join(hard, "key").join(comps, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp")), "members")
     mixed = mem.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    mem = cut(mem.join(mixed, "key"), "members")
-    ids = cut(mem.select("id").distinct(), "ids")
-    classes = cut(classes.join(broadcast_if(ids, ids.count(), SENT), "id"), "members")
-    both = mem.join(classes.select("id", "keys"), "id").select("key", "id", "comp", "keys")
-    rows = cut(both.mapInArrow(lambda it: sub_rows(it, fine), "sub long, id long, comp long"), "finer")
+    ids = cut(mem.join(mixed, "key").select("id", "comp").distinct(), "ids")
+    n_ids = ids.count()
+    body = cut(bodies(broadcast_if(ids.select("id"), n_ids, SENT)), "bodies")
+    counted = body.mapInArrow(lambda it: count_rows(it, parts), "slot long, times long").groupBy("slot").agg(F.sum("times").alias("times"))
+    times = np.zeros(SLOTS, np.int64)
+    for slot, n in counted.collect():  # SLOTS at most
+        times[slot] = n
+    rows = cut(body.join(ids, "id").select("id", "comp", "body").mapInArrow(lambda it: rare_rows(it, parts, times), "sub long, id long, comp long"), "finer")
     per = rows.groupBy("sub", "comp").agg(F.count("*").alias("members"))
     top = per.groupBy("sub").agg(F.max("members").alias("top"), F.max_by("comp", "members").alias("top_comp"), F.sum("members").alias("all")).where("all > top")
     tops, rests = F.ceil(F.col("top") / BLOCK), F.ceil((F.col("all") - F.col("top")) / BLOCK)
@@ -261,22 +286,21 @@ def rest_links(meet: DataFrame, hard: DataFrame, classes: DataFrame, comps: Data
     others = F.sequence(F.when(F.col("is_top"), F.lit(0).cast("long")).otherwise(-F.col("tops")), F.col("rests") - 1)
     dealt = dealt.select("sub", "own", "id", "comp", F.explode(others).alias("other"))
     dealt = cut(dealt.select("sub", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "comp"), "dealt")
-    full = classes.select("id", "n", "sketch").join(bodies(broadcast_if(ids, ids.count(), SENT)), "id")
+    full = classes.select("id", "n", "sketch").join(broadcast_if(ids.select("id"), n_ids, SENT), "id").join(body, "id")
     full = dealt.join(full, "id").select("sub", "x", "y", "own", "id", "comp", "n", "body", "sketch")
     full = full.repartition("sub", "x", "y").sortWithinPartitions("sub", "x", "y")
     out = cut(full.mapInArrow(lambda it: cross_rows(it, score, same), LINKS).distinct(), "links")
-    for used in (mem, ids, classes, rows, dealt):
+    for used in (mem, ids, body, rows, dealt):
         drop_scratch(used)
     return out
 
 
-def linked(classes: DataFrame, bodies: Callable[[DataFrame], DataFrame], same: Callable[[bytes, bytes], bool], score: Score, fine) -> DataFrame:
+def linked(classes: DataFrame, bodies: Callable[[DataFrame], DataFrame], same: Callable[[bytes, bytes], bool], score: Score, parts: Parts) -> DataFrame:
     """(u, v): links of which the components are those of all links between classes that share a key.
 
     ``bodies`` gives (id, body) for a table of ids; two classes are linked if
-    ``same`` holds for their bodies.  ``score`` is asked before; ``fine`` gives finer
-    keys of the members of ``key`` from their ``keys``, and which of them to use:
-    members that are alike in what makes the key must be dealt by something else.
+    ``same`` holds for their bodies.  ``score`` is asked before; ``parts`` are what
+    the members of dense and of salted keys meet by.
     """
     meet = shared(classes)
     first = cut(first_pairs(meet, classes, score), "pairs")
@@ -285,7 +309,7 @@ def linked(classes: DataFrame, bodies: Callable[[DataFrame], DataFrame], same: C
     n_hard = hard.count()
     if n_hard:
         comps = cut(components(links), "components")
-        links = cut(links.unionByName(rest_links(meet, broadcast_if(hard, n_hard, SENT), classes, comps, bodies, score, same, fine)), "links")
+        links = cut(links.unionByName(rest_links(meet, broadcast_if(hard, n_hard, SENT), classes, comps, bodies, score, same, parts)), "links")
         drop_scratch(comps)
     for used in (meet, first, hard):
         drop_scratch(used)

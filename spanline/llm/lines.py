@@ -29,8 +29,6 @@ from spanline.llm.common import SENT, broadcast_if, components, cut, drop_scratc
 #: of two lines that differ in fewer blocks than there are tables (7 of 24), a table's blocks all agree.
 BLOCKS, EACH = 24, 3
 TABLES = BLOCKS // EACH
-#: Share of agreeing blocks below which a pair isn't verified: three standard deviations below 2/3.
-LEAST = 9 / BLOCKS
 #: Numbers of 64 bits for the parities of a line's words.
 PARITIES = 4
 #: Bytes of the words that have little weight.
@@ -134,7 +132,7 @@ def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def likeness(similarity: float):
-    """A score for pairs: their agreement, -1 where sizes, parities or too few blocks rule the similarity out."""
+    """A score for pairs: their agreement, -1 where sizes or parities rule the similarity out."""
 
     def score(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
         n, m = np.broadcast_arrays(n, m)
@@ -147,30 +145,12 @@ def likeness(similarity: float):
             apart += np.bitwise_count(x[..., t][live] ^ y[..., t][live])
             ok = apart <= most[live]
             live, apart = tuple(a[ok] for a in live), apart[ok]
-        share = agreement(x[live], y[live])
-        out[live] = np.where(share >= LEAST, share, -1.0)
+        out[live] = agreement(x[live], y[live])
         return out
 
     return score
 
 
-def other_pairs() -> np.ndarray:
-    """For each table the first two blocks of each of the others."""
-    return np.array([[(EACH * u, EACH * u + 1) for u in range(TABLES) if u != t] for t in range(TABLES)])
-
-
-PAIRS = other_pairs()
-
-
-def finer(keys: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Seven keys of two blocks each, none of the blocks in the table's own ``key``, which deal its members."""
-    blocks = np.stack([(keys[:, i // EACH] >> np.uint64(16 * (i % EACH))) & np.uint64(0xFFFF) for i in range(BLOCKS)], axis=1)
-    pairs = PAIRS[(key >> np.uint64(16 * EACH)).astype(np.int64)]
-    at = np.arange(len(keys))[:, None]
-    out = blocks[at, pairs[..., 0]] | blocks[at, pairs[..., 1]] << np.uint64(16)
-    return out, np.ones(out.shape, bool)
-
-
 def digests(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     """128 bits for each line's sequence of words, as two 64-bit numbers; the first is the line's ``id``."""
     pos = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
@@ -321,6 +301,18 @@ def alike(similarity: float):
     return same
 
 
+def numbered(similarity: float):
+    """A line's words, repeated ones told apart, and how many of them: lines within the edit similarity have all but the edits in common."""
+
+    def parts(p: bytes) -> tuple[np.ndarray, int]:
+        x = np.sort(np.frombuffer(p, np.uint32)).astype(np.uint64)
+        first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+        again = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))
+        return tk.mix(x + (again.astype(np.uint64) << np.uint64(32))), int(edits(len(x), similarity)) + 1
+
+    return parts
+
+
 def same_row(docs: DataFrame, side: DataFrame) -> F.Column:
     return docs["_doc"].eqNullSafe(side["doc_id"]) & (docs["_body"] == side["body"])
 
@@ -362,7 +354,7 @@ def repeated(docs: DataFrame, similarity: float = 0.8, text: str = "text") -> Da
     classes = lines.groupBy("hi", "lo").agg(F.min(at).alias("at"), F.count("*").alias("times"), F.first("n").alias("n"), F.max_by("sketch", F.size("sketch")).alias("sketch"))
     classes = cut(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     fuzzy = classes.where(F.size("sketch") > 0).select("id", "n", "sketch", F.slice("sketch", 1, TABLES).alias("keys"))
-    links = linked(fuzzy, lambda ids: words_of(texts, classes, ids), alike(similarity), likeness(similarity), finer)
+    links = linked(fuzzy, lambda ids: words_of(texts, classes, ids), alike(similarity), likeness(similarity), numbered(similarity))
     comps = components(links).withColumnRenamed("node", "id")
     of = classes.select("hi", "lo", "id", "at", "times").join(comps, "id", "left")
     # What is linked with nothing and occurs once stays, and needs no more work.

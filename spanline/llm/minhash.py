@@ -100,17 +100,6 @@ def likeness(least: float, ratio: float):
     return score
 
 
-#: Bands after a member's own, in a circle, under which it is dealt: of five bands that a pair shares, two are as near.
-NEXT = 6
-
-
-def next_bands(keys: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The bands after the one that is ``key``; a pair meets if it shares two bands as near in the circle."""
-    own = (keys == key[:, None]).argmax(axis=1)
-    out = np.take_along_axis(keys, (own[:, None] + np.arange(1, NEXT + 1)) % keys.shape[1], axis=1)
-    return out, np.ones(out.shape, bool)
-
-
 def sketch_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, body, hi, lo, n, sketch, keys): the class (128-bit digest of the set), one bit of each coordinate, the bands."""
     for b in batches:
@@ -168,6 +157,16 @@ def alike(num: int, den: int):
     return same
 
 
+def elements(num: int, den: int):
+    """A set's elements, and how many of them: similar sets have num / den of each in common."""
+
+    def parts(p: bytes) -> tuple[np.ndarray, int]:
+        x = np.frombuffer(p, np.uint64)
+        return x, len(x) + -num * len(x) // den + 1
+
+    return parts
+
+
 def with_body(docs: DataFrame, text: str) -> DataFrame:
     """(doc_id, body, _text): rows are told apart by their id and a hash of their text."""
     value = F.col(text).cast("string")
@@ -185,7 +184,7 @@ def sets_of(docs: DataFrame, classes: DataFrame, ids: DataFrame, k: int) -> Data
 
 def members(docs: DataFrame, num: int, den: int, k: int = SHINGLE, text: str = "text") -> DataFrame:
     """(doc_id, body, n_shingles, first): ``first`` is the smallest (doc_id, body) of the row's group, null for empty sets."""
-    least, ratio = num / den - 5 * 2 * ((1 + num / den) / 2 * (1 - num / den) / 2 / COORDS) ** 0.5, num / den
+    least, ratio = num / den - 8 * 2 * ((1 + num / den) / 2 * (1 - num / den) / 2 / COORDS) ** 0.5, num / den
     docs = with_body(docs, text)
     kind = docs.schema["doc_id"].dataType.simpleString()
     sets = docs.mapInArrow(lambda it: sketch_rows(it, k), f"doc_id {kind}, body long, hi long, lo long, n long, sketch array<long>, keys array<long>")
@@ -194,7 +193,7 @@ def members(docs: DataFrame, num: int, den: int, k: int = SHINGLE, text: str = "
     rep = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body")
     classes = sets.where("n > 0").groupBy("hi", "lo").agg(F.min(rep).alias("rep"), *[F.first(c).alias(c) for c in ("n", "sketch", "keys")])
     classes = cut(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
-    links = linked(classes.select("id", "n", "sketch", "keys"), lambda ids: sets_of(docs, classes, ids, k), alike(num, den), likeness(least, ratio), next_bands)
+    links = linked(classes.select("id", "n", "sketch", "keys"), lambda ids: sets_of(docs, classes, ids, k), alike(num, den), likeness(least, ratio), elements(num, den))
     comps = components(links)
     of = classes.select("hi", "lo", "id", "rep").join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     low = of.groupBy("component").agg(F.min("rep").alias("first"))
@@ -209,11 +208,11 @@ def groups(docs: DataFrame, num: int = 80, den: int = 100, k: int = SHINGLE, tex
     k-word shingles (white space parts words, A-Z lower-cased; fewer than k words
     are one shingle).  Texts of equal sets are one class from the start, so copies
     never make pairs.  Candidates are classes that share a band and whose
-    one-bit estimate over COORDS coordinates is within five standard deviations of
+    one-bit estimate over COORDS coordinates is within eight standard deviations of
     the threshold; all links that count are confirmed on full sets.  Of a dense
     band each member is first tried against some pivots; then the candidate pairs
-    that lie in two components and share a second band are tried, so that no dense
-    group is expanded.
+    that lie in two components and share one of their rarest shingles, as all links
+    do, are tried, so that no dense group is expanded.
 
     Nulls: a text without words, or null, has an empty set and is linked with
     nothing, and is kept.  component_id is the smallest doc_id reachable, so rows
