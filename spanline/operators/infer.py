@@ -12,7 +12,6 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
@@ -67,6 +66,10 @@ def call(fn: Callable, request, policy: Policy) -> tuple:
     return None, "empty", attempt, None, 0, 0, 0, f"{policy.name}_empty"
 
 
+#: Rows whose calls are made, and whose outcomes are held, at once.
+CALLS = 256
+
+
 def batch_infer(df: DataFrame, fn: Callable, request: str, policy: Policy | None = None, partitions: int | None = None) -> DataFrame:
     """Adds (or replaces) the outcome of fn(row's request): OUTCOME's columns; result is null on failure.
 
@@ -79,14 +82,20 @@ def batch_infer(df: DataFrame, fn: Callable, request: str, policy: Policy | None
     names = outcome.names
     src = src.drop(*names)
     schema = StructType([*src.schema.fields, *outcome.fields])
+    kinds = [pa.string() if isinstance(f.dataType, StringType) else pa.int32() if f.dataType.typeName() == "integer" else pa.int64() for f in outcome.fields]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with ThreadPoolExecutor(policy.threads) as pool:
-            for pdf in batches:
-                got = list(pool.map(lambda r: call(fn, r, policy), pdf[request]))
-                yield pdf.assign(**{n: [g[i] for g in got] for i, n in enumerate(names)})
+    at = src.columns.index(request)
 
-    return src.mapInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with ThreadPoolExecutor(policy.threads) as pool:
+            for batch in batches:
+                for start in range(0, batch.num_rows, CALLS):
+                    part = batch.slice(start, CALLS)
+                    got = list(pool.map(lambda r: call(fn, r, policy), part.column(at).to_pylist()))
+                    new = [pa.array([g[i] for g in got], kind) for i, kind in enumerate(kinds)]
+                    yield pa.RecordBatch.from_arrays([*part.columns, *new], names=schema.names)
+
+    return src.mapInArrow(run, schema)
 
 
 class Journal:

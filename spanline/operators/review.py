@@ -107,7 +107,7 @@ def auto_review(entries: DataFrame, fn: Callable, k: list[str], template: dict[s
     rows = chunk(eligible(entries, ident), k, [ident], size)
     item = F.struct(F.col(ident).alias("id"), "speaker", "original", "translation")
     batch = rows.groupBy(*k, "chunk").agg(F.to_json(F.array_sort(F.collect_list(item))).alias("items"), F.min(ident).alias("first"), F.max(ident).alias("last"))
-    asked = build_requests(batch, template)
+    asked = build_requests(batch, template).drop("items")  # the request has them
     reply = batch_infer(asked, fn, "request", policy)
     parsed = sc.extract_json(reply, "result", "json").withColumn("_ok", _has_updates("json"))
     for _ in range(repairs):
