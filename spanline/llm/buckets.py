@@ -309,7 +309,9 @@ def linked(classes: DataFrame, bodies: Callable[[DataFrame], DataFrame], same: C
     n_hard = hard.count()
     if n_hard:
         comps = cut(components(links), "components")
-        links = cut(links.unionByName(rest_links(meet, broadcast_if(hard, n_hard, SENT), classes, comps, bodies, score, same, parts)), "links")
+        stars = comps.select(F.col("node").alias("u"), F.col("component").alias("v")).where("u <> v")
+        rest = rest_links(meet, broadcast_if(hard, n_hard, SENT), classes, comps, bodies, score, same, parts)
+        links = cut(stars.unionByName(rest), "links")  # what is joined already needs no more links than members
         drop_scratch(comps)
     for used in (meet, first, hard):
         drop_scratch(used)
