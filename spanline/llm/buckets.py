@@ -1,8 +1,8 @@
 """Links between similar items that share a hash key, in work that follows the members of a key.
 
-Classes (equal items, counted once) have a long ``id``, a size ``n``, an array of
-long ``keys`` of which similar classes share at least one, and a ``sketch``, an array
-of longs: from two sketches and sizes a score tells whether a pair may be similar,
+Classes (equal items, counted once) have a long ``id``, a size ``n``, long
+``keys`` of which similar classes share at least one, and a ``sketch`` of longs (both
+arrays, or their bytes): from two sketches and sizes a score tells whether a pair may be similar,
 and how near it seems.  Keys with few such pairs have them all verified.  Of the
 others, first each member is tried against some pivots, which joins a dense group to
 one component; then members of different components are dealt by the rarest parts of
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanline.llm import textkit as tk
-from spanline.llm.common import SENT, broadcast_if, components, cut, drop_scratch
+from spanline.llm.common import SENT, broadcast_if, buckets_for, components, cut, drop_scratch
 
 #: Members of a key that meet in one group, on either side; larger keys are dealt to several groups.
 BLOCK = 2000
@@ -31,6 +31,8 @@ SMALL = 1000
 FEW = 8
 #: Members that all others of a dense group are tried against first.
 PIVOTS = 32
+#: Pairs of a group that are verified at once.
+TRIED = 1000
 #: One class in so many is drawn to find the keys to be salted.
 DRAWN = 64
 
@@ -43,46 +45,95 @@ Parts = Callable[[bytes], tuple[np.ndarray, int]]
 Score = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
+#: Classes whose keys make one bucket of a packed exchange, and keys packed at once.
+PACKED, HELD = 50_000, 1 << 19
+
+
 def longs(column: pa.Array) -> np.ndarray:
-    """Arrays of equally many longs, as the rows of a matrix of unsigned numbers."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    """Arrays of equally many longs, or their bytes, as the rows of a matrix of unsigned numbers."""
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        ends = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1]
+        flat = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].view(np.uint64) if len(column) else np.zeros(0, np.uint64)
+    else:
+        flat = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
+class Salts:
+    """How many salts each of the hot keys has; other keys have none."""
+
+    def __init__(self, hot: list[tuple[int, int]]):
+        self.keys = np.array(sorted(k for k, _ in hot), np.int64)
+        self.many = np.array([m for _, m in sorted(hot)], np.uint64)
+
+    def of(self, key: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """The salts of members ``i``: from 1 for hot keys, else 0."""
+        out = np.zeros(len(key), np.int32)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            x = np.flatnonzero(self.keys[at] == key)
+            out[x] = 1 + tk.mix(i[x].view(np.uint64) * tk.MULT + key[x].view(np.uint64)) % self.many[at[x]]
+        return out
+
+
 def shared(classes: DataFrame) -> DataFrame:
     """(key, salt, id) of the keys that two classes or more have, in one exchange.
 
-    Keys of which a hash sample of the classes suggests more than BLOCK members are
-    dealt to several groups by salts; the sample decides on nothing else.
+    Keys and ids travel packed, as many in a row as a task has for one of the buckets
+    that they are dealt to.  Keys of which a hash sample of the classes suggests more than
+    BLOCK members are dealt to several groups by salts; the sample decides on nothing
+    else.  There is one such key in 2 * BLOCK rows at most.
     """
-    rows = classes.select(F.explode("keys").alias("key"), "id")
-    drawn = rows.where(F.pmod(F.xxhash64("id"), F.lit(DRAWN)) == 0).groupBy("key").agg(F.count("*").alias("drawn"))
-    hot = cut(drawn.where(F.col("drawn") * DRAWN > 2 * BLOCK).select("key", F.ceil(F.col("drawn") * DRAWN / BLOCK).alias("salts")), "hot")
-    n_hot = hot.count()
-    if n_hot:
-        rows = rows.join(broadcast_if(hot, n_hot, SENT), "key", "left")
-        rows = rows.select("key", F.when(F.col("salts").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("key", "id"), F.col("salts"))).cast("int").alias("salt"), "id")
-    else:
-        rows = rows.select("key", F.lit(0).alias("salt"), "id")
-    rows = rows.repartition("key", "salt").sortWithinPartitions("key", "salt")
-    return cut(rows.mapInArrow(shared_rows, "key long, salt int, id long"), "shared")
+    drawn = classes.where(F.pmod(F.xxhash64("id"), F.lit(DRAWN)) == 0).select("keys").mapInArrow(key_rows, "key long").groupBy("key").agg(F.count("*").alias("drawn"))
+    hot = drawn.where(F.col("drawn") * DRAWN > 2 * BLOCK).select("key", F.ceil(F.col("drawn") * DRAWN / BLOCK).alias("salts"))
+    salts = Salts([(r.key, r.salts) for r in hot.collect()])
+    n = max(buckets_for(classes.sparkSession), -(-classes.count() // PACKED))
+    packed = classes.select("id", "keys").mapInArrow(lambda it: packed_rows(it, n, salts), "bucket int, packed binary")
+    packed = packed.repartition(n, "bucket").sortWithinPartitions("bucket")
+    return cut(packed.mapInArrow(lambda it: shared_rows(it, salts), "key long, salt int, id long"), "shared")
+
+
+def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(longs(b.column(0)).reshape(-1).view(np.int64))], names=["key"])
 
 
-def shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key and salt, those that have company, and all of salted keys."""
-    key, salt, i, before = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), False
+def packed_rows(batches: Iterator[pa.RecordBatch], n: int, salts: Salts) -> Iterator[pa.RecordBatch]:
+    """(bucket, packed) of (id, keys): the keys and ids that go to a bucket, as the bytes of two longs each."""
+    held: list[np.ndarray] = []
     for b in chain(batches, [None]):
-        if b is not None:
-            key, salt, i = (np.concatenate([x, c.to_numpy(zero_copy_only=False)]) for x, c in zip((key, salt, i), b.columns, strict=True))
-        if not len(key):
+        if b is not None and b.num_rows:
+            keys = longs(b.column(1)).view(np.int64)
+            ids = np.repeat(b.column(0).to_numpy(zero_copy_only=False), keys.shape[1])
+            held.append(np.stack([keys.reshape(-1), ids], axis=1))
+        if not held or (b is not None and sum(map(len, held)) < HELD):
             continue
-        same = (key[1:] == key[:-1]) & (salt[1:] == salt[:-1])
-        use = np.append(before, same) | np.append(same, False) | (salt > 0)
-        end = len(key) - (b is not None)  # the last row waits for its successor
-        take = np.flatnonzero(use[:end])
-        yield pa.RecordBatch.from_arrays([pa.array(x[take]) for x in (key, salt, i)], names=["key", "salt", "id"])
-        before = bool(same[-1]) if len(same) else before and False
-        key, salt, i = key[end:], salt[end:], i[end:]
+        both, held = np.concatenate(held), []
+        salt = salts.of(both[:, 0].copy(), both[:, 1].copy())
+        bucket = (tk.mix(both[:, 0].view(np.uint64) * tk.MULT + salt.astype(np.uint64)) % np.uint64(n)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        both, bucket = both[order], bucket[order]
+        start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        ends = np.append(start, len(both)).astype(np.int64) * 16
+        packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(both)])
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[start]), packed.cast(pa.binary())], names=["bucket", "packed"])
+
+
+def shared_rows(batches: Iterator[pa.RecordBatch], salts: Salts) -> Iterator[pa.RecordBatch]:
+    """(key, salt, id) of packed rows sorted by bucket: those that have company, and all of salted keys."""
+    last, held = -1, []
+    for bucket, packed in chain((x for b in batches for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)), [(None, b"")]):
+        if bucket != last and held:
+            key, i = np.frombuffer(b"".join(held), np.int64).reshape(-1, 2).T
+            key, i, held = key.copy(), i.copy(), []
+            salt = salts.of(key, i)
+            order = np.lexsort((salt, key)) if salt.any() else np.argsort(key)
+            key, salt, i = key[order], salt[order], i[order]
+            same = (key[1:] == key[:-1]) & (salt[1:] == salt[:-1])
+            take = np.flatnonzero(np.append(False, same) | np.append(same, False) | (salt > 0))
+            yield pa.RecordBatch.from_arrays([pa.array(x[take]) for x in (key, salt, i)], names=["key", "salt", "id"])
+        last = bucket
+        held.append(packed)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[list[np.ndarray]]:
@@ -129,7 +180,7 @@ def first_rows(batches: Iterator[pa.RecordBatch], score: Score) -> Iterator[pa.R
             live = live[(live + step < end[live]) & (pairs <= FEW * size)[run[live]]]
             if not len(live):
                 break
-            x = live[score(sk[live], sk[live + step], n[live], n[live + step]) >= 0]
+            x = live[may(score, sk, n, live, live + step)]
             pairs += np.bincount(run[x], minlength=len(start))
             found.append(np.stack([x, x + step]))
             step += 1
@@ -149,6 +200,18 @@ def first_rows(batches: Iterator[pa.RecordBatch], score: Score) -> Iterator[pa.R
         yield pair_batch(i[np.concatenate(x)], i[np.concatenate(y)], np.unique(key[start[hard | (salt[start] > 0)]]))
 
 
+def may(score: Score, sk: np.ndarray, n: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Whether rows ``p`` may be similar to rows ``q``; a score that can tell without being worked out has a ``may`` of its own."""
+    own = getattr(score, "may", None)
+    return own(sk, n, p, q) if own else score(sk[p], sk[q], n[p], n[q]) >= 0
+
+
+def agreed(same: Callable[[bytes, bytes], bool], p: list, q: list) -> np.ndarray:
+    """Which of the bodies ``p`` and ``q`` are similar; ``same`` may have a ``many`` that tells it for all at once."""
+    many = getattr(same, "many", None)
+    return many(p, q) if many else np.fromiter(map(same, p, q), bool, len(p))
+
+
 def slots(tokens: np.ndarray) -> np.ndarray:
     return (tk.mix(tokens) % np.uint64(SLOTS)).astype(np.int64)
 
@@ -197,22 +260,35 @@ def cross_rows(batches: Iterator[pa.RecordBatch], score: Score, same: Callable[[
         start = np.flatnonzero(np.append(True, (sub[1:] != sub[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
         size = np.diff(np.append(start, len(sub)))
         end = np.repeat(start + size, size)
-        of = np.unique(comp, return_inverse=True)[1]
-        sets = Sets(int(of.max()) + 1)
+        of = np.unique(comp, return_inverse=True)[1].tolist()
+        sets = Sets(max(of) + 1)
         u, v = [], []
 
-        def verify(p: np.ndarray, q: np.ndarray) -> None:
-            for a, b in zip(p.tolist(), q.tolist(), strict=True):
-                s, t = sets.find(of[a]), sets.find(of[b])
-                if s != t and same(body[a], body[b]):
-                    sets.up[max(s, t)] = min(s, t)
-                    u.append(i[a])
-                    v.append(i[b])
+        wait: list[np.ndarray] = []
+
+        def verify(p: np.ndarray, q: np.ndarray, least: int = TRIED) -> None:
+            """Pairs wait until there are enough to be verified at once."""
+            wait.append(np.stack([p, q]))
+            if sum(x.shape[1] for x in wait) < least:
+                return
+            pairs = np.concatenate(wait, axis=1).T
+            wait.clear()
+            for at in range(0, len(pairs), TRIED):
+                some = [(a, b) for a, b in pairs[at : at + TRIED].tolist() if sets.find(of[a]) != sets.find(of[b])]
+                if not some:
+                    continue
+                left, right = zip(*some, strict=True)
+                for k in np.flatnonzero(agreed(same, body[list(left)].tolist(), body[list(right)].tolist())).tolist():
+                    s, t = sets.find(of[left[k]]), sets.find(of[right[k]])
+                    if s != t:
+                        sets.up[max(s, t)] = min(s, t)
+                        u.append(i[left[k]])
+                        v.append(i[right[k]])
 
         live, step = np.flatnonzero(np.repeat(size <= SMALL, size)), 1
         while len(live := live[live + step < end[live]]):  # all small groups at once, one pass for each distance
             p = live[(comp[live] != comp[live + step]) & ((x[live] == y[live]) | (own[live] != own[live + step]))]
-            p = p[score(sk[p], sk[p + step], n[p], n[p + step]) >= 0]
+            p = p[may(score, sk, n, p, p + step)]
             verify(p, p + step)
             step += 1
         for g in np.flatnonzero(size > SMALL):
@@ -226,15 +302,16 @@ def cross_rows(batches: Iterator[pa.RecordBatch], score: Score, same: Callable[[
                     ok &= p[:, None] < right[None]
                 a, b = np.nonzero(ok)
                 a, b = p[a], right[b]
-                near = score(sk[a], sk[b], n[a], n[b]) >= 0
+                near = may(score, sk, n, a, b)
                 verify(a[near], b[near])
+        verify(np.zeros(0, np.int64), np.zeros(0, np.int64), 0)
         if u:
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
 def check_rows(batches: Iterator[pa.RecordBatch], same: Callable[[bytes, bytes], bool]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        keep = [same(p.as_buffer(), q.as_buffer()) for p, q in zip(b.column(2), b.column(3), strict=True)]
+        keep = agreed(same, b.column(2).to_pylist(), b.column(3).to_pylist())
         yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 

@@ -112,11 +112,9 @@ def signs(drawn: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
         n = np.diff(np.append(start, len(near)))[open_]
         at = np.repeat(start[open_] - np.cumsum(n) + n, n) + np.arange(n.sum())
         bits, own = tk.mix(drawn[near[at]]), weight[at]
-        first = np.cumsum(n) - n
-        block = np.zeros(len(open_), np.uint64)
-        for b in range(16):
-            total = np.add.reduceat(np.where((bits >> np.uint64(b)) & np.uint64(1) == 1, own, -own), first)
-            block |= (total > 0).astype(np.uint64) << np.uint64(b)
+        shown = np.unpackbits(bits.astype("<u2").view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")
+        total = np.add.reduceat((shown * 2.0 - 1.0) * own[:, None], np.cumsum(n) - n, axis=0)
+        block = np.packbits(total > 0, axis=1, bitorder="little").view("<u2")[:, 0].astype(np.uint64)
         out[open_] = block
     return out
 
@@ -131,24 +129,38 @@ def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out / BLOCKS
 
 
-def likeness(similarity: float):
+class likeness:  # noqa: N801
     """A score for pairs: their agreement, -1 where sizes or parities rule the similarity out."""
 
-    def score(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    def __init__(self, similarity: float):
+        self.similarity = similarity
+
+    def __call__(self, x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
         n, m = np.broadcast_arrays(n, m)
-        most = 2 * edits(np.maximum(n, m), similarity) - np.abs(n - m)
         out = np.full(n.shape, -1.0)
         x, y = np.broadcast_arrays(x, y)
-        live = np.nonzero(np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9)
-        apart = np.zeros(len(live[0]), np.int64)
-        for t in range(TABLES, TABLES + PARITIES):
-            apart += np.bitwise_count(x[..., t][live] ^ y[..., t][live])
-            ok = apart <= most[live]
-            live, apart = tuple(a[ok] for a in live), apart[ok]
+        live = np.unravel_index(self.near(n.ravel(), m.ravel(), lambda at, t: (v[np.unravel_index(at, n.shape)][:, t] for v in (x, y))), n.shape)
         out[live] = agreement(x[live], y[live])
         return out
 
-    return score
+    def may(self, sk: np.ndarray, n: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Whether the score of rows ``p`` with rows ``q`` is 0 or more."""
+        out = np.zeros(len(p), bool)
+        out[self.near(n[p], n[q], lambda at, t: (sk[p[at], t], sk[q[at], t]))] = True
+        return out
+
+    def near(self, n: np.ndarray, m: np.ndarray, columns) -> np.ndarray:
+        """The pairs that sizes and parities, asked for by ``columns`` in turn, don't rule out."""
+        small, large = np.minimum(n, m), np.maximum(n, m)
+        live = np.flatnonzero(small >= self.similarity * large - 1e-9)
+        most = (2 * edits(large[live], self.similarity) - large[live] + small[live]).astype(np.int64)
+        apart = np.zeros(len(live), np.int64)
+        for t in range(TABLES, TABLES + PARITIES):
+            x, y = columns(live, t)
+            apart += np.bitwise_count(x ^ y)
+            ok = apart <= most
+            live, most, apart = live[ok], most[ok], apart[ok]
+        return live
 
 
 def digests(h: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -187,36 +199,42 @@ def line_rows(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[
                 [
                     *(b.column(i).take(pa.array(at + row[use])) for i in (0, 1)),
                     *(pa.array(x, pa.int64()) for x in (number[use], dig[:, 0], dig[:, 1], n)),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(sketch.reshape(-1))),
+                    pa.BinaryArray.from_buffers(pa.binary(), len(use), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(sketch))]),
                 ],
                 names=["doc_id", "body", "line", "hi", "lo", "n", "sketch"],
             )
 
 
 def first_sketches(h, first, size, use, wanted) -> tuple[np.ndarray, np.ndarray]:
-    """(SimHashes of the wanted lines, where each line's begin and end among them)."""
+    """(SimHashes of the wanted lines, the bytes where each line's begin and end among them)."""
     at = use[wanted]
     n = np.diff(first)[at]
     words = np.repeat(first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
     sketch = simhashes(h[words], np.append(0, np.cumsum(n)), size[words]).view(np.int64)
-    return sketch, np.concatenate([[0], np.cumsum(wanted) * (TABLES + PARITIES)]).astype(np.int32)
+    return sketch, np.concatenate([[0], np.cumsum(wanted) * (TABLES + PARITIES) * 8]).astype(np.int32)
 
 
 def pick_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The word hashes of the lines asked for: (lines as (line, id), text) to (id, body)."""
     for b in batches:
-        ids, out = [], []
-        want = b.column(0).to_pylist()
+        want = b.column(0)
+        asked = want.flatten()
+        line, ids = (asked.field(c).to_numpy(zero_copy_only=False) for c in ("line", "id"))
+        of = np.repeat(np.arange(b.num_rows), want.value_lengths().to_numpy(zero_copy_only=False))
         for at, data, offs in tk.slices(b.column(1)):
-            row, _, h, first = line_words(data, offs)
-            head = np.searchsorted(row, np.arange(len(offs)))
-            h = (h >> np.uint64(32)).astype(np.uint32)
-            for i in range(len(offs) - 1):
-                for w in want[at + i]:
-                    j = head[i] + w["line"]
-                    ids.append(w["id"])
-                    out.append(h[first[j] : first[j + 1]].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["id", "body"])
+            here = slice(*np.searchsorted(of, (at, at + len(offs) - 1)).tolist())
+            starts, ends, row = line_bounds(data, offs)
+            k = np.searchsorted(row, of[here] - at) + line[here]
+            # Only these lines' bytes are parted into words.
+            size = ends[k] - starts[k]
+            bounds = np.append(0, np.cumsum(size + 1))
+            low = np.full(bounds[-1], 0x0A, np.uint8)
+            inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            low[np.repeat(bounds[:-1], size) + inner] = tk.LOWER[data[np.repeat(starts[k], size) + inner]]
+            begin, end, first = tk.words(low, bounds, tk.ALNUM)
+            h = (tk.span_hash(tk.prefix_hash(low), begin, end) >> np.uint64(32)).astype(np.uint32)
+            body = [h[x:y].tobytes() for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[here], pa.int64()), pa.array(body, pa.binary())], names=["id", "body"])
 
 
 def within(x: np.ndarray, y: np.ndarray, most: int) -> bool:
@@ -291,14 +309,90 @@ def few_edits(x: np.ndarray, y: np.ndarray, most: int) -> bool:
     return reach.get(goal, -1) >= len(x)
 
 
-def alike(similarity: float):
+#: Words of the longest lines that are compared many pairs at once, how many pairs that takes, and bytes of one such step.
+MANY, LEAST, STEP = 512, 40, 1 << 20
+
+
+class alike:  # noqa: N801
     """Whether two lines' word hashes are within the edit similarity."""
 
-    def same(p: bytes, q: bytes) -> bool:
+    def __init__(self, similarity: float):
+        self.similarity = similarity
+
+    def __call__(self, p: bytes, q: bytes) -> bool:
         x, y = (np.frombuffer(v, np.uint32) for v in (p, q))
-        return within(x, y, int(edits(max(len(x), len(y)), similarity)))
+        return within(x, y, int(edits(max(len(x), len(y)), self.similarity)))
+
+    def many(self, p: list[bytes], q: list[bytes]) -> np.ndarray:
+        """The same for pairs of lines."""
+        n, m = (np.fromiter(map(len, v), np.int64, len(v)) // 4 for v in (p, q))
+        most = edits(np.maximum(n, m), self.similarity)
+        out = np.zeros(len(n), bool)
+        near = (np.abs(n - m) <= most) & (np.minimum(n, m) > 0)
+        # Lines that lack words put in or taken out need no table.
+        even = np.flatnonzero(near & (n == m))
+        if len(even):
+            x, y = (np.frombuffer(b"".join([v[i] for i in even.tolist()]), np.uint32) for v in (p, q))
+            out[even] = np.add.reduceat(x != y, np.cumsum(n[even]) - n[even], dtype=np.int64) <= most[even]
+        near &= ~out
+        wide = np.where(near & (np.maximum(n, m) <= MANY), -(-n // 64), 0)
+        wide[np.bincount(wide)[wide] < LEAST] = 0
+        for k in np.flatnonzero((wide == 0) & ~out & (near | (np.minimum(n, m) == 0))).tolist():
+            out[k] = self(p[k], q[k])
+        for w in np.unique(wide[wide > 0]).tolist():
+            rows = np.flatnonzero(wide == w)
+            rows = rows[np.argsort(-m[rows], kind="stable")]
+            size = max(1, STEP // (w * 256))
+            for at in range(0, len(rows), size):
+                k = rows[at : at + size]
+                x, y = (np.frombuffer(b"".join([v[i] for i in k.tolist()]), np.uint32) for v in (p, q))
+                out[k] = within_many(x, n[k], y, m[k], most[k], w)
+        return out
+
 
-    return same
+def within_many(x: np.ndarray, n: np.ndarray, y: np.ndarray, m: np.ndarray, most: np.ndarray, wide: int) -> np.ndarray:
+    """:func:`within` for many pairs of word sequences, one after the other in ``x`` and ``y``.
+
+    ``n`` and ``m`` are their lengths, none 0, n at most 64 * wide, m descending.  As in
+    :func:`within`, a column of the table is two bit vectors; here of 64-bit words, of which
+    those of all pairs are worked out together.  Pairs that can't end within ``most`` are dropped.
+    """
+    out = np.zeros(len(n), bool)
+    pair, x_at, y_at = np.arange(len(n)), np.cumsum(n) - n, np.cumsum(m) - m
+    x = x[np.minimum(x_at[:, None] + np.arange(64 * wide), len(x) - 1)]  # bits above a line's last have no effect
+    top, shift = (n - 1) // 64, ((n - 1) % 64).astype(np.uint64)
+    up, down, score = np.full((len(n), wide), tk.NONE), np.zeros((len(n), wide), np.uint64), n.copy()
+    one = np.uint64(1)
+    for j in range(int(m[0])):
+        k = int(np.searchsorted(-m, -j, side="left"))  # whose lines are longer than j
+        if k < len(m):
+            out[pair[k:]] = score[k:] <= most[k:]
+            pair, x, y_at, top, shift, up, down, score, m, most = (v[:k] for v in (pair, x, y_at, top, shift, up, down, score, m, most))
+        if j % 4 == 0:
+            keep = np.flatnonzero(score - (m - j) <= most)
+            if 4 * len(keep) < 3 * k:
+                pair, x, y_at, top, shift, up, down, score, m, most = (v[keep] for v in (pair, x, y_at, top, shift, up, down, score, m, most))
+        if not len(m):
+            return out
+        eq = np.packbits(x == y[y_at + j][:, None], axis=1, bitorder="little").view(np.uint64)
+        xv, both = eq | down, eq & up
+        total = both + up
+        carry = np.zeros(len(m), bool)
+        for w in range(wide - 1):
+            carry = (total[:, w] < both[:, w]) | (carry & (total[:, w] == both[:, w]))
+            total[:, w + 1] += carry
+        xh = (total ^ up) | eq
+        right, left = down | ~(xh | up), up & xh
+        row = np.arange(len(m))
+        score = score + ((right[row, top] >> shift) & one).astype(np.int64) - ((left[row, top] >> shift) & one).astype(np.int64)
+        r, s = right << one, left << one
+        r[:, 0] |= one
+        if wide > 1:
+            r[:, 1:] |= right[:, :-1] >> np.uint64(63)
+            s[:, 1:] |= left[:, :-1] >> np.uint64(63)
+        up, down = s | ~(xv | r), r & xv
+    out[pair] = score <= most
+    return out
 
 
 def numbered(similarity: float):
@@ -349,11 +443,11 @@ def repeated(docs: DataFrame, similarity: float = 0.8, text: str = "text") -> Da
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = with_body(docs, text)
-    lines = cut(texts.mapInArrow(lambda it: line_rows(it, similarity), ROW.format(kind) + ", line long, hi long, lo long, n long, sketch array<long>"), "lines")
+    lines = cut(texts.mapInArrow(lambda it: line_rows(it, similarity), ROW.format(kind) + ", line long, hi long, lo long, n long, sketch binary"), "lines")
     at = F.struct("doc_id", "body", "line")
-    classes = lines.groupBy("hi", "lo").agg(F.min(at).alias("at"), F.count("*").alias("times"), F.first("n").alias("n"), F.max_by("sketch", F.size("sketch")).alias("sketch"))
+    classes = lines.groupBy("hi", "lo").agg(F.min(at).alias("at"), F.count("*").alias("times"), F.first("n").alias("n"), F.max("sketch").alias("sketch"))
     classes = cut(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
-    fuzzy = classes.where(F.size("sketch") > 0).select("id", "n", "sketch", F.slice("sketch", 1, TABLES).alias("keys"))
+    fuzzy = classes.where(F.length("sketch") > 0).select("id", "n", "sketch", F.substring("sketch", 1, 8 * TABLES).alias("keys"))
     links = linked(fuzzy, lambda ids: words_of(texts, classes, ids), alike(similarity), likeness(similarity), numbered(similarity))
     comps = components(links).withColumnRenamed("node", "id")
     of = classes.select("hi", "lo", "id", "at", "times").join(comps, "id", "left")
@@ -380,6 +474,6 @@ def dedup(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     return out.select(
         *[c for c in docs.columns if c not in (text, "n_lines", "n_removed")],
         F.when(F.col("__lines_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")).alias(text),
-        F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"),
-        F.when(F.col("__lines_gone").isNull(), 0).otherwise(F.size(parts) - F.size(kept)).cast("long").alias("n_removed"),
+        F.coalesce(1 + F.octet_length(text) - F.octet_length(F.replace(F.col(text).cast("string"), F.lit("\n"), F.lit(""))), F.lit(0)).cast("long").alias("n_lines"),
+        F.when(F.col("__lines_gone").isNull(), 0).otherwise(F.size("__lines_gone")).cast("long").alias("n_removed"),
     )

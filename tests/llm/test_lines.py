@@ -246,3 +246,45 @@ def test_work_in_dense_keys_follows_their_members(spark, monkeypatch):
         assert not removed(spark, rows)
         dealt[m] = sum(seen) / m
     assert dealt[8000] < 2 * dealt[2000] + 10, dealt
+
+
+def test_many_lines_are_compared_as_one_by_one():
+    """Lines of one and of several machine words, with carries between them, and those too long or too few for it."""
+    rng = np.random.default_rng(6)
+    p, q = [], []
+    for k in range(3000):
+        x = rng.integers(0, (3, 1000)[k % 2], rng.integers(0, 60 if k % 3 else 300)).astype(np.uint32)
+        y = list(x)
+        for _ in range(rng.integers(0, len(x) // 4 + 2)):
+            at = int(rng.integers(0, len(y) + 1))
+            if rng.random() < 0.4:
+                y[at : at + 1] = []
+            else:
+                y[at : at + int(rng.integers(0, 2))] = [rng.integers(0, 1000)]
+        p.append(x.tobytes())
+        q.append(np.array(y, np.uint32).tobytes())
+    p += [np.arange(700, dtype=np.uint32).tobytes()] * 2
+    q += [np.arange(100, 760, dtype=np.uint32).tobytes(), np.arange(200, 900, dtype=np.uint32).tobytes()]
+    same = lines.alike(0.8)
+    want = [same(x, y) for x, y in zip(p, q)]
+    assert same.many(p, q).tolist() == want and 500 < sum(want) < 2900
+    assert same.many(p[:5], q[:5]).tolist() == want[:5] and same.many([], []).tolist() == []
+
+
+def test_packed_keys_meet(spark, monkeypatch):
+    """Keys travel packed, a row for each bucket of a task, and those of two or more classes come out with all their members."""
+    rng = np.random.default_rng(7)
+    keys = rng.integers(-(1 << 62), 1 << 62, 900)[rng.integers(0, 900, (500, 4))]
+    keys[:200, 0] = 5  # salted
+    rows = [(i, k.tolist()) for i, k in enumerate(keys)]
+    classes = spark.createDataFrame(rows, "id long, keys array<long>")
+    monkeypatch.setattr(buckets, "DRAWN", 1)
+    monkeypatch.setattr(buckets, "BLOCK", 50)
+    salts = buckets.Salts([(5, 4)])
+    packed = list(buckets.packed_rows(iter(classes.toArrow().to_batches()), 3, salts))
+    assert sum(b.num_rows for b in packed) <= 3 * len(packed)
+    got = [tuple(r) for r in buckets.shared(classes).collect()]
+    members = Counter(k for _, ks in rows for k in ks)
+    want = sorted((k, i) for i, ks in rows for k in ks if members[k] > 1)
+    assert sorted((k, i) for k, _, i in got) == want
+    assert {s for k, s, _ in got if k == 5} == {1, 2, 3, 4} and {s for k, s, _ in got if k != 5} == {0}
