@@ -76,9 +76,13 @@ class Salts:
         return out
 
 
-def shared(classes: DataFrame) -> DataFrame:
+def shared(classes: DataFrame, score: Score | None = None) -> DataFrame:
     """(key, salt, id) of the keys that two classes or more have, in one exchange.
 
+    A score may have ``marks``, a number for each class, and tell by ``meets`` of two
+    of them whether the classes may be similar.  Marks then travel along, and members of
+    keys that are never dense come out only if a mark of their company allows it.
+
     Keys and ids travel packed, as many in a row as a task has for one of the buckets
     that they are dealt to.  Keys of which a hash sample of the classes suggests more than
     BLOCK members are dealt to several groups by salts; the sample decides on nothing
@@ -88,9 +92,10 @@ def shared(classes: DataFrame) -> DataFrame:
     hot = drawn.where(F.col("drawn") * DRAWN > 2 * BLOCK).select("key", F.ceil(F.col("drawn") * DRAWN / BLOCK).alias("salts"))
     salts = Salts([(r.key, r.salts) for r in hot.collect()])
     n = max(buckets_for(classes.sparkSession), -(-classes.count() // PACKED))
-    packed = classes.select("id", "keys").mapInArrow(lambda it: packed_rows(it, n, salts), "bucket int, packed binary")
+    asked = ("id", "keys", "n", "sketch") if hasattr(score, "marks") else ("id", "keys")
+    packed = classes.select(*asked).mapInArrow(lambda it: packed_rows(it, n, salts, score), "bucket int, packed binary")
     packed = packed.repartition(n, "bucket").sortWithinPartitions("bucket")
-    return cut(packed.mapInArrow(lambda it: shared_rows(it, salts), "key long, salt int, id long"), "shared")
+    return cut(packed.mapInArrow(lambda it: shared_rows(it, salts, score), "key long, salt int, id long"), "shared")
 
 
 def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,14 +103,16 @@ def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(longs(b.column(0)).reshape(-1).view(np.int64))], names=["key"])
 
 
-def packed_rows(batches: Iterator[pa.RecordBatch], n: int, salts: Salts) -> Iterator[pa.RecordBatch]:
-    """(bucket, packed) of (id, keys): the keys and ids that go to a bucket, as the bytes of two longs each."""
+def packed_rows(batches: Iterator[pa.RecordBatch], n: int, salts: Salts, score: Score | None = None) -> Iterator[pa.RecordBatch]:
+    """(bucket, packed) of (id, keys) or (id, keys, n, sketch): the keys, ids and marks that go to a bucket, as the bytes of two or three longs each."""
     held: list[np.ndarray] = []
     for b in chain(batches, [None]):
         if b is not None and b.num_rows:
             keys = longs(b.column(1)).view(np.int64)
-            ids = np.repeat(b.column(0).to_numpy(zero_copy_only=False), keys.shape[1])
-            held.append(np.stack([keys.reshape(-1), ids], axis=1))
+            own = [b.column(0).to_numpy(zero_copy_only=False)]
+            if b.num_columns > 2:
+                own.append(score.marks(longs(b.column(3)), b.column(2).to_numpy(zero_copy_only=False)).view(np.int64))
+            held.append(np.stack([keys.reshape(-1), *(np.repeat(x, keys.shape[1]) for x in own)], axis=1))
         if not held or (b is not None and sum(map(len, held)) < HELD):
             continue
         both, held = np.concatenate(held), []
@@ -114,28 +121,45 @@ def packed_rows(batches: Iterator[pa.RecordBatch], n: int, salts: Salts) -> Iter
         order = np.argsort(bucket, kind="stable")
         both, bucket = both[order], bucket[order]
         start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-        ends = np.append(start, len(both)).astype(np.int64) * 16
+        ends = np.append(start, len(both)).astype(np.int64) * both.shape[1] * 8
         packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(both)])
         yield pa.RecordBatch.from_arrays([pa.array(bucket[start]), packed.cast(pa.binary())], names=["bucket", "packed"])
 
 
-def shared_rows(batches: Iterator[pa.RecordBatch], salts: Salts) -> Iterator[pa.RecordBatch]:
+def shared_rows(batches: Iterator[pa.RecordBatch], salts: Salts, score: Score | None = None) -> Iterator[pa.RecordBatch]:
     """(key, salt, id) of packed rows sorted by bucket: those that have company, and all of salted keys."""
+    width = 3 if hasattr(score, "marks") else 2
     last, held = -1, []
     for bucket, packed in chain((x for b in batches for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)), [(None, b"")]):
         if bucket != last and held:
-            key, i = np.frombuffer(b"".join(held), np.int64).reshape(-1, 2).T
-            key, i, held = key.copy(), i.copy(), []
+            key, i, *mark = (x.copy() for x in np.frombuffer(b"".join(held), np.int64).reshape(-1, width).T)
+            held = []
             salt = salts.of(key, i)
             order = np.lexsort((salt, key)) if salt.any() else np.argsort(key)
             key, salt, i = key[order], salt[order], i[order]
             same = (key[1:] == key[:-1]) & (salt[1:] == salt[:-1])
             take = np.flatnonzero(np.append(False, same) | np.append(same, False) | (salt > 0))
+            if mark:
+                take = take[paired(key[take], salt[take], mark[0][order[take]].view(np.uint64), score)]
             yield pa.RecordBatch.from_arrays([pa.array(x[take]) for x in (key, salt, i)], names=["key", "salt", "id"])
         last = bucket
         held.append(packed)
 
 
+def paired(key: np.ndarray, salt: np.ndarray, mark: np.ndarray, score: Score) -> np.ndarray:
+    """Which members of sorted keys some other one may be similar to, by their marks; all of salted keys, and of those large enough to be dense."""
+    start = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]))) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.append(start, len(key)))
+    end = np.repeat(start + size, size)
+    out = np.repeat(size > 2 * FEW + 1, size) | (salt > 0)
+    live, step = np.flatnonzero(~out), 1
+    while len(live := live[live + step < end[live]]):
+        x = live[score.meets(mark[live], mark[live + step])]
+        out[x] = out[x + step] = True
+        step += 1
+    return out
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[list[np.ndarray]]:
     """The columns of sorted rows, cut only where the first ``by`` columns change; the last is an array."""
     held: list[list[np.ndarray]] = []
@@ -379,7 +403,7 @@ def linked(classes: DataFrame, bodies: Callable[[DataFrame], DataFrame], same: C
     ``same`` holds for their bodies.  ``score`` is asked before; ``parts`` are what
     the members of dense and of salted keys meet by.
     """
-    meet = shared(classes)
+    meet = shared(classes, score)
     first = cut(first_pairs(meet, classes, score), "pairs")
     links = verified(first.where("hard IS NULL").select("a", "b"), bodies, same)
     hard = cut(first.where("hard IS NOT NULL").select(F.col("hard").alias("key")).distinct(), "hard")

@@ -50,14 +50,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, hashes: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
-    Cuts the lineage with a copy that survives the loss of any executor.
+    Cuts the lineage with a copy that survives the loss of any executor.  No dictionary
+    is tried for the columns ``hashes``, of which the values hardly repeat.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**{f"parquet.enable.dictionary#{c}": "false" for c in hashes}).option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

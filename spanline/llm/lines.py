@@ -4,7 +4,7 @@ A SimHash gives each bit the sign of a weighted sum over a line's words, each ad
 or taking away its weight by a random bit of its own.  With equal weights, lines of edit
 similarity 0.8 differ in a fifth of all bits, and no block long enough to tell lines
 apart agrees.  Here a word has another weight in each of BLOCKS blocks of 16 bits:
-u ** -TAIL for a random u from 0 to 1, so that mostly few words decide a block, and the
+u ** -8 for a random u from 0 to 1, so that mostly few words decide a block, and the
 blocks of two lines agree as a whole nearly as often as their words do (2/3 or more).
 Words of up to SHORT bytes, which say little, have a u four times as large.
 
@@ -33,8 +33,10 @@ TABLES = BLOCKS // EACH
 PARITIES = 4
 #: Bytes of the words that have little weight.
 SHORT = 3
-#: The power of the weights' tail.
-TAIL = 8
+#: The power of the weights' tail, 2 ** DOUBLED.
+DOUBLED = 3
+#: The largest size that a mark tells.
+MOST = (1 << 16) - 1
 #: Above it three times a number is out of range, and all words are near.
 FAR = np.uint64((1 << 64) // 3 - 1)
 #: Occurrences of a line from which they are joined apart from the others.
@@ -64,7 +66,7 @@ def line_words(data: np.ndarray, offsets: np.ndarray):
 def sized_words(data: np.ndarray, offsets: np.ndarray):
     """As :func:`line_words`, and the words' lengths in bytes."""
     starts, ends, row = line_bounds(data, offsets)
-    low = tk.LOWER[data]
+    low = tk.lower(data)
     begin, end, first = tk.words(low, np.append(starts, len(data)), tk.ALNUM)
     h = tk.span_hash(tk.prefix_hash(low), begin, end)
     head = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
@@ -79,19 +81,20 @@ def simhashes(h: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     odd number of.  Putting in or taking out a word flips one bit and a changed
     word at most two.
     """
-    out, parity = np.zeros((len(first) - 1, TABLES), np.uint64), np.zeros((len(first) - 1, PARITIES), np.uint64)
+    out, parity = np.zeros((TABLES, len(first) - 1), np.uint64), np.zeros((len(first) - 1, PARITIES), np.uint64)
     some = np.flatnonzero(np.diff(first))
     if len(some):
+        begin, n = first[:-1][some], np.diff(first)[some]
         bit = np.uint64(1) << ((h >> np.uint64(56)) & np.uint64(63))
         for i in range(PARITIES):
-            parity[some, i] = np.bitwise_xor.reduceat(np.where(h >> np.uint64(62) == np.uint64(i), bit, np.uint64(0)), first[:-1][some])
+            parity[some, i] = np.bitwise_xor.reduceat(np.where(h >> np.uint64(62) == np.uint64(i), bit, np.uint64(0)), begin)
         odd = tk.mix(np.arange(1, BLOCKS + 1, dtype=np.uint64) * tk.MULT) | np.uint64(1)
         lift = np.where(size > SHORT, np.uint64(2), np.uint64(0))
-        begin, n = first[:-1][some], np.diff(first)[some]
+        drawn = np.empty_like(h)
         for i in range(BLOCKS):
-            block = signs((h * odd[i]) >> lift, begin, n)
-            out[some, i // EACH] |= block << np.uint64(16 * (i % EACH))
-    return np.concatenate([out | (np.arange(TABLES, dtype=np.uint64) << np.uint64(16 * EACH))[None], parity], axis=1)
+            np.right_shift(np.multiply(h, odd[i], out=drawn), lift, out=drawn)
+            out[i // EACH, some] |= signs(drawn, begin, n) << np.uint64(16 * (i % EACH))
+    return np.concatenate([out.T | (np.arange(TABLES, dtype=np.uint64) << np.uint64(16 * EACH))[None], parity], axis=1)
 
 
 def signs(drawn: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -105,7 +108,9 @@ def signs(drawn: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     near = np.flatnonzero(drawn <= np.repeat(np.minimum(least, FAR) * np.uint64(3), size))
     start = np.searchsorted(near, begin)
     line = np.repeat(np.arange(len(begin)), np.diff(np.append(start, len(near))))
-    weight = ((least[line].astype(np.float64) + 1) / (drawn[near].astype(np.float64) + 1)) ** TAIL
+    weight = (least.astype(np.float64) + 1)[line] / (drawn[near].astype(np.float64) + 1)
+    for _ in range(DOUBLED):
+        weight *= weight
     out = tk.mix(least) & np.uint64(0xFFFF)  # the heaviest word's bits
     open_ = np.flatnonzero(np.add.reduceat(weight, start) >= 2)
     if len(open_):
@@ -149,6 +154,19 @@ class likeness:  # noqa: N801
         out[self.near(n[p], n[q], lambda at, t: (sk[p[at], t], sk[q[at], t]))] = True
         return out
 
+    def marks(self, sk: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """A number for each row: its size, MOST at most, above the parities of 48 classes of words, 256 folded."""
+        fold = np.bitwise_xor.reduce(sk[:, TABLES:], axis=1)
+        fold = (fold ^ (fold >> np.uint64(48))) & np.uint64((1 << 48) - 1)
+        return np.minimum(n, MOST).astype(np.uint64) << np.uint64(48) | fold
+
+    def meets(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether rows with these marks may be similar; a word flips one parity here too, so no pair that ``may`` be is left out."""
+        n, m = ((v >> np.uint64(48)).astype(np.int64) for v in (x, y))
+        small, large = np.minimum(n, m), np.maximum(n, m)
+        most = 2 * edits(large, self.similarity) - large + small
+        return (small >= self.similarity * large - 1e-9) & ((large == MOST) | (np.bitwise_count((x ^ y) << np.uint64(16)) <= most))
+
     def near(self, n: np.ndarray, m: np.ndarray, columns) -> np.ndarray:
         """The pairs that sizes and parities, asked for by ``columns`` in turn, don't rule out."""
         small, large = np.minimum(n, m), np.maximum(n, m)
@@ -181,6 +199,8 @@ def edits(n, similarity: float):
 
 
 ROW = "doc_id {}, body long"
+#: Columns that hardly repeat.
+HASHES = ("hi", "lo", "sketch")
 
 
 def line_rows(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
@@ -230,7 +250,7 @@ def pick_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bounds = np.append(0, np.cumsum(size + 1))
             low = np.full(bounds[-1], 0x0A, np.uint8)
             inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            low[np.repeat(bounds[:-1], size) + inner] = tk.LOWER[data[np.repeat(starts[k], size) + inner]]
+            low[np.repeat(bounds[:-1], size) + inner] = tk.lower(data[np.repeat(starts[k], size) + inner])
             begin, end, first = tk.words(low, bounds, tk.ALNUM)
             h = (tk.span_hash(tk.prefix_hash(low), begin, end) >> np.uint64(32)).astype(np.uint32)
             body = [h[x:y].tobytes() for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
@@ -311,6 +331,8 @@ def few_edits(x: np.ndarray, y: np.ndarray, most: int) -> bool:
 
 #: Words of the longest lines that are compared many pairs at once, how many pairs that takes, and bytes of one such step.
 MANY, LEAST, STEP = 512, 40, 1 << 20
+#: Words of the pairs of which those in common are counted at once.
+BAGS = 1 << 17
 
 
 class alike:  # noqa: N801
@@ -335,6 +357,13 @@ class alike:  # noqa: N801
             x, y = (np.frombuffer(b"".join([v[i] for i in even.tolist()]), np.uint32) for v in (p, q))
             out[even] = np.add.reduceat(x != y, np.cumsum(n[even]) - n[even], dtype=np.int64) <= most[even]
         near &= ~out
+        # Most of the others lack too many words of each other, or stand in another order.
+        tried = np.flatnonzero(near & (np.maximum(n, m) <= MANY))
+        near[tried] = False
+        for rows in np.split(tried, np.flatnonzero(np.diff(np.cumsum(n[tried] + m[tried]) // BAGS)) + 1):
+            for size in (1, 2):
+                rows = rows[in_common(p, q, rows, size) >= np.maximum(n, m)[rows] - size + 1 - size * most[rows]]
+            near[rows] = True
         wide = np.where(near & (np.maximum(n, m) <= MANY), -(-n // 64), 0)
         wide[np.bincount(wide)[wide] < LEAST] = 0
         for k in np.flatnonzero((wide == 0) & ~out & (near | (np.minimum(n, m) == 0))).tolist():
@@ -350,6 +379,30 @@ class alike:  # noqa: N801
         return out
 
 
+def in_common(p: list[bytes], q: list[bytes], rows: np.ndarray, size: int) -> np.ndarray:
+    """How many runs of ``size`` words, 1 or 2, the lines of each pair share, repeated ones counted.
+
+    An edit changes ``size`` runs of a line at most (Ukkonen 1992).  Runs of equal hash count as equal.
+    """
+    sides = []
+    for side, v in enumerate((p, q)):
+        some = [v[k] for k in rows.tolist()]
+        pair = np.repeat(np.arange(len(rows), dtype=np.uint64), np.fromiter(map(len, some), np.int64, len(some)) // 4)
+        x = np.frombuffer(b"".join(some), np.uint32)
+        if size == 2:
+            same = pair[1:] == pair[:-1]
+            x, pair = (x[:-1] * np.uint32(0x9E3779B1) + x[1:])[same], pair[1:][same]
+        sides.append(pair << np.uint64(33) | x.astype(np.uint64) << np.uint64(1) | np.uint64(side))
+    both = np.sort(np.concatenate(sides))
+    if not len(both):
+        return np.zeros(len(rows), np.int64)
+    run = both >> np.uint64(1)
+    start = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+    right = np.add.reduceat((both & np.uint64(1)).astype(np.int64), start)
+    common = np.minimum(right, np.diff(np.append(start, len(both))) - right)
+    return np.bincount((run[start] >> np.uint64(32)).astype(np.int64), common, len(rows)).astype(np.int64)
+
+
 def within_many(x: np.ndarray, n: np.ndarray, y: np.ndarray, m: np.ndarray, most: np.ndarray, wide: int) -> np.ndarray:
     """:func:`within` for many pairs of word sequences, one after the other in ``x`` and ``y``.
 
@@ -443,16 +496,16 @@ def repeated(docs: DataFrame, similarity: float = 0.8, text: str = "text") -> Da
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = with_body(docs, text)
-    lines = cut(texts.mapInArrow(lambda it: line_rows(it, similarity), ROW.format(kind) + ", line long, hi long, lo long, n long, sketch binary"), "lines")
+    lines = cut(texts.mapInArrow(lambda it: line_rows(it, similarity), ROW.format(kind) + ", line long, hi long, lo long, n long, sketch binary"), "lines", HASHES)
     at = F.struct("doc_id", "body", "line")
     classes = lines.groupBy("hi", "lo").agg(F.min(at).alias("at"), F.count("*").alias("times"), F.first("n").alias("n"), F.max("sketch").alias("sketch"))
-    classes = cut(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    classes = cut(classes.withColumn("id", F.monotonically_increasing_id()), "classes", HASHES)
     fuzzy = classes.where(F.length("sketch") > 0).select("id", "n", "sketch", F.substring("sketch", 1, 8 * TABLES).alias("keys"))
     links = linked(fuzzy, lambda ids: words_of(texts, classes, ids), alike(similarity), likeness(similarity), numbered(similarity))
     comps = components(links).withColumnRenamed("node", "id")
     of = classes.select("hi", "lo", "id", "at", "times").join(comps, "id", "left")
     # What is linked with nothing and occurs once stays, and needs no more work.
-    of = of.where("component IS NOT NULL OR times > 1").withColumn("component", F.coalesce("component", "id"))
+    of = cut(of.where("component IS NOT NULL OR times > 1").withColumn("component", F.coalesce("component", "id")), "groups", HASHES[:2])
     low = of.groupBy("component").agg(F.min("at").alias("keep"), F.sum("times").alias("total")).where("total > 1")
     of = cut(of.join(low, "component").select("hi", "lo", "keep", "times"), "keepers")
     on = ["hi", "lo"]

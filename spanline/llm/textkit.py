@@ -61,6 +61,16 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
+def looked_up(data: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """``table[data]`` for a table of 256 bytes or booleans."""
+    return np.frombuffer(data.tobytes().translate(table.tobytes()), table.dtype)
+
+
+def lower(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z in lower case."""
+    return looked_up(data, LOWER)
+
+
 def slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of consecutive rows of a string or binary column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -83,7 +93,9 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     """C with C[i] the polynomial hash sum of the first i bytes."""
     up, _ = powers(len(data) + 1)
     out = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(byte_values()[data] * up[: len(data)], out=out[1:])
+    values = byte_values().take(data.astype(np.intp))
+    values *= up[: len(data)]
+    np.cumsum(values, out=out[1:])
     return out
 
 
@@ -98,7 +110,7 @@ def words(data: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tuple[np
     """(starts, ends, first): word bounds, and for each row the index of its first word (one more at the end)."""
     inside = np.empty(len(data) + 2, dtype=bool)
     inside[0] = inside[-1] = False
-    inside[1:-1] = member[data]
+    inside[1:-1] = looked_up(data, member)
     at = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = at[0::2], at[1::2]
     inner = np.unique(offsets[1:-1])
@@ -112,7 +124,7 @@ def words(data: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tuple[np
 
 def word_hashes(data, offsets, member):
     """Lower-cased word hashes of a slice, with ``first`` as in :func:`words`."""
-    low = LOWER[data]
+    low = lower(data)
     starts, ends, first = words(low, offsets, member)
     return span_hash(prefix_hash(low), starts, ends), first
 

@@ -288,3 +288,44 @@ def test_packed_keys_meet(spark, monkeypatch):
     want = sorted((k, i) for i, ks in rows for k in ks if members[k] > 1)
     assert sorted((k, i) for k, _, i in got) == want
     assert {s for k, s, _ in got if k == 5} == {1, 2, 3, 4} and {s for k, s, _ in got if k != 5} == {0}
+
+
+def test_lines_in_another_order_need_no_table(monkeypatch):
+    """Pairs that lack words of each other, or have them in another order, are told apart before they are compared word by word."""
+    rng = np.random.default_rng(8)
+    tried = []
+    real = lines.within_many
+    monkeypatch.setattr(lines, "within_many", lambda x, n, *rest: tried.append(len(n)) or real(x, n, *rest))
+    monkeypatch.setattr(lines, "BAGS", 5000, raising=False)
+    base = [rng.integers(0, 1 << 32, 150).astype(np.uint32) for _ in range(200)]
+    p = [x.tobytes() for x in base]
+    near = [np.append(x[5:], x[:8]).tobytes() for x in base]
+    far = [np.append(rng.permutation(x), x[:1]).tobytes() for x in base]
+    other = [np.append(x[:60], rng.integers(0, 1 << 32, 95)).astype(np.uint32).tobytes() for x in base]
+    got = lines.alike(0.8).many(p * 3, near + far + other)
+    assert got.tolist() == [True] * 200 + [False] * 400
+    assert sum(tried) == 200
+
+
+def test_company_that_cannot_be_similar_is_left_out():
+    """Members of a small key come out only if sizes and parities of their company allow a link; no pair that may be one is lost."""
+    rng = np.random.default_rng(9)
+    size = rng.integers(5, 40, 400)
+    first = np.append(0, np.cumsum(size))
+    h = rng.integers(0, 1 << 63, first[-1]).astype(np.uint64) * np.uint64(2)
+    for k in range(0, 400, 4):  # every fourth line is near the next one
+        n = min(size[k], size[k + 1])
+        h[first[k + 1] : first[k + 1] + n] = h[first[k] : first[k] + n]
+    sk, score = lines.simhashes(h, first, np.full(len(h), 9)), lines.likeness(0.8)
+    a, b = np.triu_indices(400, 1)
+    mark = score.marks(sk, size)
+    meets, may = score.meets(mark[a], mark[b]), score.may(sk, size, a, b)
+    assert may.sum() > 10 and meets[may].all() and meets.sum() < len(a) / 20
+    key = np.repeat(np.arange(100), 4)
+    want = {x for i, j in zip(a[meets], b[meets]) if key[i] == key[j] for x in (int(i), int(j))}
+    got = buckets.paired(key, np.zeros(400, np.int32), mark, score)
+    assert set(np.flatnonzero(got).tolist()) == want and 0 < len(want) < 300
+    assert buckets.paired(np.zeros(400, np.int64), np.zeros(400, np.int32), mark, score).all()
+    long = np.array([70_000, 90_000, 65_535, 1000])
+    mark = score.marks(sk[:4], long)
+    assert score.meets(mark[:2], mark[[1, 2]]).all() and not score.meets(mark[:1], mark[3:]).any()
