@@ -9,44 +9,68 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanline.llm.common import components, cut
+from spanline.llm.buckets import longs
+from spanline.llm.common import buckets_for, components, cut
 
-#: Least width in bits of a table's part of a code; parts that differ in two bits at most meet.
-#: Parts are as wide as the largest label has doublings, so that what meets by chance grows only with their square.
-PART = 13
-#: Share of vectors turned to the threshold at random that must meet, which sets the number of tables.
-MEET = 0.998
-#: Most rotations, of 64 bits each; where they don't do, parts are made narrower.
-ROTATIONS = 8
-#: Bits of a 64-bit code in which candidates may differ.
-RADIUS = 20
+#: Share of vectors turned to the threshold that must meet, which sets the number of tables.
+MEET = 0.9998
+#: Turned vectors that the tables are tried on.
+TURNED = 10_000
+#: Rotations, of 64 bits each.
+ROTATIONS = 4
+#: Bits in which candidates may differ at least, in the first code and in all of them.
+RADIUS, WIDE = 20, 60
+#: Most tables of either kind; where they don't do, their parts are made narrower.
+TABLES = 96
+#: Codes that meet in one cell; larger cells are dealt as pairs of blocks.
+CELL = 1 << 17
+#: Codes of a cell up to which all pairs are tried, of many cells or of one at once.
+SMALL, TRIED = 512, 1 << 14
+#: Components of vectors that meet in one cell, and of those that are compared at once.
+HELD, COMPARED = 1 << 22, 1 << 20
+#: Pairs that are gathered before more is asked of them.
+AT_ONCE = 1 << 16
+#: Rows for each partition of an exchange of cells.
+ROWS = 100_000
 
 
 class Codes:
     """Rotations learned by iterative quantisation, the codes they give, and the tables over these.
 
-    Each rotation is learned from another start.  A table is a part (rotation,
-    shift, width) of a code; tables are added until of sample vectors, each turned
-    at random to the threshold, a share of MEET meets itself in one.
+    Each rotation is learned from another start.  A table is a part (rotation, mask)
+    of a code, in which near vectors agree.  ``cells`` are the few, narrow ones by
+    which labels too large for a task are dealt, ``tables`` those that are looked up
+    within a cell: their parts are as wide as the largest cell asks for, so that what
+    meets by chance doesn't follow its size.  Of sample vectors, turned to the
+    threshold at random or towards each other, a share of MEET meets itself in one of
+    each; parts of no bits, in which all meet, are the last resort.
     """
 
     def __init__(self, sample: np.ndarray, least: float, largest: int, seed: int = 0):
-        unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-        self.dim = sample.shape[1]
+        unit = scaled(sample)
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        self.dim, self.seed = sample.shape[1], seed
         self.bits = min(64, self.dim)
         self.mean = unit.mean(axis=0)
-        _, vec = np.linalg.eigh(np.cov((unit - self.mean).T).reshape(self.dim, self.dim))
+        _, vec = np.linalg.eigh((unit - self.mean).T @ (unit - self.mean) / len(unit))
         self.base = vec[:, ::-1][:, : self.bits]
-        self.maps, self.middles = [], []
+        self.maps, self.middles, self.random = [], [], {}
+        for r in range(ROTATIONS):
+            self._learn(unit, seed + r)
         rng = np.random.default_rng(seed)
-        some = unit[:2000]
+        some = unit[np.arange(TURNED) % len(unit)]
         turn = rng.normal(size=some.shape)
+        turn[::2] = unit[rng.integers(0, len(unit), len(turn[::2]))]
         turn -= (turn * some).sum(axis=1, keepdims=True) * some
-        turn /= np.linalg.norm(turn, axis=1, keepdims=True) + 1e-12
-        turned = least * some + np.sqrt(1 - least * least) * turn
-        width = max(PART, int(largest).bit_length())
-        while not self._choose(unit, some, turned, min(width, self.bits), seed):
-            width -= 1
+        length = np.linalg.norm(turn, axis=1, keepdims=True)
+        turned = least * some + np.sqrt(1 - least * least) * turn / np.maximum(length, 1e-12)
+        turned = np.where(length > 1e-6, turned, some)
+        diff = self(some) ^ self(turned)
+        flips = np.bitwise_count(diff)
+        self.limits = max(RADIUS, reach(flips[:, 0])), max(WIDE, reach(flips.sum(axis=1)))
+        everyone = np.ones(len(diff), bool)
+        self.cells, dealt = self._tables(diff, everyone, (max(largest - 1, 0) // CELL).bit_length(), (1 + MEET) / 2)
+        self.tables, _ = self._tables(diff, dealt, max(min(largest, CELL).bit_length() - 4, 0), MEET)
 
     def _learn(self, unit: np.ndarray, seed: int, rounds: int = 30) -> None:
         v = (unit - self.mean) @ self.base
@@ -57,36 +81,49 @@ class Codes:
         self.maps.append(self.base @ rot)
         self.middles.append(np.median(v @ rot, axis=0))  # balanced: each bit splits the sample in half
 
-    def _choose(self, unit, x, y, width: int, seed: int) -> bool:
-        self.tables = []
-        met = np.zeros(len(x), bool)
-        for r in range(ROTATIONS):
-            if r == len(self.maps):
-                self._learn(unit, seed + r)
-            diff = (self.code(x, r) ^ self.code(y, r)).view(np.uint64)
-            for shift, own in parts(self.bits, width):
-                self.tables.append((r, shift, own))
-                met |= np.bitwise_count((diff >> np.uint64(shift)) & np.uint64((1 << own) - 1)) <= 2
-            if met.mean() >= MEET:
-                return True
-        return width <= PART
-
-    def code(self, unit: np.ndarray, r: int) -> np.ndarray:
-        out = np.zeros((len(unit), 64), np.uint8)
-        out[:, : self.bits] = (unit - self.mean) @ self.maps[r] > self.middles[r]
-        return np.packbits(out, axis=1).view(">u8").astype(np.int64).ravel()
+    def _tables(self, diff: np.ndarray, among: np.ndarray, width: int, enough: float) -> tuple[list[tuple[int, np.uint64]], np.ndarray]:
+        """Tables of so many bits drawn at random, and which of the differences they miss no more of than asked for."""
+        rng = np.random.default_rng(self.seed)
+        width = min(width, self.bits)
+        while True:
+            tables, spare, met = [], [np.zeros(0, np.int64)] * ROTATIONS, np.zeros(len(diff), bool)
+            while (met & among).mean() < min(enough, among.mean()) and len(tables) < (TABLES if width else 1):
+                r = len(tables) % ROTATIONS
+                if len(spare[r]) < width:
+                    spare[r] = rng.permutation(self.bits)
+                own, spare[r] = spare[r][:width], spare[r][width:]
+                tables.append((r, np.uint64(sum(1 << (63 - int(b)) for b in own))))
+                met |= diff[:, r] & tables[-1][1] == 0
+            if (met & among).mean() >= min(enough, among.mean()):
+                return tables, met & among
+            width -= 1
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
-        """One column of codes for each rotation that the tables use."""
+        """One column of codes for each rotation; vectors of other lengths have codes of random planes."""
+        d = x.shape[1]
+        if d != self.dim and d not in self.random:
+            planes = np.random.default_rng([self.seed, d]).normal(size=(ROTATIONS, d, 64))
+            self.random[d] = [np.linalg.qr(p)[0] if d >= 64 else p for p in planes]
+        x = scaled(x)
         unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-        return np.stack([self.code(unit, r) for r in range(self.tables[-1][0] + 1)], axis=1)
+        codes = []
+        for r in range(ROTATIONS):
+            out = np.zeros((len(unit), 64), np.uint8)
+            if d == self.dim:
+                out[:, : self.bits] = (unit - self.mean) @ self.maps[r] > self.middles[r]
+            else:
+                out[:] = unit @ self.random[d][r] > 0
+            codes.append(np.packbits(out, axis=1).view(">u8").astype(np.uint64).ravel())
+        return np.stack(codes, axis=1)
+
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    return x / np.abs(x).max(axis=1, keepdims=True)
 
-def parts(bits: int, width: int) -> list[tuple[int, int]]:
-    """(shift, width) of the parts of a 64-bit code whose upper ``bits`` are used."""
-    n = max(1, round(bits / width) if width <= PART else bits // width)
-    edge = [bits * i // n for i in range(n + 1)]
-    return [(64 - edge[i + 1], edge[i + 1] - edge[i]) for i in range(n)]
+
+def reach(flips: np.ndarray) -> int:
+    """Bits that next to no pair at the threshold exceeds."""
+    return int(max(flips.max(), np.ceil(flips.mean() + 5 * flips.std())))
 
 
 def valid(vector: str) -> F.Column:
@@ -95,13 +132,124 @@ def valid(vector: str) -> F.Column:
     return v.isNotNull() & F.coalesce(good, F.lit(False)) & F.exists(v, lambda x: x != 0)
 
 
-def linked(vectors: DataFrame, least: float = 0.93, sample_rows: int = 20_000, key: str = "vec_id", vector: str = "embedding", group: str = "label"):
-    """(classes, links): classes of equal (group, vector), and links (u, v, cosine) between their ids.
+def whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Sorted rows, cut only where the first column changes."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cell = b.column(0).to_numpy()
+        other = np.flatnonzero(cell != cell[-1])
+        at = int(other[-1]) + 1 if len(other) else 0
+        if at:
+            yield pa.Table.from_batches([*held, b.slice(0, at)])
+            held = []
+        elif held and held[-1].column(0)[-1].as_py() != cell[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        held.append(b.slice(at))
+    if held:
+        yield pa.Table.from_batches(held)
 
-    Rotations are fitted on at most ``sample_rows`` vectors of the most frequent
-    length, those with the smallest hashes of ``key``; every vector is indexed.
-    Vectors of other lengths are compared by the same tables over signs of their
-    own components.
+
+def runs(key: np.ndarray, one: np.ndarray, done: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(x, y, bits): pairs of places with equal, sorted keys, and the bits in which their codes ``one`` differ.
+
+    One pass for each distance compares all runs at once.  Of pairs of ``done`` places,
+    which come last in their runs, there are none.
+    """
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))[: len(key)]
+    size = np.diff(np.append(start, len(key)))
+    end = np.repeat(start + size, size)
+    live, step = np.arange(len(key)) if done is None else np.flatnonzero(~done), 1
+    while len(live := live[live + step < end[live]]):
+        yield live, live + step, np.bitwise_count(one[live] ^ one[live + step])
+        step += 1
+
+
+def everything(one: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """As :func:`runs`, of all places."""
+    places = np.arange(len(one))
+    for step in range(1, len(one)):
+        yield places[:-step], places[step:], np.bitwise_count(one[:-step] ^ one[step:])
+
+
+def gathered(pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Many at once, the pairs that differ in no more bits than ``limit``."""
+    held, many = [], 0
+    for x, y, bits in pairs:
+        at = np.flatnonzero(bits <= limit)
+        if len(at):
+            held.append((x[at], y[at]))
+            many += len(at)
+        if many >= AT_ONCE:
+            yield tuple(np.concatenate(z) for z in zip(*held, strict=True))
+            held, many = [], 0
+    if held:
+        yield tuple(np.concatenate(z) for z in zip(*held, strict=True))
+
+
+def meeting(own: Codes, place: np.ndarray, side: np.ndarray, t: np.ndarray, codes: np.ndarray, marked: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows, sorted by place, that may be near, from the first cell and table where they meet only.
+
+    Where rows are just to be ``marked``, by who asks, pairs may come from any table, and
+    none of rows marked in an earlier one.
+    """
+    code = [np.ascontiguousarray(c) for c in codes.T]
+
+    def kept(x: np.ndarray, y: np.ndarray, tables: list[tuple[int, np.uint64]]) -> tuple[np.ndarray, np.ndarray]:
+        ok = (side[x] == 0) | (side[x] != side[y])
+        x, y = x[ok], y[ok]
+        for i, (r, mask) in enumerate([*own.cells[:-1], *tables]):
+            ok = (code[r][x] ^ code[r][y]) & mask != 0
+            if i < len(own.cells) - 1:
+                ok |= t[x] <= i
+            x, y = x[ok], y[ok]
+        ok = sum(np.bitwise_count(c[x] ^ c[y]).astype(np.int64) for c in code) <= own.limits[1]
+        return x[ok], y[ok]
+
+    start = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    size = np.diff(np.append(start, len(place)))
+    few = np.flatnonzero(np.repeat(size <= SMALL, size))
+    for x, y in gathered(runs(place[few], code[0][few]), own.limits[0]):
+        yield kept(few[x], few[y], [])
+    for lo, n in zip(start[size > SMALL], size[size > SMALL], strict=True):
+        if n <= TRIED:
+            for x, y in gathered(everything(code[0][lo : lo + n]), own.limits[0]):
+                yield kept(lo + x, lo + y, [])
+            continue
+        for i, (r, mask) in enumerate(own.tables):
+            key = code[r][lo : lo + n] & mask
+            order = np.argsort(key) if marked is None else np.lexsort((marked[lo : lo + n], key))
+            rows = lo + order
+            for x, y in gathered(runs(key[order], code[0][rows], None if marked is None else marked[rows]), own.limits[0]):
+                yield kept(rows[x], rows[y], own.tables[:i] if marked is None else [])
+
+
+def dealt(rows: DataFrame, most: int) -> DataFrame:
+    """``rows`` with the place where they are compared, and their side there, in the order of places.
+
+    Cells of more than twice ``most`` rows are parted into blocks, of which any two meet;
+    rows of other sides are compared then.
+    """
+    many = rows.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > 2 * most)
+    many = cut(many.select("cell", F.ceil(F.col("n") / most).cast("int").alias("blocks")), "large")
+    if many.isEmpty():
+        placed = rows.withColumn("place", F.col("cell")).withColumn("side", F.lit(0))
+    else:
+        own, other = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.col("other")
+        placed = rows.join(F.broadcast(many), "cell", "left").withColumn("own", own)
+        placed = placed.withColumn("other", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
+        placed = placed.withColumn("place", F.when(other < 0, F.col("cell")).otherwise(F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other"))))
+        placed = placed.withColumn("side", F.when((other < 0) | (F.col("own") == other), 0).when(F.col("own") < other, 1).otherwise(2))
+    n = max(buckets_for(rows.sparkSession), -(-rows.count() // ROWS))
+    return placed.repartition(n, "place").sortWithinPartitions("place")
+
+
+def candidates(vectors: DataFrame, least: float, sample_rows: int, key: str, vector: str, group: str):
+    """(classes, placed, codes): classes of equal (group, vector), those that may be near another, placed where they meet, and the broadcast :class:`Codes`.
+
+    Codes alone are compared first, so that vectors travel only where they are needed.
     """
     rows = vectors.where(F.col(group).isNotNull() & valid(vector)).select(
         F.col(key).alias("key"), F.col(group).cast("string").alias("label"), F.transform(vector, lambda x: x.cast("double") + F.lit(0.0)).alias("vec")
@@ -111,80 +259,126 @@ def linked(vectors: DataFrame, least: float = 0.93, sample_rows: int = 20_000, k
     classes = cut(classes.withColumn("cls", cls).withColumn("id", F.monotonically_increasing_id()), "classes")
     size = classes.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if size is None:
-        empty = classes.sparkSession.createDataFrame([], "u long, v long, cosine double")
-        return classes, empty
-    drawn = classes.where(F.size("vec") == size["d"]).select("vec", "cls").orderBy(F.xxhash64("rep"), "cls").limit(sample_rows).toArrow()
+        return classes, None, None
+    # Hashes so small that some four times as many are below: each task sorts its own, and all of them meet in one.
+    bound = min((1 << 63) - 1, int((1 << 64) * 4 * sample_rows / size["count"]) - (1 << 63))
+    hashed = classes.where(F.size("vec") == size["d"]).select("vec", "cls", F.xxhash64("cls").alias("h")).where(F.col("h") <= bound)
+    drawn = hashed.orderBy("h", "cls").limit(sample_rows).select("vec").toArrow()
     sample = np.array(drawn.column("vec").to_pylist(), dtype=np.float64)
-    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0]
+    largest, longest = classes.groupBy("label").agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d")).agg(F.max("n"), F.max("d")).first()
     fitted = Codes(sample, least, largest)
     codes = classes.sparkSession.sparkContext.broadcast(fitted)
-    width = fitted.tables[-1][0] + 1
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codes.value
         for b in batches:
-            out = np.zeros((b.num_rows, width), np.int64)
+            out = np.zeros((b.num_rows, ROTATIONS), np.uint64)
             lens = b.column(2).value_lengths().to_numpy()
             for d in np.unique(lens):
                 at = np.flatnonzero(lens == d)
-                x = b.column(2).take(pa.array(at)).flatten().to_numpy().reshape(len(at), d)
-                if d == own.dim:
-                    out[at] = own(x)
-                else:
-                    sign = np.zeros((len(at), 64), np.uint8)
-                    sign[:, : min(64, d)] = x[:, :64] > 0
-                    out[at] = np.packbits(sign, axis=1).view(">u8").astype(np.int64)
-            ends = pa.array(np.arange(0, out.size + 1, width, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(ends, pa.array(out.ravel())), pa.array(lens.astype(np.int32))], names=["id", "label", "codes", "d"])
-
-    coded = cut(classes.select("id", "label", "vec").mapInArrow(encode, "id long, label string, codes array<long>, d int"), "codes")
-    # Each code enters each table once as it is and once with each bit of its part turned:
-    # two codes whose parts differ in at most two bits then share an entry.
-    tables = fitted.tables
-    masks = [signed(((1 << w) - 1) << shift) for _, shift, w in tables]
-    entries = F.array(*[
-        F.struct(F.lit(t).alias("table"), F.lit(f).alias("flip"), F.get("codes", F.lit(r)).bitwiseXOR(F.lit(f)).bitwiseAND(F.lit(masks[t])).alias("part"))
-        for t, (r, shift, w) in enumerate(tables) for f in [0, *[signed(1 << (shift + i)) for i in range(w)]]
-    ])
-    probes = coded.select("id", "label", "codes", "d", F.explode(entries).alias("e")).select("id", "label", "codes", "d", "e.*")
-    a, b = probes.alias("a"), probes.alias("b")
-    diffs = [F.get("a.codes", F.lit(r)).bitwiseXOR(F.get("b.codes", F.lit(r))) for r in range(width)]
-    # A pair is taken from the first table where it meets, and there from one entry.
-    first = F.lit(False)
-    for t, m in enumerate(masks):
-        own = diffs[tables[t][0]].bitwiseAND(F.lit(m))
-        near = F.bit_count(own)
-        entry = F.col("a.flip") == F.when(near == 2, own.bitwiseAND(-own)).otherwise(F.lit(0).cast("long"))
-        here = (F.col("a.table") == t) & entry
-        for earlier in range(t):
-            here = here & (F.bit_count(diffs[tables[earlier][0]].bitwiseAND(F.lit(masks[earlier]))) > 2)
-        first = first | here
-    on = (F.col("a.label") == F.col("b.label")) & (F.col("a.d") == F.col("b.d")) & (F.col("a.table") == F.col("b.table")) & (F.col("a.part") == F.col("b.part"))
-    pairs = a.join(b, on & (F.col("a.id") < F.col("b.id")) & (F.bit_count(diffs[0]) <= RADIUS) & first).select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))
-
-    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lens = batch.column(2).value_lengths().to_numpy()
-            cosine = np.zeros(batch.num_rows)
-            for d in np.unique(lens):
-                at = np.flatnonzero(lens == d)
-                x, y = (batch.column(i).take(pa.array(at)).flatten().to_numpy().reshape(len(at), d) for i in (2, 3))
-                x, y = (v / np.abs(v).max(axis=1, keepdims=True) for v in (x, y))
-                cosine[at] = (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
-            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cosine)], names=["u", "v", "cosine"])
-            yield out.filter(pa.array(cosine >= least))
-
-    vecs = classes.select("id", "vec")
-    full = (
-        pairs.join(vecs.select(F.col("id").alias("u"), F.col("vec").alias("x")), "u")
-        .join(vecs.select(F.col("id").alias("v"), F.col("vec").alias("y")), "v")
-        .select("u", "v", "x", "y")
-    )
-    return classes, full.mapInArrow(rerank, "u long, v long, cosine double")
+                out[at] = own(b.column(2).take(pa.array(at)).flatten().to_numpy().reshape(len(at), d))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lens.astype(np.int32)), lists(out)], names=["id", "label", "d", "codes"])
+
+    coded = cut(classes.select("id", "label", "vec").mapInArrow(encode, "id long, label string, d int, codes array<long>"), "codes")
+    cells = F.array(*[F.xxhash64("label", "d", F.lit(t), F.get("codes", F.lit(r)).bitwiseAND(F.lit(int(mask.view(np.int64))))) for t, (r, mask) in enumerate(fitted.cells)])
+    probes = coded.select("id", "codes", F.posexplode(cells).alias("t", "cell"))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_cells(batches):
+            place, side, t = (rows.column(c).to_numpy() for c in ("place", "side", "t"))
+            code, marked = longs(rows.column("codes").combine_chunks()), np.zeros(rows.num_rows, bool)
+            for x, y in meeting(codes.value, place, side, t, code, marked):
+                marked[x] = marked[y] = True
+            yield from rows.select(["cell", "id", "t", "codes"]).filter(pa.array(marked)).to_batches()
+
+    found = dealt(probes, CELL).select("place", "side", "t", "cell", "id", "codes").mapInArrow(near, "cell long, id long, t int, codes array<long>")
+    found = cut(found.dropDuplicates(["cell", "id"]), "near")
+    placed = dealt(found.join(classes.select("id", F.xxhash64(F.lit(7), "label").alias("tag"), "copies", "vec"), "id"), max(SMALL, HELD // longest))
+    return classes, placed.select("place", "side", "t", "id", "codes", "tag", "copies", "vec"), codes
+
+
+def lists(x: np.ndarray) -> pa.ListArray:
+    """The rows of a matrix of unsigned numbers as arrays of longs."""
+    ends = np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(x).view(np.int64).ravel()))
+
+
+def reranked(own: Codes, rows: pa.Table, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(x, y, cosine) of the rows that are near, each pair once."""
+    place, side, t, tag = (rows.column(c).to_numpy() for c in ("place", "side", "t", "tag"))
+    vec = rows.column("vec").combine_chunks()
+    lens, at, own_rows = vec.value_lengths().to_numpy(), np.zeros(len(vec), np.int64), {}
+    for d in np.unique(lens):
+        of = np.flatnonzero(lens == d)
+        x = scaled(vec.take(pa.array(of)).flatten().to_numpy().reshape(len(of), d))
+        at[of], own_rows[d] = np.arange(len(of)), (x, (x * x).sum(axis=1))
+    for x, y in meeting(own, place, side, t, longs(rows.column("codes").combine_chunks())):
+        for d, (v, norm) in own_rows.items():
+            same = np.flatnonzero((lens[x] == d) & (lens[y] == d) & (tag[x] == tag[y]))
+            for part in np.array_split(same, -(-len(same) * int(d) // COMPARED) or 1):
+                p, q = at[x[part]], at[y[part]]
+                cosine = (v[p] * v[q]).sum(axis=1) / np.sqrt(norm[p] * norm[q])
+                ok = cosine >= least
+                yield x[part[ok]], y[part[ok]], cosine[ok]
+
+
+def linked(vectors: DataFrame, least: float = 0.93, sample_rows: int = 20_000, key: str = "vec_id", vector: str = "embedding", group: str = "label"):
+    """(classes, links): classes of equal (group, vector), and links (u, v, cosine) between their ids.
+
+    Rotations are fitted on at most ``sample_rows`` vectors of the most frequent
+    length, those whose classes have the smallest hashes; every vector is indexed.
+    Vectors of other lengths are compared by the same tables over signs of their
+    projections on random directions.
+    """
+    classes, placed, codes = candidates(vectors, least, sample_rows, key, vector, group)
+    if placed is None:
+        return classes, classes.sparkSession.createDataFrame([], "u long, v long, cosine double")
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_cells(batches):
+            i = rows.column("id").to_numpy()
+            for x, y, cosine in reranked(codes.value, rows, least):
+                yield pa.RecordBatch.from_arrays([pa.array(z) for z in (np.minimum(i[x], i[y]), np.maximum(i[x], i[y]), cosine)], names=["u", "v", "cosine"])
+
+    return classes, placed.mapInArrow(links, "u long, v long, cosine double")
+
+
+def summed(vectors: DataFrame, least: float = 0.93, sample_rows: int = 20_000, key: str = "vec_id", vector: str = "embedding", group: str = "label"):
+    """(classes, sums): as :func:`linked`, but sums (u, v, others) of the links that a class u has in one place.
+
+    ``others`` counts the rows of the classes linked with u, and v is one that can be
+    reached, so a dense group gives as many rows as members and not as links.
+    """
+    classes, placed, codes = candidates(vectors, least, sample_rows, key, vector, group)
+    if placed is None:
+        return classes, classes.sparkSession.createDataFrame([], "u long, v long, others long")
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_cells(batches):
+            i, copies = rows.column("id").to_numpy(), rows.column("copies").to_numpy()
+            others, root = np.zeros(len(i), np.int64), np.arange(len(i))
+            for x, y, _ in reranked(codes.value, rows, least):
+                np.add.at(others, x, copies[y])
+                np.add.at(others, y, copies[x])
+                root = joined(root, x, y)
+            u = np.flatnonzero(others)
+            yield pa.RecordBatch.from_arrays([pa.array(z) for z in (i[u], i[root[u]], others[u])], names=["u", "v", "others"])
+
+    return classes, placed.mapInArrow(sums, "u long, v long, others long")
 
 
-def signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
+def joined(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The first row that each row is joined to, directly or not, after ``x`` have been linked with ``y``."""
+    while True:
+        a, b = root[x], root[y]
+        apart = a != b
+        if not apart.any():
+            return root
+        x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+        root = root.copy()
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
 
 
 def groups(vectors: DataFrame, least: float = 0.93, key: str = "vec_id", vector: str = "embedding", group: str = "label", **options) -> DataFrame:
@@ -198,11 +392,10 @@ def groups(vectors: DataFrame, least: float = 0.93, key: str = "vec_id", vector:
     the result of each row's own vector.  No rows give no rows; extra columns are
     ignored.
     """
-    classes, links = linked(vectors, least, key=key, vector=vector, group=group, **options)
-    links = cut(links, "links")
-    both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    counts = both.join(classes.select(F.col("id").alias("v"), "copies"), "v").groupBy("u").agg(F.sum("copies").alias("others"))
-    comps = components(links.select("u", "v"))
+    classes, sums = summed(vectors, least, key=key, vector=vector, group=group, **options)
+    sums = cut(sums, "sums")
+    counts = sums.groupBy("u").agg(F.sum("others").alias("others"))
+    comps = components(sums.select("u", "v"))
     of = (
         classes.select("id", "cls", "rep", "copies")
         .join(counts.withColumnRenamed("u", "id"), "id", "left")
