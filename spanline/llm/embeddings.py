@@ -23,9 +23,11 @@ RADIUS, WIDE = 20, 60
 #: Most tables of either kind; where they don't do, their parts are made narrower.
 TABLES = 96
 #: Codes that meet in one cell; larger cells are dealt as pairs of blocks.
-CELL = 1 << 17
+CELL = 1 << 19
 #: Codes of a cell up to which all pairs are tried, of many cells or of one at once.
 SMALL, TRIED = 512, 1 << 14
+#: The same of codes that have a candidate each, of which dense groups would meet in table after table.
+RETRIED = 1 << 16
 #: Components of vectors that meet in one cell, and of those that are compared at once.
 HELD, COMPARED = 1 << 22, 1 << 20
 #: Pairs that are gathered before more is asked of them.
@@ -214,15 +216,18 @@ def meeting(own: Codes, place: np.ndarray, side: np.ndarray, t: np.ndarray, code
     for x, y in gathered(runs(place[few], code[0][few]), own.limits[0]):
         yield kept(few[x], few[y], [])
     for lo, n in zip(start[size > SMALL], size[size > SMALL], strict=True):
-        if n <= TRIED:
+        if n <= (RETRIED if marked is None else TRIED):
             for x, y in gathered(everything(code[0][lo : lo + n]), own.limits[0]):
                 yield kept(lo + x, lo + y, [])
             continue
         for i, (r, mask) in enumerate(own.tables):
             key = code[r][lo : lo + n] & mask
-            order = np.argsort(key) if marked is None else np.lexsort((marked[lo : lo + n], key))
+            if marked is not None:  # they come last in their runs, by the lowest bit that the table leaves
+                key |= marked[lo : lo + n] * np.uint64(~int(mask) & int(mask) + 1)
+            order = np.argsort(key)
             rows = lo + order
-            for x, y in gathered(runs(key[order], code[0][rows], None if marked is None else marked[rows]), own.limits[0]):
+            done = None if marked is None else marked[rows]
+            for x, y in gathered(runs(key[order] & mask, code[0][rows], done), own.limits[0]):
                 yield kept(rows[x], rows[y], own.tables[:i] if marked is None else [])
 
 

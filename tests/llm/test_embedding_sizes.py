@@ -77,6 +77,7 @@ def test_pairs_meet_once(monkeypatch, small, tried):
     own = embeddings.Codes(x, 0.93, 3000)
     monkeypatch.setattr(embeddings, "SMALL", small)
     monkeypatch.setattr(embeddings, "TRIED", tried)
+    monkeypatch.setattr(embeddings, "RETRIED", tried)
     zero, codes = np.zeros(3000, np.int32), own(x)
     pairs = np.concatenate([np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1) for a, b in embeddings.meeting(own, place, zero, zero, codes)])
     assert len(np.unique(pairs, axis=0)) == len(pairs) and (place[pairs[:, 0]] == place[pairs[:, 1]]).all()
